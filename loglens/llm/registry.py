@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .op2 import op2_source_mix
+from .op4 import op4_minhash_near_dedup
 from .op5 import op5_substring_dedup
 
 QUERIES = {
+    "op2_source_mix": op2_source_mix,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
 }
 

@@ -39,13 +39,13 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         .distinct(),
         "edges",
     )
-    labels = table(both.groupBy("v").agg(F.least("v", F.min("u")).alias("c")), "labels")
+    labels = both.groupBy("v").agg(F.least("v", F.min("u")).alias("c"))
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("n"))
         step = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
-        step = table(step, "step")
         jump = step.select(F.col("v").alias("c"), F.col("c").alias("root"))
         labels = table(step.join(jump, "c").select("v", "old", F.least("c", "root").alias("c")), "labels")
-        if labels.where("c <> old").isEmpty():
-            return labels.select("v", "c")
+        done = labels.where("c <> old").isEmpty()
         labels = labels.select("v", "c")
+        if done:
+            return labels
