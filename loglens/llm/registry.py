@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from . import op7
 from .op2 import op2_source_mix
+from .op3 import op3_language_id
 from .op4 import op4_minhash_near_dedup
 from .op5 import op5_substring_dedup
+from .op6 import op6_best_fit_packing
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_url_filter": op7.op7_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_url_filter": op7.ORACLE,
+}
