@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Specifiers of time formats and Spark's patterns for them.
 SPECIFIERS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%a": "EEE", "%b": "MMM", "%R": "HH:mm"}
@@ -97,7 +98,7 @@ def damerau_levenshtein(a: str, b: str) -> int:
     return d[-1][-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else damerau_levenshtein(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 

@@ -1,4 +1,8 @@
-"""Registered queries of the library."""
+"""Registered queries of the library and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import basic
+
+QUERIES: dict = {**basic.Q}
+ORACLES: dict[str, str] = {**basic.O}
