@@ -23,7 +23,7 @@ def analyze_fields(df: DataFrame, fields: list[str] | None = None, entries: str
     x = numn(F.col("value"))
     n = F.sum(F.when(x.isNotNull(), F.col("n")))
     mean = F.sum(x * F.col("n")) / n
-    spread = F.sqrt(F.greatest(F.sum(x * x * F.col("n")) / n - mean * mean, F.lit(0.0)))
+    spread = F.when(n > 0, F.sqrt(F.greatest(F.sum(x * x * F.col("n")) / n - mean * mean, F.lit(0.0))))
     return values.groupBy("field").agg(F.sum("n").alias("events"), F.count("*").alias("distinct"), F.round(mean, 4).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(spread, 4).alias("stdev"))
 
 

@@ -37,9 +37,9 @@ def _kind(df: DataFrame) -> Column:
 
 def _target(df: DataFrame, raw: bool = False) -> Column:
     out = F.lit(None).cast("string")
-    for kind, (_, target, abstract) in KINDS.items():
+    for category, target, abstract in KINDS.values():
         if target in df.columns:
-            out = F.when(F.col("event_type") == kind, F.col(target) if raw else abstract(F.col(target))).otherwise(out)
+            out = F.when(F.col("category") == category, F.col(target) if raw else abstract(F.col(target))).otherwise(out)
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic
+from . import advanced, analytics, basic
 
-QUERIES: dict = {**basic.Q}
-ORACLES: dict[str, str] = {**basic.O}
+QUERIES: dict = {**basic.Q, **analytics.Q, **advanced.Q}
+ORACLES: dict[str, str] = {**basic.O, **analytics.O, **advanced.O}

@@ -93,8 +93,9 @@ def forward_hits(hits: DataFrame, tenant: str, alert: str, renames: dict[str, st
     from ..functions.fields import log_id
 
     fields = F.map_zip_with(F.col("fields"), F.create_map(F.lit("alert_name"), F.lit(alert), F.lit("source_log_id"), F.col("log_id")), lambda _, a, b: F.coalesce(b, a))
-    for old, new in (renames or {}).items():
-        fields = F.transform_keys(fields, lambda k, _, old=old, new=new: F.when(k == old, F.lit(new)).otherwise(k))
+    if renames:
+        names = F.create_map(*(F.lit(x) for pair in renames.items() for x in pair))
+        fields = F.transform_keys(fields, lambda k, _: F.coalesce(F.try_element_at(names, k), k))
     when = F.col("timestamp") if now is None else now
     return hits.select(when.alias("timestamp"), log_id(when, F.concat_ws(":", F.lit(alert), "log_id")).alias("log_id"), F.lit(tenant).alias("tenant_id"), fields.alias("fields"))
 
