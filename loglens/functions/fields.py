@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where it is used within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def first_entries(names: Column, values: Column) -> Column:
+    """A map from two arrays; of equal names, the first entry stays."""
+
+    def chosen(z: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(z["n"])), lambda i: F.array_position(z["n"], F.element_at(z["n"], i)) == i)
+        return let(at, lambda ix: F.map_from_arrays(F.transform(ix, lambda i: F.element_at(z["n"], i)), F.transform(ix, lambda i: F.element_at(z["v"], i))))
+
+    empty = F.from_json(F.lit("{}"), "map<string,string>")
+    return let(F.struct(names.alias("n"), values.alias("v")), lambda z: F.when(F.size(z["n"]) > 0, chosen(z)).otherwise(empty))
+
+
 def field(df: DataFrame, name: str, fields: str = "fields") -> Column:
     """The column of that name, else the entry of the map of fields, else a null string."""
     if name in df.columns:

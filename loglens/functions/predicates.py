@@ -77,11 +77,13 @@ def text_search(text: Column, words: str) -> Column:
     return contains_any(text, words)
 
 
+OCTET = r"(25[0-5]|2[0-4]\d|[01]?\d?\d)"
+
+
 def ipv4(c: Column) -> Column:
     """An IPv4 address as a number, null where it is none."""
-    parts = [F.regexp_extract(c, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("long") for i in (1, 2, 3, 4)]
-    value = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
-    return F.when(reduce(lambda a, b: a & b, [p <= 255 for p in parts]), value)
+    part = lambda i: F.split_part(c, F.lit("."), F.lit(i)).cast("long")
+    return F.when(c.rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"), ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
 
 
 def ipv6_hex(c: Column) -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import let
 from ..functions.predicates import all_of
 
 DAY, HOUR = 86_400, 3_600
@@ -48,7 +49,7 @@ def volume_state(df: DataFrame, entity: str, time: str, seconds: int = DAY) -> D
 
 def _upper_median(a: Column) -> Column:
     """An element of the data: the upper one of two in the middle."""
-    return F.element_at(F.sort_array(a), (F.floor(F.size(a) / 2) + 1).cast("int"))
+    return let(F.sort_array(a), lambda v: F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int")))
 
 
 def volume_score(state: DataFrame, as_of: datetime, seconds: int = DAY, history: int = 90 * DAY, least: int = 7) -> DataFrame:
@@ -57,8 +58,8 @@ def volume_score(state: DataFrame, as_of: datetime, seconds: int = DAY, history:
     at = F.unix_seconds("bucket")
     counts = state.where((at < end) & (at >= end - history)).groupBy("entity", "bucket").agg(F.sum("n").alias("n"))
     out = counts.groupBy("entity").agg(F.collect_list(F.col("n").cast("double")).alias("c"), F.max_by("n", "bucket").alias("latest"), F.count("*").alias("buckets")).where(F.col("buckets") >= least)
-    out = out.withColumn("median", _upper_median(F.col("c")))
-    out = out.withColumn("mad", _upper_median(F.transform("c", lambda x: F.abs(x - F.col("median")))))
+    both = let(_upper_median(F.col("c")), lambda m: F.struct(m.alias("median"), _upper_median(F.transform("c", lambda x: F.abs(x - m))).alias("mad")))
+    out = out.withColumn("_m", both).select("*", "_m.*")
     return out.select("entity", "latest", "buckets", "median", "mad", F.when(F.col("mad") == 0, 0.0).otherwise(F.round(0.6745 * (F.col("latest") - F.col("median")) / F.col("mad"), 4)).alias("zscore"))
 
 
@@ -87,16 +88,20 @@ def _quantile(sorted_values: Column, q: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
-def _with_dispersion(df: DataFrame, values: str, out: str) -> DataFrame:
-    """Adds how tightly and evenly values lie together, 0 to 1: quartile skewness, damped for a narrow
-    spread, and the absolute deviation relative to the median, averaged; 0 for fewer than three."""
-    df = df.withColumn("_v", F.sort_array(F.col(values))).withColumns({"_q1": F.when(F.size("_v") > 2, _quantile(F.col("_v"), 0.25)), "_q2": F.when(F.size("_v") > 2, _quantile(F.col("_v"), 0.5)), "_q3": F.when(F.size("_v") > 2, _quantile(F.col("_v"), 0.75))})
-    spread = F.col("_q3") - F.col("_q1")
-    weight = F.when(F.col("_q2") >= 1, _unit(spread / F.col("_q2") / 0.1)).otherwise(1.0)
-    even = F.when(spread == 0, 1.0).otherwise(_unit(1 - F.abs((F.col("_q3") + F.col("_q1") - 2 * F.col("_q2")) / spread) * weight))
-    df = df.withColumn("_d", F.sort_array(F.transform("_v", lambda x: F.abs(x - F.col("_q2")))))
-    tight = F.when(F.col("_q2") >= 1, _unit((F.col("_q2") - _quantile(F.col("_d"), 0.5)) / F.col("_q2"))).otherwise(0.0)
-    return df.withColumn(out, F.when(F.size("_v") < 3, 0.0).otherwise((even + tight) / 2)).drop("_v", "_q1", "_q2", "_q3", "_d")
+def _dispersion(values: Column) -> Column:
+    """How tightly and evenly values lie together, 0 to 1: quartile skewness, damped for a narrow spread,
+    and the absolute deviation relative to the median, averaged; 0 for fewer than three."""
+
+    def scored(v: Column, q: Column) -> Column:
+        spread = q["c"] - q["a"]
+        weight = F.when(q["b"] >= 1, _unit(spread / q["b"] / 0.1)).otherwise(1.0)
+        even = F.when(spread == 0, 1.0).otherwise(_unit(1 - F.abs((q["c"] + q["a"] - 2 * q["b"]) / spread) * weight))
+        off = F.sort_array(F.transform(v, lambda x: F.abs(x - q["b"])))
+        tight = F.when(q["b"] >= 1, _unit((q["b"] - let(off, lambda d: _quantile(d, 0.5))) / q["b"])).otherwise(0.0)
+        return (even + tight) / 2
+
+    quartiles = lambda v: F.struct(_quantile(v, 0.25).alias("a"), _quantile(v, 0.5).alias("b"), _quantile(v, 0.75).alias("c"))
+    return let(F.sort_array(values), lambda v: F.when(F.size(v) < 3, 0.0).otherwise(let(quartiles(v), lambda q: scored(v, q))))
 
 
 def beacon_score(pairs: DataFrame, window: int, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25), least: int = 4) -> DataFrame:
@@ -106,22 +111,20 @@ def beacon_score(pairs: DataFrame, window: int, weights: tuple[float, float, flo
     the hours. Fewer than four points score 0.
     """
     gaps = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ts") - 1, F.lit(1))), lambda i: (F.try_element_at("ts", i + 1) - F.try_element_at("ts", i)).cast("double")), lambda g: g > 0)
-    out = pairs.withColumn("_gaps", gaps)
-    out = _with_dispersion(out, "_gaps", "_ts")
-    out = _with_dispersion(out, "sizes", "_ds")
     hours = F.transform("ts", lambda t: F.floor(F.pmod(t, F.lit(DAY)) / HOUR))
-    out = out.withColumn("_h", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.size(F.filter(hours, lambda x: x == h)).cast("double")))
+    bins = let(hours, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.size(F.filter(hs, lambda x: x == h)).cast("double")))
     span = _unit((F.col("last_ts") - F.col("first_ts")) / F.lit(float(window)))
-    out = out.withColumn("_dur", F.greatest(span, F.size(F.filter("_h", lambda c: c > 0)) / 24.0))
     mean = F.size("ts") / 24.0
-    cv = F.sqrt(F.aggregate("_h", F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean)) / 24.0) / mean
-    out = out.withColumn("_hist", F.when((F.size("ts") == 0) | (cv > 1), 0.0).otherwise(_unit(1 - cv)))
+    cv = lambda h: F.sqrt(F.aggregate(h, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean)) / 24.0) / mean
+    even = lambda c: F.when((F.size("ts") == 0) | (c > 1), 0.0).otherwise(_unit(1 - c))
+    of_hours = let(bins, lambda h: F.struct(F.greatest(span, F.size(F.filter(h, lambda c: c > 0)) / 24.0).alias("dur"), let(cv(h), even).alias("hist")))
+    out = pairs.withColumn("_s", F.struct(_dispersion(gaps).alias("ts"), _dispersion(F.col("sizes")).alias("ds"), of_hours.alias("h")))
     enough = (F.size("ts") >= 4) & (F.col("n") >= least)
-    parts = dict(zip(("ts_score", "ds_score", "dur_score", "hist_score"), ("_ts", "_ds", "_dur", "_hist"), strict=True))
+    parts = {"ts_score": "_s.ts", "ds_score": "_s.ds", "dur_score": "_s.h.dur", "hist_score": "_s.h.hist"}
     total = sum((F.col(c) * w for c, w in zip(parts.values(), weights, strict=True)), F.lit(0.0))
     out = out.withColumn("beacon", F.when(enough, F.round(_unit(total), 3)).otherwise(0.0))
     out = out.withColumns({k: F.when(enough, F.round(F.col(c), 3)).otherwise(0.0) for k, c in parts.items()})
-    return out.drop("_gaps", "_ts", "_ds", "_h", "_dur", "_hist")
+    return out.drop("_s")
 
 
 def long_conn_score(duration: Column, base: float = 3_600, low: float = 14_400, med: float = 28_800, high: float = 43_200) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import lenient_timestamp, log_id
+from ..functions.fields import first_entries, lenient_timestamp, let, log_id
 
 #: Names under which a time is looked for at last.
 TIME_FIELDS = ("timestamp", "@timestamp", "time", "ts", "_time")
@@ -27,21 +27,20 @@ def flatten(fields: Column, depth: int = 4, leaf: bool = False, most: int = 1000
     for _ in range(depth):
 
         def expand(e: Column) -> Column:
-            inner = F.map_entries(F.from_json(e["value"], "map<string,string>"))
-            below = F.transform(inner, lambda x: F.struct(F.concat_ws("_", e["key"], x["key"]).alias("key"), x["key"].alias("last"), F.coalesce(x["value"], F.lit("")).alias("value")))
-            parts = F.slice(F.from_json(e["value"], "array<string>"), 1, items)
-            listed = F.transform(parts, lambda x, i: F.struct(F.concat_ws("_", e["key"], i.cast("string")).alias("key"), e["last"].alias("last"), F.coalesce(x, F.lit("")).alias("value")))
-            return F.when(_is_object(e["value"]) & below.isNotNull(), below).when(_is_objects(e["value"]) & parts.isNotNull(), listed).otherwise(F.array(e))
+            below = lambda m: F.transform(F.map_entries(m), lambda x: F.struct(F.concat_ws("_", e["key"], x["key"]).alias("key"), x["key"].alias("last"), F.coalesce(x["value"], F.lit("")).alias("value")))
+            listed = lambda p: F.transform(F.slice(p, 1, items), lambda x, i: F.struct(F.concat_ws("_", e["key"], i.cast("string")).alias("key"), e["last"].alias("last"), F.coalesce(x, F.lit("")).alias("value")))
+            inner = F.when(_is_object(e["value"]), let(F.from_json(e["value"], "map<string,string>"), below)).when(_is_objects(e["value"]), let(F.from_json(e["value"], "array<string>"), listed))
+            return F.coalesce(inner, F.array(e))
 
         entries = F.flatten(F.transform(entries, expand))
-    entries = F.slice(entries, 1, most)
-    name = lambda e: e["key"]
-    if leaf:
-        lasts = F.transform(entries, lambda e: e["last"])
-        name = lambda e: F.when(F.size(F.filter(lasts, lambda x: x == e["last"])) == 1, e["last"]).otherwise(e["key"])
-    named = F.transform(entries, lambda e, i: F.struct(name(e).alias("k"), e["value"].alias("v"), i.alias("i")))
-    first = F.filter(named, lambda e: ~F.exists(named, lambda o: (o["k"] == e["k"]) & (o["i"] < e["i"])))
-    return F.map_from_arrays(F.transform(first, lambda e: e["k"]), F.transform(first, lambda e: e["v"]))
+    def named(own: Column) -> Column:
+        values = F.transform(own, lambda e: e["value"])
+        if not leaf:
+            return first_entries(F.transform(own, lambda e: e["key"]), values)
+        alone = lambda lasts: F.transform(own, lambda e: F.when(F.size(F.filter(lasts, lambda x: x == e["last"])) == 1, e["last"]).otherwise(e["key"]))
+        return first_entries(let(F.transform(own, lambda e: e["last"]), alone), values)
+
+    return let(F.slice(entries, 1, most), named)
 
 
 def _words(k: Column) -> Column:
@@ -62,15 +61,9 @@ def case_name(k: Column, how: str) -> Column:
     }[how]()
 
 
-def _rebuilt(fields: Column, name, keep_first: bool = True) -> Column:
-    """The map under new names; where names meet, the first entry stays."""
-    named = F.transform(F.map_entries(fields), lambda e, i: F.struct(name(e["key"]).alias("k"), e["value"].alias("v"), i.alias("i")))
-    first = F.filter(named, lambda e: ~F.exists(named, lambda o: (o["k"] == e["k"]) & (o["i"] < e["i"])))
-    return F.map_from_arrays(F.transform(first, lambda e: e["k"]), F.transform(first, lambda e: e["v"]))
-
-
 def rename_fields(fields: Column, how: str) -> Column:
-    return _rebuilt(fields, lambda k: case_name(k, how))
+    """Names in another case; where names meet, the first entry stays."""
+    return first_entries(F.transform(F.map_keys(fields), lambda k: case_name(k, how)), F.map_values(fields))
 
 
 def map_fields(fields: Column, mapping: dict[str, list[str]]) -> Column:

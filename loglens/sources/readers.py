@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import first_entries
 from ..operators.enrich import cidr_ranges, load_dictionary
 
 # Names of syslog facilities and severities.
@@ -30,10 +31,7 @@ def parse_kv(df: DataFrame, text: str = "value") -> DataFrame:
     pattern = r"""([^\s=]+)=("[^"]*"|'[^']*'|\S*)"""
     keys = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
     values = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, r"""^(["'])(.*)\1$""", "$2"))
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["k"].isNotNull())
-    indexed = F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p["k"].alias("k"), p["v"].alias("v")))
-    last = F.filter(indexed, lambda p: ~F.exists(indexed, lambda o: (o["k"] == p["k"]) & (o["i"] > p["i"])))
-    fields = F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
+    fields = first_entries(F.reverse(keys), F.reverse(values))
     return df.withColumn("fields", fields).where(F.size("fields") > 0)
 
 
