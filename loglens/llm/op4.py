@@ -19,7 +19,9 @@ SHINGLE = 5
 #: Binomial(40, 0.75) of them: fewer than 17 in about 3 of a million cases, and rarer above 0.75.
 COORDINATES, MATCHES = 40, 17
 LEADERS = 16
-SIGNED = T.StructType().add("id", "long").add("n", "long").add("h1", "long").add("h2", "long").add("sig", T.ArrayType(T.LongType()))
+#: Bits of the map of a shingle set by which pairs are ruled out before they are made.
+BITS = 2048
+SIGNED = T.StructType().add("id", "long").add("n", "long").add("h1", "long").add("h2", "long").add("sig", T.ArrayType(T.LongType())).add("map", T.ArrayType(T.LongType()))
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -37,7 +39,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), two sums that identify the set, and the signature (null for an empty set)."""
+    """id, n (set size), two sums that identify the set, its signature (empty for an empty set) and its bit map."""
     factors = odd(COORDINATES, 77)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,9 +49,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 full = n > 0
                 sums, sig = np.zeros((2, len(n)), U), np.zeros((int(full.sum()), COORDINATES), U)
+                seen = np.zeros((len(n), BITS), bool)
                 if full.any():
                     h = np.concatenate(sets)
                     at = (np.cumsum(n) - n)[full]
+                    seen[np.repeat(np.arange(len(n)), n), (h >> U(20)).astype(np.int64) % BITS] = True
                     for k, salt in enumerate((U(0x1234567), U(0xFEDCBA9))):
                         sums[k, full] = np.add.reduceat(mix(h ^ salt), at)
                     for k, f in enumerate(factors):
@@ -59,7 +63,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         sig[:, k] = (np.minimum.reduceat(v, at) & ~U(63)) | U(k)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(full * COORDINATES)]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([c["id"], pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], names=SIGNED.names)
+                maps = pa.array(np.packbits(seen, axis=1, bitorder="little").view(np.int64).ravel())
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (BITS // 64), pa.int32()), maps)
+                yield pa.RecordBatch.from_arrays([c["id"], pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, maps], names=SIGNED.names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, SIGNED)
 
@@ -109,23 +115,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        The rest are ordered by global frequency: a pair that agrees in MATCHES of COORDINATES meets in
        the rarest (COORDINATES - MATCHES + 1) of each side, so only those postings are joined, and the
        join itself counts the collisions on both lists and lets a pair out at its first common one.
+       Two sets differ in as many shingles, at least, as their bit maps differ in bits, so pairs with
+       more than (n + m) / 7 of them can't reach the similarity; the join rules them out, exactly.
     3. Large lists are not squared: each list first meets the class with the most frequent values, then
        a few of its members; what that links is one component. Last, every member outside a list's
        largest component meets all members of other components, so no pair that could still join two
        components is left out. All pairs are confirmed on full sets.
     """
     signed = table(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "signed")
-    classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("map").alias("map"))
     tokens = classes.select("rep", "n", F.explode("sig").alias("tok"))
     shared = tokens.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    lists = (
+    posted_lists = (
         tokens.join(shared, "tok")
         .groupBy("rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("cnt", "tok"))).alias("t"))
         .where(F.size("t") >= MATCHES)
         .select("rep", "n", F.col("t.tok").alias("toks"), F.expr("aggregate(t, 0L, (s, x) -> s + x.cnt)").alias("weight"))
     )
-    lists = table(lists, "lists")
+    lists = table(posted_lists.join(classes.select("rep", "n", "map"), ["rep", "n"]), "lists")
     texts = squeezed(docs, id_col, text_col).join(lists.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     texts = table(texts.groupBy("id").agg(F.min("z").alias("z")), "texts")
     prefix = F.expr(f"slice(toks, 1, size(toks) - {MATCHES - 1})")
@@ -142,10 +150,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def paired(x: DataFrame, y: DataFrame, more: str = "true") -> DataFrame:
         """Pairs of the rows of x and y under one value that pass the length and collision filters."""
-        x = x.select("tok", *(F.col(k).alias(f"x_{k}") for k in ("rep", "n", "comp", "toks", "pre", *(["big"] if "big" in x.columns else []))))
-        y = y.select("tok", *(F.col(k).alias(f"y_{k}") for k in ("rep", "n", "comp", "toks", "pre", *(["big"] if "big" in y.columns else []))))
+        x = x.select("tok", *(F.col(k).alias(f"x_{k}") for k in ("rep", "n", "comp", "toks", "pre", "map", *(["big"] if "big" in x.columns else []))))
+        y = y.select("tok", *(F.col(k).alias(f"y_{k}") for k in ("rep", "n", "comp", "toks", "pre", "map", *(["big"] if "big" in y.columns else []))))
         first = "element_at(array_intersect(x_pre, y_pre), 1) = x.tok"
-        cond = f"x.tok = y.tok and x_comp <> y_comp and ({more}) and 100 * least(x_n, y_n) >= 75 * greatest(x_n, y_n) and {first} and size(array_intersect(x_toks, y_toks)) >= {MATCHES}"
+        apart = "7 * aggregate(zip_with(x_map, y_map, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) <= x_n + y_n"
+        cond = f"x.tok = y.tok and x_comp <> y_comp and ({more}) and 100 * least(x_n, y_n) >= 75 * greatest(x_n, y_n) and {apart} and {first} and size(array_intersect(x_toks, y_toks)) >= {MATCHES}"
         both = x.alias("x").join(y.alias("y"), F.expr(cond))
         return both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
@@ -183,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     named = named.join(comps, F.col("rep") == F.col("v"), "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("component_id"))
-    out = signed.drop("sig").join(named, ["h1", "h2", "n"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = signed.drop("sig", "map").join(named, ["h1", "h2", "n"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
