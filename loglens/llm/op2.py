@@ -39,7 +39,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return own.select("source", "source_size", F.when(F.col("over"), F.col("limit")).otherwise(F.least("limit", rate * F.col("weight"))).alias("target"))
 
 
-def sample(docs: DataFrame, size: str, source: str, key: str, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+def sample(docs: DataFrame, size: str | Column, source: str, key: str, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """docs with source_size, target and copies (0 to MOST) added; columns of these names are replaced.
 
     Within a source every document expects target / source_size copies. Running over the source's
@@ -52,9 +52,11 @@ def sample(docs: DataFrame, size: str, source: str, key: str, weights: tuple[int
     are one source; null keys, repeated rows and equal sizes get their place by salt; sources without
     words get no copies; an empty table gives an empty one.
     """
-    docs = docs.drop(*({"source_size", "target", "copies"} & set(docs.columns)))
-    keyed = docs.select("*", F.coalesce(F.col(source), F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), F.floor(F.log(F.col(size) + 1.0) * 32).alias("_class"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(SALTS)).alias("_salt"))
-    cells = table(keyed.groupBy("_null", "_s", "_class", "_salt").agg(F.count("*").alias("n"), F.sum(size).alias("w")), "cells")
+    size = F.col(size) if isinstance(size, str) else size
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("_row"), size.alias("_size"), F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(SALTS)).alias("_salt"))
+    keyed = keyed.withColumn("_class", F.floor(F.log(F.col("_size") + 1.0) * 32))
+    cells = table(keyed.groupBy("_null", "_s", "_class", "_salt").agg(F.count("*").alias("n"), F.sum("_size").alias("w")), "cells")
     want = targets(cells.select(F.when(~F.col("_null"), F.col("_s")).alias("source"), F.col("w").alias("size")), weights)
     want = want.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_s"), "source_size", "target")
     want = want.withColumn("_rate", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5), F.lit(MOST * UNIT))).otherwise(0).cast("long"))
@@ -66,18 +68,19 @@ def sample(docs: DataFrame, size: str, source: str, key: str, weights: tuple[int
     cells = cells.select("_null", "_s", "_class", "_salt", "source_size", "target", "_rate", (F.col("_base") + F.col("_in")).alias("_before"))
 
     cell = ["_null", "_s", "_class", "_salt"]
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(size, key))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("_size", "_key"))
     offset = F.pmod(F.xxhash64(F.lit(seed)), F.lit(UNIT))
     passed = lambda i: F.expr(f"(({i}) * _rate + _offset) div {UNIT}")
     out = keyed.withColumn("_i", place).join(cells, cell).withColumn("_i", F.col("_i") + F.col("_before")).withColumn("_offset", offset)
-    return out.withColumn("copies", passed("_i") - passed("_i - 1")).drop(*cell, "_i", "_before", "_rate", "_offset")
+    own = [f"_row.`{c}`" for c in docs.columns if c not in ("source_size", "target", "copies")]
+    return out.select(*own, "source_size", "target", (passed("_i") - passed("_i - 1")).alias("copies"))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it, with the columns of docs."""
-    out = sample(docs.withColumn("_size", n_words(F.col(text))), "_size", source, key, weights, seed)
-    out = out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(source).alias("_source"), F.col(key).alias("_id"), n_words(F.col(text)).alias("_words"))
+    out = sample(row, "_words", "_source", "_id", weights, seed).where("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
