@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,17 @@ from pyspark.sql import functions as F
 
 from .scratch import table
 
-LENGTH, END = 2048, 0
+LENGTH, END = 2048, bytes(4)
 #: Pieces packed together by one task at a time. Each such shard leaves about one sequence unfilled.
 SHARD = 4096
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Characters at which str.split() cuts but the vocabulary doesn't.
 UNCUT = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[ \t-\r]+")
+#: Letters that lower-case and stay themselves one by one, and marks that may follow them.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?#$%&*"
 
 
 def vocabulary() -> str:
@@ -33,59 +37,86 @@ def vocabulary() -> str:
 class Encoder:
     """Ids of whole texts from remembered ids of their words.
 
-    The vocabulary drops white space and never merges across it, and within a word it first splits
-    letters from other characters. So a word's ids don't depend on its neighbours, and a word of letters
-    before some marks is its letters' ids and the marks'.
+    The vocabulary drops white space and never merges across it; within a word it first splits letters
+    from other characters, lower-cases, and marks the token that ends each run of letters. So a word of
+    letters and some marks has its letters' ids and the marks', whatever stands beside it, and many runs
+    of letters can be encoded as one text and told apart by the marked tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.ids: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.model.no_padding(), self.model.no_truncation()
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ids: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, runs: list[str]) -> None:
+        """Runs of letters, joined; each gives tokens up to a marked one."""
+        groups = [runs[at : at + 200] for at in range(0, len(runs), 200)]
+        for some, found in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            data = ids.tobytes()
+            for run, s, e in zip(some, cut[:-1], cut[1:], strict=True):
+                self.parts[run] = data[s:e]
 
     def learn(self, new: list[str]) -> None:
         if len(self.ids) + len(new) > REMEMBERED:
-            self.ids, self.parts = {}, {}
-        cut = {}
+            self.ids = {}
+        if len(self.parts) + len(new) > REMEMBERED:
+            self.parts = {}
+        cut, runs, whole = {}, set(), set()
         for w in new:
-            core = w.rstrip(".,;:!?")
-            cut[w] = (core.lower(), w[len(core) :]) if core and core.isascii() and core.isalpha() else (w, "")
-        want = [p for p in {p for c in cut.values() for p in c if p} if p not in self.parts]
-        for p, e in zip(want, self.model.encode_batch_fast(want, add_special_tokens=False), strict=True):
-            self.parts[p] = e.ids
+            core = w.rstrip(MARKS)
+            if LETTERS.fullmatch(core):
+                run = core.lower()
+                cut[w] = (run, w[len(core) :])
+                runs.add(run)
+                whole.add(w[len(core) :])
+            else:
+                cut[w] = (w, "")
+                whole.add(w)
+        parts = self.parts
+        self._encode([r for r in runs if r not in parts])
+        rest = [w for w in whole if w and w not in parts]
+        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            parts[w] = np.array(e.ids, "<u4").tobytes()
         for w, (a, b) in cut.items():
-            self.ids[w] = self.parts[a] + self.parts[b] if b else self.parts[a]
-
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Each text's ids, with END after them."""
-        for at in range(0, len(texts), 64):
-            split = [[w for w in BLANKS.split(t) if w] if UNCUT.search(t) else t.split() for t in (x or "" for x in texts[at : at + 64])]
-            own = self.ids
-            new = {w for s in split for w in s if w not in own}
+            self.ids[w] = parts[a] + parts[b] if b else parts[a]
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Each text's ids as little-endian 32-bit numbers, with END after them."""
+        for at in range(0, len(texts), 256):
+            split = [[w for w in BLANKS.split(t) if w] if UNCUT.search(t) else t.split() for t in (x or "" for x in texts[at : at + 256])]
+            every = set().union(*split)
+            new = every.difference(self.ids)
             if new:
-                self.learn([w for s in split for w in set(s)] if len(own) + len(new) > REMEMBERED else list(new))
-                own = self.ids
+                self.learn(list(every) if len(self.ids) + len(new) > REMEMBERED else list(new))
+            own = self.ids
             for s in split:
-                out: list[int] = []
-                for w in s:
-                    out += own[w]
-                out.append(END)
-                yield np.array(out, "<u4")
+                yield b"".join(map(own.__getitem__, s)) + END
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its tasks share what it remembers."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids, cut only where they exceed the length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             for i, ids in zip(batch["id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
-                for k, s in enumerate(range(0, len(ids), length)):
-                    part = ids[s : s + length]
-                    rows.append((i, k, s, len(part), zlib.crc32(part.tobytes())))
+                for k, s in enumerate(range(0, len(ids), 4 * length)):
+                    part = ids[s : s + 4 * length]
+                    rows.append((i, k, s // 4, len(part) // 4, zlib.crc32(part)))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
 
