@@ -271,7 +271,7 @@ def write_archive(spark, d):
     return archive.read_archive(spark, _archived(spark, d)).groupBy("tenant_id", "ingest_date").agg(F.count("*").alias("n"), F.count_distinct("f_user").alias("users"))
 
 
-@query("a12_archive_search", "SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS log_id, true AS limit_hit FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-08' AND event_type = 'click' ORDER BY 1 LIMIT 50")
+@query("a12_archive_search", "SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS log_id, count(*) OVER () > 50 AS limit_hit FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-08' AND event_type = 'click' ORDER BY 1 LIMIT 50")
 def archive_search(spark, d):
     rows, hit = archive.archive_search(archive.read_archive(spark, _archived(spark, d)), date(2024, 1, 5), date(2024, 1, 8), lambda x: x.where(F.col("fields")["action"] == "click").orderBy("log_id"), 50)
     return rows.select("log_id").crossJoin(F.broadcast(hit))  # one row
