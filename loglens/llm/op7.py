@@ -63,7 +63,7 @@ def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     a component's verdict is two partial maxima, so its size doesn't matter.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"), target_urls(F.col(html_col)).alias("to"))
-    edges = own.where("u is not null").select(F.col("u").alias("a"), F.explode("to").alias("b"))
+    edges = own.where(F.contains("u", F.lit("://"))).select(F.col("u").alias("a"), F.explode("to").alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("source_url").alias("a"), F.col("target_url").alias("b")).dropna())
     edges = table(edges.where("a <> b").distinct(), "links")

@@ -165,8 +165,14 @@ def as_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for n, media, s, i in _streams(batches):
-            yield pa.RecordBatch.from_pylist([{"id": i, "n_bytes": n, "payload": s.payload, "media": media, "pts": s.pts, "random_access": s.random_access, "packets": s.packets, "breaks": s.breaks}], schema=arrow)
+            rows.append({"id": i, "n_bytes": n, "payload": s.payload, "media": media, "pts": s.pts, "random_access": s.random_access, "packets": s.packets, "breaks": s.breaks})
+            size += len(media)
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     arrow = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("packets", pa.int32()), ("breaks", pa.int32())])
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(convert, MEDIA).withColumnRenamed("id", id_col)
