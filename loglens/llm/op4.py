@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     named = named.join(comps, F.col("rep") == F.col("v"), "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("component_id"))
+    named = table(named, "named")  # read from a table, the join below can split a class with very many copies
     out = signed.drop("sig", "map").join(named, ["h1", "h2", "n"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
