@@ -18,8 +18,8 @@ from .scratch import table
 LENGTH, END = 2048, bytes(4)
 #: Pieces packed together by one task at a time. Each such shard leaves about one sequence unfilled.
 SHARD = 4096
-#: Words whose ids a task remembers.
-REMEMBERED = 600_000
+#: Words in one of the two generations that a worker remembers; those of the older one that come again move on.
+REMEMBERED = 150_000
 #: Characters at which str.split() cuts but the vocabulary doesn't.
 UNCUT = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[ \t-\r]+")
@@ -52,6 +52,8 @@ class Encoder:
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _encode(self, runs: list[str]) -> None:
         """Runs of letters, joined; each gives tokens up to a marked one."""
@@ -63,11 +65,20 @@ class Encoder:
             for run, s, e in zip(some, cut[:-1], cut[1:], strict=True):
                 self.parts[run] = data[s:e]
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids = {}
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.parts = {}
+    @staticmethod
+    def _unknown(want: set[str], now: dict[str, bytes], before: dict[str, bytes]) -> list[str]:
+        """What neither generation has; what the older one has moves to the newer."""
+        new = [w for w in want if w not in now]
+        now.update((w, before[w]) for w in new if w in before)
+        return [w for w in new if w not in before]
+
+    def learn(self, every: set[str]) -> None:
+        """Make sure that the newer generation has these words."""
+        if len(self.ids) > REMEMBERED:
+            self.ids, self.old_ids = {}, self.ids
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.old_parts = {}, self.parts
+        new = self._unknown(every, self.ids, self.old_ids)
         cut, runs, whole = {}, set(), set()
         for w in new:
             core = w.rstrip(MARKS)
@@ -80,8 +91,8 @@ class Encoder:
                 cut[w] = (w, "")
                 whole.add(w)
         parts = self.parts
-        self._encode([r for r in runs if r not in parts])
-        rest = [w for w in whole if w and w not in parts]
+        self._encode(self._unknown(runs, parts, self.old_parts))
+        rest = self._unknown(whole - {""}, parts, self.old_parts)
         for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             parts[w] = np.array(e.ids, "<u4").tobytes()
         for w, (a, b) in cut.items():
@@ -91,10 +102,7 @@ class Encoder:
         """Each text's ids as little-endian 32-bit numbers, with END after them."""
         for at in range(0, len(texts), 256):
             split = [[w for w in BLANKS.split(t) if w] if UNCUT.search(t) else t.split() for t in (x or "" for x in texts[at : at + 256])]
-            every = set().union(*split)
-            new = every.difference(self.ids)
-            if new:
-                self.learn(list(every) if len(self.ids) + len(new) > REMEMBERED else list(new))
+            self.learn(set().union(*split))
             own = self.ids
             for s in split:
                 yield b"".join(map(own.__getitem__, s)) + END
