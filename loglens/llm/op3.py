@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .words import chunks
+
 #: Documents a language is learned from at most, bytes taken of each, and bytes of a dictionary.
 SAMPLE, PIECE, DICTIONARY = 400, 600, 110_000
 #: Texts are encoded in blocks of so many bytes, so that a long text leans on the dictionary throughout.
@@ -68,22 +70,24 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [coder(d) for d in dictionaries.values()]
-        for batch in batches:
-            best, score, no = [], [], []
-            for text in batch["_t"].to_pylist():
-                if not coders or not text or not any(map(str.isalpha, text)):
-                    best.append(UNKNOWN), score.append(0.0), no.append(True)
-                    continue
-                data = letters(text)
-                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-                sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders])
-                order = np.argsort(sizes, kind="stable")
-                apart = 1.0 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
-                best.append(names[order[0]]), score.append(float(1 - 0.5 * np.exp(-apart / 0.05))), no.append(bool(apart < margin))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], names=[*kept, "_lang", "_score", "_no"])
+        for whole in batches:
+            for batch in chunks(whole, at, 2 << 20):
+                best, score, no = [], [], []
+                for text in batch[at].to_pylist():
+                    if not coders or not text or not any(map(str.isalpha, text)):
+                        best.append(UNKNOWN), score.append(0.0), no.append(True)
+                        continue
+                    data = letters(text)
+                    blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+                    sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders])
+                    order = np.argsort(sizes, kind="stable")
+                    apart = 1.0 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
+                    best.append(names[order[0]]), score.append(float(1 - 0.5 * np.exp(-apart / 0.05))), no.append(bool(apart < margin))
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], names=[*kept, "_lang", "_score", "_no"])
 
     kept = [f"c{i}" for i in range(len(columns))]
-    own = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept, strict=True)), F.col(text_col).alias("_t"))
+    own = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept, strict=True)))
+    at = kept[columns.index(text_col)]
     schema = own.select(*kept, F.lit("").alias("_lang"), F.lit(0.0).alias("_score"), F.lit(True).alias("_no")).schema
     out = own.mapInArrow(predict, schema)
     return out.select(*(F.col(k).alias(c) for c, k in zip(columns, kept, strict=True)), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_no").alias("rejected"))
