@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from loglens.llm import op2, op3, op4, op5, op6
 from loglens.llm.scratch import table
 
+#: Rows of one Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+BATCH = "2000"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; null texts, texts without a letter and narrow margins go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return op3.identify(docs, op3.learn(docs)).where("not rejected").select(*COLUMNS)
 
 
