@@ -12,13 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import U, chunks, mix, ngrams, rows_of, words
+from .words import U, mix, ngrams, rows_of, words
 
 WINDOW = 13
 #: Any window of 13 words holds one whole block of 7 that starts at a multiple of 7.
 BLOCK = (WINDOW + 1) // 2
-FOUND = T.StructType().add("part", "integer").add("bucket", "integer").add("ids", "binary").add("keys", "binary")
-PROBE = T.StructType().add("bucket", "integer").add("ids", "binary").add("n", "integer").add("keys", "binary").add("rows", "binary").add("flags", "binary")
+FOUND = "part int, bucket int, keys binary"
+PROBE = "bucket int, part int, n int, keys binary, aligned binary, several binary"
+NEAR = "bucket int, part int, base long, keys binary, ids binary"
+
+
+class Split:
+    """How the top bits of a hash name a bucket, and the next ones a key within it."""
+
+    def __init__(self, bits: int, width: int):
+        self.bits, self.width, self.rest = bits, width, min(64 - bits, 8 * width)
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        return h >> U(64 - self.bits - self.rest)
+
+    def bucket(self, k: np.ndarray) -> np.ndarray:
+        return (k >> U(self.rest)).astype(np.int32)
+
+    def pack(self, k: np.ndarray) -> bytes:
+        return _packed(k & U((1 << self.rest) - 1), self.width)
+
+    def unpack(self, bucket: int, b: bytes) -> np.ndarray:
+        return _unpacked(b, self.width) | U(bucket << self.rest)
 
 
 def _packed(a: np.ndarray, width: int) -> bytes:
@@ -32,77 +52,38 @@ def _unpacked(b: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _ids(ids: np.ndarray) -> bytes:
-    return zstandard.compress(np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U)) % U(parts)).astype(np.int32)
 
 
-def _unids(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(b), "<i8"))
+def _spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    cut = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(sorted_values)], strict=True)) if len(sorted_values) else []
 
 
-def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U)) % U(parts)).astype(np.int32)
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1])
+
+
+def _answers(bucket: int, keys: np.ndarray, part: np.ndarray, split: Split) -> pa.Table:
+    """The found keys, one record for each part that asked."""
+    order = np.argsort(part, kind="stable")
+    keys, part = keys[order], part[order]
+    spans = _spans(part)
+    return pa.table({"part": pa.array([int(part[s]) for s, _ in spans], pa.int32()), "bucket": pa.array([bucket] * len(spans), pa.int32()), "keys": pa.array([split.pack(keys[s:e]) for s, e in spans], pa.binary())})
+
+
+def _asked(t: pa.Table, split: Split) -> np.ndarray:
+    """Sorted keys of the answers to one part."""
+    found = [split.unpack(r["bucket"], r["keys"]) for r in t.select(["bucket", "keys"]).to_pylist()]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, U)
 
 
-def _rows(ids: np.ndarray, row: np.ndarray, h: np.ndarray, flag: np.ndarray, bits: int, width: int) -> pa.RecordBatch:
-    """One record for each bucket (the top bits of the hash) with what this chunk has there, in row order."""
-    bucket = (h >> U(64 - bits)).astype(np.int32)
-    order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-    bucket, row, flag = bucket[order], row[order], flag[order]
-    keys = (h[order] << U(bits)) >> U(64 - 8 * width)
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    out: list[list] = [[] for _ in PROBE.fields]
-    for s, e in zip(cut, [*cut[1:], len(bucket)], strict=True):
-        used, local = np.unique(row[s:e], return_inverse=True)
-        for k, v in zip(out, (int(bucket[s]), _ids(ids[used]), int(e - s), _packed(keys[s:e], width), zstandard.compress(np.diff(local, prepend=0).astype(np.uint8).tobytes(), 1), np.packbits(flag[s:e]).tobytes()), strict=True):
-            k.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=PROBE.names)
-
-
-def _bucket(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, keys, flags) of a bucket, by key."""
-    ids, keys, flags = [], [], []
-    for r in t.to_pylist():
-        local = np.cumsum(np.frombuffer(zstandard.decompress(r["rows"]), np.uint8).astype(np.int64))
-        ids.append(_unids(r["ids"])[local])
-        keys.append(_unpacked(r["keys"], width))
-        flags.append(np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]).astype(bool))
-    i, k, f = map(np.concatenate, (ids, keys, flags))
-    order = np.argsort(k, kind="stable")
-    return i[order], k[order], f[order]
-
-
-def _answers(bucket: int, ids: np.ndarray, keys: np.ndarray, parts: int, width: int) -> pa.Table:
-    """The found (id, key) pairs, one record for each part of the documents."""
-    part = _part(ids, parts)
-    order = np.lexsort((ids, part))
-    part, ids, keys = part[order], ids[order], keys[order]
-    cut = np.flatnonzero(np.diff(part, prepend=-1))
-    spans = list(zip(cut, [*cut[1:], len(part)], strict=True))
-    return pa.table({
-        "part": pa.array([int(part[s]) for s, _ in spans], pa.int32()),
-        "bucket": pa.array([bucket] * len(spans), pa.int32()),
-        "ids": pa.array([_ids(ids[s:e]) for s, e in spans], pa.binary()),
-        "keys": pa.array([_packed(keys[s:e], width) for s, e in spans], pa.binary()),
-    })
-
-
-def _asked(t: pa.Table, bits: int, width: int) -> np.ndarray:
-    """Sorted hashes of the (id, key) pairs in answers."""
-    if not t.num_rows:
-        return np.zeros(0, U)
-    pairs = [_pair(_unids(r["ids"]), _unpacked(r["keys"], width), r["bucket"]) for r in t.to_pylist()]
-    return np.sort(np.concatenate(pairs))
-
-
-def _pair(ids: np.ndarray, keys: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
-    return mix(mix(ids.astype(np.int64).view(U)) ^ (keys * U(0x9E3779B97F4A7C15) + U(1) * np.asarray(bucket).astype(U)))
-
-
-def _among(h: np.ndarray, ids: np.ndarray, asked: np.ndarray, bits: int, width: int) -> np.ndarray:
-    p = _pair(ids, (h << U(bits)) >> U(64 - 8 * width), (h >> U(64 - bits)).astype(np.int64))
-    at = np.minimum(np.searchsorted(asked, p), len(asked) - 1)
-    return asked[at] == p
+def _among(k: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(asked):
+        return np.zeros(len(k), bool)
+    return asked[np.minimum(np.searchsorted(asked, k), len(asked) - 1)] == k
 
 
 def _texts(t: pa.Table) -> pa.Array:
@@ -118,16 +99,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with the same id never remove words of each other. A null id neither removes nor loses words.
     Columns of docs that are not named are not read, so their names don't matter.
 
-    1. Index and probe: every rolling block of 7 words goes to the bucket of its hash, those at
-       multiples of 7 (the index) flagged; a bucket answers which blocks meet an indexed one of another
-       document. Hashes are cut to the width that the corpus needs; a false answer costs work only.
-    2. Extend: a document takes all windows of 13 words around its answered blocks; buckets of their
-       64-bit fingerprints find the smallest id of each and answer the windows that go.
-    3. Each document is rewritten. Adjacent windows overlap, so what goes are maximal repeats.
+    Documents are dealt by their id's hash into parts of a few MB, and hashes into buckets; both are as
+    many as the corpus needs, so groups keep one size at every scale.
 
-    Blocks travel packed: a record for each chunk of the input and bucket, not one for each word.
-    Buckets and parts are as many as the corpus needs, so groups keep one size at every scale; a common
-    block adds one entry for each place to its bucket and no pair is ever made.
+    1. Index and probe: each part sends its distinct rolling blocks of 7 words to their buckets, marked
+       where one starts at a multiple of 7 (the index) and where several of the part's documents have
+       it. A bucket answers which blocks are indexed somewhere and in two documents at least. Hashes are
+       cut to the width that the corpus needs; a false answer costs work only.
+    2. Extend: a part takes all windows of 13 words around its answered blocks and sends each distinct
+       64-bit fingerprint with the smallest id of its own; a bucket answers which a smaller id also has.
+    3. Each part rewrites its documents. Adjacent windows overlap, so what goes are maximal repeats.
+
+    A block or window that very many documents share is one entry for each part, not for each document,
+    and no pair of documents is ever made.
     """
     stats = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()
     total = max(int(stats["b"] or 0), 1)
@@ -135,76 +119,108 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(6, math.ceil(math.log2(n_words / 2**19)))
     parts = max(1, math.ceil(total / (4 << 20)))
     width = min(8, max(2, math.ceil((math.log2(n_words / BLOCK) + 8 - bits) / 8)))
-    wide = min(8, math.ceil((2 * math.log2(n_words) + 10 - bits) / 8))
+    wide = min(8, math.ceil((2 * math.log2(n_words) + 20 - bits) / 8))
     kept = [f"k{i}" for i in range(len(carry))]
 
+    seven, thirteen = Split(bits, width), Split(bits, wide)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    nothing = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())])
+
+    def loaded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, hashes) of a part's documents that have an id."""
+        t = t.filter(t["id"].is_valid())
+        return t["id"].to_numpy(), *words(_texts(t))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.filter(batch["id"].is_valid()), "text"):
-                c = c.take(np.argsort(c["id"].to_numpy(zero_copy_only=False), kind="stable"))
-                first, hs = words(c["text"])
-                start, h = ngrams(first, hs, BLOCK)
-                row = rows_of(first, start)
-                long = np.diff(first)[row] >= WINDOW
-                start, h, row = start[long], h[long], row[long]
-                if len(h):
-                    yield _rows(c["id"].to_numpy(zero_copy_only=False), row, h, (start - first[row]) % BLOCK == 0, bits, width)
+    def probe(t: pa.Table) -> pa.Table:
+        ids, first, hs = loaded(t)
+        start, h = ngrams(first, hs, BLOCK)
+        row = rows_of(first, start)
+        long = np.diff(first)[row] >= WINDOW
+        start, row, k = start[long], row[long], seven.keys(h[long])
+        order = np.argsort(k, kind="stable")
+        k, who, index = k[order], ids[row][order], ((start - first[row]) % BLOCK == 0)[order]
+        out: list[list] = [[] for _ in range(6)]
+        if len(k):
+            at = _starts(k)
+            aligned, several, k = np.logical_or.reduceat(index, at), np.minimum.reduceat(who, at) != np.maximum.reduceat(who, at), k[at]
+            bucket, part = seven.bucket(k), t["part"][0].as_py()
+            for s, e in _spans(bucket):
+                for o, v in zip(out, (int(bucket[s]), part, e - s, seven.pack(k[s:e]), np.packbits(aligned[s:e]).tobytes(), np.packbits(several[s:e]).tobytes()), strict=True):
+                    o.append(v)
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(o, x) for o, x in zip(out, kinds, strict=True)], names=["bucket", "part", "n", "keys", "aligned", "several"])
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
-        ids, keys, flags = _bucket(t, width)
-        runs = np.flatnonzero(np.diff(keys, prepend=keys[:1] + U(1)))
-        sizes = np.diff(runs, append=len(keys))
-        good = np.repeat((np.minimum.reduceat(ids, runs) != np.maximum.reduceat(ids, runs)) & np.logical_or.reduceat(flags, runs), sizes)
-        return _answers(key[0].as_py(), ids[good], keys[good], parts, width)
+        rows, bucket = t.to_pylist(), key[0].as_py()
+        bit = lambda r, c: np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]).astype(bool)
+        k = np.concatenate([seven.unpack(bucket, r["keys"]) for r in rows])
+        part = np.repeat([r["part"] for r in rows], [r["n"] for r in rows])
+        aligned, several = (np.concatenate([bit(r, c) for r in rows]) for c in ("aligned", "several"))
+        order = np.argsort(k, kind="stable")
+        k, part, aligned, several = k[order], part[order], aligned[order], several[order]
+        at = _starts(k)
+        sizes = np.diff(at, append=len(k))
+        good = np.repeat(np.logical_or.reduceat(aligned, at) & (np.logical_or.reduceat(several, at) | (sizes > 1)), sizes)
+        return _answers(bucket, k[good], part[good], seven)
 
     def extend(found: pa.Table, own: pa.Table) -> pa.Table:
-        own = own.filter(own["id"].is_valid())
-        empty = pa.Table.from_batches([], schema=pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("n", pa.int32()), ("keys", pa.binary()), ("rows", pa.binary()), ("flags", pa.binary())]))
         if not found.num_rows or not own.num_rows:
-            return empty
-        own = own.take(np.argsort(own["id"].to_numpy(), kind="stable"))
-        ids, asked = own["id"].to_numpy(), _asked(found, bits, width)
-        first, hs = words(_texts(own))
+            return nothing.empty_table()
+        ids, first, hs = loaded(own)
         start, h = ngrams(first, hs, BLOCK)
         hit = np.zeros(len(hs) + WINDOW, np.int64)
-        hit[start[_among(h, ids[rows_of(first, start)], asked, bits, width)] + 1] = 1
+        hit[start[_among(seven.keys(h), _asked(found, seven))] + 1] = 1
         hits = np.cumsum(hit)
         start, h = ngrams(first, hs, WINDOW)
         near = hits[start + WINDOW - BLOCK + 1] > hits[start]
-        start, h = start[near], h[near]
-        if not len(h):
-            return empty
-        return pa.Table.from_batches([_rows(ids, rows_of(first, start), h, np.zeros(len(h), bool), bits, wide)])
+        start, k = start[near], thirteen.keys(h[near])
+        if not len(k):
+            return nothing.empty_table()
+        order = np.argsort(k, kind="stable")
+        k, who = k[order], ids[rows_of(first, start)][order]
+        at = _starts(k)
+        k, who, base = k[at], np.minimum.reduceat(who, at), int(ids.min())
+        size = max(1, (int(ids.max()) - base).bit_length() + 7 >> 3)
+        bucket, part = thirteen.bucket(k), own["part"][0].as_py()
+        rows = [{"bucket": int(bucket[s]), "part": part, "base": base, "keys": thirteen.pack(k[s:e]), "ids": _packed((who[s:e] - base).view(U), size)} for s, e in _spans(bucket)]
+        return pa.Table.from_pylist(rows, schema=nothing)
 
     def decide(key: tuple, t: pa.Table) -> pa.Table:
-        ids, keys, _ = _bucket(t, wide)
-        runs = np.flatnonzero(np.diff(keys, prepend=keys[:1] + U(1)))
-        late = ids > np.repeat(np.minimum.reduceat(ids, runs), np.diff(runs, append=len(keys)))
-        return _answers(key[0].as_py(), ids[late], keys[late], parts, wide)
+        rows, bucket = t.to_pylist(), key[0].as_py()
+        keys = [thirteen.unpack(bucket, r["keys"]) for r in rows]
+        who = np.concatenate([_unpacked(r["ids"], len(r["ids"]) // len(k)).view(np.int64) + r["base"] for r, k in zip(rows, keys, strict=True)])
+        part, k = np.repeat([r["part"] for r in rows], [len(x) for x in keys]), np.concatenate(keys)
+        order = np.argsort(k, kind="stable")
+        k, who, part = k[order], who[order], part[order]
+        at = _starts(k)
+        late = who > np.repeat(np.minimum.reduceat(who, at), np.diff(at, append=len(k)))
+        return _answers(bucket, k[late], part[late], thirteen)
 
     def rewrite(found: pa.Table, own: pa.Table) -> pa.Table:
-        texts = _texts(own)
+        texts, valid = _texts(own), own["id"].is_valid().to_numpy(zero_copy_only=False) if own.num_rows else np.zeros(0, bool)
         ids = own["id"].fill_null(0).to_numpy()
-        cover = None
-        if found.num_rows and own.num_rows:
-            first, hs = words(texts)
-            start, h = ngrams(first, hs, WINDOW)
-            row = rows_of(first, start)
-            gone = _among(h, ids[row], _asked(found, bits, wide), bits, wide) & own["id"].is_valid().to_numpy()[row]
-            edge = np.zeros(len(hs) + WINDOW + 1, np.int64)
+        first, hs = words(texts)
+        start, h = ngrams(first, hs, WINDOW)
+        row = rows_of(first, start)
+        start, row, k = start[valid[row]], row[valid[row]], thirteen.keys(h[valid[row]])
+        edge = np.zeros(len(hs) + WINDOW + 1, np.int64)
+        if len(k):
+            order = np.argsort(k, kind="stable")
+            at, who = _starts(k[order]), ids[row][order]
+            gone = np.zeros(len(k), bool)
+            gone[order] = who > np.repeat(np.minimum.reduceat(who, at), np.diff(at, append=len(k)))
+            gone |= _among(k, _asked(found, thirteen))
             np.add.at(edge, start[gone], 1)
             np.add.at(edge, start[gone] + WINDOW, -1)
-            cover = np.cumsum(edge) > 0
+        cover = np.cumsum(edge) > 0
         out: list[list] = [[], [], []]
         for i, text in enumerate(texts.to_pylist()):
             own_words = (text or b"").split()
             left = own_words
-            if cover is not None and (c := cover[first[i] : first[i + 1]]).any():
+            if (c := cover[first[i] : first[i + 1]]).any():
                 left = [w for w, g in zip(own_words, c.tolist(), strict=True) if not g]
-            for k, v in zip(out, (len(own_words), len(own_words) - len(left), b" ".join(left)), strict=True):
-                k.append(v)
+            for o, v in zip(out, (len(own_words), len(own_words) - len(left), b" ".join(left)), strict=True):
+                o.append(v)
         return pa.table({"id": own["id"], **{k: own[k] for k in kept}, "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept": pa.array(out[2], pa.binary()).cast(pa.string())})
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +228,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             packed = pa.array([z.compress(x) if x is not None else None for x in b["text"].cast(pa.binary()).to_pylist()], pa.binary())
             ids = b["id"].fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(_part(ids, parts), pa.int32()), b["id"], packed, *(b[k] for k in kept)], names=["part", "id", "z", *kept])
+            more = [k for k in kept if k in b.schema.names]
+            yield pa.RecordBatch.from_arrays([pa.array(_part(ids, parts), pa.int32()), b["id"], packed, *(b[k] for k in more)], names=["part", "id", "z", *more])
 
     place = T.StructType().add("part", "integer").add("id", "long").add("z", "binary")
     plain = narrow.mapInArrow(squeeze, place)
@@ -225,8 +242,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in zip(kept, carry, strict=True))).mapInArrow(squeeze, schema)
     result = result.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
-    found = narrow.mapInArrow(probe, PROBE).groupBy("bucket").applyInArrow(meet, FOUND)
-    near = found.groupBy("part").cogroup(plain.groupBy("part")).applyInArrow(extend, PROBE)
+    found = plain.groupBy("part").applyInArrow(probe, PROBE).groupBy("bucket").applyInArrow(meet, FOUND)
+    near = found.groupBy("part").cogroup(plain.groupBy("part")).applyInArrow(extend, NEAR)
     gone = near.groupBy("bucket").applyInArrow(decide, FOUND)
     done = gone.groupBy("part").cogroup(full.groupBy("part")).applyInArrow(rewrite, result)
     return done.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for k, c in zip(kept, carry, strict=True)), "n_words", "n_removed", "kept")
