@@ -91,8 +91,9 @@ def _texts(t: pa.Table) -> pa.Array:
     return pa.array([z.decompress(b) if b is not None else None for b in t["z"].to_pylist()], pa.large_binary())
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of docs: id, the columns named in carry, n_words, n_removed, kept.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), cleaned: bool = False) -> DataFrame:
+    """One row for each row of docs: id, the columns named in carry, n_words, n_removed, kept; with cleaned
+    also cleaned, the text as it was where nothing goes, else kept.
 
     A word goes if it lies in a window of 13 words whose word sequence also starts in a document with a
     smaller id. kept holds the other words joined by one space; it is '' for a null or blank text.
@@ -123,7 +124,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = [f"k{i}" for i in range(len(carry))]
 
     seven, thirteen = Split(bits, width), Split(bits, wide)
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in zip(kept, carry, strict=True)))
     nothing = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())])
 
     def loaded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,32 +222,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = [w for w, g in zip(own_words, c.tolist(), strict=True) if not g]
             for o, v in zip(out, (len(own_words), len(own_words) - len(left), b" ".join(left)), strict=True):
                 o.append(v)
-        return pa.table({"id": own["id"], **{k: own[k] for k in kept}, "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept": pa.array(out[2], pa.binary()).cast(pa.string())})
+        last = {"cleaned": pa.array([None if t is None else k if n else t for t, k, n in zip(texts.to_pylist(), out[2], out[1], strict=True)], pa.binary()).cast(pa.string())} if cleaned else {}
+        return pa.table({"id": own["id"], **{k: own[k] for k in kept}, "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept": pa.array(out[2], pa.binary()).cast(pa.string()), **last})
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             packed = pa.array([z.compress(x) if x is not None else None for x in b["text"].cast(pa.binary()).to_pylist()], pa.binary())
             ids = b["id"].fill_null(0).to_numpy(zero_copy_only=False)
-            more = [k for k in kept if k in b.schema.names]
-            yield pa.RecordBatch.from_arrays([pa.array(_part(ids, parts), pa.int32()), b["id"], packed, *(b[k] for k in more)], names=["part", "id", "z", *more])
+            yield pa.RecordBatch.from_arrays([pa.array(_part(ids, parts), pa.int32()), b["id"], packed, *(b[k] for k in kept)], names=["part", "id", "z", *kept])
 
     place = T.StructType().add("part", "integer").add("id", "long").add("z", "binary")
-    plain = narrow.mapInArrow(squeeze, place)
-    full, result = plain, T.StructType().add("id", "long")
-    if carry:
-        schema = T.StructType(list(place.fields))
-        for k, c in zip(kept, carry, strict=True):
-            schema = schema.add(k, docs.schema[c].dataType)
-            result = result.add(k, docs.schema[c].dataType)
-        full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in zip(kept, carry, strict=True))).mapInArrow(squeeze, schema)
+    result = T.StructType().add("id", "long")
+    for k, c in zip(kept, carry, strict=True):
+        place, result = place.add(k, docs.schema[c].dataType), result.add(k, docs.schema[c].dataType)
     result = result.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    result = result.add("cleaned", "string") if cleaned else result
+    dealt = narrow.mapInArrow(squeeze, place)  # the three groupings below share its one shuffle
 
-    found = plain.groupBy("part").applyInArrow(probe, PROBE).groupBy("bucket").applyInArrow(meet, FOUND)
-    near = found.groupBy("part").cogroup(plain.groupBy("part")).applyInArrow(extend, NEAR)
+    found = dealt.groupBy("part").applyInArrow(probe, PROBE).groupBy("bucket").applyInArrow(meet, FOUND)
+    near = found.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(extend, NEAR)
     gone = near.groupBy("bucket").applyInArrow(decide, FOUND)
-    done = gone.groupBy("part").cogroup(full.groupBy("part")).applyInArrow(rewrite, result)
-    return done.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for k, c in zip(kept, carry, strict=True)), "n_words", "n_removed", "kept")
+    done = gone.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(rewrite, result)
+    return done.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for k, c in zip(kept, carry, strict=True)), "n_words", "n_removed", "kept", *(["cleaned"] if cleaned else []))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
