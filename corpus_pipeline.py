@@ -27,10 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those of which nothing is left go."""
-    done = op5.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    done = op5.remove_repeats(docs, carry=("lang", "source", "n_chars"), cleaned=True)
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return done.where("n_removed = 0 or kept <> ''").select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    return done.where("n_removed = 0 or kept <> ''").select("doc_id", F.col("cleaned").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
