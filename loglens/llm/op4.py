@@ -164,9 +164,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = new if links is None else links.unionByName(new)
         comps = components(links)
 
-    if lists.isEmpty():
-        return signed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")).withColumn("kept", F.lit(True))
-
     def tops(own: DataFrame, by: F.Column, k: int) -> DataFrame:
         """The first k members of each list; a first cut within a salt keeps long lists out of one task."""
         cut = own.select("tok", "rep", by.alias("by")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)))
@@ -177,21 +174,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             best = inner.withColumn("r", F.row_number().over(Window.partitionBy("tok").orderBy("by", "rep"))).where(F.col("r") <= k).select("tok", "rep")
         return best
 
-    own = posted()
-    add(paired(tops(own, F.col("weight"), 1).join(own, ["tok", "rep"]), own))
-    for k in (LEADERS, 0):
+    if not lists.isEmpty():  # else there are no links, but copies
         own = posted()
-        sizes = own.groupBy("tok", "comp").agg(F.count("*").alias("m"))
-        live = sizes.groupBy("tok").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1").select("tok", F.col("top.comp").alias("top"))
-        own = own.join(live, "tok").withColumn("big", F.col("comp") == F.col("top")).drop("top")
-        small = own.where(~F.col("big"))
-        if k:
-            add(paired(small, tops(own, F.xxhash64("rep"), k).join(own, ["tok", "rep"])))
-        else:
-            add(paired(small, own, "y_big or x_rep < y_rep"))
+        add(paired(tops(own, F.col("weight"), 1).join(own, ["tok", "rep"]), own))
+        for k in (LEADERS, 0):
+            own = posted()
+            sizes = own.groupBy("tok", "comp").agg(F.count("*").alias("m"))
+            live = sizes.groupBy("tok").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1").select("tok", F.col("top.comp").alias("top"))
+            own = own.join(live, "tok").withColumn("big", F.col("comp") == F.col("top")).drop("top")
+            small = own.where(~F.col("big"))
+            if k:
+                add(paired(small, tops(own, F.xxhash64("rep"), k).join(own, ["tok", "rep"])))
+            else:
+                add(paired(small, own, "y_big or x_rep < y_rep"))
 
     named = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    named = named.join(comps, F.col("rep") == F.col("v"), "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("component_id"))
+    if comps is not None:
+        named = named.join(comps, F.col("rep") == F.col("v"), "left").withColumn("rep", F.coalesce("c", "rep"))
+    named = named.select("h1", "h2", "n", F.col("rep").alias("component_id"))
     named = table(named, "named")  # read from a table, the join below can split a class with very many copies
     out = signed.drop("sig", "map").join(named, ["h1", "h2", "n"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

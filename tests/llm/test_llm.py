@@ -224,6 +224,16 @@ def test_a_large_group_of_near_copies(spark):
     assert {x[0]: tuple(x)[1:] for x in op4.near_duplicates(df).collect()} == near_by_hand(texts)
 
 
+def test_exact_copies_only(spark):
+    """No two different texts share a shingle here, so there is nothing to search but copies to link."""
+    base = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(3)]
+    texts = {i: t for i, t in enumerate(["", base[0], base[1], "Short text", base[0].upper(), None, base[0].replace(" ", "  \t"), "short TEXT", base[2], base[0]])}
+    want = near_by_hand(texts)
+    assert {i for i, x in want.items() if not x[2]} == {4, 6, 7, 9}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x[0]: tuple(x)[1:] for x in op4.near_duplicates(df).collect()} == want
+
+
 # 5. repeats
 
 
