@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import let
@@ -63,12 +64,13 @@ def volume_score(state: DataFrame, as_of: datetime, seconds: int = DAY, history:
     return out.select("entity", "latest", "buckets", "median", "mad", F.when(F.col("mad") == 0, 0.0).otherwise(F.round(0.6745 * (F.col("latest") - F.col("median")) / F.col("mad"), 4)).alias("zscore"))
 
 
-def network_state(df: DataFrame, src: str, dst: str, port: str, time: str, size: str, duration: str, most: int = 2000) -> DataFrame:
-    """Partials of each connection pair and day, with at most so many times and sizes."""
-    at = F.unix_seconds(time)
-    return df.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(port).alias("port"), F.to_date(time).alias("day")).agg(
-        F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(at)), 1, most).alias("ts"), F.slice(F.sort_array(F.collect_list(F.struct(at, F.col(size).cast("double").alias("v")))), 1, most)["v"].alias("sizes"), F.sum(duration).alias("duration")
-    )
+def network_state(df: DataFrame, src: str, dst: str, port: str, time: str, size: str, duration: str) -> DataFrame:
+    """Partials of each connection pair and day, one row for each second and size: every row counts, none is cut.
+
+    Rows, not arrays, so that a hot pair is no single group.
+    """
+    own = df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(port).alias("port"), F.to_date(time).alias("day"), F.unix_seconds(time).alias("at"), F.col(size).cast("double").alias("size"), F.col(duration).alias("duration"))
+    return own.groupBy("src", "dst", "port", "day", "at", "size").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
 
 
 def network_context(state: DataFrame) -> DataFrame:
@@ -88,17 +90,22 @@ def _quantile(sorted_values: Column, q: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
+def _evenness(q: Column, deviation: Column) -> Column:
+    """The score of quartiles a, b, c and the median of absolute deviations from b."""
+    spread = q["c"] - q["a"]
+    weight = F.when(q["b"] >= 1, _unit(spread / q["b"] / 0.1)).otherwise(1.0)
+    even = F.when(spread == 0, 1.0).otherwise(_unit(1 - F.abs((q["c"] + q["a"] - 2 * q["b"]) / spread) * weight))
+    tight = F.when(q["b"] >= 1, _unit((q["b"] - deviation) / q["b"])).otherwise(0.0)
+    return (even + tight) / 2
+
+
 def _dispersion(values: Column) -> Column:
     """How tightly and evenly values lie together, 0 to 1: quartile skewness, damped for a narrow spread,
     and the absolute deviation relative to the median, averaged; 0 for fewer than three."""
 
     def scored(v: Column, q: Column) -> Column:
-        spread = q["c"] - q["a"]
-        weight = F.when(q["b"] >= 1, _unit(spread / q["b"] / 0.1)).otherwise(1.0)
-        even = F.when(spread == 0, 1.0).otherwise(_unit(1 - F.abs((q["c"] + q["a"] - 2 * q["b"]) / spread) * weight))
         off = F.sort_array(F.transform(v, lambda x: F.abs(x - q["b"])))
-        tight = F.when(q["b"] >= 1, _unit((q["b"] - let(off, lambda d: _quantile(d, 0.5))) / q["b"])).otherwise(0.0)
-        return (even + tight) / 2
+        return let(off, lambda d: _evenness(q, _quantile(d, 0.5)))
 
     quartiles = lambda v: F.struct(_quantile(v, 0.25).alias("a"), _quantile(v, 0.5).alias("b"), _quantile(v, 0.75).alias("c"))
     return let(F.sort_array(values), lambda v: F.when(F.size(v) < 3, 0.0).otherwise(let(quartiles(v), lambda q: scored(v, q))))
@@ -113,13 +120,18 @@ def beacon_score(pairs: DataFrame, window: int, weights: tuple[float, float, flo
     gaps = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ts") - 1, F.lit(1))), lambda i: (F.try_element_at("ts", i + 1) - F.try_element_at("ts", i)).cast("double")), lambda g: g > 0)
     hours = F.transform("ts", lambda t: F.floor(F.pmod(t, F.lit(DAY)) / HOUR))
     bins = let(hours, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.size(F.filter(hs, lambda x: x == h)).cast("double")))
+    return _combined(pairs, _dispersion(gaps), _dispersion(F.col("sizes")), bins, F.size("ts"), window, weights, least)
+
+
+def _combined(pairs: DataFrame, ts: Column, ds: Column, bins: Column, points: Column, window: int, weights: tuple[float, float, float, float], least: int) -> DataFrame:
+    """The scores from those of gaps and sizes, 24 hour counts and the number of times."""
     span = _unit((F.col("last_ts") - F.col("first_ts")) / F.lit(float(window)))
-    mean = F.size("ts") / 24.0
+    mean = points / 24.0
     cv = lambda h: F.sqrt(F.aggregate(h, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean)) / 24.0) / mean
-    even = lambda c: F.when((F.size("ts") == 0) | (c > 1), 0.0).otherwise(_unit(1 - c))
+    even = lambda c: F.when((points == 0) | (c > 1), 0.0).otherwise(_unit(1 - c))
     of_hours = let(bins, lambda h: F.struct(F.greatest(span, F.size(F.filter(h, lambda c: c > 0)) / 24.0).alias("dur"), let(cv(h), even).alias("hist")))
-    out = pairs.withColumn("_s", F.struct(_dispersion(gaps).alias("ts"), _dispersion(F.col("sizes")).alias("ds"), of_hours.alias("h")))
-    enough = (F.size("ts") >= 4) & (F.col("n") >= least)
+    out = pairs.withColumn("_s", F.struct(ts.alias("ts"), ds.alias("ds"), of_hours.alias("h")))
+    enough = (points >= 4) & (F.col("n") >= least)
     parts = {"ts_score": "_s.ts", "ds_score": "_s.ds", "dur_score": "_s.h.dur", "hist_score": "_s.h.hist"}
     total = sum((F.col(c) * w for c, w in zip(parts.values(), weights, strict=True)), F.lit(0.0))
     out = out.withColumn("beacon", F.when(enough, F.round(_unit(total), 3)).otherwise(0.0))
@@ -143,14 +155,57 @@ def severity_tier(score: Column) -> Column:
     return F.when(score > 0.8, "critical").when(score > 0.6, "high").when(score > 0.4, "medium").when(score > 0.2, "low").otherwise("none")
 
 
-def score_pairs(state: DataFrame, window: int, most: int = 2000) -> DataFrame:
-    """The network job: partials summed to pairs, scored, adjusted by prevalence. No cap on pairs.
+PAIR = ("src", "dst", "port")
+
+
+def _of_pairs(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join on the pair, where nulls are equal, as they are in groups."""
+    own = other.withColumnsRenamed({k: f"_{k}" for k in PAIR})
+    return df.join(own, all_of([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in PAIR]), how).drop(*(f"_{k}" for k in PAIR))
+
+
+def _weighted_dispersion(values: DataFrame) -> DataFrame:
+    """_dispersion() of values (src, dst, port, kind, v, n), n copies of v, as ts and ds of each pair.
+
+    Quartiles are found at their ranks in running counts; windows spill, so no pair has to fit in memory.
+    """
+    part = Window.partitionBy(*PAIR, "kind")
+    upto = lambda c: part.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+
+    def quantile(q: float, v: str, below: str, over: Callable[[Column], Column]) -> Column:
+        at = (F.col("all") - 1) * F.lit(q)
+        low, high = (over(F.min(F.when(F.col(below) > r, F.col(v)))) for r in (F.floor(at), F.ceil(at)))
+        return low + (high - low) * (over(F.first(at)) - over(F.first(F.floor(at))))
+
+    whole = lambda c: c.over(part)
+    own = values.withColumns({"all": F.sum("n").over(part), "upto": F.sum("n").over(upto("v"))})
+    own = own.withColumns({k: quantile(q, "v", "upto", whole) for k, q in (("a", 0.25), ("b", 0.5), ("c", 0.75))})
+    own = own.withColumn("off", F.abs(F.col("v") - F.col("b"))).withColumn("near", F.sum("n").over(upto("off")))
+    out = own.groupBy(*PAIR, "kind").agg(F.first("all").alias("all"), F.first(F.struct("a", "b", "c")).alias("q"), quantile(0.5, "off", "near", lambda c: c).alias("mad"))
+    score = F.when(F.col("all") < 3, 0.0).otherwise(_evenness(F.col("q"), F.col("mad")))
+    return out.groupBy(*PAIR).agg(*(F.max(F.when(F.col("kind") == k, score)).alias(k) for k in ("ts", "ds")))
+
+
+def score_pairs(state: DataFrame, window: int) -> DataFrame:
+    """The network job: partials summed to pairs, scored, adjusted by prevalence. No cap on pairs, times or sizes.
 
-    Pairs with a connection a second or more in the window are strobes and left out.
+    Pairs with a connection a second or more in the window are strobes and left out. Gaps are taken within
+    days and over the seams between them, so that a pair's days are dealt over the cluster.
     """
-    pairs = state.groupBy("src", "dst", "port").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("ts"))), 1, most).alias("ts"), F.slice(F.flatten(F.collect_list("sizes")), 1, most).alias("sizes"), F.sum("duration").alias("duration")).where(F.col("n") < window)
-    pairs = pairs.withColumns({"first_ts": F.array_min("ts"), "last_ts": F.array_max("ts")})
-    scored = beacon_score(pairs, window).withColumn("long_conn", long_conn_score(F.col("duration"))).join(network_context(state), "dst")
+    hour = F.floor(F.pmod(F.col("at"), F.lit(DAY)) / HOUR)
+    hours = [F.coalesce(F.sum(F.when(hour == h, F.col("n"))), F.lit(0)).cast("double") for h in range(24)]
+    pairs = state.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("duration").alias("duration"), F.min("at").alias("first_ts"), F.max("at").alias("last_ts"), F.array(*hours).alias("hours")).where(F.col("n") < window)
+    own = _of_pairs(state, pairs.select(*PAIR), "left_semi")
+    seconds = own.where("at is not null").select(*PAIR, "day", "at").distinct()
+    inner = seconds.select(*PAIR, (F.col("at") - F.lag("at").over(Window.partitionBy(*PAIR, "day").orderBy("at"))).alias("v"))
+    days = seconds.groupBy(*PAIR, "day").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    seams = days.select(*PAIR, (F.col("first") - F.lag("last").over(Window.partitionBy(*PAIR).orderBy("first"))).alias("v"))
+    gaps = inner.unionByName(seams).where("v is not null").groupBy(*PAIR, F.lit("ts").alias("kind"), F.col("v").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    sizes = own.where("size is not null").groupBy(*PAIR, F.lit("ds").alias("kind"), F.col("size").alias("v")).agg(F.sum("n").alias("n"))
+    own = _of_pairs(pairs, _weighted_dispersion(gaps.unionByName(sizes)), "left")
+    points = F.aggregate("hours", F.lit(0.0), lambda a, c: a + c)
+    scored = _combined(own, F.coalesce("ts", F.lit(0.0)), F.coalesce("ds", F.lit(0.0)), F.col("hours"), points, window, (0.25, 0.25, 0.25, 0.25), 4)
+    scored = scored.withColumn("long_conn", long_conn_score(F.col("duration"))).join(network_context(state), "dst")
     share = F.col("sources") / F.col("all_sources")
     out = scored.withColumn("score", prevalence_modifier(F.greatest("beacon", "long_conn"), share)).withColumn("severity", severity_tier(F.col("score")))
     return out.select("src", "dst", "port", "n", "beacon", "ts_score", "ds_score", "dur_score", "hist_score", "long_conn", F.round(share, 4).alias("prevalence"), "score", "severity")

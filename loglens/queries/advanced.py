@@ -196,7 +196,7 @@ def volume(spark, d):
 @query("m6_network_state", "SELECT CAST(l_suppkey AS VARCHAR) AS src, CAST(l_partkey % 50 AS VARCHAR) AS dst, CAST(l_shipdate AS DATE) AS day, count(*) AS n, round(sum(l_quantity * 60), 2) AS duration FROM lineitem GROUP BY 1, 2, 3")
 def network(spark, d):
     s = models.network_state(connections(spark, d), "src", "dst", "port", "ts", "size", "duration")
-    return s.select("src", "dst", "day", "n", F.round("duration", 2).alias("duration"))
+    return s.groupBy("src", "dst", "port", "day").agg(F.sum("n").alias("n"), F.round(F.sum("duration"), 2).alias("duration")).select("src", "dst", "day", "n", "duration")
 
 
 @query("m7_network_context", "SELECT CAST(l_partkey % 50 AS VARCHAR) AS dst, count(DISTINCT l_suppkey) AS sources, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS all_sources FROM lineitem GROUP BY 1")

@@ -1,5 +1,6 @@
 """Hand-made cases for what SQL can't check or the tables don't hold."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -112,6 +113,21 @@ def test_beacons(spark):
     assert score([0, 1, 2])["beacon"] == 0.0
 
 
+def test_pairs_are_scored_on_their_whole_history(spark):
+    """Regular for 2500 connections, then not: the scores are those of all rows, null ports included."""
+    r, start = random.Random(1), 1_704_067_200
+    hot = [start + 300 * i for i in range(2500)]
+    hot += [hot[-1] + 7 * (i + 1) ** 2 % 500_000 + i * 40 for i in range(1200)]
+    rows = [("a", "b", p, t, r.choice([100.0, 100.0, 250.0, 900.0 + r.randint(0, 99)]), 1.0) for p, ts in (("443", hot), (None, hot[:700:3]), ("1", hot[:2]), ("2", [start] * 5)) for t in ts]
+    df = spark.createDataFrame(rows, "src string, dst string, port string, t long, size double, d double").repartition(5)
+    state = models.network_state(df.withColumn("ts", F.timestamp_seconds("t")), "src", "dst", "port", "ts", "size", "d")
+    keys = ["src", "dst", "port"]
+    lists = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("t")).alias("ts"), F.collect_list("size").alias("sizes"), F.min("t").alias("first_ts"), F.max("t").alias("last_ts"))
+    names = ("n", "beacon", "ts_score", "ds_score", "dur_score", "hist_score")
+    want = {x["port"]: tuple(x[c] for c in names) for x in models.beacon_score(lists, 90 * 86_400).collect()}
+    assert {x["port"]: tuple(x[c] for c in names) for x in models.score_pairs(state, 90 * 86_400).collect()} == want
+
+
 @pytest.mark.parametrize(("seconds", "want"), [(3599, 0.0), (3600, 0.0), (14_400, 0.25), (28_800, 0.5), (43_200, 0.75), (86_400, 1.0), (10**6, 1.0)])
 def test_long_connections(spark, seconds, want):
     assert spark.range(1).select(models.long_conn_score(F.lit(float(seconds)))).first()[0] == want
