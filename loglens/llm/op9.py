@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.9
+#: Words of a block that spans line ends, as a multiple of the template's words.
+SPAN = 1.25
 
 # Phrases and their labels.
 PHRASES = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
@@ -39,6 +41,21 @@ def folded(text: str | None) -> bytes:
     return (text or "").encode().translate(FOLD)
 
 
+def span_share(at: list[int], found: list[bytes], size: int) -> int:
+    """The most distinct words among those found, at ascending positions, in any run of so many words."""
+    held: Counter[bytes] = Counter()
+    most = first = 0
+    for p, w in zip(at, found, strict=True):
+        held[w] += 1
+        while p - at[first] >= size:
+            held[found[first]] -= 1
+            if not held[found[first]]:
+                del held[found[first]]
+            first += 1
+        most = max(most, len(held))
+    return most
+
+
 def frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """How many documents hold each template word: one row a batch and word, summed up by Spark."""
 
@@ -56,18 +73,21 @@ def frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) ->
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row for each row of docs.
 
-    Base: places where a phrase's words stand next to each other. Method: each line is a block, and a
-    template labels it if the line holds the given share of the template's distinct words. score is 1
+    Base: places where a phrase's words stand next to each other. Method: each line is a block, and so
+    is, for each template, every run of SPAN times as many words as its wording has, over the ends of
+    lines; a template labels a block that holds the given share of its distinct words. score is 1
     with a base phrase, else the largest share that any template reached, 0 without a candidate.
 
     The words of the templates, a fixed small set, are ordered by their frequency over all documents,
     rarest first. With n words of which k must occur, a block that matches holds one of the first
     n - k + 1 (prefix), has k words at least (length), and is given up as soon as the words that are left
-    can't make up k (position); so nothing that reaches the threshold is missed.
+    can't make up k (position); so nothing that reaches the threshold is missed. Runs of words are
+    looked through only for a template of which the whole text holds k words, and count from k on.
     Null and blank texts have no words and no labels; null ids stay null; repeated rows are scanned
     alike. Only the id and the text are read.
     """
     templates = [(label, frozenset(folded(t).split())) for label, t in TEMPLATES]
+    spans = [math.ceil(SPAN * len(folded(t).split()) - 1e-9) for _, t in TEMPLATES]
     often = frequencies(docs, text_col, frozenset().union(*(t for _, t in templates)))
     ordered = [(label, sorted(t, key=lambda w: (often.get(w, 0), w)), math.ceil(containment * len(t) - 1e-9)) for label, t in templates]
     heads = frozenset(w for _, t, k in ordered for w in t[: len(t) - k + 1])
@@ -92,6 +112,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contai
                 best = max(best, have / len(t))
                 if have >= k:
                     labels.add(label)
+        words = text.split()
+        every = frozenset(words)
+        for i in {i for w in heads & every for i in by_head[w]}:
+            label, t, k = ordered[i]
+            own = every.intersection(t)
+            if len(own) < k:
+                continue
+            at = [p for p, w in enumerate(words) if w in own]
+            have = span_share(at, [words[p] for p in at], spans[i])
+            if have >= k:
+                best = max(best, have / len(t))
+                labels.add(label)
         return labels, best
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -410,6 +410,34 @@ def test_license_join_is_exact(spark):
         assert got[i] == want - found_base
 
 
+WRAPPED = {
+    "bsd": "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public\n# License as published by",
+    "mpl": "// This Source Code Form is subject to the terms of the Mozilla Public\r\n// License, v. 2.0. If a copy",
+    "apache": "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses",
+}
+
+
+def test_wrapped_licenses(spark):
+    near = [f"int x;\n{t}\nint y;" for t in WRAPPED.values()]
+    far = [t.replace("\n", "\n" + "other " * 40 + "\n") for t in WRAPPED.values()]
+    got = {r["doc_id"]: r for r in op9.scan(spark.createDataFrame(list(enumerate(near + far)), "doc_id long, text string")).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= op9.CONTAINMENT
+        assert got[i + len(near)]["labels"] == ""
+
+
+def test_runs_of_words():
+    r = random.Random(4)
+    for _ in range(200):
+        words = [r.choice([b"a", b"b", b"c", b"d", b"-", b"-"]) for _ in range(r.randint(0, 30))]
+        at = [i for i, w in enumerate(words) if w != b"-"]
+        size = r.randint(1, 9)
+        want = max((len(set(words[i : i + size]) - {b"-"}) for i in range(len(words))), default=0)
+        assert op9.span_share(at, [words[i] for i in at], size) == want
+
+
 # 10. vectors
 
 
