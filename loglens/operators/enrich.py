@@ -11,10 +11,10 @@ from ..functions.predicates import ipv4
 BROADCAST_ROWS = 10_000
 
 
-def correlate(df: DataFrame, sub: DataFrame, keys: list[str], how: str = "inner", include: list[str] | None = None, most: int | None = BROADCAST_ROWS) -> DataFrame:
+def correlate(df: DataFrame, sub: DataFrame, keys: list[str], how: str = "inner", include: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Inner or left join with a result on keys; its columns get the prefix _join_.
 
-    With a limit, rows of the result are taken by key, so that reruns agree, and the side is bounded.
+    All rows of the result are joined. With a limit, rows of the result are taken by key, so that reruns agree, and the side is bounded.
     """
     own = sub.select(*keys, *((F.col(c).alias(f"_join_{c}") for c in include or [c for c in sub.columns if c not in keys])))
     if most is not None:

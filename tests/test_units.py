@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions import predicates as p
 from loglens.functions import transforms as t
-from loglens.operators import graph, models, rules, sequence
+from loglens.operators import enrich, graph, models, rules, sequence
 from loglens.sources import normalize as nz
 from loglens.sources import readers
 from loglens.streaming import jobs
@@ -96,6 +96,14 @@ def test_chain_within(spark):
     assert sequence_of(spark, "AxB", within=10) == 0 and sequence_of(spark, "AxB", within=20) == 1
 
 
+def test_correlate_joins_all_keys_unless_limited(spark):
+    df = spark.range(10_050).withColumnRenamed("id", "k")
+    sub = df.withColumn("c", F.col("k") * 2)
+    assert enrich.correlate(df, sub, ["k"]).count() == 10_050
+    assert enrich.correlate(df, sub, ["k"], how="left").where("_join_c is null").count() == 0
+    assert sorted(one(enrich.correlate(df, sub, ["k"], most=3), "k", "_join_c")) == [(0, 0), (1, 2), (2, 4)]
+
+
 def pair(times, sizes=None):
     return (("a", "b", "443", len(times), times, sizes or [1024.0] * len(times), times[0], times[-1]),)
 
