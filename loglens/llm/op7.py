@@ -40,13 +40,42 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return out
 
 
-def target_urls(html: Column) -> Column:
-    """Absolute URLs that a page names as its canonical form or refreshes to."""
+def _without_dots(path: Column) -> Column:
+    """The path, which starts with '/', without the segments . and .. ."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    keep = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), keep), folder), "/"))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The target as a page with the base as its URL means it (RFC 3986, 5.2), or null where that is no URL with '://'.
+
+    Targets with a scheme of their own stay as they are.
+    """
+    scheme, root = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path, query = path_of(base), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    full = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+    return (
+        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
+        .when(own != "", F.concat(root, _without_dots(full), rest))
+        .when(F.startswith(rest, F.lit("?")), F.concat(root, path, rest))
+        .otherwise(F.concat(root, path, query, rest))
+    )
+
+
+def target_urls(html: Column, base: Column) -> Column:
+    """URLs that a page at the base names as its canonical form or refreshes to, made absolute."""
     links = F.filter(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: t.rlike(r"(?is)\srel\s*=\s*[\"']?canonical"))
     refresh = F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0))
     hrefs = F.transform(links, lambda t: F.regexp_extract(t, r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    urls = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    return F.filter(F.array_distinct(F.concat(hrefs, urls)), lambda u: u.contains("://"))
+    urls = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+(?:(?<=&amp);[^\"'\s>;]*)*)", 1))
+    named = F.transform(F.concat(hrefs, urls), lambda u: resolved(base, F.replace(u, F.lit("&amp;"), F.lit("&"))))
+    return F.filter(F.array_distinct(named), lambda u: u.isNotNull())
 
 
 def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -54,7 +83,8 @@ def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest wins and
     settles a page. Other pages follow their aliases: canonical links and refreshes in the pages, and
-    optional redirects (source_url, target_url), are edges between URLs; in the component of a page's
+    optional redirects (source_url, target_url), are edges between URLs, relative ones taken from the page's
+    own URL (a <base> isn't read) and '&amp;' decoded; in the component of a page's
     URL one allowed URL allows it, else one blocked URL blocks it, else it is allowed.
     A null URL or one without '://' has empty host and path, no rule and no edges; null pages have no
     edges; repeated rows are judged alike; other columns are not read.
@@ -62,7 +92,7 @@ def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Only URLs with edges enter the components, which are label tables that never leave the executors;
     a component's verdict is two partial maxima, so its size doesn't matter.
     """
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"), target_urls(F.col(html_col)).alias("to"))
+    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"), target_urls(F.col(html_col), F.col(url_col)).alias("to"))
     edges = own.where(F.contains("u", F.lit("://"))).select(F.col("u").alias("a"), F.explode("to").alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("source_url").alias("a"), F.col("target_url").alias("b")).dropna())

@@ -330,6 +330,29 @@ def test_redirects(spark):
     assert op7.filter_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.net/fr/x/y?q=1#f", "https://b.org", "http://c.org/", "http://d.org/k?u=http://e.org/z"]
+    targets = ["/en/x", "//host.org/p", "//host.org", "next.html", "./n", "../n", "../../../n/", "a/./b/../c", "..", ".", "x/..", "?p=2", "next?u=http://h/p", "http://h.org/a/../b", "/p#f"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    # urljoin() takes dots out of absolute targets, too
+    for r in df.withColumn("got", op7.resolved(F.col("b"), F.col("t"))).collect():
+        assert r["got"] == (r["t"] if r["t"].startswith("http:") else urljoin(r["b"], r["t"])), r
+    none_ = spark.createDataFrame([("http://a.b/c", t) for t in ("", "mailto:x@y", "javascript:void(0)", None)], "b string, t string")
+    assert [r["g"] for r in none_.select(op7.resolved(F.col("b"), F.col("t")).alias("g")).collect()] == [None] * 4
+
+
+def test_relative_redirects(spark):
+    link, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="{}">'
+    rows = [
+        (1, "http://a.net/fr/1", ""), (2, "http://a.net/x/2", link.format("/fr/1")), (3, "http://b.org/x", link.format("//a.net/fr/1")), (4, "http://b.org/k/4", fresh.format("0; url=../x")),
+        (5, "http://c.org/p?a=1&b=2", link.format("http://a.net/fr/1")), (6, "http://c.org/q/6", fresh.format("0;URL=/p?a=1&amp;b=2")), (7, "http://d.org/7", link.format("mailto:a@a.net")), (8, "http://d.org/fr/8", link.format("fr/1")), (9, None, link.format("/fr/1")), (10, "nothing", link.format("/fr/1")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in op7.filter_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" if i <= 6 else "allow" for i in range(1, 11)}
+
+
 def test_pages_equal_sql_with_links(spark, tmp_path):
     r = random.Random(3)
     urls = [f"http://{h}/{p}/{i}" for i in range(40) for h, p in [(r.choice(["a.com", "b.net", "c.org", "m.example.com"]), r.choice(["en", "es", "fr"]))]]
