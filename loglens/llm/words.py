@@ -6,6 +6,8 @@ A word is a run of bytes other than space and 0x09-0x0D. Its hash is a polynomia
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,35 @@ SPAN = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
+def tidy(f):
+    """A function of Arrow batches that gives its memory back when its partition ends: Python workers are reused, and
+    what one stage has left free in its allocators would count beside the next stage's."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if trimmer := _libc():
+        trimmer(0)
+
+
+@functools.cache
+def _libc():
+    """glibc's malloc_trim, or None elsewhere."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread each 64-bit value over all its bits."""
     h = h ^ (h >> U(33))
@@ -38,11 +69,16 @@ def odd(n: int, seed: int) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        for k, x in (("up", BASE), ("down", INVERSE)):
+    """Powers of BASE and INVERSE from 0 on. Only SPAN of each are kept, so a very long word leaves nothing behind."""
+    if not _powers or n > SPAN:
+        found = []
+        for x in (BASE, INVERSE):
             p = np.full(n, x, U)
             p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=U)
+            found.append(np.cumprod(p, dtype=U))
+        if n > SPAN:
+            return found[0], found[1]
+        _powers["up"], _powers["down"] = found
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -65,11 +101,10 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(first, hashes): row i has the words hashes[first[i]:first[i + 1]]."""
-    data, off = raw(texts)
+def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, starts, ends): row i has the words whose bytes are data[starts[j]:ends[j]], first[i] <= j < first[i + 1]."""
     if not len(data):
-        return np.zeros(len(off), np.int64), np.zeros(0, U)
+        return np.zeros(len(off), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.ones(len(data) + 1, bool)
     edge[1:-1] = BLANK[data[:-1]]
     edge[off] = True
@@ -78,7 +113,11 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
     edge[:-1] = BLANK[data]
     edge[off] = True
     ends = np.flatnonzero(solid & edge[1:]) + 1
-    first = np.searchsorted(starts, off)
+    return np.searchsorted(starts, off), starts, ends
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The hash of each of the words between these ascending places."""
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
@@ -91,7 +130,14 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U)
         at = to
-    return first, mix(out)
+    return mix(out)
+
+
+def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first, hashes): row i has the words hashes[first[i]:first[i + 1]]."""
+    data, off = raw(texts)
+    first, starts, ends = spans(data, off)
+    return first, hashed(data, starts, ends, lower)
 
 
 def ngrams(first: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
