@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,18 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import table
+from .words import U, chunks, hashed, raw, spans, tidy
 
-LENGTH, END = 2048, bytes(4)
+LENGTH, END = 2048, 0
 #: Pieces packed together by one task at a time. Each such shard leaves about one sequence unfilled.
 SHARD = 4096
-#: Words in one of the two generations that a worker remembers; those of the older one that come again move on.
-REMEMBERED = 150_000
-#: Characters at which str.split() cuts but the vocabulary doesn't.
-UNCUT = re.compile("[\x1c-\x1f]")
-BLANKS = re.compile("[ \t-\r]+")
-#: Letters that lower-case and stay themselves one by one, and marks that may follow them.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MARKS = ".,;:!?#$%&*"
+#: Words that a worker remembers at most, those used last.
+REMEMBERED = 600_000
+#: Bytes of text encoded at once.
+CHUNK = 2 << 20
+#: Letters that stay themselves one by one.
+LETTERS = re.compile("[a-zà-öø-ÿ]+")
+#: Marks that may follow a word, and what they must follow to be told apart.
+MARKED, SOLID = np.zeros(256, bool), np.zeros(256, bool)
+MARKED[list(b".,;:!?#$%&*")] = True
+SOLID[list(string.ascii_letters.encode() + string.digits.encode())] = True
 
 
 def vocabulary() -> str:
@@ -35,12 +39,15 @@ def vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of whole texts from remembered ids of their words.
+    """Ids of whole texts from remembered ids of their words, gathered without a Python object for each word.
 
-    The vocabulary drops white space and never merges across it; within a word it first splits letters
-    from other characters, lower-cases, and marks the token that ends each run of letters. So a word of
-    letters and some marks has its letters' ids and the marks', whatever stands beside it, and many runs
-    of letters can be encoded as one text and told apart by the marked tokens.
+    The vocabulary drops white space and never merges across it; within a word it lower-cases, splits
+    letters and digits from other characters, and marks the token that ends each part. So a word and the
+    marks after it have the same ids apart, and many runs of letters can be encoded as one text and told
+    apart by the marked tokens.
+
+    Words are told apart by 64-bit hashes of their bytes, A-Z in lower case. What is remembered are sorted hashes and, for
+    each, a slice of one array of ids.
     """
 
     def __init__(self, path: str):
@@ -50,62 +57,84 @@ class Encoder:
         self.model.no_padding(), self.model.no_truncation()
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
-        self.ids: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_ids: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-
-    def _encode(self, runs: list[str]) -> None:
-        """Runs of letters, joined; each gives tokens up to a marked one."""
-        groups = [runs[at : at + 200] for at in range(0, len(runs), 200)]
+        self.keys, self.size, self.used, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.turn = 0
+
+    def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters, encoded together; each has the tokens up to a marked one."""
+        groups, out = [runs[at : at + 200] for at in range(0, len(runs), 200)], {}
         for some, found in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             data = ids.tobytes()
-            for run, s, e in zip(some, cut[:-1], cut[1:], strict=True):
-                self.parts[run] = data[s:e]
-
-    @staticmethod
-    def _unknown(want: set[str], now: dict[str, bytes], before: dict[str, bytes]) -> list[str]:
-        """What neither generation has; what the older one has moves to the newer."""
-        new = [w for w in want if w not in now]
-        now.update((w, before[w]) for w in new if w in before)
-        return [w for w in new if w not in before]
-
-    def learn(self, every: set[str]) -> None:
-        """Make sure that the newer generation has these words."""
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.old_ids = {}, self.ids
-        if len(self.parts) > REMEMBERED:
-            self.parts, self.old_parts = {}, self.parts
-        new = self._unknown(every, self.ids, self.old_ids)
-        cut, runs, whole = {}, set(), set()
-        for w in new:
-            core = w.rstrip(MARKS)
-            if LETTERS.fullmatch(core):
-                run = core.lower()
-                cut[w] = (run, w[len(core) :])
-                runs.add(run)
-                whole.add(w[len(core) :])
-            else:
-                cut[w] = (w, "")
-                whole.add(w)
-        parts = self.parts
-        self._encode(self._unknown(runs, parts, self.old_parts))
-        rest = self._unknown(whole - {""}, parts, self.old_parts)
-        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            parts[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (a, b) in cut.items():
-            self.ids[w] = parts[a] + parts[b] if b else parts[a]
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit numbers, with END after them."""
-        for at in range(0, len(texts), 256):
-            split = [[w for w in BLANKS.split(t) if w] if UNCUT.search(t) else t.split() for t in (x or "" for x in texts[at : at + 256])]
-            self.learn(set().union(*split))
-            own = self.ids
-            for s in split:
-                yield b"".join(map(own.__getitem__, s)) + END
+            out.update((run, data[s:e]) for run, s, e in zip(some, cut[:-1], cut[1:], strict=True))
+        return out
+
+    def _new(self, every: list[str]) -> list[bytes]:
+        """The ids of words."""
+        runs = [w for w in every if LETTERS.fullmatch(w)]
+        found = self._runs(runs)
+        rest = [w for w in every if w not in found]
+        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [found[w] for w in every]
+
+    def _learn(self, keys: np.ndarray, found: list[bytes]) -> None:
+        """Add words that aren't known; if there are too many, those used longest ago go."""
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        keys, size, used = np.concatenate([self.keys, keys]), np.concatenate([self.size, size]), np.concatenate([self.used, np.full(len(keys), self.turn)])
+        begin = np.cumsum(size) - size
+        if len(keys) > REMEMBERED:
+            last = np.sort(used)[-REMEMBERED // 2]
+            keep = np.flatnonzero((used >= last) | (used == self.turn))
+            keys, size, used, begin = keys[keep], size[keep], used[keep], begin[keep]
+        order = np.argsort(keys)
+        self.keys, self.size, self.used = keys[order], size[order], used[order]
+        self.ids = ids[_slices(begin[order], self.size)]
+        self.begin = np.cumsum(self.size) - self.size
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(cut, ids): row i has ids[cut[i]:cut[i + 1]], of which the last is END."""
+        self.turn += 1
+        data, off = raw(texts)
+        first, starts, ends = _marks_apart(data, *spans(data, off))
+        hashes = hashed(data, starts, ends, lower=True)
+        if len(special := np.flatnonzero(data == 60)):  # special tokens are told from other words by their case
+            some = np.unique(np.searchsorted(starts, special, "right") - 1)
+            hashes[some] = hashed(data, starts[some], ends[some]) + U(1)
+        keys, where, at = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.used[place[known]] = self.turn
+        if not known.all():
+            s, e, blob = starts[where[~known]].tolist(), ends[where[~known]].tolist(), data.tobytes()
+            low = blob.lower()
+            self._learn(keys[~known], self._new([(w if b"<" not in (w := low[x:y]) else blob[x:y]).decode() for x, y in zip(s, e, strict=True)]))
+            place = np.searchsorted(self.keys, keys)
+        size, begin = (self.size[place][at], self.begin[place][at]) if len(keys) else (np.zeros(0, np.int64),) * 2
+        ids = self.ids[_slices(begin, size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[first[1:]]  # where each row's END goes
+        return np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]), np.insert(ids, ends, np.uint32(END))
+
+
+def _marks_apart(data: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """spans() with the marks that follow a letter or digit at a word's end as words of their own."""
+    if not len(starts):
+        return first, starts, ends
+    other = np.where(MARKED[data], 0, np.arange(1, len(data) + 1))
+    core = np.maximum.accumulate(other)[ends - 1]  # where the last other character before the word's end stops
+    cut = (core < ends) & (core > starts) & SOLID[data[core - 1]]
+    n = 1 + cut
+    place = np.cumsum(n) - n
+    new = np.repeat(np.arange(len(starts)), n)
+    s, e = starts[new], ends[new]
+    e[place[cut]], s[place[cut] + 1] = core[cut], core[cut]
+    return np.concatenate([[0], np.cumsum(n)])[first], s, e
+
+
+def _slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all slices of an array that begin there and have these sizes."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 @lru_cache(1)
@@ -117,16 +146,21 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids, cut only where they exceed the length."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
-            rows: list[tuple] = []
-            for i, ids in zip(batch["id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
-                for k, s in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[s : s + 4 * length]
-                    rows.append((i, k, s // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
+        for whole in batches:
+            for batch in chunks(whole, "text", CHUNK):
+                at, ids = encode(batch["text"])
+                count = np.diff(at)
+                many = -(-count // length)
+                row = np.repeat(np.arange(len(count)), many)
+                piece = np.arange(len(row)) - (np.cumsum(many) - many)[row]
+                start = piece * length
+                size = np.minimum(length, count[row] - start)
+                data, begin = memoryview(ids.astype("<u4", copy=False).tobytes()), ((at[:-1][row] + start) * 4).tolist()
+                crc = [zlib.crc32(data[s : s + n]) for s, n in zip(begin, (size * 4).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
 
@@ -183,7 +217,8 @@ def pack(cut: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """cut with sequence_id and offset added.
 
     Pieces are dealt by hash into shards of about the given size, whatever their documents, sources or
-    sizes, and each shard is packed alone. Repeated rows are packed like any others.
+    sizes, and each shard is packed alone. The hash covers a row's number, which is the same whenever the
+    files of the given table are read, so repeated rows and null ids are dealt like any others.
     """
     total = cut.count()
     shards = max(1, math.ceil(total / shard))
@@ -195,7 +230,7 @@ def pack(cut: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
         base = t["shard"][0].as_py() << 32
         return pa.table({**{k: t[k] for k in names}, "sequence_id": pa.array(bins + base), "offset": pa.array(offsets)})
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("long"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     schema = cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
     return dealt.groupBy("shard").applyInArrow(packed, schema)
 
