@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import components, table
 
 COSINE = 0.9
-#: Dimensions of a block, and how many of them deal vectors into cells.
-BLOCK, GRID = 8, 2
-#: Vectors of one cell that are held in memory together.
-CHUNK = 8192
+#: Dimensions of a block.
+BLOCK = 16
+#: Vectors of one cell that are held in memory together, and those from which the cells of each length are cut.
+CHUNK, SAMPLE = 8192, 16_384
 #: Probing vectors compared at once.
 STEP = 2048
 
 
+@lru_cache(8)
 def rotation(n: int) -> np.ndarray:
     """A fixed random rotation, so that every block gets its share of any vector's length."""
     q, r = np.linalg.qr(np.random.default_rng(20).standard_normal((n, n)))
@@ -27,7 +31,11 @@ def rotation(n: int) -> np.ndarray:
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v, n): usable vectors as bytes of doubles. Null, zero, empty or non-finite ones are left out."""
+    """(id, v, n): usable vectors as bytes. Null, zero, empty or non-finite ones are left out.
+
+    Columns of floats stay floats; all others become doubles.
+    """
+    kind = numpy_kind(df, vec_col)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +43,7 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             for i, v in zip(batch["id"].to_pylist(), batch["v"], strict=True):
                 if i is None or not v.is_valid or v.values.null_count or not len(v.values):
                     continue
-                a = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                a = v.values.to_numpy(zero_copy_only=False).astype(kind)
                 if np.isfinite(a).all() and a.any():
                     out.append((i, a.tobytes(), len(a)))
             columns = zip(*out, strict=True) if out else [[]] * 3
@@ -44,53 +52,110 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(pick, "id long, v binary, n int")
 
 
-def unit(raw: list[bytes], n: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), np.float64).reshape(-1, n)
+def numpy_kind(df: DataFrame, vec_col: str) -> type:
+    return np.float32 if isinstance(getattr(df.schema[vec_col].dataType, "elementType", None), T.FloatType) else np.float64
+
+
+def unit(raw: list[bytes], n: int, kind: type) -> np.ndarray:
+    """Unit vectors in double precision."""
+    v = np.frombuffer(b"".join(raw), kind).reshape(-1, n).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+class Cells:
+    """A block's space cut into cells by medians of a sample, each time along the dimension that spreads most.
+
+    Cells are numbered from left to right; every point lies in one. Only how the work is cut depends on the sample.
+    """
+
+    def __init__(self, points: np.ndarray, depth: int):
+        d = points.shape[1]
+        self.depth, self.along, self.at = depth, np.zeros(1 << depth, np.int64), np.full(1 << depth, np.inf)
+        self.low, self.high = np.full((2 << depth, d), -np.inf), np.full((2 << depth, d), np.inf)
+        own = {1: points}
+        for node in range(1, 1 << depth):
+            p = own.pop(node)
+            k = int(np.argmax(p.std(axis=0))) if len(p) else 0
+            cut = float(np.median(p[:, k])) if len(p) else 0.0
+            self.along[node], self.at[node] = k, cut
+            for side in (0, 1):
+                child = 2 * node + side
+                self.low[child], self.high[child] = self.low[node], self.high[node]
+                (self.low if side else self.high)[child, k] = cut
+                own[child] = p[(p[:, k] >= cut) == bool(side)]
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        node = np.ones(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (x[np.arange(len(x)), self.along[node]] >= self.at[node])
+        return node - (1 << self.depth)
+
+    def near(self, x: np.ndarray, squared: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cells): the cells above its own that each point's ball reaches."""
+        row, node = np.arange(len(x)), np.ones(len(x), np.int64)
+        for _ in range(self.depth):
+            row, node = np.repeat(row, 2), np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+            out = np.maximum(np.maximum(self.low[node] - x[row], x[row] - self.high[node]), 0.0)
+            keep = (out * out).sum(axis=1) <= squared
+            row, node = row[keep], node[keep]
+        cell = node - (1 << self.depth)
+        above = cell > self.home(x)[row]
+        return row[above], cell[above]
+
+
+def cells_of(classes: DataFrame, kind: type) -> dict[tuple[int, int], Cells]:
+    """Cells of each length with more than CHUNK vectors, and of each of its blocks, from SAMPLE vectors with the smallest hashes."""
+    out = {}
+    for r in classes.groupBy("n").count().where(F.col("count") > CHUNK).collect():  # a row for each length
+        n = r["n"]
+        raw = [bytes(x["v"]) for x in classes.where(F.col("n") == n).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
+        x = unit(raw, n, kind) @ rotation(n)
+        depth = min(math.ceil(math.log2(r["count"] / CHUNK)), int(math.log2(max(len(raw) / 16, 1))))
+        out.update({(n, b): Cells(x[:, b * BLOCK : (b + 1) * BLOCK], depth) for b in range(-(-n // BLOCK))})
+    return out
+
+
+def links(classes: DataFrame, cosine: float = COSINE, kind: type = np.float64) -> DataFrame:
     """(id, links, root): for each vector and group, the weight it is linked to and the smallest id joined.
 
     Two unit vectors at the cosine or closer have a squared distance of 2 - 2 * cosine at most, so in one
-    of the blocks of their rotated forms it is at most that divided by the number of blocks. For each
-    block, the plane of its first dimensions is cut into cells as wide as the block's radius: partners
-    lie in the same or neighbouring cells. A group is up to CHUNK vectors of a cell; the later chunks and
-    half of the neighbours stream by, block distances are compared, and what is within the budget is
-    checked on whole vectors. A pair counts in the first block that has it within the budget, so each
-    is counted once and none has to be written: a group returns sums and a spanning forest.
+    of the blocks of their rotated forms it is at most that divided by the number of blocks. Each block's
+    space is cut into cells over all its dimensions; a vector is at home in one and probes those cells
+    above it that the ball with the block's radius reaches, so partners meet in the cell of one of them. A
+    group is up to CHUNK vectors of a cell; the later chunks and the probes stream by, block distances are
+    compared, and what is within the budget is checked on whole vectors. A pair counts in the first block
+    that has it within the budget, so each is counted once and none has to be written: a group returns
+    sums and a spanning forest.
     """
     budget_of = lambda blocks: (2 - 2 * cosine) / blocks
+    cells = cells_of(classes, kind)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch["n"].to_numpy()
             for n in np.unique(sizes).tolist():
                 own = batch.filter(pa.array(sizes == n))
-                x = unit(own["v"].to_pylist(), n) @ rotation(n)
+                x = unit(own["v"].to_pylist(), n, kind) @ rotation(n)
                 blocks = -(-n // BLOCK)
-                width = budget_of(blocks) ** 0.5
                 for b in range(blocks):
-                    cells = np.floor(x[:, b * BLOCK : b * BLOCK + GRID] / width).astype(np.int64)
-                    if cells.shape[1] < 2:
-                        cells = np.pad(cells, ((0, 0), (0, 2 - cells.shape[1])))
-                    yield pa.RecordBatch.from_arrays([*(own[c] for c in ("id", "w", "v", "n")), pa.array(np.full(len(own), b, np.int32)), pa.array(cells[:, 0]), pa.array(cells[:, 1])], names=["id", "w", "v", "n", "block", "cx", "cy"])
-
-    placed = classes.select("id", "w", "v", "n").mapInArrow(place, "id long, w long, v binary, n int, block int, cx long, cy long")
-    cell = ["n", "block", "cx", "cy"]
-    # one row for each cell: (2 / width)^2 a block at most, whatever the number of vectors
-    counts = table(placed.groupBy(*cell).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "cells")
-    chunk = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
-    home = placed.join(F.broadcast(counts), cell).withColumn("chunk", chunk("chunks"))
-    same = home.where("chunk > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)))
-    steps = F.array(*(F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in ((1, -1), (1, 0), (1, 1), (0, 1))))
-    near = placed.withColumn("s", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("s.x")).withColumn("cy", F.col("cy") + F.col("s.y")).drop("s")
-    near = near.join(F.broadcast(counts), cell).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    columns = ["id", "w", "v", *cell, "chunk"]
-    rows = home.select(*columns, F.lit(0).alias("probe")).unionByName(same.unionByName(near).select(*columns, F.lit(1).alias("probe")))
+                    home, row, reach = np.zeros(len(own), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    if c := cells.get((n, b)):
+                        part = x[:, b * BLOCK : (b + 1) * BLOCK]
+                        home, (row, reach) = c.home(part), c.near(part, budget_of(blocks) + 1e-7)
+                    every = pa.array(np.concatenate([np.arange(len(own)), row]))
+                    probe = np.repeat([0, 1], [len(own), len(row)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(own[c].take(every) for c in ("id", "w", "v", "n")), pa.array(np.full(len(every), b, np.int32)), pa.array(np.concatenate([home, reach])), pa.array(probe)], names=["id", "w", "v", "n", "block", "cell", "probe"])
+
+    placed = classes.select("id", "w", "v", "n").mapInArrow(place, "id long, w long, v binary, n int, block int, cell long, probe int")
+    cell = ["n", "block", "cell"]
+    counts = table(placed.where("probe = 0").groupBy(*cell).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "cells")
+    own = placed.join(counts, cell).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    # at home in its chunk, a probe in the chunks before it; from other cells, a probe in all of them
+    chunk = F.when(F.col("probe") == 0, F.sequence(F.lit(0), F.col("own"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = own.withColumn("chunk", F.explode(chunk)).withColumn("probe", F.when((F.col("probe") == 0) & (F.col("chunk") == F.col("own")), 0).otherwise(1))
     group = [*cell, "chunk"]
-    rows = rows.repartition(*group).sortWithinPartitions(*group, "probe")
+    rows = rows.select("id", "w", "v", *group, "probe").repartition(*group).sortWithinPartitions(*group, "probe")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
@@ -104,7 +169,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 if now != key:
                     if state:
                         yield state.result()
-                    key, state = now, _Group(now[0], now[1], budget_of(-(-now[0] // BLOCK)), cosine)
+                    key, state = now, _Group(now[0], now[1], budget_of(-(-now[0] // BLOCK)), cosine, kind)
                 state.add(part, bool(keys[-1, s]))
         if state:
             yield state.result()
@@ -115,16 +180,18 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
 class _Group:
     """One chunk of a cell and what it has been linked to."""
 
-    def __init__(self, n: int, block: int, budget: float, cosine: float):
-        self.n, self.block, self.budget, self.cosine = n, block, budget, cosine
+    def __init__(self, n: int, block: int, budget: float, cosine: float, kind: type):
+        self.n, self.block, self.budget, self.cosine, self.kind = n, block, budget, cosine, kind
         self.turn, self.sums, self.edges = rotation(n), {}, []
         self.raw: list = []
         self.home = None
 
     def _load(self, ids: list, weights: list, raw: list):
-        u = unit(raw, self.n)
-        own = np.ascontiguousarray(u @ self.turn[:, self.block * BLOCK : (self.block + 1) * BLOCK], np.float32)
-        return np.array(ids), np.array(weights), u, own
+        """ids, weights, unit vectors, and two forms of the block whose product is half the squared distance, negated."""
+        u = unit(raw, self.n, self.kind)
+        own = u @ self.turn[:, self.block * BLOCK : (self.block + 1) * BLOCK]
+        half, one = (own**2).sum(axis=1, keepdims=True) / 2, np.ones((len(own), 1))
+        return np.array(ids), np.array(weights), u, np.hstack([own, -half, -one]).astype(np.float32), np.hstack([own, one, half]).astype(np.float32)
 
     def add(self, part: pa.RecordBatch, probe: bool) -> None:
         rows = [part[c].to_pylist() for c in ("id", "w", "v")]
@@ -144,9 +211,7 @@ class _Group:
 
     def _compare(self, other: tuple, above: int) -> None:
         """above: 0 for probes, else one more than the place where other begins in home, of which each pair counts once."""
-        ids, weights, u, own = self.home
-        far = (own**2).sum(1)[None, :] + (other[3] ** 2).sum(1)[:, None] - 2 * other[3] @ own.T
-        i, j = np.nonzero(far <= self.budget + 1e-5)
+        i, j = np.nonzero(other[3] @ self.home[4].T >= -(self.budget / 2 + 1e-5))
         if above:
             later = j > i + above - 1
             i, j = i[later], j[later]
@@ -154,7 +219,7 @@ class _Group:
             self._verify(other, i[at : at + (1 << 16)], j[at : at + (1 << 16)])
 
     def _verify(self, other: tuple, i: np.ndarray, j: np.ndarray) -> None:
-        ids, weights, u, _ = self.home
+        ids, weights, u = self.home[:3]
         good = (other[2][i] * u[j]).sum(1) >= self.cosine
         i, j = i[good], j[good]
         if not len(i):
@@ -208,7 +273,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     good = table(vectors(df, id_col, vec_col).distinct(), "vectors")
     classes = good.groupBy("v", "n").agg(F.min("id").alias("id"), F.count("*").alias("w"))
     classes = table(classes, "classes")
-    found = table(links(classes, cosine), "found")
+    found = table(links(classes, cosine, numpy_kind(df, vec_col)), "found")
     comps = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = classes.join(sums, "id", "left").join(comps.withColumnRenamed("v", "vertex"), F.col("id") == F.col("vertex"), "left")

@@ -10,10 +10,10 @@ from .scratch import table
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size, and a document is taken so often at most.
 MOST = 3
-#: Expected copies are counted in these units, so prefix sums are exact.
-UNIT = 1 << 20
-#: Documents of one source and about one size are ordered within so many salts.
-SALTS = 256
+#: Documents that one salt of one source and size class has at most, about, if all are of that source and class.
+SALTED = 200_000
+#: Size classes: so many to each factor of e.
+CLASSES = 32
 
 
 def n_words(text: Column) -> Column:
@@ -45,32 +45,36 @@ def sample(docs: DataFrame, size: str | Column, source: str, key: str, weights:
     Within a source every document expects target / source_size copies. Running over the source's
     documents by rising size, the expected copies are summed up, one offset from the seed is added, and
     a document gets a copy for each whole number that the sum passes. As the order is by size, what is
-    taken strays from the target by about one document at most.
+    taken strays from the target by about one document at most. Sums are exact: a document adds target,
+    in whole words, to a decimal, and source_size of those are a copy.
 
     The sum is built in three levels, so no window holds more than one salt of one size class: counts
-    of (source, size class, salt) are a small table, and documents are dealt by that key. Null sources
-    are one source; null keys, repeated rows and equal sizes get their place by salt; sources without
-    words get no copies; an empty table gives an empty one.
+    of (source, size class, salt) are a small table, and documents are dealt by that key. There are as many
+    salts as the rows need. Null sources are one source; null keys and equal keys or sizes get their place
+    by a hash of the whole row, so they are split, too; sources without words get no copies; an empty table
+    gives an empty one.
     """
     size = F.col(size) if isinstance(size, str) else size
+    salts = max(16, -(-docs.count() // SALTED))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    keyed = docs.select(row.alias("_row"), size.alias("_size"), F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(SALTS)).alias("_salt"))
-    keyed = keyed.withColumn("_class", F.floor(F.log(F.col("_size") + 1.0) * 32))
+    content = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.select(row.alias("_row"), size.alias("_size"), F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), F.pmod(F.xxhash64(F.lit(seed), *content), F.lit(salts)).alias("_salt"))
+    keyed = keyed.withColumn("_class", F.floor(F.log(F.col("_size") + 1.0) * CLASSES))
     cells = table(keyed.groupBy("_null", "_s", "_class", "_salt").agg(F.count("*").alias("n"), F.sum("_size").alias("w")), "cells")
     want = targets(cells.select(F.when(~F.col("_null"), F.col("_s")).alias("source"), F.col("w").alias("size")), weights)
     want = want.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_s"), "source_size", "target")
-    want = want.withColumn("_rate", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5), F.lit(MOST * UNIT))).otherwise(0).cast("long"))
+    want = want.withColumn("_words", F.least(F.floor(F.col("target") + 0.5), MOST * F.col("source_size")).cast("decimal(18,0)"))
 
     within = Window.partitionBy("_null", "_s", "_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("_null", "_s").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     classes = cells.groupBy("_null", "_s", "_class").agg(F.sum("n").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(across), F.lit(0))).drop("n")
     cells = cells.withColumn("_in", F.coalesce(F.sum("n").over(within), F.lit(0))).join(classes, ["_null", "_s", "_class"]).join(want, ["_null", "_s"])
-    cells = cells.select("_null", "_s", "_class", "_salt", "source_size", "target", "_rate", (F.col("_base") + F.col("_in")).alias("_before"))
+    cells = cells.select("_null", "_s", "_class", "_salt", "source_size", "target", "_words", (F.col("_base") + F.col("_in")).alias("_before"))
 
     cell = ["_null", "_s", "_class", "_salt"]
     place = F.row_number().over(Window.partitionBy(*cell).orderBy("_size", "_key"))
-    offset = F.pmod(F.xxhash64(F.lit(seed)), F.lit(UNIT))
-    passed = lambda i: F.expr(f"(({i}) * _rate + _offset) div {UNIT}")
+    offset = F.when(F.col("source_size") > 0, F.pmod(F.xxhash64(F.lit(seed)), F.col("source_size")))
+    passed = lambda i: F.expr(f"coalesce((cast({i} as decimal(18,0)) * _words + _offset) div nullif(cast(source_size as decimal(18,0)), 0), 0)")
     out = keyed.withColumn("_i", place).join(cells, cell).withColumn("_i", F.col("_i") + F.col("_before")).withColumn("_offset", offset)
     own = [f"_row.`{c}`" for c in docs.columns if c not in ("source_size", "target", "copies")]
     return out.select(*own, "source_size", "target", (passed("_i") - passed("_i - 1")).alias("copies"))

@@ -11,10 +11,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .words import chunks
+from .words import chunks, tidy
 
-#: Documents a language is learned from at most, bytes taken of each, and bytes of a dictionary.
-SAMPLE, PIECE, DICTIONARY = 400, 600, 110_000
+#: Documents a language is learned from at most, characters taken of each, and bytes of a dictionary at most: about
+#: what such a sample comes to.
+SAMPLE, PIECE, DICTIONARY = 180, 600, 110_000
 #: Texts are encoded in blocks of so many bytes, so that a long text leans on the dictionary throughout.
 BLOCK, LEVEL = 2048, 3
 #: A prediction is rejected where the second best encoding is not this share larger than the best.
@@ -39,8 +40,8 @@ def coder(dictionary: bytes) -> zstandard.ZstdCompressor:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows with a text and a language.
 
-    It is fitted on at most sample documents of each language, those with the smallest hash of id and
-    text: rows are first thinned at a rate from the language's count, so few reach the last step. Only
+    It is fitted on the first PIECE characters of at most sample documents of each language, those with the
+    smallest hash of id and text, joined and cut to DICTIONARY bytes: rows are first thinned at a rate from the language's count, so few reach the last step. Only
     these bounded dictionaries come to the driver. Languages come by falling number of rows.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("lang is not null and text is not null and text <> ''")
@@ -68,6 +69,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     names = list(dictionaries)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
 
+    @tidy
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [coder(d) for d in dictionaries.values()]
         for whole in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import components, table
-from .words import U, chunks, mix, ngrams, odd, rows_of, tidy, words
+from .words import U, chunks, mix, ngrams, odd, tidy, words
 
 SHINGLE = 5
 #: Signature coordinates, and how many of them must agree. A pair at similarity 0.75 agrees in

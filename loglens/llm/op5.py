@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import U, mix, ngrams, rows_of, words
+from .words import U, mix, ngrams, rows_of, tidy, trim, words
 
 WINDOW = 13
 #: Any window of 13 words holds one whole block of 7 that starts at a multiple of 7.
@@ -100,7 +101,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with the same id never remove words of each other. A null id neither removes nor loses words.
     Columns of docs that are not named are not read, so their names don't matter.
 
-    Documents are dealt by their id's hash into parts of a few MB, and hashes into buckets; both are as
+    Documents are dealt by a hash of id and text into parts of a few MB, so rows of one id or of none are split, and hashes into buckets; both are as
     many as the corpus needs, so groups keep one size at every scale.
 
     1. Index and probe: each part sends its distinct rolling blocks of 7 words to their buckets, marked
@@ -133,6 +134,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return t["id"].to_numpy(), *words(_texts(t))
 
     def probe(t: pa.Table) -> pa.Table:
+        trim()
         ids, first, hs = loaded(t)
         start, h = ngrams(first, hs, BLOCK)
         row = rows_of(first, start)
@@ -165,6 +167,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _answers(bucket, k[good], part[good], seven)
 
     def extend(found: pa.Table, own: pa.Table) -> pa.Table:
+        trim()
         if not found.num_rows or not own.num_rows:
             return nothing.empty_table()
         ids, first, hs = loaded(own)
@@ -198,6 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _answers(bucket, k[late], part[late], thirteen)
 
     def rewrite(found: pa.Table, own: pa.Table) -> pa.Table:
+        trim()
         texts, valid = _texts(own), own["id"].is_valid().to_numpy(zero_copy_only=False) if own.num_rows else np.zeros(0, bool)
         ids = own["id"].fill_null(0).to_numpy()
         first, hs = words(texts)
@@ -225,12 +229,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         last = {"cleaned": pa.array([None if t is None else k if n else t for t, k, n in zip(texts.to_pylist(), out[2], out[1], strict=True)], pa.binary()).cast(pa.string())} if cleaned else {}
         return pa.table({"id": own["id"], **{k: own[k] for k in kept}, "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept": pa.array(out[2], pa.binary()).cast(pa.string()), **last})
 
+    @tidy
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             packed = pa.array([z.compress(x) if x is not None else None for x in b["text"].cast(pa.binary()).to_pylist()], pa.binary())
             ids = b["id"].fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(_part(ids, parts), pa.int32()), b["id"], packed, *(b[k] for k in kept)], names=["part", "id", "z", *kept])
+            sums = np.array([zlib.crc32(x) if x is not None else 0 for x in packed.to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_part(ids + (sums << 31), parts), pa.int32()), b["id"], packed, *(b[k] for k in kept)], names=["part", "id", "z", *kept])
 
     place = T.StructType().add("part", "integer").add("id", "long").add("z", "binary")
     result = T.StructType().add("id", "long")

@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 
-def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+
+#: Bounds of an Arrow batch while a table is written: texts are long, and a batch is held by the executor and by its Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """The session with BATCHES set, and afterwards as it was."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/loglens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as Parquet to the shared folder, in bounded batches, and read it again: cuts lineage and survives lost executors."""
+    with bounded(df.sparkSession):
+        return written(df, name)
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -32,17 +40,14 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     Minimum labels along edges, then one pointer jump, until nothing changes: long paths halve each
     round. Labels are partially aggregated before each shuffle and hot vertices are dealt by skew joins.
     """
-    both = table(
-        edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-        .unionByName(edges.select(F.col(dst).alias("u"), F.col(src).alias("v")))
-        .where("u <> v")
-        .distinct(),
-        "edges",
-    )
-    labels = both.groupBy("v").agg(F.least("v", F.min("u")).alias("c"))
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    turned = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # each vertex is its own neighbour, so that one aggregation sees its label, too
+    both = table(turned.unionByName(turned.select("u", F.col("u").alias("v"))).distinct(), "edges")
+    labels = both.groupBy("v").agg(F.min("u").alias("c"))
     while True:
-        near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("n"))
-        step = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
+        near = both.join(labels.select(F.col("v").alias("u"), F.col("c")), "u")
+        step = near.groupBy("v").agg(F.max(F.when(F.col("u") == F.col("v"), F.col("c"))).alias("old"), F.min("c").alias("c"))
         jump = step.select(F.col("v").alias("c"), F.col("c").alias("root"))
         labels = table(step.join(jump, "c").select("v", "old", F.least("c", "root").alias("c")), "labels")
         done = labels.where("c <> old").isEmpty()

@@ -3,11 +3,14 @@ empty tables and extra columns with clashing names."""
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import rows_of_query, rows_of_sql
 from pyspark.sql import functions as F
@@ -143,6 +146,44 @@ def test_mix(spark, docs, clashing):
     assert op2.mixed(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_are_a_systematic_sample(spark, seed):
+    """The sample in the stated order, by hand: rising size class, salt, size and key; one offset; exact fractions."""
+    r = random.Random(seed)
+    rows = [(r.choice([None, i, 7]), r.choice(["a", "a", "a", "b", "c", None]), r.choice([0, 1, 3, 10, r.randint(1, 5000)])) for i in range(500)]
+    rows += [(i, "rare", 1_000_000) for i in range(40)] + [(1, "empty", 0)]
+    df = spark.createDataFrame(rows, "k long, s string, n long").withColumn("tag", F.monotonically_increasing_id()).repartition(3)
+    got = [(x["tag"], x["copies"], x["target"], x["source_size"]) for x in op2.sample(df, "n", "s", "k", seed=seed).collect()]
+    salt = {x["tag"]: (x["salt"], x["h"]) for x in df.select("tag", F.pmod(F.xxhash64(F.lit(seed), "k", "s", "n", "tag"), F.lit(16)).alias("salt"), F.xxhash64(F.lit(seed)).alias("h")).collect()}
+    own = {x["tag"]: x for x in df.collect()}
+    by = collections.defaultdict(list)
+    for t, copies, target, size in got:
+        x = own[t]
+        by[x["s"]].append(((math.floor(math.log(x["n"] + 1.0) * 32), salt[t][0], x["n"], (x["k"] is not None, x["k"] or 0)), copies, target, size, salt[t][1]))
+    for s, every in by.items():
+        every.sort(key=lambda x: x[0])
+        size = sum(own[t]["n"] for t in own if own[t]["s"] == s)
+        assert {x[3] for x in every} == {size}
+        if not size:
+            assert {x[1] for x in every} == {0}
+            continue
+        words = min(math.floor(every[0][2] + 0.5), 3 * size)
+        passed = lambda i: (i * words + every[0][4] % size) // size
+        want = collections.Counter((x[0], passed(i + 1) - passed(i)) for i, x in enumerate(every))
+        mine = collections.Counter((x[0], x[1]) for x in every)
+        # rows that are equal in all of the order may change places
+        assert {k: sum(c * n for (a, c), n in want.items() if a == k) for k, _ in want} == {k: sum(c * n for (a, c), n in mine.items() if a == k) for k, _ in mine}
+        if s is not None and s != "rare":
+            assert abs(sum(x[1] * x[0][2] for x in every) - words) <= 2 * max(x[0][2] for x in every)
+
+
+def test_tiny_rates_are_exact(spark):
+    """One of very many documents is taken, although its share is far below a millionth."""
+    df = spark.range(3_000_000).select(F.col("id").alias("k"), F.lit("big").alias("s"), F.lit(1000).alias("n")).unionByName(spark.createDataFrame([(-1, "a", 5), (-2, "c", 1)], "k long, s string, n int"))
+    taken = {x["s"]: (x["t"], x["target"]) for x in op2.sample(df, "n", "s", "k").groupBy("s").agg(F.sum(F.col("copies") * F.col("n")).alias("t"), F.max("target").alias("target")).collect()}
+    assert abs(taken["big"][0] - taken["big"][1]) <= 1000 and taken["a"][0] == 15
+
+
 def test_mix_of_many_equal_documents(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"))
     out = op2.mixed(df).groupBy("source").count().collect()
@@ -161,6 +202,32 @@ def test_language(spark):
     assert out.where("rejected").count() < 0.02 * out.count()
 
 
+def test_choice_by_hand(spark, docs):
+    """Sizes of whole texts, block by block, with each dictionary; the smallest sum, the margin and the score."""
+    import zstandard
+
+    r = random.Random(9)
+    words = {k: ["".join(r.choice(a) for _ in range(r.randint(2, 9))) for _ in range(150)] for k, a in {"p": "abcde", "q": "cdefg", "r": "vwxyz"}.items()}
+    own = {k: " ".join(r.choice(w) for _ in range(2000)).encode() for k, w in words.items()}
+    own["s"] = own["p"]  # a tie: the first one wins and is rejected
+    texts = {**docs[1], 900: " ".join(r.choice(words["q"]) for _ in range(9000)), 901: "12 34 !", 902: "Ab1cD", 903: " ".join(r.choice(words["p"] + words["q"]) for _ in range(300)), 904: "é" * 5000}
+    got = {x["doc_id"]: x for x in op3.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), own).collect()}
+    for i, t in texts.items():
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        data = re.sub(r"[^a-zà-öø-ÿ]+", " ", t.lower()).encode()
+        sizes = {}
+        for k, d in own.items():
+            made = zstandard.ZstdCompressionParameters.from_level(3, source_size=2048, dict_size=len(d), min_match=3, write_content_size=0, write_dict_id=0)
+            sizes[k] = sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=made).compress(data[a : a + 2048])) for a in range(0, len(data), 2048))
+        first, second = sorted(sizes.values())[:2]
+        best = next(k for k in own if sizes[k] == first)
+        apart = 1 - first / second
+        assert got[i]["lang_pred"] == best and got[i]["rejected"] == (apart < op3.MARGIN) and got[i]["score"] == pytest.approx(1 - 0.5 * math.exp(-apart / 0.05))
+    assert got[900]["lang_pred"] == "q" and not got[900]["rejected"]
+
+
 def test_language_edges(spark, docs, clashing):
     model = op3.learn(spark.createDataFrame([(1, "the cat and the dog sat on the mat", "en"), (2, "le chat et le chien dans la rue", "fr"), (3, None, "de"), (4, "x", None)], "doc_id long, text string, lang string"))
     assert set(model) == {"en", "fr"}
@@ -234,6 +301,43 @@ def test_exact_copies_only(spark):
     assert {x[0]: tuple(x)[1:] for x in op4.near_duplicates(df).collect()} == want
 
 
+def test_a_notice_in_very_many_documents(spark):
+    """20,000 short documents that share all words but one: long lists of values without a single link."""
+    rows = [(i, f"all rights reserved by owner x{i // 2}") for i in range(20_000)] + [(20_000, "ALL rights reserved by owner x0"), (20_001, "rights reserved by owner x0")]
+    began = time.time()
+    found = {x[0]: tuple(x)[1:] for x in op4.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == {i: (2, i - i % 2, i % 2 == 0) for i in range(20_000)} | {20_000: (2, 0, False), 20_001: (1, 20_001, True)}
+    assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("outside", [0, 5])
+def test_lists_joined_under_real_shingles(spark, monkeypatch, outside):
+    """Chains, groups and a common notice, with all or some lists taken for large ones."""
+    monkeypatch.setattr(op4, "OUTSIDE", outside)
+    monkeypatch.setattr(op4, "MORE_STARS", 1 + outside)
+    r = random.Random(outside)
+    notice = [f"n{i}" for i in range(30)]
+    texts, word = {}, lambda: f"w{r.randint(0, 10**6)}"
+    for k in range(6):
+        own = [word() for _ in range(80)]
+        for _ in range(25):
+            own = list(own)
+            for _ in range(r.randint(1, 3)):
+                own[r.randrange(len(own))] = word()
+            texts[len(texts)] = " ".join(own + notice)
+    for _ in range(60):
+        texts[len(texts)] = " ".join(notice + [word() for _ in range(r.randint(5, 30))])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x[0]: tuple(x)[1:] for x in op4.near_duplicates(df).collect()} == near_by_hand(texts)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, base), (None, base + " x"), (7, base), (7, base), (9, base + " y"), (None, None)]
+    found = sorted(map(tuple, op4.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert found == sorted([(None, 36, None, True), (None, 37, None, True), (7, 36, 7, True), (7, 36, 7, True), (9, 37, 7, False), (None, 0, None, True)], key=repr)
+
+
 # 5. repeats
 
 
@@ -291,6 +395,36 @@ def test_packing(spark, docs, clashing):
     assert op6.packed_documents(none(spark)).count() == 0
 
 
+ODD = [
+    "don't I'LL we've 's 't a's'b it's'", "<|endoftext|> a<|startoftext|>b <|endoftext|>. <|endof", "a\xa0b\u3000c\u2028d\x85e", "a\x1cb \x1d c\x1e\x1f", "e\u0301 é E\u0301A \u0301x a\u0301\u0302", "STRASSE Straße ſ K Å İstanbul ıI ﬁn",
+    "12 3.14 a1b2 x² ½ ٣", "漢字かな交じり文 한국어 العربية हिन्दी", "🙂 👩‍👩‍👧‍👦🇩🇪", "... !!! a.b.c. -- ,;: $%&* #a", "\t\n\x0b\x0c\r", "", None, "x" * 5000, "ab" * 3000 + ".", "\u200b \ufeff a\u200db", "\ud7ff\ue000\U0010ffff", "ÀÖØöøÿ×÷ ÇA.",
+    "ａｂｃ ＡＢ", "a,b c, d;", "* & %", "<|ENDOFTEXT|> <|EndOfText|>. <|endoftext|>! <|endoftext|>,x a<b. A<B.", "a). 'S. x'. it'S! 1. ½. é. É! a.\u0301 -. _.", "Ω Ω Å", "don’t ‘s", "\0 a\0b \x7f",
+]
+
+
+@pytest.mark.parametrize("remembered", [200_000, 30])
+def test_encoder_equals_tokenizer(spark, monkeypatch, remembered):
+    """Odd texts one by one and together, then real ones; with a memory that is too small, too."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(op6, "REMEMBERED", remembered)
+    model, own = Tokenizer.from_file(op6.vocabulary()), op6.Encoder(op6.vocabulary())
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    for texts in [*([t] for t in ODD), ODD, [" ".join(t or "" for t in ODD)], real, ODD[::-1], []]:
+        cut, ids = own(pa.array(texts, pa.string()))
+        assert len(cut) == len(texts) + 1
+        for i, t in enumerate(texts):
+            assert ids[cut[i] : cut[i + 1]].tolist() == [*model.encode(t or "", add_special_tokens=False).ids, 0], t
+
+
+def test_copies_of_one_row_are_dealt_over_shards(spark, monkeypatch):
+    rows = [(None, "a b c")] * 400 + [(1, "d e")] * 400
+    cut = op6.table(op6.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), op6.vocabulary()), "pieces")
+    out = op6.pack(cut, shard=100).collect()
+    assert len(out) == 800 and len({r["sequence_id"] >> 32 for r in out}) == 8
+    check_sequences([(r["sequence_id"], r["offset"], r["length"]) for r in out])
+
+
 def check_sequences(places):
     by = collections.defaultdict(list)
     for s, o, n in places:
@@ -353,10 +487,20 @@ def test_relative_redirects(spark):
     assert got == {i: "block" if i <= 6 else "allow" for i in range(1, 11)}
 
 
+def test_links_meet_whatever_their_case(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.net/fr/x", ""), (2, "http://b.org/", link.format("HTTP://A.Net/fr/x#top")), (3, "HTTPS://C.org/p#y", link.format("http://B.ORG/")), (4, "http://d.org/", link.format("https://c.org/p")),
+        (5, "http://e.org/", "<!-- " + link.format("http://a.net/fr/x") + " --><script>'" + link.format("http://a.net/fr/x") + "'</script>"), (6, "http://f.org/", link.format("http://a.net/FR/x")), (7, "http://a.net/FR/x", ""),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in op7.filter_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
+
+
 def test_pages_equal_sql_with_links(spark, tmp_path):
     r = random.Random(3)
     urls = [f"http://{h}/{p}/{i}" for i in range(40) for h, p in [(r.choice(["a.com", "b.net", "c.org", "m.example.com"]), r.choice(["en", "es", "fr"]))]]
-    rows = [(i, u, f'<LINK rel=canonical href="{r.choice(urls)}">' if r.random() < 0.5 else None) for i, u in enumerate(urls)]
+    rows = [(i, u, f'<LINK rel=canonical href="{r.choice(urls).replace("http:", r.choice(["http:", "HTTP:"]))}{r.choice(["", "#f"])}">{r.choice(["", "<!-- x -->"])}' if r.random() < 0.5 else r.choice([None, f"<!--<link rel=canonical href={urls[0]}>-->"])) for i, u in enumerate(urls)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     df.toPandas().to_parquet(tmp_path / "pages.parquet")
     assert rows_of_query(op7.filter_pages(df)) == rows_of_sql(str(tmp_path), op7.ORACLE)
@@ -371,31 +515,118 @@ def test_stream_round_trip(n):
     media = op8.mux(data)
     back = op8.demux(media)
     units = -(-n // op8.UNIT)
-    assert back.payload == data and back.breaks == 0 and len(media) == 188 * back.packets
-    assert back.pts == [k * 3600 for k in range(units)] and back.random_access == list(range(0, units, op8.GROUP))
+    assert back.payload == data and back.breaks == 0 and len(media) == 188 * back.packets and back.damage == {}
+    assert back.pts == [k * 3600 for k in range(units)] and back.random_access == list(range(0, units, op8.GROUP)) and back.clocks == len(back.random_access)
+
+
+def packet(pid, content=b"", counter=0, start=False, adaptation=None, payload=True, error=False):
+    """A packet by hand; adaptation holds the field's bytes after its length; what is left free is stuffed there."""
+    room = 184 - len(content)
+    if adaptation is not None or room:
+        body = (adaptation or b"\0")[: max(room - 1, 0)].ljust(room - 1, b"\xff") if room > 1 else b""
+        field = bytes([room - 1]) + body
+    else:
+        field = b""
+    control = (0x20 if field else 0) | (0x10 if payload else 0)
+    out = bytes([0x47, (0x80 if error else 0) | (0x40 if start else 0) | pid >> 8, pid & 0xFF, control | counter % 16]) + field + content
+    assert len(out) == 188
+    return out
+
+
+def pes(data, pts=None, stream=0xE0, size=None):
+    head = b"\x80\x80\x05" + op8.stamp(pts) if pts is not None else b"\x80\0\0"
+    return b"\0\0\1" + bytes([stream]) + (len(head) + len(data) if size is None else size).to_bytes(2, "big") + head + data
+
+
+def spread(data, pid, counter=0):
+    return [packet(pid, data[i : i + 184], counter + k, start=not i) for k, i in enumerate(range(0, len(data), 184))]
+
+
+def foreign():
+    """(packets, units): a stream of another multiplexer. Its tables have descriptors and span packets, a network
+    and two programs; packets of other ids, null packets and empty ones lie between."""
+    r = random.Random(3)
+    pat = op8.section(0, 7, b"\0\0" + (0xE010).to_bytes(2, "big") + b"\0\x05" + (0xE200).to_bytes(2, "big") + b"\0\x02" + (0xE100).to_bytes(2, "big"))
+    descriptor = b"\x05\x04HDMV"
+    es = lambda kind, pid, info=b"": bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info
+    long_info = b"\x83\xc8" + bytes(200)
+    pmt = op8.section(2, 2, (0xE301).to_bytes(2, "big") + (0xF000 | len(descriptor)).to_bytes(2, "big") + descriptor + es(0x1B, 0x300, long_info) + es(0x0F, 0x301, b"\x0a\x04eng\0"))
+    other = op8.section(2, 5, (0xE400).to_bytes(2, "big") + b"\xf0\0" + es(0x1B, 0x400))
+    table = lambda pid, s, c=0: [packet(pid, (b"\0" + s)[i : i + 184].ljust(184, b"\xff"), c + k, start=not i) for k, i in enumerate(range(0, len(s) + 1, 184))]
+    units = [r.randbytes(n) for n in (1000, 50, 700, 184 * 4)]
+    out = [*table(0, pat), *table(0x200, other), *table(0x100, pmt), packet(0x1FFF, bytes(184)), packet(0x301, b"", adaptation=b"\x10" + op8.clock_field(9), payload=False)]
+    counter = 14
+    for k, u in enumerate(units):
+        for p in spread(pes(u, 90_000 * k, size=0 if k == 2 else None), 0x300, counter):
+            out += [p, packet(0x400, r.randbytes(184), counter)]
+            counter += 1
+        out.append(packet(0x300, b"", counter - 1, payload=False))  # adaptation only: the counter stays
+    return out, units
+
+
+def test_foreign_streams():
+    packets, units = foreign()
+    back = op8.demux(b"".join(packets))
+    assert back.payload == b"".join(units) and back.pts == [90_000 * k for k in range(4)] and back.breaks == 0 and back.damage == {} and back.clocks == 1
+    assert op8.demux(b"".join(packets), program=5).damage == {"header": 1}  # packets without a beginning
+    assert op8.demux(b"".join(packets), program=9).damage == {"program": 1}
+    own = [i for i, p in enumerate(packets) if p[1:3] == b"\x03\0" or p[1:3] == b"\x43\0"]
+    twice = packets[: own[2] + 1] + [packets[own[2]]] + packets[own[2] + 1 :]
+    assert (x := op8.demux(b"".join(twice))).payload == back.payload and x.breaks == 0 and x.damage == {"repeated": 1}
+    gap = packets[: own[2]] + packets[own[2] + 1 :]
+    x = op8.demux(b"".join(gap))
+    assert x.breaks == 1 and x.damage == {"lost": 1, "size": 1} and len(x.payload) == len(back.payload) - 184 and x.pts == back.pts
+    bad = list(packets)
+    bad[own[2]] = packets[own[2]][:1] + bytes([packets[own[2]][1] | 0x80]) + packets[own[2]][2:]
+    assert op8.demux(b"".join(bad)).damage == {"error": 1, "lost": 1, "size": 1}
+    first = packets[: own[0]] + packets[own[0] + 1 :]
+    assert (x := op8.demux(b"".join(first))).damage == {"header": 1} and x.payload == b"".join(units[1:])
+    jump = [p if i < own[-3] else p[:3] + bytes([p[3] & 0xF0 | (p[3] + 5) % 16]) + p[4:] if i in own else p for i, p in enumerate(packets)]
+    assert op8.demux(b"".join(jump)).breaks == 1
 
 
 def test_damaged_streams():
-    media = bytearray(op8.mux(bytes(5000)))
-    lost = bytes(media[: 188 * 5] + media[188 * 6 :])
-    with pytest.raises(ValueError, match="damaged"):
-        op8.demux(lost)
-    media[20] ^= 1
-    with pytest.raises(ValueError, match="damaged"):
-        op8.demux(bytes(media[:188]) + bytes(media[188:]))
+    packets, units = foreign()
+    whole = b"".join(packets)
+    for noise in (b"\x47junk", b"x" * 400, b"\x47" * 3):
+        x = op8.demux(noise + whole)
+        assert x.payload == b"".join(units) and x.damage["sync"] >= 1, noise
+    middle = 188 * 12
+    x = op8.demux(whole[:middle] + b"noise" + whole[middle:])
+    assert x.payload == b"".join(units) and x.damage == {"sync": 1}
+    assert op8.demux(whole + b"\x47abc").damage == {"tail": 1, "sync": 1} or op8.demux(whole + b"\x47abc").damage == {"tail": 1}
+    table = bytearray(whole)
+    table[20] ^= 1
+    assert op8.demux(bytes(table)).damage == {"table": 1, "program": 1}
+    for junk in (b"", b"x", bytes(188), b"\x47" * 188, b"\x47" * 1000, random.Random(1).randbytes(5000)):
+        assert op8.demux(junk).payload == b""
+    r = random.Random(8)
+    own = op8.mux(r.randbytes(60_000))
+    for _ in range(60):  # nothing raises, whatever is damaged
+        hurt = bytearray(own)
+        for _ in range(r.randint(1, 30)):
+            hurt[r.randrange(len(hurt))] = r.randrange(256)
+        for _ in range(r.randint(0, 3)):
+            del hurt[(at := r.randrange(len(hurt))) : at + r.randint(1, 400)]
+        op8.demux(bytes(hurt))
 
 
 def test_streams_of_documents(spark, docs, clashing):
-    whole = {r["doc_id"]: r for r in op8.as_streams(docs[0]).collect()}
     for df in (docs[0], clashing):
-        got = {r["doc_id"]: r for r in op8.digests(df).collect()}
+        media = op8.table(op8.as_streams(df), "media")
+        whole, got = ({r["doc_id"]: r for r in f(media).collect()} for f in (op8.parsed, op8.digests))
+        stored = {r["doc_id"]: r["media"] for r in media.collect()}
         for i, t in docs[1].items():
             data = (t or "").encode()
             padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
             r = got[i]
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-            assert whole[i]["payload"] == padded and r["media_sha256"] == hashlib.sha256(whole[i]["media"]).hexdigest()
-    assert op8.digests(none(spark)).count() == 0
+            assert whole[i]["payload"] == padded and whole[i]["damage"] == {} and r["media_sha256"] == hashlib.sha256(stored[i]).hexdigest()
+    odd = spark.createDataFrame([(None, None), (1, b""), (1, b"xyz"), (2, b"".join(foreign()[0]))], "doc_id long, media binary")
+    found = sorted(op8.parsed(odd).collect(), key=repr)
+    assert [len(r["payload"]) for r in found if r["payload"] is not None] == [0, 0, sum(map(len, foreign()[1]))] and len(found) == 4
+    assert op8.digests(odd.withColumn("n_bytes", F.lit(1))).count() == 4
+    assert op8.digests(op8.as_streams(none(spark))).count() == 0
 
 
 # 9. licenses
@@ -451,6 +682,39 @@ def test_wrapped_licenses(spark):
         assert got[i + len(near)]["labels"] == ""
 
 
+def test_templates_of_a_table(spark):
+    """Random templates and texts: labels are those of all windows and lines, whatever the words' frequencies."""
+    r = random.Random(11)
+    word = lambda: f"w{min(r.randint(0, 60), r.randint(0, 60))}"
+    made = [(f"t{k}", " ".join(word() for _ in range(r.randint(1, 12)))) for k in range(25)] + [("t0", "!!"), (None, "w1"), ("x", None), ("t1", "zzz zzy")]
+    texts = {i: "\n".join(" ".join(word() for _ in range(r.randint(0, 14))) for _ in range(r.randint(0, 8))) for i in range(120)}
+    texts[7] += "\nzzz\n zzy"
+    table = spark.createDataFrame(made, "label string, text string")
+    got = {x["doc_id"]: x for x in op9.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), templates=table).collect()}
+    for i, text in texts.items():
+        words, lines = text.split(), [x.split() for x in text.split("\n")]
+        want = {}
+        for label, t in made:
+            own = (t or "").replace("!", "").split()
+            if label and own:
+                size = -(-5 * len(own) // 4)
+                blocks = [*lines, *(words[k : k + size] for k in range(len(words)))]
+                share = max((len(set(own) & set(b)) for b in blocks), default=0) / len(set(own))
+                if share >= 0.9 - 1e-9:
+                    want[label] = max(want.get(label, 0), share)
+        assert set(filter(None, got[i]["labels"].split(","))) == set(want) and got[i]["score"] == max(want.values(), default=0.0)
+    assert "t1" in got[7]["labels"]
+    assert op9.scan(none(spark), templates=table.limit(0)).count() == 0
+
+
+def test_many_phrases_in_one_text(spark):
+    """Places are found in time that grows with the text."""
+    began = time.time()
+    text = "mit license apache license general public license license " * 60_000
+    r = op9.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_base"], r["first_word"], r["last_word"]) == (180_000, 0, 8 * 60_000 - 4) and time.time() - began < 30
+
+
 def test_runs_of_words():
     r = random.Random(4)
     for _ in range(200):
@@ -506,11 +770,36 @@ def test_vectors(spark, dim):
 def test_vectors_in_chunks(spark, monkeypatch):
     rows = vectors()
     monkeypatch.setattr(op10, "CHUNK", 16)
+    monkeypatch.setattr(op10, "SAMPLE", 128)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op10.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == links_by_hand(rows)
     assert op10.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cells():
+    """Each point has one cell, and every partner's cell above its own is among those that its ball reaches."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal((300, 5)), np.zeros((50, 5)), r.standard_normal((1, 5)) + r.standard_normal((200, 5)) * 0.1])
+    cells = op10.Cells(x[::4], 4)
+    home = cells.home(x)
+    assert home.min() >= 0 and home.max() < 16 and len(set(home)) > 8
+    row, cell = cells.near(x, 0.25)
+    reach = set(zip(row.tolist(), cell.tolist(), strict=True))
+    for a in range(len(x)):
+        for b in np.flatnonzero(((x - x[a]) ** 2).sum(axis=1) <= 0.25):
+            assert home[b] <= home[a] or (a, home[b]) in reach
+    assert len(reach) < 16 * len(x)
+
+
+def test_vectors_of_doubles(spark, monkeypatch):
+    monkeypatch.setattr(op10, "CHUNK", 32)
+    rows = [(i, v if v is None else [None if x is None else float(x) * 1e-200 for x in v]) for i, v in vectors(seed=7)]
+    rows.append((None, rows[0][1]))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op10.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = links_by_hand([(i, v if v is None else [None if x is None else x * 1e200 for x in v]) for i, v in rows[:-1]])
+    assert got == {**want, None: (0, None, True)}
+
+
 # pipeline
 
 
