@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,44 +34,45 @@ def descend(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int
     return out.select(F.col("_child").alias(child), F.col("_parent").alias(parent), *columns, "_depth", "_path")
 
 
-def bfs(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, include: list[str] | None = None) -> DataFrame:
-    return descend(df, child, parent, seeds, depth, include).orderBy("_depth", "_path")
+def bfs(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, include: list[str] | None = None, time: str | None = None) -> DataFrame:
+    """descend(), by depth and then by time, if there is one among the included columns, and path."""
+    return descend(df, child, parent, seeds, depth, include).orderBy("_depth", *([time] if time else []), "_path")
 
 
 def dfs(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, include: list[str] | None = None) -> DataFrame:
     return descend(df, child, parent, seeds, depth, include).orderBy("_path")
 
 
-def tree_ids(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, direction: str = "forward", cap: int | None = None) -> DataFrame:
-    """(id, depth): distinct nodes reached from the seeds that exist, with their smallest depth.
+def tree_ids(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, direction: str = "forward", cap: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """(scope..., id, depth): distinct nodes reached from the seeds (scope..., start) that exist, with their smallest depth.
 
-    An anti-join with what was visited keeps every node once; a cap stops after the level that passes it.
+    scope are columns within which ids are unique, such as a tenant; edges don't leave it. An anti-join
+    with what was visited keeps every node once; a cap stops after the level that passes it.
     """
-    edges = df.select(F.col(parent).alias("a"), F.col(child).alias("b")).where("a is not null and b is not null")
-    steps = {"forward": [edges], "backward": [edges.select(F.col("b").alias("a"), F.col("a").alias("b"))]}
+    scope = scope or []
+    node = [*scope, "id"]
+    edges = df.select(*scope, F.col(parent).alias("a"), F.col(child).alias("b")).where("a is not null and b is not null")
+    steps = {"forward": [edges], "backward": [edges.select(*scope, F.col("b").alias("a"), F.col("a").alias("b"))]}
     steps["both"] = steps["forward"] + steps["backward"]
     parts = []
     for step in steps[direction]:
-        known = df.select(F.col(child).alias("id"))
-        visited = written(seeds.select(F.col("start").alias("id")).distinct().join(known, "id", "left_semi").withColumn("depth", F.lit(0)), "visited")
-        front = visited
+        known = df.select(*scope, F.col(child).alias("id"))
+        visited = written(seeds.select(*scope, F.col("start").alias("id")).distinct().join(known, node, "left_semi").withColumn("depth", F.lit(0)), "visited")
+        front, count = visited, visited.count() if cap is not None else 0
         for d in range(1, depth + 1):
-            new = step.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-            front = written(new.join(visited.select("id"), "id", "left_anti").join(known, "id", "left_semi").withColumn("depth", F.lit(d)), "front")
+            new = step.join(front.select(*scope, F.col("id").alias("a")), [*scope, "a"]).select(*scope, F.col("b").alias("id")).distinct()
+            front = written(new.join(visited.select(*node), node, "left_anti").join(known, node, "left_semi").withColumn("depth", F.lit(d)), "front")
             if front.isEmpty():
                 break
             visited = visited.unionByName(front)
-            if cap is not None and visited.count() >= cap:
+            if cap is not None and (count := count + front.count()) >= cap:
                 break
         parts.append(visited)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.groupBy("id").agg(F.min("depth").alias("depth"))
-    return out if cap is None else out.orderBy("depth", "id").limit(cap)
+    out = reduce(DataFrame.unionByName, parts).groupBy(*node).agg(F.min("depth").alias("depth"))
+    return out if cap is None else out.orderBy("depth", *node).limit(cap)
 
 
-def process_tree(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, direction: str = "both") -> DataFrame:
+def process_tree(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, direction: str = "both", scope: list[str] | None = None) -> DataFrame:
     """Rows of the nodes below (forward), above (backward) or both, each once."""
-    ids = tree_ids(df, child, parent, seeds, depth, direction)
-    return df.join(ids.select(F.col("id").alias(child), F.col("depth").alias("_depth")), child)
+    ids = tree_ids(df, child, parent, seeds, depth, direction, scope=scope)
+    return df.join(ids.withColumnsRenamed({"id": child, "depth": "_depth"}), [*(scope or []), child])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import let
 from ..functions.predicates import all_of
+from ..plans.shared import written
 
 DAY, HOUR = 86_400, 3_600
 
@@ -192,9 +193,12 @@ def score_pairs(state: DataFrame, window: int) -> DataFrame:
     Pairs with a connection a second or more in the window are strobes and left out. Gaps are taken within
     days and over the seams between them, so that a pair's days are dealt over the cluster.
     """
-    hour = F.floor(F.pmod(F.col("at"), F.lit(DAY)) / HOUR)
-    hours = [F.coalesce(F.sum(F.when(hour == h, F.col("n"))), F.lit(0)).cast("double") for h in range(24)]
-    pairs = state.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("duration").alias("duration"), F.min("at").alias("first_ts"), F.max("at").alias("last_ts"), F.array(*hours).alias("hours")).where(F.col("n") < window)
+    hour = F.floor(F.pmod(F.col("at"), F.lit(DAY)) / HOUR).cast("int")
+    by_hour = state.groupBy(*PAIR, hour.alias("hour")).agg(F.sum("n").alias("n"), F.sum("duration").alias("duration"), F.min("at").alias("first_ts"), F.max("at").alias("last_ts"))
+    counted = F.collect_list(F.when(F.col("hour").isNotNull(), F.struct("hour", F.col("n").cast("double").alias("n"))))  # 24 at most
+    pairs = by_hour.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("duration").alias("duration"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.map_from_entries(counted).alias("hours"))
+    of_day = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("hours", h), F.lit(0.0)))
+    pairs = written(pairs.where(F.col("n") < window).withColumn("hours", of_day), "pairs")
     own = _of_pairs(state, pairs.select(*PAIR), "left_semi")
     seconds = own.where("at is not null").select(*PAIR, "day", "at").distinct()
     inner = seconds.select(*PAIR, (F.col("at") - F.lag("at").over(Window.partitionBy(*PAIR, "day").orderBy("at"))).alias("v"))
@@ -233,7 +237,21 @@ def model_alert(kind: str, threshold: float) -> Column:
     return {"rarity": (F.col("percent") <= threshold) & (F.col("confidence") > 0), "first_seen": F.col("is_new"), "volume": F.col("zscore") > threshold, "network": F.col("score") > threshold}[kind]
 
 
-def backfill(rows: DataFrame, day: str, path: str, state) -> None:
-    """Write the state of history, one partition for each day; rerunning a day replaces it."""
-    out = state(rows)
-    out.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+def backfill(rows: DataFrame, time: str, path: str, state: Callable[[DataFrame], DataFrame], first: date, last: date, again: bool = False) -> list[date]:
+    """Write the state of history, a folder for each UTC day, oldest first; return the days that were written.
+
+    A day whose folder is complete is passed over, so a run that stopped is called again with the same
+    days and goes on; with again, days are replaced. Each day reads its own rows only.
+    """
+    spark = rows.sparkSession
+    done, at = [], first
+    while at <= last:
+        out = f"{path}/day={at}"
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
+        if again or not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            start, end = (F.lit(f"{d} 00:00:00 UTC").cast("timestamp") for d in (at, at + timedelta(days=1)))
+            partials = state(rows.where((F.col(time) >= start) & (F.col(time) < end)))
+            partials.drop("day").write.mode("overwrite").parquet(out)
+            done.append(at)
+        at += timedelta(days=1)
+    return done

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; under a local folder only where that is unset, as in tests."""
+    """A fresh path under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session, as in tests, gets a local folder; on a cluster each executor
+    would write to its own disk, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/loglens/{name}-{uuid.uuid4().hex}"

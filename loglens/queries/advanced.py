@@ -35,128 +35,171 @@ def _seeds(df):
     return df.select(F.col("event_id").alias("start"))
 
 
-WALK = """WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent_id FROM events),
-walk AS (SELECT event_id, parent_id, 0 AS _depth, CAST(event_id AS VARCHAR) AS _path FROM e WHERE event_id IN (5, 7)
- UNION ALL SELECT e.event_id, e.parent_id, _depth + 1, _path || ' > ' || e.event_id FROM walk JOIN e ON e.parent_id = walk.event_id WHERE _depth < 4)
+WALK = """WITH RECURSIVE e AS (SELECT event_id, event_type, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent_id FROM events),
+walk AS (SELECT event_id, parent_id, 0 AS _depth, CAST(event_id AS VARCHAR) AS _path FROM e WHERE event_type = 'error'
+ UNION ALL SELECT e.event_id, e.parent_id, _depth + 1, _path || ' > ' || e.event_id FROM walk JOIN e ON e.parent_id = walk.event_id WHERE _depth < 2)
 SELECT * FROM walk"""
 
 
 @query("t1_bfs", WALK)
 def bfs(spark, d):
     e = _tree(spark, d)
-    return graph.bfs(e, "event_id", "parent_id", _seeds(e.where("event_id in (5, 7)")), 4)
+    return graph.bfs(e, "event_id", "parent_id", _seeds(e.where("event_type = 'error'")), 2)
 
 
 @query("t1_dfs", WALK)
 def dfs(spark, d):
     e = _tree(spark, d)
-    return graph.dfs(e, "event_id", "parent_id", _seeds(e.where("event_id in (5, 7)")), 4)
+    return graph.dfs(e, "event_id", "parent_id", _seeds(e.where("event_type = 'error'")), 2)
 
 
-@query("t2_process_tree", """WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent_id FROM events),
-down AS (SELECT event_id, 0 AS k FROM e WHERE event_id = 40 UNION ALL SELECT e.event_id, k + 1 FROM down JOIN e ON e.parent_id = down.event_id WHERE k < 5),
-up AS (SELECT event_id, parent_id, 0 AS k FROM e WHERE event_id = 40 UNION ALL SELECT e.event_id, e.parent_id, k + 1 FROM up JOIN e ON e.event_id = up.parent_id WHERE k < 5)
+@query("t2_process_tree", """WITH RECURSIVE e AS (SELECT event_id, event_type, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent_id FROM events),
+down AS (SELECT event_id, 0 AS k FROM e WHERE event_type = 'error' UNION ALL SELECT e.event_id, k + 1 FROM down JOIN e ON e.parent_id = down.event_id WHERE k < 3),
+up AS (SELECT event_id, parent_id, 0 AS k FROM e WHERE event_type = 'error' UNION ALL SELECT e.event_id, e.parent_id, k + 1 FROM up JOIN e ON e.event_id = up.parent_id WHERE k < 3)
 SELECT event_id, min(k) AS _depth FROM (SELECT event_id, k FROM down UNION ALL SELECT event_id, k FROM up) GROUP BY 1""")
 def process_tree(spark, d):
     e = _tree(spark, d)
-    return graph.process_tree(e, "event_id", "parent_id", _seeds(e.where("event_id = 40")), 5).select("event_id", "_depth")
+    return graph.process_tree(e, "event_id", "parent_id", _seeds(e.where("event_type = 'error'")), 3).select("event_id", "_depth")
 
 
-@query("v1_tree_ids", """WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent_id FROM events),
-down AS (SELECT event_id, 0 AS k FROM e WHERE event_id IN (2, 3) UNION ALL SELECT e.event_id, k + 1 FROM down JOIN e ON e.parent_id = down.event_id WHERE k < 6)
+@query("v1_tree_ids", """WITH RECURSIVE e AS (SELECT event_id, event_type, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent_id FROM events),
+down AS (SELECT event_id, 0 AS k FROM e WHERE event_type = 'error' UNION ALL SELECT e.event_id, k + 1 FROM down JOIN e ON e.parent_id = down.event_id WHERE k < 6)
 SELECT event_id AS id, min(k) AS depth FROM down GROUP BY 1""")
 def tree_ids(spark, d):
     e = _tree(spark, d)
-    return graph.tree_ids(e, "event_id", "parent_id", _seeds(e.where("event_id in (2, 3)")), 6)
+    return graph.tree_ids(e, "event_id", "parent_id", _seeds(e.where("event_type = 'error'")), 6)
 
 
 IMAGE = lambda x: f"'c:\\users\\*\\app' || (({x}) % 13) || '.exe'"
 RAW = lambda x: f"'C:\\Users\\u' || (user_id % 7) || '\\app' || (({x}) % 13) || '.exe'"
 PROC = f"""
 k AS (SELECT *, CASE event_id % 10 WHEN 1 THEN 'file_write' WHEN 3 THEN 'net_connect' WHEN 5 THEN 'dns_query' WHEN 7 THEN 'process_access' WHEN 9 THEN 'remote_thread' ELSE 'spawn' END AS event_type_ FROM events),
-x AS (SELECT event_id, ts, 'host' || (user_id % 5) AS host, event_type_ AS event_type, 'p' || (event_id - event_id % 2) AS guid, CASE WHEN event_id >= 6 THEN 'p' || ((event_id // 6) * 2) ELSE '' END AS parent,
+x AS (SELECT 't' || to_base(event_id // 2, 3)[1] AS tenant_id, event_id, ts, 'host' || (user_id % 5) AS host, event_type_ AS event_type, 'p' || (event_id - event_id % 2) AS guid, CASE WHEN event_id >= 6 THEN 'p' || ((event_id // 6) * 2) ELSE '' END AS parent,
  CASE WHEN event_type_ = 'spawn' THEN {IMAGE("(event_id // 6) * 2")} ELSE {IMAGE("event_id - event_id % 2")} END AS src_image,
  CASE event_type_ WHEN 'spawn' THEN {IMAGE("event_id - event_id % 2")} WHEN 'file_write' THEN {IMAGE("event_id + 1")} WHEN 'net_connect' THEN '93.184.' || (event_id % 5) || '.' || (user_id % 9) WHEN 'dns_query' THEN 'd' || (event_id % 40) || '.example.com' ELSE {IMAGE("event_id + 3")} END AS target_norm,
- {RAW("event_id - event_id % 2")} AS raw_image FROM k),
-freq AS (SELECT src_image, event_type, target_norm, CAST(ts AS DATE) AS day, host, count(*) AS event_count FROM x GROUP BY 1, 2, 3, 4, 5),
-lineage AS (SELECT guid, parent, raw_image, src_image, target_norm, host, ts, event_id FROM x WHERE event_type = 'spawn'),
-edges AS (SELECT guid, event_type, split_part(event_type, '_', 1) || ':' || target_norm AS dst_node, src_image, target_norm, count(*) AS cnt, max(ts) AS timestamp FROM x WHERE event_type <> 'spawn' GROUP BY 1, 2, 3, 4, 5),
-pair AS (SELECT src_image, event_type, target_norm, sum(event_count) AS fe FROM freq GROUP BY 1, 2, 3), src AS (SELECT src_image, event_type, sum(event_count) AS ft FROM freq GROUP BY 1, 2),
-spread AS (SELECT event_type, target_norm, count(DISTINCT host) AS hosts FROM freq GROUP BY 1, 2), allh AS (SELECT count(DISTINCT host) AS h FROM lineage),
-e AS (SELECT parent, guid AS child, 'spawn' AS event_type, src_image, target_norm FROM lineage WHERE parent <> '' UNION ALL SELECT guid, dst_node, event_type, src_image, target_norm FROM edges),
-scored AS (SELECT parent, child, event_type, round(CASE WHEN event_type = 'spawn' THEN 1 - fe / ft ELSE greatest(1 - fe / ft, CASE WHEN hosts >= 256 THEN 0 ELSE 1 - hosts / h END) END, 4) AS anomaly_score
- FROM e JOIN pair USING (src_image, event_type, target_norm) JOIN src USING (src_image, event_type) JOIN spread USING (event_type, target_norm), allh)"""
-
-
-@query("b1_build_lineage", f"WITH {PROC} SELECT guid AS process_guid, parent AS parent_guid, raw_image AS image, host AS computer_name FROM lineage")
+ CASE event_type_ WHEN 'spawn' THEN {RAW("event_id - event_id % 2")} WHEN 'file_write' THEN {RAW("event_id + 1")} WHEN 'net_connect' THEN '93.184.' || (event_id % 5) || '.' || (user_id % 9) WHEN 'dns_query' THEN 'd' || (event_id % 40) || '.example.com.' ELSE {RAW("event_id + 3")} END AS label FROM k),
+freq AS (SELECT tenant_id, src_image, event_type, target_norm, CAST(ts AS DATE) AS day, host, count(*) AS event_count FROM x GROUP BY 1, 2, 3, 4, 5, 6),
+lineage AS (SELECT tenant_id, guid, parent, label AS raw_image, src_image, target_norm, host, ts, event_id FROM x WHERE event_type = 'spawn'),
+edges AS (SELECT tenant_id, guid, event_type, split_part(event_type, '_', 1) || ':' || target_norm AS dst_node, src_image, target_norm, max(label) AS label, count(*) AS cnt, max(ts) AS timestamp FROM x WHERE event_type <> 'spawn' GROUP BY 1, 2, 3, 4, 5, 6),
+pair AS (SELECT tenant_id, src_image, event_type, target_norm, sum(event_count) AS fe FROM freq GROUP BY 1, 2, 3, 4), src AS (SELECT tenant_id, src_image, event_type, sum(event_count) AS ft FROM freq GROUP BY 1, 2, 3),
+spread AS (SELECT tenant_id, event_type, target_norm, count(DISTINCT host) AS hosts FROM freq GROUP BY 1, 2, 3), allh AS (SELECT tenant_id, count(DISTINCT host) AS h FROM lineage GROUP BY 1),
+e AS (SELECT tenant_id, parent, guid AS child, 'spawn' AS event_type, src_image, target_norm, raw_image AS label FROM lineage WHERE parent <> '' UNION ALL SELECT tenant_id, guid, dst_node, event_type, src_image, target_norm, label FROM edges),
+scored AS (SELECT tenant_id, parent, child, event_type, label, round(CASE WHEN event_type = 'spawn' THEN 1 - fe / ft ELSE greatest(1 - fe / ft, CASE WHEN hosts >= 256 THEN 0 ELSE 1 - hosts / h END) END, 4) AS anomaly_score
+ FROM e JOIN pair USING (tenant_id, src_image, event_type, target_norm) JOIN src USING (tenant_id, src_image, event_type) JOIN spread USING (tenant_id, event_type, target_norm) JOIN allh USING (tenant_id))"""
+
+
+def _diffused(scored: str, columns: str, where: str = "") -> str:
+    return f"""dspawn AS (SELECT tenant_id, child, min(parent) AS parent, arg_min(anomaly_score, parent) AS a FROM {scored} WHERE event_type = 'spawn' GROUP BY 1, 2),
+droots AS (SELECT DISTINCT tenant_id, parent AS node FROM dspawn WHERE (tenant_id, parent) NOT IN (SELECT (tenant_id, child) FROM dspawn)),
+ds AS (SELECT tenant_id, node, CAST(0 AS DOUBLE) AS s FROM droots UNION ALL SELECT tenant_id, child, -ln(greatest(1 - a, 0.01)) + 0.2 * s FROM dspawn JOIN ds USING (tenant_id) WHERE dspawn.parent = ds.node),
+diffused AS (SELECT {columns}, round(greatest(anomaly_score, 1 - exp(-(CASE WHEN event_type = 'spawn' THEN coalesce(s, 0) ELSE -ln(greatest(1 - anomaly_score, 0.01)) + 0.2 * coalesce(s, 0) END))), 4) AS score
+FROM {scored} d LEFT JOIN ds ON ds.tenant_id = d.tenant_id AND ds.node = CASE WHEN event_type = 'spawn' THEN d.child ELSE d.parent END)"""
+
+
+#: The trees of all roots, other processes that share rare artifacts with them, and the best of those.
+PEERS = f"""WITH RECURSIVE {PROC},
+walk AS (SELECT tenant_id, guid, 0 AS k FROM lineage WHERE parent = '' UNION ALL SELECT tenant_id, lineage.guid, k + 1 FROM walk JOIN lineage USING (tenant_id) WHERE lineage.parent = walk.guid AND k < 4),
+tree AS (SELECT DISTINCT tenant_id, guid FROM walk), own AS (SELECT edges.* FROM edges JOIN tree USING (tenant_id, guid)),
+few AS (SELECT tenant_id, event_type, target_norm FROM (SELECT tenant_id, event_type, target_norm, count(DISTINCT host) AS n, count(DISTINCT src_image) AS i FROM freq GROUP BY 1, 2, 3)
+ JOIN (SELECT tenant_id, count(DISTINCT host) AS hosts, count(DISTINCT src_image) AS images FROM freq GROUP BY 1) USING (tenant_id) WHERE n <= greatest(3, floor(0.5 * hosts)) AND i <= greatest(4, floor(0.1 * images))),
+met AS (SELECT own.tenant_id, CASE own.event_type WHEN 'file_write' THEN 'file' WHEN 'remote_thread' THEN 'injection' ELSE 'access' END AS recon_type, own.guid AS src_guid, l.guid AS peer_guid, CASE own.event_type WHEN 'file_write' THEN 'file:' || lower(own.label) ELSE own.dst_node END AS object_id, own.label
+ FROM own JOIN lineage l ON l.tenant_id = own.tenant_id AND lower(l.raw_image) = lower(own.label) WHERE own.event_type IN ('file_write', 'remote_thread', 'process_access')
+ UNION ALL SELECT own.tenant_id, split_part(own.event_type, '_', 1), own.guid, o.guid, own.dst_node, own.label FROM own JOIN few USING (tenant_id, event_type, target_norm) JOIN edges o ON o.tenant_id = own.tenant_id AND o.event_type = own.event_type AND o.dst_node = own.dst_node WHERE own.event_type IN ('net_connect', 'dns_query')),
+peers AS (SELECT DISTINCT *, CASE recon_type WHEN 'file' THEN 1.0 WHEN 'injection' THEN 0.95 WHEN 'access' THEN 0.9 ELSE 0.85 END AS anomaly FROM met WHERE (tenant_id, peer_guid) NOT IN (SELECT (tenant_id, guid) FROM tree)),
+ranked AS (SELECT tenant_id, peer_guid, row_number() OVER (ORDER BY count(DISTINCT object_id) DESC, max(anomaly) DESC, peer_guid, tenant_id) AS r FROM peers GROUP BY 1, 2)"""
+BRIDGES = lambda n: f"""admitted AS (SELECT * FROM peers WHERE (tenant_id, peer_guid) IN (SELECT (tenant_id, peer_guid) FROM ranked WHERE r <= {n})),
+bridges AS (SELECT tenant_id, parent, child, recon_type, min(label) AS label, max(anomaly) AS anomaly_score FROM (
+ SELECT tenant_id, src_guid AS parent, object_id AS child, recon_type, label, anomaly FROM admitted WHERE recon_type IN ('net', 'dns') UNION ALL SELECT tenant_id, peer_guid, object_id, recon_type, label, anomaly FROM admitted WHERE recon_type IN ('net', 'dns')
+ UNION ALL SELECT tenant_id, src_guid, peer_guid, recon_type, label, anomaly FROM admitted WHERE recon_type NOT IN ('net', 'dns')) GROUP BY 1, 2, 3, 4)"""
+EXPANDED = """best AS (SELECT tenant_id, peer_guid FROM admitted GROUP BY 1, 2 HAVING max(anomaly) >= 0.8 ORDER BY max(anomaly) DESC, peer_guid, tenant_id LIMIT 5),
+more AS (SELECT tenant_id, peer_guid AS guid, 0 AS k FROM best SEMI JOIN lineage ON lineage.tenant_id = best.tenant_id AND lineage.guid = best.peer_guid UNION ALL SELECT tenant_id, lineage.guid, k + 1 FROM more JOIN lineage USING (tenant_id) WHERE lineage.parent = more.guid AND k < 3),
+expanded AS (SELECT tenant_id, guid FROM tree UNION SELECT tenant_id, guid FROM more)"""
+
+
+@query("b1_build_lineage", f"WITH {PROC} SELECT tenant_id, guid AS process_guid, parent AS parent_guid, raw_image AS image, host AS computer_name FROM lineage")
 def lineage(spark, d):
-    return pv.build_lineage(process_events(spark, d)).select("process_guid", "parent_guid", "image", "computer_name")
+    return pv.build_lineage(process_events(spark, d)).select("tenant_id", "process_guid", "parent_guid", "image", "computer_name")
 
 
-@query("b2_build_edges", f"WITH {PROC} SELECT guid AS process_guid, event_type, dst_node, src_image AS fkey_src, target_norm AS fkey_tgt, cnt, timestamp FROM edges")
+@query("b2_build_edges", f"WITH {PROC} SELECT tenant_id, guid AS process_guid, event_type, dst_node, label, src_image AS fkey_src, target_norm AS fkey_tgt, cnt, timestamp FROM edges")
 def edges(spark, d):
-    return pv.build_edges(process_events(spark, d)).select("process_guid", "event_type", "dst_node", "fkey_src", "fkey_tgt", "cnt", "timestamp")
+    return pv.build_edges(written(pv.typed(process_events(spark, d)), "typed")).select("tenant_id", "process_guid", "event_type", "dst_node", "label", "fkey_src", "fkey_tgt", "cnt", "timestamp")
 
 
 @query("b3_build_frequency", f"WITH {PROC} SELECT * FROM freq")
 def frequency(spark, d):
-    return pv.build_frequency(process_events(spark, d)).drop("tenant_id")
+    return pv.build_frequency(written(pv.typed(process_events(spark, d)), "typed"))
+
+
+def _built(spark, d):
+    """(lineage, edges, frequency), from events that were abstracted once."""
+    p = written(pv.typed(process_events(spark, d)), "typed")
+    return pv.build_lineage(p), pv.build_edges(p), pv.build_frequency(p)
 
 
 def _scored(spark, d):
-    p = process_events(spark, d)
-    line, freq = pv.build_lineage(p), pv.build_frequency(p)
+    line, edge, freq = _built(spark, d)
     spawn = pv.spawn_edges(line)
-    both = spawn.unionByName(pv.leaf_edges(pv.build_edges(p)).select(spawn.columns))
-    return pv.score_edges(both, freq, line.agg(F.count_distinct("computer_name")))
+    both = spawn.unionByName(pv.leaf_edges(edge).select(spawn.columns))
+    return pv.score_edges(both, freq, pv.hosts_of(line))
 
 
-@query("v2_score_edges", f"WITH {PROC} SELECT * FROM scored")
+@query("v2_score_edges", f"WITH {PROC} SELECT * EXCLUDE (label) FROM scored")
 def score(spark, d):
-    return _scored(spark, d).select("parent", "child", "event_type", "anomaly_score")
+    return _scored(spark, d).select("tenant_id", "parent", "child", "event_type", "anomaly_score")
 
 
-@query("v3_gate_leaves", f"WITH {PROC}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type = 'spawn', parent ORDER BY anomaly_score DESC, child, event_type) AS r FROM scored WHERE event_type = 'spawn' OR anomaly_score >= 0.05) SELECT parent, child, event_type, anomaly_score FROM r WHERE event_type = 'spawn' OR r <= 1")
+@query("v3_gate_leaves", f"WITH {PROC}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type = 'spawn', tenant_id, parent ORDER BY anomaly_score DESC, child, event_type) AS r FROM scored WHERE event_type = 'spawn' OR anomaly_score >= 0.05) SELECT tenant_id, parent, child, event_type, anomaly_score FROM r WHERE event_type = 'spawn' OR r <= 1")
 def gate(spark, d):
-    return pv.gate_leaves(_scored(spark, d), diffuse=True, per_process=1).select("parent", "child", "event_type", "anomaly_score")
+    return pv.gate_leaves(_scored(spark, d), diffuse=True, per_process=1).select("tenant_id", "parent", "child", "event_type", "anomaly_score")
 
 
-@query("v4_diffuse", f"""WITH RECURSIVE {PROC},
-spawn AS (SELECT child, min(parent) AS parent, arg_min(anomaly_score, parent) AS a FROM scored WHERE event_type = 'spawn' GROUP BY 1),
-roots AS (SELECT DISTINCT parent AS node FROM spawn WHERE parent NOT IN (SELECT child FROM spawn)),
-s AS (SELECT node, CAST(0 AS DOUBLE) AS s FROM roots UNION ALL SELECT child, -ln(greatest(1 - a, 0.01)) + 0.2 * s FROM spawn JOIN s ON spawn.parent = s.node)
-SELECT scored.parent, scored.child, event_type, round(greatest(anomaly_score, 1 - exp(-(CASE WHEN event_type = 'spawn' THEN coalesce(s, 0) ELSE -ln(greatest(1 - anomaly_score, 0.01)) + 0.2 * coalesce(s, 0) END))), 4) AS score
-FROM scored LEFT JOIN s ON s.node = CASE WHEN event_type = 'spawn' THEN scored.child ELSE scored.parent END""")
+@query("v4_diffuse", f"WITH RECURSIVE {PROC}, {_diffused('scored', 'd.tenant_id, d.parent, d.child, event_type')} SELECT * FROM diffused")
 def diffuse(spark, d):
-    return pv.diffuse(_scored(spark, d)).select("parent", "child", "event_type", F.col("anomaly_score").alias("score"))
+    return pv.diffuse(_scored(spark, d)).select("tenant_id", "parent", "child", "event_type", F.col("anomaly_score").alias("score"))
+
+
+def _roots(lineage):
+    return lineage.where("parent_guid = ''").select("tenant_id", F.col("process_guid").alias("start"))
 
 
 def _peers(spark, d):
-    p = process_events(spark, d)
-    line, edge, freq = written(pv.build_lineage(p), "lineage"), written(pv.build_edges(p), "edges"), written(pv.build_frequency(p), "frequency")
-    tree = line.where("process_guid in ('p4', 'p8', 'p12', 'p30')").select("process_guid")
-    return pv.reconnect(tree, edge, line, freq)
+    """(lineage, tree, peers): the trees of all roots and the processes that share artifacts with them."""
+    line, edge, freq = (written(x, n) for x, n in zip(_built(spark, d), ("lineage", "edges", "frequency"), strict=True))
+    tree = graph.tree_ids(line, "process_guid", "parent_guid", _roots(line), 4, scope=["tenant_id"]).withColumnRenamed("id", "process_guid")
+    return line, tree, pv.reconnect(tree, edge, line, freq)
 
 
-@query("v5_reconnect")
+@query("v5_reconnect", f"{PEERS} SELECT * FROM peers")
 def reconnect(spark, d):
-    return _peers(spark, d)
+    return _peers(spark, d)[2]
 
 
-@query("v6_rank_peers")
+@query("v6_rank_peers", f"{PEERS} SELECT * FROM peers WHERE (tenant_id, peer_guid) IN (SELECT (tenant_id, peer_guid) FROM ranked WHERE r <= 20)")
 def rank(spark, d):
-    return pv.rank_peers(_peers(spark, d), 20)
+    return pv.rank_peers(_peers(spark, d)[2], 20)
+
+
+@query("v7_expand_tree", f"{PEERS}, {BRIDGES(50)}, {EXPANDED} SELECT tenant_id, guid AS process_guid FROM expanded")
+def expand(spark, d):
+    line, tree, found = _peers(spark, d)
+    return pv.expand_tree(line, tree, written(pv.rank_peers(found), "peers"))
 
 
-@query("v8_bridge_edges")
+@query("v8_bridge_edges", f"{PEERS}, {BRIDGES(20)} SELECT * FROM bridges")
 def bridge(spark, d):
-    return pv.bridge_edges(pv.rank_peers(_peers(spark, d), 20))
+    return pv.bridge_edges(pv.rank_peers(_peers(spark, d)[2], 20))
 
 
-@query("v9_provenance")
+@query("v9_provenance", f"""{PEERS}, {BRIDGES(50)}, {EXPANDED},
+part AS (SELECT s.* FROM scored s SEMI JOIN expanded x ON x.tenant_id = s.tenant_id AND x.guid = CASE WHEN s.event_type = 'spawn' THEN s.child ELSE s.parent END),
+gated AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY event_type = 'spawn', tenant_id, parent ORDER BY anomaly_score DESC, child, event_type) AS r FROM part WHERE event_type = 'spawn' OR anomaly_score >= 0.05) WHERE event_type = 'spawn' OR r <= 64),
+{_diffused("gated", "d.tenant_id, d.parent, d.child, event_type, label")}
+SELECT tenant_id, parent, child, event_type, label, score AS anomaly_score FROM diffused WHERE event_type = 'spawn' OR score >= 0.7
+UNION ALL SELECT * FROM bridges""")
 def whole(spark, d):
     p = process_events(spark, d)
-    return pv.provenance(p, p.where("process_guid = 'p4'").select(F.col("process_guid").alias("start")), depth=6)
+    return pv.provenance(p, _roots(pv.build_lineage(p)), depth=4)
 
 
 @query("m1_model_source", "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages WHERE prefix(url, 'https') AND strlen(regexp_extract(url, '://([^/?#]+)', 1)) >= 5")
@@ -204,12 +247,37 @@ def context(spark, d):
     return models.network_context(connections(spark, d))
 
 
-@query("m12_score_pairs")
-def pairs(spark, d):
-    return models.score_pairs(models.network_state(connections(spark, d), "src", "dst", "port", "ts", "size", "duration"), 90 * 86_400)
+_UNIT = lambda x: f"least(greatest({x}, 0), 1)"
+#: Scores of every pair, from all its times and sizes.
+BEACON = f"""c AS (SELECT CAST(l_suppkey AS VARCHAR) AS src, CAST(l_partkey % 50 AS VARCHAR) AS dst, CAST(epoch(l_shipdate) AS BIGINT) AS sec, CAST(l_quantity AS DOUBLE) AS size, l_quantity * 60 AS duration FROM lineitem),
+p AS (SELECT src, dst, count(*) AS n, sum(duration) AS duration, min(sec) AS f, max(sec) AS l FROM c GROUP BY 1, 2 HAVING count(*) < 7776000),
+gap AS (SELECT src, dst, CAST(sec - lag(sec) OVER (PARTITION BY src, dst ORDER BY sec) AS DOUBLE) AS v FROM (SELECT DISTINCT src, dst, sec FROM c)),
+v AS (SELECT src, dst, 'ts' AS kind, v FROM gap WHERE v IS NOT NULL UNION ALL SELECT src, dst, 'ds', size FROM c),
+q AS (SELECT src, dst, kind, count(*) AS k, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM v GROUP BY 1, 2, 3),
+m AS (SELECT src, dst, kind, quantile_cont(abs(v - b), 0.5) AS mad FROM v JOIN q USING (src, dst, kind) GROUP BY 1, 2, 3),
+d AS (SELECT src, dst, kind, CASE WHEN k < 3 THEN 0 ELSE (CASE WHEN c = a THEN 1 ELSE {_UNIT(f"1 - abs((c + a - 2 * b) / (c - a)) * CASE WHEN b >= 1 THEN {_UNIT('(c - a) / b / 0.1')} ELSE 1 END")} END + CASE WHEN b >= 1 THEN {_UNIT("(b - mad) / b")} ELSE 0 END) / 2 END AS s FROM q JOIN m USING (src, dst, kind)),
+b AS (SELECT src, dst, sec % 86400 // 3600 AS hour, count(*) AS n FROM c GROUP BY 1, 2, 3),
+h AS (SELECT src, dst, sum(n) AS points, count(*) AS hours, sqrt((sum((n - points / 24) ** 2) + (24 - count(*)) * (max(points) / 24) ** 2) / 24) / (max(points) / 24) AS cv FROM b JOIN (SELECT src, dst, sum(n) AS points FROM b GROUP BY 1, 2) USING (src, dst) GROUP BY 1, 2),
+s AS (SELECT src, dst, p.n, p.duration, points, coalesce((SELECT s FROM d WHERE d.src = p.src AND d.dst = p.dst AND kind = 'ts'), 0) AS ts, coalesce((SELECT s FROM d WHERE d.src = p.src AND d.dst = p.dst AND kind = 'ds'), 0) AS ds,
+ greatest({_UNIT("(l - f) / 7776000")}, hours / 24) AS dur, CASE WHEN cv > 1 THEN 0 ELSE {_UNIT("1 - cv")} END AS hist FROM p JOIN h USING (src, dst)),
+beacons AS (SELECT src, dst, n, duration, CASE WHEN points >= 4 THEN round({_UNIT("0.25 * ts + 0.25 * ds + 0.25 * dur + 0.25 * hist")}, 3) ELSE 0 END AS beacon, CASE WHEN points >= 4 THEN round(ts, 3) ELSE 0 END AS ts_score, CASE WHEN points >= 4 THEN round(ds, 3) ELSE 0 END AS ds_score, CASE WHEN points >= 4 THEN round(dur, 3) ELSE 0 END AS dur_score, CASE WHEN points >= 4 THEN round(hist, 3) ELSE 0 END AS hist_score FROM s)""".replace("sum(n) AS points, count(*) AS hours, sqrt((sum((n", "max(points) AS points, count(*) AS hours, sqrt((sum((n")
+TIERS = "CASE WHEN t < 3600 THEN 0.0 WHEN t < 14400 THEN 0.25 * (t - 3600) / 10800 WHEN t < 28800 THEN 0.25 + 0.25 * (t - 14400) / 14400 WHEN t < 43200 THEN 0.5 + 0.25 * (t - 28800) / 14400 ELSE least(1.0, 0.75 + 0.25 * (t - 43200) / 43200) END"
 
 
-TIERS = "CASE WHEN t < 3600 THEN 0.0 WHEN t < 14400 THEN 0.25 * (t - 3600) / 10800 WHEN t < 28800 THEN 0.25 + 0.25 * (t - 14400) / 14400 WHEN t < 43200 THEN 0.5 + 0.25 * (t - 28800) / 14400 ELSE least(1.0, 0.75 + 0.25 * (t - 43200) / 43200) END"
+@query("m8_beacon_score", f"WITH {BEACON} SELECT src, dst, n, beacon, ts_score, ds_score, dur_score, hist_score FROM beacons")
+def beacon(spark, d):
+    c = connections(spark, d)
+    own = c.groupBy("src", "dst", "port").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.unix_seconds("ts"))).alias("ts"), F.collect_list(F.col("size").cast("double")).alias("sizes"), F.unix_seconds(F.min("ts")).alias("first_ts"), F.unix_seconds(F.max("ts")).alias("last_ts"))
+    return models.beacon_score(own, 90 * 86_400).select("src", "dst", "n", "beacon", "ts_score", "ds_score", "dur_score", "hist_score")
+
+
+@query("m12_score_pairs", f"""WITH {BEACON}, x AS (SELECT dst, count(DISTINCT src) AS sources FROM c GROUP BY 1), y AS (SELECT count(DISTINCT src) AS every FROM c),
+z AS (SELECT src, dst, '443' AS port, n, beacon, ts_score, ds_score, dur_score, hist_score, round({TIERS.replace("t <", "duration <").replace("(t -", "(duration -")}, 3) AS long_conn, sources / every AS share FROM beacons JOIN x USING (dst), y),
+w AS (SELECT * EXCLUDE (share), round(share, 4) AS prevalence, round({_UNIT("greatest(beacon, long_conn) + CASE WHEN share > 0 AND share <= 0.02 THEN 0.15 WHEN share >= 0.5 THEN -0.15 ELSE 0 END")}, 3) AS score FROM z)
+SELECT *, CASE WHEN score > 0.8 THEN 'critical' WHEN score > 0.6 THEN 'high' WHEN score > 0.4 THEN 'medium' WHEN score > 0.2 THEN 'low' ELSE 'none' END AS severity FROM w""")
+def pairs(spark, d):
+    state = written(models.network_state(connections(spark, d), "src", "dst", "port", "ts", "size", "duration"), "network")
+    return models.score_pairs(state, 90 * 86_400)
 
 
 @query("m9_long_conn", f"WITH p AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, sum(l_quantity * 60) AS t FROM lineitem GROUP BY 1, 2) SELECT src, dst, round({TIERS}, 3) AS score FROM p")
@@ -228,13 +296,13 @@ def severity(spark, d):
     return events(spark, d).select("event_id", models.severity_tier(F.col("value") / 100).alias("tier"))
 
 
-@query("m13_backfill", "SELECT CAST(ts AS DATE) AS day, event_type AS part, count(*) AS rows, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+@query("m13_backfill", "SELECT CAST(ts AS DATE) AS day, event_type AS part, count(*) AS rows, count(DISTINCT user_id) AS users FROM events WHERE ts < TIMESTAMP '2024-01-13' GROUP BY 1, 2")
 def backfill(spark, d):
     path = folder(spark, "rarity")
     e = events(spark, d)
     state = lambda rows: models.rarity_state(rows, "event_type", "user_id", "ts")
-    models.backfill(e, "day", path, state)
-    models.backfill(e.where("ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12'"), "day", path, state)  # runs again: days are replaced
+    models.backfill(e, "ts", path, state, date(2024, 1, 1), date(2024, 1, 9))
+    models.backfill(e, "ts", path, state, date(2024, 1, 1), date(2024, 1, 12))  # goes on where the first ended
     return spark.read.parquet(path).groupBy("day", "part").agg(F.sum("n").alias("rows"), F.count_distinct("value").alias("users"))
 
 
@@ -277,13 +345,14 @@ def archive_search(spark, d):
     return rows.select("log_id").crossJoin(F.broadcast(hit))  # one row
 
 
-@query("a17_compact_archive", "SELECT 't' || (user_id % 3) AS tenant_id, CAST(ts AS DATE) AS ingest_date, count(*) AS n FROM events GROUP BY 1, 2")
+@query("a17_compact_archive", "SELECT 't' || (user_id % 3) AS tenant_id, CAST(ts AS DATE) AS ingest_date, count(*) AS n, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-20' THEN 1 ELSE least(2, count(DISTINCT event_id % 2)) END AS files FROM events GROUP BY 1, 2")
 def compact(spark, d):
-    path = _archived(spark, d)
-    archive.write_archive(logs(spark, d).where("false").select("timestamp", "log_id", "tenant_id", "ingest_date", "fields"), path, ("user", "src_ip"))
-    chosen = archive.small_partitions(archive.read_archive(spark, path), 64 << 20, date(2024, 1, 20))
-    archive.compact(spark, path, chosen)
-    return archive.read_archive(spark, path).groupBy("tenant_id", "ingest_date").agg(F.count("*").alias("n"))
+    path = folder(spark, "archive")
+    rows = logs(spark, d).select("event_id", "timestamp", "log_id", "tenant_id", "ingest_date", "fields")
+    for k in (0, 1):  # two files a day
+        archive.write_archive(rows.where(F.col("event_id") % 2 == k).drop("event_id"), path, ("user", "src_ip"))
+    archive.compact(spark, path, archive.small_partitions(archive.read_archive(spark, path), 64 << 20, date(2024, 1, 20)))
+    return archive.read_archive(spark, path).groupBy("tenant_id", "ingest_date").agg(F.count("*").alias("n"), F.count_distinct("_metadata.file_path").alias("files"))
 
 
 @query("a18_scan_estimate", "SELECT count(*) AS rows, true AS some FROM events")
@@ -298,11 +367,13 @@ def _stream(spark, d):
     return spark.readStream.schema(logs(spark, d).schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("x1_ingest_stream", "SELECT 't' || (user_id % 3) AS tenant_id, CAST(ts AS DATE) AS ingest_date, count(*) AS n FROM events GROUP BY 1, 2")
+@query("x1_ingest_stream", "SELECT 't' || (user_id % 3) AS tenant_id, CAST(ts AS DATE) AS ingest_date, 'web@1' AS normalizer, event_type AS act, date_trunc('second', ts) AS timestamp, count(*) AS n FROM events GROUP BY 1, 2, 4, 5")
 def ingest(spark, d):
     out = folder(spark, "ingested")
-    jobs.ingest_stream(_stream(spark, d).select("timestamp", "log_id", "tenant_id", "ingest_date", "fields"), out, folder(spark, "cp")).awaitTermination()
-    return spark.read.parquet(out).groupBy("tenant_id", "ingest_date").agg(F.count("*").alias("n"))
+    raw = _stream(spark, d).select(F.to_json(F.struct(F.col("event_type").alias("webAction"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("time"))).alias("value"), "tenant_id", F.col("timestamp").alias("arrival"))
+    rows = jobs.normalized_stream(raw, "value", "arrival", "tenant_id", mapping={"act": ["web_action"]}, normalizer="web@1")
+    jobs.ingest_stream(rows, out, folder(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).groupBy("tenant_id", "ingest_date", "normalizer", F.col("fields")["act"].alias("act"), "timestamp").agg(F.count("*").alias("n"))
 
 
 @query("x2_baseline_stream", "SELECT user_id AS entity, count(*) AS n, min(ts) AS first_seen FROM events WHERE user_id IS NOT NULL GROUP BY 1")
@@ -344,11 +415,11 @@ def look_back(spark, d):
 
 
 @query("x7_throttle", """
-WITH RECURSIVE s AS (SELECT DISTINCT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE user_id % 10 = 0), k AS (SELECT event_type, min(t) AS t FROM s GROUP BY 1
+WITH RECURSIVE s AS (SELECT DISTINCT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), k AS (SELECT event_type, min(t) AS t FROM s GROUP BY 1
  UNION ALL SELECT event_type, (SELECT min(s.t) FROM s WHERE s.event_type = k.event_type AND s.t >= k.t + 21600) FROM k WHERE k.t IS NOT NULL)
 SELECT event_type, make_timestamp(t * 1000000) AS ts FROM k WHERE t IS NOT NULL""")
 def throttle(spark, d):
-    return jobs.throttle(events(spark, d).where("user_id % 10 = 0"), ["event_type"], "ts", 21_600)
+    return jobs.throttle(events(spark, d), ["event_type"], "ts", 21_600)
 
 
 @query("x8_forward_hits", "SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS source, 'alerts' AS tenant_id, 'big' AS alert, CAST(user_id AS VARCHAR) AS actor FROM events WHERE value > 95")
@@ -359,4 +430,4 @@ def forward(spark, d):
 
 @query("x9_hits_to_dictionary", "SELECT user_id, max(event_type) AS event_type FROM events WHERE user_id IS NOT NULL AND value > 80 GROUP BY 1 ORDER BY 1 LIMIT 1000")
 def to_dictionary(spark, d):
-    return jobs.hits_to_dictionary(events(spark, d).where("value > 80"), ["user_id", "event_type"])
+    return jobs.hits_to_dictionary(events(spark, d).where("value > 80"), ["user_id", "event_type"], 1000)

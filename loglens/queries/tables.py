@@ -24,14 +24,16 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as process telemetry: a third starts processes under earlier ones, the others touch files, addresses and names."""
+    """Events as process telemetry: half start processes under earlier ones, the others touch files, addresses and names.
+
+    Each tree is a tenant's own."""
     e = events(spark, sf_dir)
     n, user = F.col("event_id"), F.col("user_id")
     kind = F.element_at(F.array(*(F.lit(k) for k in ("process_creation", "file_write", "process_creation", "network_connect", "process_creation", "dns_query", "process_creation", "process_access", "process_creation", "remote_thread"))), (n % 10 + 1).cast("int"))
     image = lambda x: F.concat(F.lit("C:\\Users\\u"), user % 7, F.lit("\\app"), x % 13, F.lit(".exe"))
     even = n - n % 2
     return e.select(
-        F.concat(F.lit("t"), F.lit("0")).alias("tenant_id"), F.col("ts").alias("timestamp"), F.lpad(n.cast("string"), 12, "0").alias("log_id"), kind.alias("category"),
+        F.concat(F.lit("t"), F.substring(F.conv(F.floor(n / 2).cast("string"), 10, 3), 1, 1)).alias("tenant_id"), F.col("ts").alias("timestamp"), F.lpad(n.cast("string"), 12, "0").alias("log_id"), kind.alias("category"),
         F.concat(F.lit("p"), even).alias("process_guid"), F.when(n >= 6, F.concat(F.lit("p"), F.floor(n / 6).cast("long") * 2)).otherwise("").alias("parent_guid"),
         image(even).alias("image"), image(F.floor(n / 6) * 2).alias("parent_image"), F.concat(F.lit("host"), user % 5).alias("computer_name"),
         image(n + 1).alias("target_file"), F.concat(F.lit("93.184."), n % 5, F.lit("."), user % 9).alias("dst_ip"), F.concat(F.lit("d"), n % 40, F.lit(".example.com.")).alias("query"), image(n + 3).alias("target_image"),
