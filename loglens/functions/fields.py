@@ -21,7 +21,8 @@ def first_entries(names: Column, values: Column) -> Column:
         return let(at, lambda ix: F.map_from_arrays(F.transform(ix, lambda i: F.element_at(z["n"], i)), F.transform(ix, lambda i: F.element_at(z["v"], i))))
 
     empty = F.from_json(F.lit("{}"), "map<string,string>")
-    return let(F.struct(names.alias("n"), values.alias("v")), lambda z: F.when(F.size(z["n"]) > 0, chosen(z)).otherwise(empty))
+    alone = lambda z: F.size(F.array_distinct(z["n"])) == F.size(z["n"])
+    return let(F.struct(names.alias("n"), values.alias("v")), lambda z: F.when(F.size(z["n"]) == 0, empty).when(alone(z), F.map_from_arrays(z["n"], z["v"])).otherwise(chosen(z)))
 
 
 def field(df: DataFrame, name: str, fields: str = "fields") -> Column:
@@ -59,8 +60,3 @@ def lenient_timestamp(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:s
 def log_id(when: Column, raw: Column) -> Column:
     """The first 16 bytes of a digest of the time in nanoseconds and the raw text, as hex."""
     return F.substring(F.sha2(F.concat_ws(":", (F.unix_micros(when) * 1000).cast("string"), raw), 256), 1, 32)
-
-
-def canonical(fields: Column) -> Column:
-    """The text that is searched: the fields as JSON."""
-    return F.to_json(fields)

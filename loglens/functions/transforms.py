@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fields import numn
+
 # Specifiers of time formats and Spark's patterns for them.
 SPECIFIERS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%a": "EEE", "%b": "MMM", "%R": "HH:mm"}
 
@@ -21,14 +24,9 @@ def strftime(c: Column, fmt: str, tz: str = "UTC") -> Column:
     return F.coalesce(F.date_format(F.from_utc_timestamp(c, tz), out), F.lit(""))
 
 
-def math(expression: str) -> Column:
-    """Arithmetic over fields; what isn't a number, and a division by zero, gives null."""
-    names = set(re.findall(r"[A-Za-z_]\w*", expression))
-    for name in sorted(names, key=len, reverse=True):
-        expression = re.sub(rf"\b{name}\b", f"try_cast(`{name}` AS DOUBLE)", expression)
-    while (new := re.sub(r"(\S+\([^()]*\)|[\w.]+)\s*/\s*(\S+\([^()]*\)|[\w.]+)", r"try_divide(\1, \2)", expression)) != expression:
-        expression = new
-    return F.expr(expression)
+def divide(a: Column, b: Column) -> Column:
+    """Null where the divisor is 0 or either is no number."""
+    return F.try_divide(numn(a), numn(b))
 
 
 def case_when(branches: list[tuple[Column, object]], default: object = None) -> Column:
@@ -47,10 +45,6 @@ def regex_groups(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.withColumns({n: F.regexp_extract(column, plain, i + 1) for i, n in enumerate(names)})
 
 
-def regex_first(c: Column, pattern: str) -> Column:
-    return F.regexp_extract(c, "(?s)" + pattern, 1 if re.search(r"(?<!\\)\((?!\?)", pattern) else 0)
-
-
 def regex_all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit("(?s)" + pattern), F.lit(1 if re.search(r"(?<!\\)\((?!\?)", pattern) else 0))
 
@@ -64,8 +58,8 @@ def concat_fields(*columns: Column) -> Column:
 
 
 def hash_key(*columns: Column) -> Column:
-    """Equal fields, equal keys; digests are this engine's own."""
-    return F.lower(F.hex(F.xxhash64(*columns)))
+    """Equal fields, equal keys; a null is a value of its own. Digests are this engine's own."""
+    return F.lower(F.hex(F.xxhash64(*columns, *(c.isNull() for c in columns))))
 
 
 def byte_length(c: Column) -> Column:
@@ -98,15 +92,58 @@ def damerau_levenshtein(a: str, b: str) -> int:
     return d[-1][-1]
 
 
+def _distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """damerau_levenshtein() of many pairs of code points: the table's cells in order, all pairs at once."""
+    n, wide, high = len(a), max(map(len, a)), max(map(len, b))
+    x, y = np.full((n, wide), -1, np.int64), np.full((n, high), -2, np.int64)
+    for r, (p, q) in enumerate(zip(a, b, strict=True)):
+        x[r, : len(p)], y[r, : len(q)] = p, q
+    d = np.zeros((wide + 1, high + 1, n), np.int32)
+    d[:, 0], d[0] = np.arange(wide + 1)[:, None], np.arange(high + 1)[:, None]
+    before, every = np.zeros((high, n), np.int64), np.arange(n)
+    for i in range(1, wide + 1):
+        match = np.zeros(n, np.int64)
+        for j in range(1, high + 1):
+            same, k = x[:, i - 1] == y[:, j - 1], before[j - 1]
+            turned = np.where((k > 0) & (match > 0), d[k - 1, match - 1, every] + (i - k - 1) + 1 + (j - match - 1), wide + high)
+            d[i, j] = np.minimum(np.minimum(d[i - 1, j - 1] + ~same, turned), np.minimum(d[i - 1, j], d[i, j - 1]) + 1)
+            match = np.where(same, j, match)
+            before[j - 1] = np.where(same, i, k)
+    return d[[len(p) for p in a], [len(q) for q in b], every]
+
+
+#: Cells of the tables that are filled together, and pairs from which that is faster than one by one.
+CELLS, TOGETHER = 4_000_000, 24
+
+
 @F.pandas_udf(T.IntegerType())
 def _edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else damerau_levenshtein(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    out = np.full(len(a), -1, np.int64)
+    rows = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    points = [[np.frombuffer(x.encode("utf-32-le"), "<u4") for x in s.iloc[rows]] for s in (a, b)]
+    order = np.argsort([max(len(p), len(q)) for p, q in zip(*points, strict=True)], kind="stable") if len(rows) else []
+    at = 0
+    while at < len(order):
+        to, cells = at, 0
+        while to < len(order) and (to == at or cells <= CELLS):  # ordered by length, so the last one bounds the table
+            i = order[to]
+            longest = max(len(points[0][i]), len(points[1][i])) + 1
+            to, cells = to + 1, (to + 1 - at) * longest * longest
+        own = order[at:to]
+        if len(own) >= TOGETHER:
+            out[rows[own]] = _distances([points[0][i] for i in own], [points[1][i] for i in own])
+        else:
+            for i in own:
+                out[rows[i]] = damerau_levenshtein(a.iloc[rows[i]], b.iloc[rows[i]])
+        at = to
+    return pd.Series(out, dtype="Int32").mask(out < 0)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Damerau-Levenshtein. Where no transposition can help (native distance below 2), it stays native."""
+    """Damerau-Levenshtein. Where no transposition can help (native distance below 2), Python gets nulls only."""
     native = F.levenshtein(a, b)
-    return F.when(native < 2, native).otherwise(_edit_distance(a, b))
+    asked = lambda c: F.when(native >= 2, c)
+    return F.coalesce(_edit_distance(asked(a), asked(b)), native)
 
 
 def base64_decode(c: Column) -> Column:
@@ -131,8 +168,10 @@ def coalesce_nonempty(*columns: Column) -> Column:
 
 
 def sprintf(fmt: str, *columns: Column) -> Column:
-    """Null texts print as ''; numbers keep their types."""
-    return F.format_string(fmt, *columns)
+    """printf with % specifiers. Null texts (%s) print as '' and null numbers as 0."""
+    kinds = [k for k in re.findall(r"%[-+# 0,(]*\d*(?:\.\d+)?([a-zA-Z%])", fmt) if k not in "%n"]
+    filled = [F.coalesce(c.cast("string"), F.lit("")) if k in "sS" else F.coalesce(c, F.lit(0)) for k, c in zip(kinds, columns, strict=True)]
+    return F.format_string(fmt, *filled)
 
 
 def attack_tags(*columns: Column) -> Column:

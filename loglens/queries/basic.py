@@ -57,19 +57,22 @@ SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'local0' END AS facil
  CASE event_id % 3 WHEN 2 THEN 'plain ' || event_type ELSE event_type END AS message FROM events""")
 def a4(spark, d):
     host = F.concat(F.lit("srv"), F.col("user_id") % 5)
-    new = F.concat(F.lit("<134>1 2024-02-28T10:15:30.123Z "), host, F.lit(" app 12 ID47 - "), F.col("event_type"))
-    old = F.concat(F.lit("<134>Feb 28 10:15:30 "), host, F.lit(" app[12]: "), F.col("event_type"))
+    new = F.concat(F.lit("<134>1 2024-03-05T07:41:02.250Z "), host, F.lit(" app 12 EV9 - "), F.col("event_type"))
+    old = F.concat(F.lit("<134>Mar  5 07:41:02 "), host, F.lit(" app[12]: "), F.col("event_type"))
     line = F.when(F.col("event_id") % 3 == 0, new).when(F.col("event_id") % 3 == 1, old).otherwise(F.concat(F.lit("plain "), F.col("event_type")))
     rows = readers.parse_syslog(events(spark, d).select("event_id", line.alias("value")))
     return rows.select("event_id", *(F.col("fields")[k].alias(k) for k in ("facility", "severity", "hostname", "app_name", "message")))
 
 
-@query("a5_parse_bulk", "SELECT CAST(event_id AS VARCHAR) AS id, CASE event_id % 4 WHEN 0 THEN 'index' ELSE 'create' END AS action FROM events WHERE event_id % 4 < 2")
+@query("a5_parse_bulk", """SELECT CAST(event_id AS VARCHAR) AS id, CASE event_id % 4 WHEN 0 THEN 'index' ELSE 'create' END AS action, CASE WHEN event_id % 3 = 0 THEN '{}' WHEN event_id % 3 = 1 THEN '5' END AS looks FROM events WHERE event_id % 4 < 2""")
 def a5(spark, d):
     act = F.element_at(F.array(*(F.lit(x) for x in ("index", "create", "update", "delete"))), (F.col("event_id") % 4 + 1).cast("int"))
-    body = F.concat(F.lit('{"'), act, F.lit('":{}}\n'), F.when(act == "delete", "").otherwise(F.concat(F.lit('{"id":'), F.col("event_id"), F.lit("}\n"))), F.lit('{"delete":{"_id":"1"}}\n'))
+    # two thirds of the documents begin like an action
+    first = F.element_at(F.array(F.lit('{"create":{},"id":'), F.lit('{"index":5,"id":'), F.lit('{"id":')), (F.col("event_id") % 3 + 1).cast("int"))
+    document = F.when(act == "delete", "").when(act == "update", '{"doc":{}}\n').otherwise(F.concat(first, F.col("event_id"), F.lit("}\n")))
+    body = F.concat(F.lit('{"'), act, F.lit('":{}}\n\n'), F.lit('{"'), act, F.lit('":{}}\n'), document, F.lit('{"delete":{"_id":"1"}}\n'))
     rows = readers.parse_bulk(events(spark, d).select(body.alias("value")))
-    return rows.select(F.col("fields")["id"].alias("id"), "action")
+    return rows.select(F.col("fields")["id"].alias("id"), "action", F.coalesce(F.col("fields")["create"], F.col("fields")["index"]).alias("looks"))
 
 
 @query("a6_parse_otlp", "SELECT event_type AS message, 'svc' || (user_id % 3) AS service, 'lib' AS scope, CAST(event_id AS VARCHAR) AS id FROM events")
@@ -130,9 +133,10 @@ def a16(spark, d):
     return archive.rollover(days, 20_000)
 
 
-@query("n1_build_fields", """SELECT event_id, '{"k":1}' AS nested, '' AS nothing, '12' AS n FROM events""")
+@query("n1_build_fields", """SELECT event_id, '{"k":"' || event_type || '"}' AS nested, '' AS nothing, CAST(user_id AS VARCHAR) AS n FROM events""")
 def n1(spark, d):
-    return events(spark, d).select("event_id", readers.string_map(F.lit('{"nested":{"k":1},"nothing":null,"n":12}')).alias("f")).select("event_id", *(F.col("f")[k].alias(k) for k in ("nested", "nothing", "n")))
+    text = F.concat(F.lit('{"nested":{"k":"'), F.col("event_type"), F.lit('"},"nothing":null,"n":'), F.col("user_id"), F.lit("}"))
+    return events(spark, d).select("event_id", readers.string_map(text).alias("f")).select("event_id", *(F.col("f")[k].alias(k) for k in ("nested", "nothing", "n")))
 
 
 @query("n2_flatten", "SELECT event_id, CAST(event_id AS VARCHAR) AS a_b_c, event_type AS a_d, 'x' AS l_0_v FROM events")
@@ -236,7 +240,7 @@ def p2(spark, d):
 @query("p3_assign", "SELECT event_id, round(value * 2 + user_id / nullif(event_id % 5, 0), 6) AS m, TRY_CAST(event_type AS DOUBLE) AS none FROM events")
 def p3(spark, d):
     own = events(spark, d).withColumn("k", F.col("event_id") % 5)
-    return own.select("event_id", F.round(t.math("value * 2 + user_id / k"), 6).alias("m"), ff.numn(F.col("event_type")).alias("none"))
+    return own.select("event_id", F.round(ff.numn(F.col("value")) * 2 + t.divide(F.col("user_id"), F.col("k")), 6).alias("m"), ff.numn(F.col("event_type")).alias("none"))
 
 
 @query("p4_case_when", "SELECT event_id, CASE WHEN value > 80 THEN 'high' WHEN value > 40 THEN upper(event_type) ELSE 'low' END AS band FROM events")
@@ -280,9 +284,10 @@ def p11(spark, d):
     return events(spark, d).select("event_id", t.concat_fields(F.col("event_type"), F.col("user_id")).alias("c"))
 
 
-@query("p12_hash_key", "SELECT count(*) AS n, count(DISTINCT event_type || ':' || user_id) AS keys FROM events")
+@query("p12_hash_key", "SELECT count(*) AS n, count(DISTINCT event_type || ':' || user_id) AS keys, 2 * count(DISTINCT event_type) AS halves FROM events")
 def p12(spark, d):
-    return events(spark, d).agg(F.count("*").alias("n"), F.count_distinct(t.hash_key(F.col("event_type"), F.col("user_id"))).alias("keys"))
+    half = [F.when(F.col("event_id") % 2 == k, F.col("event_type")) for k in (0, 1)]  # one of the two is null
+    return events(spark, d).agg(F.count("*").alias("n"), F.count_distinct(t.hash_key(F.col("event_type"), F.col("user_id"))).alias("keys"), F.count_distinct(t.hash_key(*half)).alias("halves"))
 
 
 @query("p13_len", "SELECT doc_id, strlen(text) AS bytes FROM documents")
@@ -325,9 +330,9 @@ def p20(spark, d):
     return events(spark, d).select("event_id", t.coalesce_nonempty(F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type")), F.lit("z")).alias("c"))
 
 
-@query("p21_sprintf", "SELECT event_id, printf('%s-%d', event_type, user_id) AS s FROM events")
+@query("p21_sprintf", "SELECT event_id, printf('%s-%d', coalesce(nullif(event_type, 'click'), ''), user_id) AS s FROM events")
 def p21(spark, d):
-    return events(spark, d).select("event_id", t.sprintf("%s-%d", F.coalesce("event_type", F.lit("")), F.col("user_id")).alias("s"))
+    return events(spark, d).select("event_id", t.sprintf("%s-%d", F.nullif(F.col("event_type"), F.lit("click")), F.col("user_id")).alias("s"))
 
 
 TAGGED = "CASE event_id % 3 WHEN 0 THEN 'attack.t1059 x T1543.003' WHEN 1 THEN 'attack.execution' ELSE 'none' END"
@@ -378,10 +383,10 @@ def l7(spark, d):
     return order.page_after(logs(spark, d), 50, (datetime(2024, 1, 15), "000000000500")).select("event_id")
 
 
-@query("j1_correlate", "SELECT event_id, c AS _join_c FROM events JOIN (SELECT user_id, count(*) AS c FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY user_id LIMIT 1000) USING (user_id)")
+@query("j1_correlate", "SELECT event_id, c AS _join_c FROM events JOIN (SELECT user_id, count(*) AS c FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (user_id)")
 def j1(spark, d):
     e = events(spark, d)
-    return enrich.correlate(e, e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("c")), ["user_id"], most=1000).select("event_id", "_join_c")
+    return enrich.correlate(e, e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("c")), ["user_id"]).select("event_id", "_join_c")
 
 
 @query("j2_lookup", "SELECT c_custkey, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 #: Fields that get a column of their own, so that Parquet's statistics and filters work on them.
 PROMOTED = ("computer_name", "user", "src_ip", "dst_ip", "image")
 
@@ -29,10 +32,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_search(archive: DataFrame, first: date, last: date, operator, limit: int = 250) -> tuple[DataFrame, DataFrame]:
-    """(rows, one row with limit_hit): any operator over the days' distinct rows, capped."""
-    rows = operator(archive.where(F.col("ingest_date").between(F.lit(first), F.lit(last))).dropDuplicates(["log_id"]))
-    one_more = rows.limit(limit + 1)
-    return rows.limit(limit), one_more.agg((F.count("*") > limit).alias("limit_hit"))
+    """(rows, one row with limit_hit): any operator over the days' distinct rows, capped.
+
+    The search runs once: one row more than the limit is written, in the operator's order, and read for both.
+    """
+    found = operator(archive.where(F.col("ingest_date").between(F.lit(first), F.lit(last))).dropDuplicates(["log_id"])).limit(limit + 1)
+    found = written(found.withColumn("_n", F.monotonically_increasing_id()), "search")  # a limit leaves one partition, in order
+    place = F.row_number().over(Window.orderBy("_n"))  # limit + 1 rows
+    return found.withColumn("_n", place).where(F.col("_n") <= limit).orderBy("_n").drop("_n"), found.agg((F.count("*") > limit).alias("limit_hit"))
 
 
 def restore(archive: DataFrame, hot: DataFrame, start, end, time: str = "timestamp", key: str = "log_id", target: str | None = None) -> DataFrame:
@@ -64,9 +71,10 @@ def rollover(days: DataFrame, quota: int, tenant: str = "tenant", day: str = "da
 def delete_partitions(spark: SparkSession, path: str, partitions: DataFrame, columns: tuple[str, ...] = ("tenant_id", "ingest_date")) -> int:
     """Delete whole partitions through the file system of the path; the list is one row for each, not for each event."""
     jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     n = 0
     for r in partitions.select(*columns).distinct().toLocalIterator():
-        p = jvm.org.apache.hadoop.fs.Path(path + "/" + "/".join(f"{c}={r[c]}" for c in columns))
+        p = jvm.org.apache.hadoop.fs.Path(path + "/" + "/".join(f"{c}={name(str(r[c]))}" for c in columns))
         n += p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     return n
 
@@ -88,11 +96,33 @@ def small_partitions(archive: DataFrame, target: int, before: date, budget: int
 
 
 def compact(spark: SparkSession, path: str, chosen: DataFrame, target: int = 512 << 20) -> None:
-    """Rewrite the chosen partitions into files near the target size, in a new folder, then swap them in."""
-    total = chosen.agg(F.sum("bytes")).first()[0]
+    """Rewrite the files of the chosen partitions into files near the target size.
+
+    What is rewritten is a list of files, kept in the shared folder, so rows that are appended meanwhile stay.
+    New files are written beside the archive and renamed into it; then those of the list are deleted. A
+    failure in between leaves rows twice, never none, and archive_search() and restore() take each once.
+    The driver renames and deletes files by name; rows never pass through it.
+    """
+    by = ["tenant_id", "ingest_date"]
+    place = F.col("_metadata.file_path").alias("_file")
+    files = read_archive(spark, path).select(*by, place, F.col("_metadata.file_size").alias("_size")).distinct().join(chosen.select(*by), by, "left_semi")
+    files = written(files, "rewritten")
+    total = files.agg(F.sum("_size")).first()[0]
     if not total:
         return
-    rows = read_archive(spark, path).join(chosen.select("tenant_id", "ingest_date"), ["tenant_id", "ingest_date"], "left_semi")
-    fresh = f"{path.rstrip('/')}__compacting"
-    rows.repartition(max(1, round(total / target)), "tenant_id", "ingest_date").sortWithinPartitions("timestamp", "log_id").write.mode("overwrite").partitionBy("tenant_id", "ingest_date").parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "ingest_date").parquet(path)
+    fresh = f"{path.rstrip('/')}__compacting_{uuid.uuid4().hex}"
+    rows = read_archive(spark, path).select("*", place).join(files.select("_file"), "_file", "left_semi").drop("_file")
+    rows.repartition(max(1, round(total / target)), *by).sortWithinPartitions(*by, "timestamp", "log_id").write.partitionBy(*by).parquet(fresh)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    named = lambda uri: jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    fs = where(path).getFileSystem(conf)
+    for r in spark.read.parquet(fresh).select(F.col("_metadata.file_path").alias("p")).distinct().toLocalIterator():
+        new = named(r["p"])
+        folder = f"{path}/{new.getParent().getParent().getName()}/{new.getParent().getName()}"
+        fs.mkdirs(where(folder))
+        if not fs.rename(new, where(f"{folder}/{new.getName()}")):
+            raise OSError(f"can't move {r['p']}")
+    for r in files.select("_file").toLocalIterator():
+        fs.delete(named(r["_file"]), False)
+    fs.delete(where(fresh), True)

@@ -19,20 +19,25 @@ def _is_objects(v: Column) -> Column:
     return v.rlike(r"^\[\s*\{")
 
 
-def flatten(fields: Column, depth: int = 4, leaf: bool = False, most: int = 1000, items: int = 16) -> Column:
-    """Nested JSON values become entries of their own, named by their path joined with _, or by their last
-    name where that is unique. Arrays of objects take part up to a number of items. One pass of map
-    functions for each level; entries beyond the limit are dropped, in order."""
-    entries = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["key"].alias("last"), F.coalesce(e["value"], F.lit("")).alias("value")))
-    for _ in range(depth):
-
-        def expand(e: Column) -> Column:
-            below = lambda m: F.transform(F.map_entries(m), lambda x: F.struct(F.concat_ws("_", e["key"], x["key"]).alias("key"), x["key"].alias("last"), F.coalesce(x["value"], F.lit("")).alias("value")))
-            listed = lambda p: F.transform(F.slice(p, 1, items), lambda x, i: F.struct(F.concat_ws("_", e["key"], i.cast("string")).alias("key"), e["last"].alias("last"), F.coalesce(x, F.lit("")).alias("value")))
-            inner = F.when(_is_object(e["value"]), let(F.from_json(e["value"], "map<string,string>"), below)).when(_is_objects(e["value"]), let(F.from_json(e["value"], "array<string>"), listed))
-            return F.coalesce(inner, F.array(e))
+def flattened(fields: Column, depth: int = 16, leaf: bool = False, most: int = 1000, items: int = 16) -> Column:
+    """A struct (fields, truncated): nested JSON values become entries of their own, named by their path
+    joined with _, or by their last name where that is unique.
+
+    Arrays of objects take part up to a number of items. A level of map functions is evaluated only while
+    something nested is left. Entries beyond the limit are dropped, in order; truncated says whether any
+    entry or item was dropped, or is nested deeper than depth and stays JSON text.
+    """
+    entry = lambda key, last, value: F.struct(key.alias("key"), last.alias("last"), F.coalesce(value, F.lit("")).alias("value"))
+    nested = lambda e: _is_object(e["value"]) | _is_objects(e["value"])
+    cut = F.array(entry(F.lit(None).cast("string"), F.lit(""), F.lit("")))
+
+    def expand(e: Column) -> Column:
+        below = lambda m: F.transform(F.map_entries(m), lambda x: entry(F.concat_ws("_", e["key"], x["key"]), x["key"], x["value"]))
+        some = lambda p: F.transform(F.slice(p, 1, items), lambda x, i: entry(F.concat_ws("_", e["key"], i.cast("string")), e["last"], x))
+        listed = lambda p: F.when(F.size(p) > items, F.concat(some(p), cut)).otherwise(some(p))
+        inner = F.when(_is_object(e["value"]), let(F.from_json(e["value"], "map<string,string>"), below)).when(_is_objects(e["value"]), let(F.from_json(e["value"], "array<string>"), listed))
+        return F.coalesce(inner, F.array(e))
 
-        entries = F.flatten(F.transform(entries, expand))
     def named(own: Column) -> Column:
         values = F.transform(own, lambda e: e["value"])
         if not leaf:
@@ -40,7 +45,20 @@ def flatten(fields: Column, depth: int = 4, leaf: bool = False, most: int = 1000
         alone = lambda lasts: F.transform(own, lambda e: F.when(F.size(F.filter(lasts, lambda x: x == e["last"])) == 1, e["last"]).otherwise(e["key"]))
         return first_entries(let(F.transform(own, lambda e: e["last"]), alone), values)
 
-    return let(F.slice(entries, 1, most), named)
+    def finished(own: Column) -> Column:
+        whole = F.filter(own, lambda e: e["key"].isNotNull())
+        lost = F.exists(own, lambda e: e["key"].isNull() | (nested(e) & F.coalesce(F.from_json(e["value"], "map<string,string>").isNotNull(), F.lit(False)) & (F.size(F.from_json(e["value"], "map<string,string>")) > 0)))
+        return F.struct(let(F.slice(whole, 1, most), named).alias("fields"), (lost | (F.size(whole) > most)).alias("truncated"))
+
+    entries = F.transform(F.map_entries(fields), lambda e: entry(e["key"], e["key"], e["value"]))
+    for _ in range(depth):
+        entries = let(entries, lambda own: F.when(F.exists(own, nested), F.flatten(F.transform(own, expand))).otherwise(own))
+    return let(entries, finished)
+
+
+def flatten(fields: Column, depth: int = 16, leaf: bool = False, most: int = 1000, items: int = 16) -> Column:
+    """The fields of flattened()."""
+    return flattened(fields, depth, leaf, most, items)["fields"]
 
 
 def _words(k: Column) -> Column:
@@ -55,7 +73,7 @@ def case_name(k: Column, how: str) -> Column:
         "lowercase": lambda: F.lower(k),
         "uppercase": lambda: F.upper(k),
         "dedot": lambda: F.replace(k, F.lit("."), F.lit("_")),
-        "snake": lambda: F.array_join(words, "_"),
+        "snake": lambda: F.when(k.rlike(r"^[a-z0-9]+(_[a-z0-9]+)*$"), k).otherwise(F.array_join(words, "_")),
         "pascal": lambda: pascal,
         "camel": lambda: F.concat(F.lower(F.substring(pascal, 1, 1)), F.substring(pascal, 2, 10_000)),
     }[how]()
@@ -101,15 +119,17 @@ def normalized(df: DataFrame, arrival: Column, tenant: Column, raw: Column, how:
 
 
 def trace_normalization(df: DataFrame, key: str, before: str, after: str, mapping: dict[str, list[str]]) -> DataFrame:
-    """(key, field, value, source, derived, collision): where each field after normalization came from."""
-    new = df.select(key, F.explode(F.map_entries(after)).alias("e")).select(key, F.col("e.key").alias("field"), F.col("e.value").alias("value"))
-    aliases = [(t, i, s) for t, names in mapping.items() for i, s in enumerate(names)]
-    old = df.select(key, F.explode(F.map_entries(before)).alias("o")).select(key, F.col("o.key").alias("source"))
-    if aliases:
-        table = df.sparkSession.createDataFrame(aliases, "field string, place int, source string")
-        moved = old.join(F.broadcast(table), "source").groupBy(key, "field").agg(F.min_by("source", "place").alias("alias"), (F.count("*") > 1).alias("several"))
-    else:
-        moved = old.select(key, F.col("source").alias("field"), F.col("source").alias("alias"), F.lit(False).alias("several")).limit(0)
-    same = old.withColumn("field", F.col("source"))
-    out = new.join(moved, [key, "field"], "left").join(same, [key, "field"], "left")
-    return out.select(key, "field", "value", F.coalesce("alias", "source").alias("source"), F.coalesce("alias", "source").isNull().alias("derived"), (F.coalesce("several", F.lit(False)) | (F.col("alias").isNotNull() & F.col("source").isNotNull())).alias("collision"))
+    """(key, field, value, source, derived, collision): where each field after normalization came from.
+
+    Both maps are in the row, so nothing is joined.
+    """
+    rows = df.select(key, F.col(before).alias("_before"), F.explode(F.map_entries(after)).alias("_e"))
+    there = lambda name: F.coalesce(F.map_contains_key("_before", name), F.lit(False))
+    names = F.array().cast("array<string>")
+    if mapping:
+        table = F.create_map(*(x for t, own in mapping.items() for x in (F.lit(t), F.array(*(F.lit(s) for s in own)).cast("array<string>"))))
+        names = F.coalesce(F.try_element_at(table, F.col("_e.key")), names)
+    rows = rows.withColumns({"_found": F.filter(names, there), "_same": there(F.col("_e.key"))})
+    source = F.coalesce(F.try_element_at("_found", F.lit(1)), F.when(F.col("_same"), F.col("_e.key")))
+    collision = (F.size("_found") > 1) | ((F.size("_found") > 0) & F.col("_same"))
+    return rows.select(key, F.col("_e.key").alias("field"), F.col("_e.value").alias("value"), source.alias("source"), source.isNull().alias("derived"), collision.alias("collision"))

@@ -61,18 +61,28 @@ def parse_syslog(df: DataFrame, text: str = "value") -> DataFrame:
     return df.withColumn("fields", F.map_filter(whole, lambda k, v: (k == "message") | ((v != "") & (v != "-")))).where(line.isNotNull() & (F.trim(line) != ""))
 
 
-def parse_bulk(df: DataFrame, text: str = "value") -> DataFrame:
-    """(text column of one bulk body a row) A row for each document whose action is index or create.
+def pair_bulk(lines: DataFrame, body: list[str], order: list[str], line: str = "value") -> DataFrame:
+    """(fields, action): a row for each document of a bulk body, given its lines and their order.
 
-    A delete line has no document; an update's is skipped. Lines are paired within their body.
+    A line that is an object with an index or create object is an action, and the line after it is its
+    document, whatever that holds; any other line (delete, update and what follows them, blanks) is
+    passed over. So what a line is depends on how many lines that look like actions stand right before it:
+    after an odd number it is a document. Lines of a body are one sorted group, which spills.
     """
-    lines = df.withColumn("_id", F.monotonically_increasing_id()).select("_id", F.posexplode(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != "")).alias("_pos", "_line"))
-    action = F.regexp_extract("_line", r'^\s*\{\s*"(index|create|update|delete)"\s*:', 1)
-    before = F.lag("_action").over(Window.partitionBy("_id").orderBy("_pos"))
-    # A line is an action unless it is the document of the action before it.
-    lines = lines.withColumn("_action", action).withColumn("_before", before)
-    out = lines.where(F.col("_before").isin("index", "create") & (F.col("_action") == ""))
-    return out.withColumn("fields", string_map(F.col("_line"))).where("fields is not null").select("fields", F.col("_before").alias("action"))
+    looks = F.from_json(F.col(line), "index map<string,string>, create map<string,string>")
+    own = lines.withColumn("_a", looks).withColumn("_action", F.when(F.col("_a.index").isNotNull(), "index").when(F.col("_a.create").isNotNull(), "create")).drop("_a")
+    by = Window.partitionBy(*body).orderBy(*order)
+    own = own.withColumn("_at", F.row_number().over(by))
+    other = F.max(F.when(F.col("_action").isNull(), F.col("_at"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumns({"_run": F.col("_at") - 1 - F.coalesce(other, F.lit(0)), "_before": F.lag("_action").over(by)})
+    out = own.where("_run % 2 = 1").withColumn("fields", string_map(F.col(line)))
+    return out.where("fields is not null and size(fields) > 0").select("fields", F.col("_before").alias("action"))
+
+
+def parse_bulk(df: DataFrame, text: str = "value") -> DataFrame:
+    """pair_bulk() of a text column with one bulk body a row."""
+    lines = df.withColumn("_id", F.monotonically_increasing_id()).select("_id", F.posexplode(F.split(F.col(text), "\r?\n")).alias("_pos", "value"))
+    return pair_bulk(lines, ["_id"], ["_pos"])
 
 
 def parse_otlp(df: DataFrame, text: str = "value") -> DataFrame:
@@ -98,19 +108,21 @@ def parse_csv(df: DataFrame, columns: list[str], text: str = "value", sep: str =
 
 def read_json_logs(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """NDJSON, or with whole one array or object a file."""
-    return parse_json(spark.read.text(path, wholetext=whole))
+    return parse_json(spark.read.text(path, wholetext=whole)).select("fields")
 
 
 def read_kv_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_kv(spark.read.text(path))
+    return parse_kv(spark.read.text(path)).select("fields")
 
 
 def read_syslog_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_syslog(spark.read.text(path))
+    return parse_syslog(spark.read.text(path)).select("fields")
 
 
 def read_bulk_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    return parse_bulk(spark.read.text(path, wholetext=True))
+    """Bulk bodies, one a file: files are read by line and split, so that none has to fit in a row."""
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+    return pair_bulk(spark.read.text(path).withColumns(place), ["_file"], ["_block", "_id"])
 
 
 def read_otlp_json(spark: SparkSession, path: str) -> DataFrame:
@@ -123,6 +135,23 @@ def read_csv_logs(spark: SparkSession, path: str, sep: str | None = None) -> Dat
     return rows.select(F.create_map(*(x for c in rows.columns for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit(""))))).alias("fields"))
 
 
+def sniffed(spark: SparkSession, path: str) -> str:
+    """json (whole), ndjson, csv, tsv or kv, by the first line that isn't blank of the first file: one task reads until it."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    line = first[0]["value"].strip() if first else ""
+    if line[:1] in "[{":
+        return "json" if line[:1] == "[" or not line.endswith("}") else "ndjson"
+    return "tsv" if "\t" in line else "csv" if "," in line and "=" not in line.split(",")[0] else "kv"
+
+
+def read_logs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Files of one format; its kind is looked up where it isn't given."""
+    kind = kind or sniffed(spark, path)
+    if kind in ("csv", "tsv"):
+        return read_csv_logs(spark, path, "\t" if kind == "tsv" else ",")
+    return {"json": lambda: read_json_logs(spark, path, whole=True), "ndjson": lambda: read_json_logs(spark, path), "kv": lambda: read_kv_logs(spark, path), "syslog": lambda: read_syslog_logs(spark, path), "bulk": lambda: read_bulk_ndjson(spark, path), "otlp": lambda: read_otlp_json(spark, path)}[kind]()
+
+
 def load_dictionary_csv(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The header names the columns; of equal keys, the row that was read last wins."""
     rows = spark.read.csv(path, header=True).withColumn("_order", F.monotonically_increasing_id())
