@@ -65,11 +65,6 @@ def top(df: DataFrame, column: str, keys: list[str] | None = None, limit: int =
     return best.join(totals, keys).select(*keys, column, "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("pct"))
 
 
-def top_approx(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
-    """Frequent values in bounded memory: one pass, no shuffle of values."""
-    return df.agg(F.expr(f"approx_top_k(`{column}`, {limit})").alias("t")).select(F.explode("t").alias("t")).select("t.item", "t.count")
-
-
 def running_total(df: DataFrame, value: str, order: list[Column], out: str, parts: int | None = None) -> DataFrame:
     """A running sum over all rows without one task for them: rows are dealt by ranges of the order,
     summed within each range, and the sums of the ranges before are added."""
@@ -92,9 +87,11 @@ def head_tail(df: DataFrame, column: str, threshold: float = 80) -> DataFrame:
     return frequency(df, column).withColumn("segment", F.when(F.col("cum_pct") <= threshold, "head").otherwise("tail"))
 
 
-def heatmap(df: DataFrame, x: str, y: str, value: Column | None = None, limit: int = 50) -> DataFrame:
+def heatmap(df: DataFrame, x: str, y: str, value: Column | None = None, limit: int | None = None) -> DataFrame:
+    """A value for each pair of x and y, the largest first; all cells unless a limit of limit * limit is given."""
     out = df.groupBy(x, y).agg((value if value is not None else F.count("*")).alias("value"))
-    return out.orderBy(F.col("value").desc(), x, y).limit(limit * limit)
+    out = out.orderBy(F.col("value").desc(), x, y)
+    return out if limit is None else out.limit(limit * limit)
 
 
 def histogram(df: DataFrame, column: str, buckets: int = 20) -> DataFrame:

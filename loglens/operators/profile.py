@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,17 @@ def field_stats(df: DataFrame, newest: int, top: int = 5, fields: list[str] | No
     return counts.groupBy("field").agg(F.sum("n").alias("populated"), F.count("*").alias("distinct")).join(best, "field")
 
 
+def newest_span(df: DataFrame, rows: int, time: str, as_of: datetime, probe: timedelta = timedelta(hours=1), most: timedelta = timedelta(days=30)) -> timedelta:
+    """How far back the newest rows reach, at the rate of the last probe: a time filter that prunes, not a sort."""
+    seen = df.where((F.col(time) > F.lit(as_of - probe)) & (F.col(time) <= F.lit(as_of))).count()
+    return most if not seen else min(most, max(probe, probe * rows / seen))
+
+
 def field_sample(df: DataFrame, fields: list[str] | None = None, entries: str | None = None, top: int = 5) -> DataFrame:
-    """As field_stats() with bounded memory for each field: approximate distinct and frequent values."""
+    """As field_stats() with bounded memory for each field: approximate distinct and frequent values.
+
+    Rows come from the caller, who keeps recent ones by a filter on time (see newest_span()).
+    """
     rows = unpivoted(df, fields, entries).where("value <> ''")
     return rows.groupBy("field").agg(F.count("*").alias("populated"), F.approx_count_distinct("value").alias("distinct"), F.expr(f"approx_top_k(value, {top})").alias("top"))
 

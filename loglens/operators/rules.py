@@ -73,15 +73,23 @@ def rule_match(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
 
 
 def rule_test(events: DataFrame, rules: dict[str, dict], cases: DataFrame) -> DataFrame:
-    """(case_id, matched, passed): events have case_id, cases case_id, rule_id, expect (match, no_match) and a count or null."""
+    """(case_id, rule_id, matched, passed): events have case_id, cases case_id, rule_id, expect (match, no_match), a
+    count or null, and may have together.
+
+    Each event of a case is judged alone and all must meet the expectation; together, they are one batch,
+    in which one match, or count of them, is enough. A case without events fails if a match is expected.
+    """
     hits = rule_match(events, rules).groupBy("case_id", "rule_id").agg(F.count("*").alias("n"))
-    out = cases.join(hits, ["case_id", "rule_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    good = F.when(F.col("expect") == "no_match", F.col("n") == 0).otherwise((F.col("n") > 0) & F.coalesce(F.col("n") == F.col("count"), F.lit(True)))
+    every = events.groupBy("case_id").agg(F.count("*").alias("all"))
+    out = cases.join(hits, ["case_id", "rule_id"], "left").join(every, "case_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    together = F.coalesce("together", F.lit(False)) if "together" in cases.columns else F.lit(False)
+    enough = F.when(together, F.coalesce(F.col("n") == F.col("count"), F.lit(True))).otherwise(F.col("n") == F.col("all"))
+    good = F.when(F.col("expect") == "no_match", F.col("n") == 0).otherwise((F.col("n") > 0) & F.coalesce(enough, F.lit(False)))
     return out.select("case_id", "rule_id", F.col("n").alias("matched"), good.alias("passed"))
 
 
 # Severities in order.
-SEVERITIES = ("informational", "low", "medium", "high", "critical")
+SEVERITIES = ("info", "low", "medium", "high", "critical")
 
 
 def techniques_of(labels: Column) -> Column:
@@ -95,7 +103,7 @@ def attack_coverage(rules: DataFrame, techniques: DataFrame) -> DataFrame:
 
     A rule counts once for a technique; those of sub-techniques count for the parent unless they name it.
     """
-    rank = F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.lower("severity"))
+    rank = F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.regexp_replace(F.lower("severity"), "^informational$", "info"))
     named = rules.select(F.col("id").alias("rule"), "enabled", rank.alias("rank"), F.explode(techniques_of(F.col("labels"))).alias("id"))
     direct = named.join(techniques.where("not deprecated").select("id", "parent"), "id")
     above = direct.where("parent is not null and parent <> ''").select("rule", "enabled", "rank", F.col("parent").alias("id")).distinct()
@@ -105,6 +113,34 @@ def attack_coverage(rules: DataFrame, techniques: DataFrame) -> DataFrame:
     return out.select("id", "direct", "inherited", "enabled", F.element_at(F.array(*(F.lit(s) for s in SEVERITIES)), F.col("top").cast("int")).alias("max_severity"))
 
 
+def coverage_summary(rules: DataFrame, techniques: DataFrame) -> DataFrame:
+    """One row of totals, rules counted by what their labels name.
+
+    rules, mapped (a live technique), tactic_only (a tactic, no technique), retired (a deprecated or unknown
+    technique), unmapped; techniques, covered, leaves (live techniques without live sub-techniques), covered_leaves.
+    """
+    live = techniques.where("not deprecated")
+    labels = F.transform("labels", lambda x: F.replace(F.lower(F.trim(x)), F.lit("_"), F.lit(".")))
+    tactic = F.exists(labels, lambda x: x.rlike(r"^attack\.[a-z][a-z.-]*$"))
+    own = rules.select(F.col("id").alias("rule"), tactic.alias("tactic"), techniques_of(F.col("labels")).alias("ids"))
+    named = own.select("rule", "tactic", F.explode_outer("ids").alias("id")).join(live.select("id", F.lit(True).alias("live")), "id", "left")
+    by = named.groupBy("rule").agg(F.max("tactic").alias("tactic"), F.max(F.coalesce("live", F.lit(False))).alias("mapped"), F.max(F.col("id").isNotNull() & F.col("live").isNull()).alias("retired"))
+    of_rules = by.agg(F.count("*").alias("rules"), F.count_if("mapped").alias("mapped"), F.count_if(F.col("tactic") & ~F.col("mapped") & ~F.col("retired")).alias("tactic_only"), F.count_if("retired").alias("retired"), F.count_if(~F.col("tactic") & ~F.col("mapped") & ~F.col("retired")).alias("unmapped"))
+    covered = attack_coverage(rules, techniques).select("id", F.lit(True).alias("covered"))
+    parents = live.where("parent <> ''").select(F.col("parent").alias("id"), F.lit(True).alias("split")).distinct()
+    each = live.join(covered, "id", "left").join(parents, "id", "left")
+    leaf, has = F.col("split").isNull(), F.col("covered").isNotNull()
+    of_techniques = each.agg(F.count("*").alias("techniques"), F.count_if(has).alias("covered"), F.count_if(leaf).alias("leaves"), F.count_if(leaf & has).alias("covered_leaves"))
+    return of_rules.crossJoin(of_techniques)  # one row each
+
+
+def coverage_by_tactic(rules: DataFrame, techniques: DataFrame) -> DataFrame:
+    """(tactic, techniques, covered) of live techniques that have an array of tactics."""
+    live = techniques.where("not deprecated").select("id", F.explode("tactics").alias("tactic"))
+    covered = attack_coverage(rules, techniques).select("id", F.lit(1).alias("one"))
+    return live.join(covered, "id", "left").groupBy("tactic").agg(F.count("*").alias("techniques"), F.count("one").alias("covered"))
+
+
 def coverage_gaps(techniques: DataFrame, coverage: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:
     """Techniques without a rule, those first that waiting rules (path, labels) and log sources would close."""
     open_ = techniques.where("not deprecated").join(coverage.select("id"), "id", "left_anti")
@@ -116,6 +152,8 @@ def coverage_gaps(techniques: DataFrame, coverage: DataFrame, candidates: DataFr
     return out if limit is None else out.limit(limit)
 
 
-def attack_matrix(df: DataFrame, tags: Column, by: str | None = None, limit: int = 5000) -> DataFrame:
+def attack_matrix(df: DataFrame, tags: Column, by: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of each tag, the most frequent first; all of them unless a limit is given."""
     own = df.select(F.explode(tags).alias("tag"), *([by] if by else []))
-    return own.groupBy("tag", *([by] if by else [])).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "tag", *([by] if by else [])).limit(limit)
+    out = own.groupBy("tag", *([by] if by else [])).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "tag", *([by] if by else []))
+    return out if limit is None else out.limit(limit)

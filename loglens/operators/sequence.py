@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +18,46 @@ def identities(df: DataFrame, columns: list[str], out: str = "entity") -> DataFr
     return df.withColumn(out, F.explode(values))
 
 
+def spaced(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
+    """Of the rows of each key, by rising at (a long): the first, and then each one gap or more after the last one kept.
+
+    Rows of a key pass in order through one task, which remembers the last value only, whatever their number.
+    """
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, at) if keys else df.repartition(1).sortWithinPartitions(at)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            values, n = batch[at].to_numpy(), batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for k in keys:
+                c = batch[k]
+                differ = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (np.diff(c.is_null().to_numpy(zero_copy_only=False).astype(np.int8)) != 0)
+                new[1:] |= differ
+            cut = [0, *np.flatnonzero(new).tolist(), n]
+            good = []
+            for s, e in zip(cut, cut[1:], strict=False):
+                own = tuple(batch[k][s].as_py() for k in keys)
+                if own != key:
+                    key, last = own, None
+                i = s if last is None else s + int(np.searchsorted(values[s:e], last + gap))
+                while i < e:
+                    good.append(i)
+                    last = int(values[i])
+                    i = s + int(np.searchsorted(values[s:e], last + gap))
+            yield batch.take(pa.array(good, pa.int64()))
+
+    return ordered.mapInArrow(keep, df.schema)
+
+
 def chain(df: DataFrame, entity: str, steps: list[Column], time: str, key: str, within: float | None = None) -> DataFrame:
     """(entity, chain_count, first_time, done): non-overlapping runs of the steps, in order.
 
     Rows that match no step are ignored; a row that matches another step breaks a run. within bounds the
     seconds between neighbours. Rows are read at millisecond precision, ties go by the key. Only matching
-    rows are shuffled; a start is found with lead(), then starts are folded from left to right.
+    rows are shuffled; a start is found with lead(), then overlapping ones are passed over from left to right.
     """
     k = len(steps)
     match = F.array(*(F.coalesce(s, F.lit(False)) for s in steps))
@@ -34,11 +72,9 @@ def chain(df: DataFrame, entity: str, steps: list[Column], time: str, key: str,
             good = good & (at - previous <= within * 1000)
         previous = at
     marked = own.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("end", F.lead("t", k - 1).over(order) if k > 1 else F.col("t")).where("good")
-    starts = marked.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("pos", "t", "end"))).alias("s"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(-(10**9)).alias("last"), F.lit(None).cast("long").alias("done"))
-    step = lambda a, x: F.when(x["pos"] >= a["last"] + k, F.struct((a["n"] + 1).alias("n"), x["pos"].alias("last"), x["end"].alias("done"))).otherwise(a)
-    folded = starts.withColumn("f", F.aggregate("s", zero, step))
-    return folded.select(F.col("entity").alias(entity), F.col("f.n").alias("chain_count"), F.timestamp_millis(F.col("s")[0]["t"]).alias("first_time"), F.timestamp_millis("f.done").alias("done"))
+    kept = spaced(marked.select("entity", F.col("pos").cast("long").alias("pos"), "t", "end"), ["entity"], "pos", k)
+    out = kept.groupBy("entity").agg(F.count("*").cast("int").alias("n"), F.min("t").alias("t"), F.max("end").alias("done"))
+    return out.select(F.col("entity").alias(entity), F.col("n").alias("chain_count"), F.timestamp_millis("t").alias("first_time"), F.timestamp_millis("done").alias("done"))
 
 
 def chain_any_order(df: DataFrame, entity: str, steps: list[Column], time: str) -> DataFrame:

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 SPANS = (30, 60, 300, 900, 1800, 3600, 10_800, 21_600, 43_200, 86_400, 604_800)
 WEEK = 604_800
 #: The epoch was a Thursday: Monday comes four days later, Sunday three.
@@ -58,13 +60,18 @@ def read_rollup(rollup: DataFrame, seconds: int) -> DataFrame:
     return rollup.groupBy(bucket("minute", seconds).alias("bucket")).agg(F.sum("cnt").alias("_count"))
 
 
-def daily_volume(df: DataFrame, time: str, tenant: str, size: Column, as_of: datetime, days: int = 30) -> DataFrame:
-    """Events and bytes of each tenant for each of the last days, zeros included; later times count as now."""
+def daily_volume(df: DataFrame, time: str, tenant: str, size: Column, as_of: datetime, days: int = 30, tenants: DataFrame | None = None) -> DataFrame:
+    """Events and bytes of each tenant for each of the last days, zeros included; later times count as now.
+
+    tenants (tenant) names those to list; without it, those with an event in these days. The one scan is
+    pruned by time.
+    """
     last = as_of.date()
     first = last - timedelta(days=days - 1)
     day = F.least(F.to_date(time), F.lit(last))
-    own = df.where(F.to_date(time) >= F.lit(first)).groupBy(F.col(tenant).alias("tenant"), day.alias("day")).agg(F.count("*").alias("events"), F.sum(size).alias("bytes"))
-    every = df.select(F.col(tenant).alias("tenant")).distinct().withColumn("day", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    own = df.where(F.col(time) >= F.lit(datetime.combine(first, datetime.min.time()))).groupBy(F.col(tenant).alias("tenant"), day.alias("day")).agg(F.count("*").alias("events"), F.sum(size).alias("bytes"))
+    own = written(own, "volume")  # a row for each tenant and day
+    every = (own if tenants is None else tenants).select("tenant").distinct().withColumn("day", F.explode(F.sequence(F.lit(first), F.lit(last))))
     return every.join(own, ["tenant", "day"], "left").select("tenant", "day", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
@@ -73,6 +80,6 @@ def same_hour_spike(df: DataFrame, time: str, metric: str, value: Column, as_of:
     t, now = F.col(time), F.lit(as_of)
     recent = (t > now - F.expr("INTERVAL 30 MINUTES")) & (t <= now)
     past = (F.to_date(t) < F.to_date(now)) & (t > now - F.expr("INTERVAL 7 DAYS")) & (F.hour(t) == F.hour(now))
-    out = df.groupBy(metric).agg(F.avg(F.when(recent, value)).alias("recent"), F.avg(F.when(past, value)).alias("usual"), F.count_distinct(F.when(past, F.to_date(t))).alias("days"))
+    out = df.where((t > now - F.expr("INTERVAL 7 DAYS")) & (t <= now)).groupBy(metric).agg(F.avg(F.when(recent, value)).alias("recent"), F.avg(F.when(past, value)).alias("usual"), F.count_distinct(F.when(past, F.to_date(t))).alias("days"))
     spike = (F.col("days") >= days) & (F.col("recent") >= least) & (F.col("recent") >= factor * F.col("usual"))
     return out.withColumn("spike", F.coalesce(spike, F.lit(False)))

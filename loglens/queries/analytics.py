@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -192,9 +192,18 @@ def g28(spark, d):
     return profile.field_stats(logs(spark, d), 500, 5, ["user_id", "event_type"])
 
 
-@query("g29_field_sample")
+@query("g29_field_sample", """
+WITH a AS (SELECT count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-19 18:00:00' AND ts <= TIMESTAMP '2024-01-20'), s AS (SELECT event_type AS v FROM events, a
+ WHERE ts <= TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-20' - to_microseconds(CAST(CASE WHEN n = 0 THEN 2592e9 ELSE least(2592e9, greatest(216e8, 216e8 * 200 / n)) END AS BIGINT))),
+c AS (SELECT v, count(*) AS n FROM s GROUP BY 1)
+SELECT 'action' AS field, CAST(sum(n) AS BIGINT) AS populated, count(*) AS "distinct", string_agg(v || '=' || n, ',' ORDER BY n DESC, v) AS top FROM c HAVING count(*) > 0""")
 def g29(spark, d):
-    return profile.field_sample(logs(spark, d), entries="fields").select("field", "populated", (F.col("distinct") > 0).alias("some"), F.size("top").alias("top"))
+    as_of = datetime(2024, 1, 20)
+    rows = logs(spark, d)
+    back = profile.newest_span(rows, 200, "timestamp", as_of, timedelta(hours=6))
+    new = rows.where((F.col("timestamp") > F.lit(as_of - back)) & (F.col("timestamp") <= F.lit(as_of)))
+    top = F.transform(F.array_sort(F.transform("top", lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("v")))), lambda x: F.concat(x["v"], F.lit("="), (-x["n"]).cast("string")))
+    return profile.field_sample(new, ["action"], "fields").select("field", "populated", "distinct", F.array_join(top, ",").alias("top"))
 
 
 TAGGED = "CASE event_id % 3 WHEN 0 THEN 'attack.t1059 x T1543.003' WHEN 1 THEN 'attack.execution' ELSE 'none' END"
@@ -272,7 +281,11 @@ def s1(spark, d):
     return sequence.chain(events(spark, d), "user_id", _steps("click", "purchase"), "ts", "event_id", within=86_400)
 
 
-@query("s1_chain_three")
+@query("s1_chain_three", """WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS t, event_id FROM events WHERE user_id IS NOT NULL AND event_type IN ('click', 'view')),
+l AS (SELECT *, row_number() OVER w AS pos, lead(event_type) OVER w AS a, lead(event_type, 2) OVER w AS b, lead(t, 2) OVER w AS nt FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT user_id, pos, t, nt FROM l WHERE event_type = 'click' AND a = 'view' AND b = 'click'),
+k AS (SELECT user_id, min(pos) AS pos FROM s GROUP BY 1 UNION ALL SELECT user_id, (SELECT min(s.pos) FROM s WHERE s.user_id = k.user_id AND s.pos >= k.pos + 3) FROM k WHERE k.pos IS NOT NULL)
+SELECT user_id, count(*) AS chain_count, min(epoch_ms(t)) AS first_time, max(epoch_ms(nt)) AS done FROM k JOIN s USING (user_id, pos) GROUP BY 1""")
 def s1b(spark, d):
     return sequence.chain(events(spark, d), "user_id", _steps("click", "view", "click"), "ts", "event_id")
 
@@ -313,10 +326,10 @@ def d2(spark, d):
     return events(spark, d).select("event_id", rules.event_category(kind).alias("category"))
 
 
-@query("d3_rule_test", "SELECT 'c' || u AS case_id, 'buy' AS rule_id, n AS matched, CASE WHEN u % 2 = 0 THEN n > 0 ELSE n = 0 END AS passed FROM (SELECT user_id % 50 AS u, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY 1)")
+@query("d3_rule_test", "SELECT 'c' || u AS case_id, 'buy' AS rule_id, n AS matched, CASE u % 4 WHEN 0 THEN n > 0 WHEN 2 THEN n > 0 AND n = total ELSE n = 0 END AS passed FROM (SELECT user_id % 50 AS u, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY 1)")
 def d3(spark, d):
     e = events(spark, d).withColumn("case_id", F.concat(F.lit("c"), F.col("user_id") % 50))
-    cases = e.select("case_id", (F.col("user_id") % 50).alias("u")).distinct().select("case_id", F.lit("buy").alias("rule_id"), F.when(F.col("u") % 2 == 0, "match").otherwise("no_match").alias("expect"), F.lit(None).cast("long").alias("count"))
+    cases = e.select("case_id", (F.col("user_id") % 50).alias("u")).distinct().select("case_id", F.lit("buy").alias("rule_id"), F.when(F.col("u") % 2 == 0, "match").otherwise("no_match").alias("expect"), F.lit(None).cast("long").alias("count"), (F.col("u") % 4 == 0).alias("together"))
     return rules.rule_test(e, {"buy": {"selections": {"s": {"event_type": "purchase"}}, "when": "s"}}, cases)
 
 
@@ -329,7 +342,7 @@ def _techniques(spark, d):
 
 
 def _rules(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = read(spark, d, "orders")
     k = 1000 + F.col("o_orderkey") % 60
     label = F.when(F.col("o_custkey") % 2 == 0, F.array(F.concat(F.lit("attack.t"), k))).otherwise(F.array(F.concat(F.lit("attack.t"), k, F.lit(".001")), F.lit("attack.execution")))
     return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2 == 0).alias("enabled"), F.element_at(F.array(F.lit("low"), F.lit("high")), (F.col("o_orderkey") % 2 + 1).cast("int")).alias("severity"), label.alias("labels"))
@@ -338,7 +351,7 @@ def _rules(spark, d):
 NAMED = """
 tech AS (SELECT DISTINCT 'T' || (1000 + p_partkey % 100) AS id, '' AS parent, p_partkey % 7 AS ls FROM (SELECT DISTINCT p_partkey % 100 AS p_partkey FROM part) UNION ALL
   SELECT DISTINCT 'T' || (1000 + p_partkey % 100) || '.001', 'T' || (1000 + p_partkey % 100), 1 FROM part WHERE (p_partkey % 100) % 4 = 0),
-named AS (SELECT o_orderkey AS rule, o_orderkey % 2 = 0 AS enabled, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS rank, 'T' || (1000 + o_orderkey % 60) || CASE WHEN o_custkey % 2 = 0 THEN '' ELSE '.001' END AS id FROM orders WHERE o_orderkey % 3 = 0),
+named AS (SELECT o_orderkey AS rule, o_orderkey % 2 = 0 AS enabled, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS rank, 'T' || (1000 + o_orderkey % 60) || CASE WHEN o_custkey % 2 = 0 THEN '' ELSE '.001' END AS id FROM orders),
 direct AS (SELECT rule, enabled, rank, id, parent FROM named JOIN tech USING (id)),
 both_ AS (SELECT rule, enabled, rank, id, 1 AS direct FROM direct UNION ALL SELECT rule, enabled, rank, parent, 0 FROM direct WHERE parent <> '')"""
 
@@ -348,6 +361,19 @@ def d4(spark, d):
     return rules.attack_coverage(_rules(spark, d), _techniques(spark, d))
 
 
+@query("d4_coverage_summary", f"""WITH {NAMED}, of AS (SELECT o_orderkey AS rule, bool_or(tech.id IS NOT NULL) AS mapped, o_custkey % 2 = 1 AS tactic FROM orders LEFT JOIN named ON named.rule = o_orderkey LEFT JOIN tech ON tech.id = named.id GROUP BY o_orderkey, o_custkey),
+leaf AS (SELECT id, id IN (SELECT id FROM both_) AS covered, id NOT IN (SELECT parent FROM tech) AS leaf FROM tech)
+SELECT (SELECT count(*) FROM of) AS rules, (SELECT count(*) FROM of WHERE mapped) AS mapped, 0 AS tactic_only, (SELECT count(*) FROM of WHERE NOT mapped) AS retired, 0 AS unmapped, count(*) AS techniques, count(*) FILTER (covered) AS covered, count(*) FILTER (leaf) AS leaves, count(*) FILTER (covered AND leaf) AS covered_leaves FROM leaf""")
+def d4s(spark, d):
+    return rules.coverage_summary(_rules(spark, d), _techniques(spark, d))
+
+
+@query("d4_coverage_by_tactic", f"WITH {NAMED} SELECT 'tactic' || (ls % 3) AS tactic, count(*) AS techniques, count(*) FILTER (id IN (SELECT id FROM both_)) AS covered FROM tech GROUP BY 1")
+def d4t(spark, d):
+    tech = _techniques(spark, d).withColumn("tactics", F.array(F.concat(F.lit("tactic"), F.col("log_sources") % 3)))
+    return rules.coverage_by_tactic(_rules(spark, d), tech)
+
+
 @query("d5_coverage_gaps", f"WITH {NAMED}, ready AS (SELECT p_partkey AS path, 'T' || (1000 + p_partkey % 90) AS id FROM part), avail AS (SELECT id, count(DISTINCT path) AS available FROM ready JOIN tech USING (id) GROUP BY 1) SELECT t.id, coalesce(available, 0) AS available, 1000 * coalesce(available, 0) + least(ls, 999) AS score FROM tech t LEFT JOIN avail USING (id) WHERE t.id NOT IN (SELECT id FROM both_)")
 def d5(spark, d):
     tech = _techniques(spark, d)

@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.sequence import spaced
+from ..sources.normalize import normalized
+from ..sources.readers import parse_json
+
+
+def normalized_stream(rows: DataFrame, text: str, arrival: str, tenant: str, parse: Callable[[DataFrame, str], DataFrame] = parse_json, **how) -> DataFrame:
+    """Arriving texts as log rows: parsed, normalized and stamped; how goes to normalized(). Batches or streams."""
+    return normalized(parse(rows, text), F.col(arrival), F.col(tenant), F.col(text), **how)
+
 
 def ingest_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Normalized rows, appended to the archive's layout exactly once."""
@@ -51,22 +60,26 @@ def scheduled_alert(rows: DataFrame, time: str, as_of: datetime, look_back: time
     return own.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def sliding_alert(rows: DataFrame, time: str, look_back: str, every: str, keys: list[str], least: int, late: str = "0 seconds") -> DataFrame:
+    """scheduled_alert() as a stream: overlapping windows, one for each time it would run; they close at the watermark."""
+    own = rows.withWatermark(time, late) if rows.isStreaming else rows
+    out = own.groupBy(F.window(time, look_back, every).alias("w"), *keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return out.select(F.col("w.end").alias("as_of"), *keys, "n")
+
+
 def new_completions(rows: DataFrame, time: str, start: datetime, end: datetime, within: timedelta, find: Callable[[DataFrame], DataFrame], done: str = "done") -> DataFrame:
     """A sequence needs history before its window; what was complete before the window was reported already."""
     read = rows.where((F.col(time) > F.lit(start - within)) & (F.col(time) <= F.lit(end)))
     return find(read).where(F.col(done) >= F.lit(start))
 
 
-def throttle(firings: DataFrame, keys: list[str], time: str, seconds: int, per: int = 65_536) -> DataFrame:
-    """The firings of each key that aren't within the span after one that was kept.
+def throttle(firings: DataFrame, keys: list[str], time: str, seconds: int) -> DataFrame:
+    """The firings of each key that aren't within the span after one that was kept: one row for each kept second.
 
-    The fold runs over the distinct seconds of each key in order; keys are dealt over the cluster.
+    Firings of one second are one row before they are dealt, so a key has no more rows than its history has seconds.
     """
-    at = F.unix_seconds(time)
-    days = firings.groupBy(*keys).agg(F.array_sort(F.collect_set(at)).alias("_t"))
-    zero = F.struct(F.lit(-(2**62)).alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate("_t", zero, lambda a, t: F.when(t - a["last"] >= seconds, F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a))
-    return days.select(*keys, F.explode(fold["kept"]).alias("_s")).select(*keys, F.timestamp_seconds("_s").alias(time))
+    at = firings.where(F.col(time).isNotNull()).select(*keys, F.unix_seconds(time).alias("_s")).distinct()
+    return spaced(at, keys, "_s", seconds).select(*keys, F.timestamp_seconds("_s").alias(time))
 
 
 def throttle_stream(firings: DataFrame, keys: list[str], time: str, seconds: int) -> DataFrame:
@@ -100,9 +113,10 @@ def forward_hits(hits: DataFrame, tenant: str, alert: str, renames: dict[str, st
     return hits.select(when.alias("timestamp"), log_id(when, F.concat_ws(":", F.lit(alert), "log_id")).alias("log_id"), F.lit(tenant).alias("tenant_id"), fields.alias("fields"))
 
 
-def hits_to_dictionary(hits: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
-    """Up to so many keys with their row, to replace a lookup table; the first column is the key."""
+def hits_to_dictionary(hits: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """Keys with their row, to replace a lookup table; the first column is the key. most keeps so many, by key."""
     rows = hits.select(*columns).where(F.col(columns[0]).isNotNull())
     rest = columns[1:]
     out = rows.groupBy(columns[0]).agg(*(F.max(F.struct(*rest)).alias("r"),) if rest else (F.count("*").alias("r"),))
-    return out.select(columns[0], *(F.col(f"r.{c}").alias(c) for c in rest)).orderBy(columns[0]).limit(most)
+    out = out.select(columns[0], *(F.col(f"r.{c}").alias(c) for c in rest))
+    return out if most is None else out.orderBy(columns[0]).limit(most)
