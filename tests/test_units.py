@@ -1,14 +1,18 @@
 """Hand-made cases for what SQL can't check or the tables don't hold."""
 
+import collections
+import json
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from loglens.functions import predicates as p
 from loglens.functions import transforms as t
-from loglens.operators import enrich, graph, models, rules, sequence
+from loglens.operators import enrich, graph, models, profile, rules, sequence
+from loglens.operators import provenance as pv
+from loglens.sources import archive
 from loglens.sources import normalize as nz
 from loglens.sources import readers
 from loglens.streaming import jobs
@@ -42,12 +46,12 @@ def test_edit_distance(spark, a, b, n):
 
 
 def test_syslog(spark):
-    new = "<134>1 2024-02-28T10:15:30.123Z server1 myapp 1234 ID47 - User logged in"
-    data = '<165>1 2003-10-11T22:14:15.003Z host evntslog - ID47 [ex@32473 iut="3"] BOM event'
-    got = [r["fields"] for r in readers.parse_syslog(strings(spark, new, data, "<34>Oct 11 22:14:15 mymachine su: failed", "no header", "", "<999>x")).collect()]
-    assert got[0] == {"facility": "local0", "severity": "info", "timestamp": "2024-02-28T10:15:30.123Z", "hostname": "server1", "app_name": "myapp", "proc_id": "1234", "msg_id": "ID47", "message": "User logged in"}
-    assert got[1]["structured_data"] == '[ex@32473 iut="3"]' and got[1]["message"] == "BOM event"
-    assert got[2]["facility"] == "auth" and got[2]["severity"] == "crit" and got[2]["app_name"] == "su"
+    new = "<163>1 2024-03-05T07:41:02.250Z gate07 billing 88 EV9 - Invoice 12 was paid"
+    data = '<110>1 2024-03-05T07:41:03Z gate07 audit - EV10 [who@99 name="a \\] b"][x@99] Key was changed'
+    got = [r["fields"] for r in readers.parse_syslog(strings(spark, new, data, "<26>Mar  5 07:41:04 gate08 smtpd[7]: queue is full", "no header", "", "<999>x")).collect()]
+    assert got[0] == {"facility": "local4", "severity": "err", "timestamp": "2024-03-05T07:41:02.250Z", "hostname": "gate07", "app_name": "billing", "proc_id": "88", "msg_id": "EV9", "message": "Invoice 12 was paid"}
+    assert got[1]["structured_data"] == '[who@99 name="a \\] b"][x@99]' and got[1]["message"] == "Key was changed" and got[1]["facility"] == "audit"
+    assert got[2]["facility"] == "daemon" and got[2]["severity"] == "crit" and got[2]["app_name"] == "smtpd" and got[2]["proc_id"] == "7"
     assert got[3] == {"message": "no header"} and len(got) == 5
 
 
@@ -58,6 +62,187 @@ def test_json_and_bulk(spark):
     assert sorted(r["fields"]["x"] for r in readers.parse_bulk(strings(spark, body)).collect()) == ["1", "2"]
 
 
+def bulk_by_hand(body):
+    out, lines = [], iter(body.split("\n"))
+    for line in lines:
+        try:
+            action = json.loads(line)
+        except ValueError:
+            continue
+        kind = next((k for k in ("index", "create") if isinstance(action, dict) and isinstance(action.get(k), dict)), None)
+        if kind:
+            try:
+                document = json.loads(next(lines, ""))
+            except ValueError:
+                continue
+            if isinstance(document, dict) and document:
+                out.append((kind, document.get("id")))
+    return out
+
+
+def test_bulk_bodies(spark, tmp_path):
+    """Documents that look like actions, blanks, broken lines and what updates and deletes leave, in any order."""
+    r = random.Random(1)
+    line = lambda: r.choice(['{"create":{}}', '{"index":{"_id":"1"}}', '{"index":5,"id":"%d"}', '{"create":{"a":1},"id":"%d"}', '{"id":"%d"}', '{"delete":{"_id":"1"}}', '{"update":{}}', '{"doc":{"x":1}}', "", "broken", "[1]", '{"index":{},"id":"%d"}'])
+    bodies = ["\n".join((x % r.randint(0, 99)) if "%d" in x else x for x in (line() for _ in range(r.randint(1, 40)))) for _ in range(60)]
+    bodies += ['{"create":{}}\n{"index":5,"id":"1"}', '{"index":{}}\n{"create":{},"id":"2"}\n{"create":{}}\n{"id":"3"}\n', ""]
+    want = [x for b in bodies for x in bulk_by_hand(b)]
+    assert len(want) > 100
+    got = readers.parse_bulk(strings(spark, *bodies)).collect()
+    assert sorted(((r["action"], r["fields"].get("id")) for r in got), key=repr) == sorted(want, key=repr)
+    for i, b in enumerate(bodies):
+        (tmp_path / f"{i}.ndjson").write_text(b)
+    got = readers.read_bulk_ndjson(spark, str(tmp_path)).collect()
+    assert sorted(((r["action"], r["fields"].get("id")) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_files_of_each_format(spark, tmp_path):
+    files = {
+        "a.ndjson": '{"u":"1","k":{"x":2}}\n\n{"u":"2"}\n', "a.json": '[{"u":"1"},\n {"u":"2"}]', "a.kv": 'u=1 note="b c"\nnothing here\nu=2\n', "a.log": "<13>1 2024-03-05T07:41:02Z h a - - - hi\nplain\n", "a.csv": 'u,note\n1,"b, c"\n2,\n', "a.tsv": "u\tnote\n1\tb, c\n2\t\n",
+        "o.json": '{"resourceLogs":[{"resource":{"attributes":[]},"scopeLogs":[{"scope":{"name":"s"},"logRecords":[{"body":{"stringValue":"m"},"severityText":"WARN"}]}]}]}', "d.csv": "k,v\na,1\nb,2\na,3\n,4\n",
+        "blocks.csv": "network,geoname_id\n10.1.0.0/16,7\n10.1.2.0/24,8\nbad,7\n", "names.csv": "geoname_id,country\n7,AA\n8,BB\n",
+    }
+    for n, text in files.items():
+        (tmp_path / n).write_text(text)
+    at = lambda n: str(tmp_path / n)
+    users = lambda df: sorted(r["fields"].get("u") for r in df.collect())
+    assert users(readers.read_json_logs(spark, at("a.ndjson"))) == users(readers.read_json_logs(spark, at("a.json"), whole=True)) == users(readers.read_kv_logs(spark, at("a.kv"))) == ["1", "2"]
+    assert [r["fields"]["message"] for r in readers.read_syslog_logs(spark, at("a.log")).collect()] == ["hi", "plain"]
+    for n in ("a.csv", "a.tsv"):
+        assert sorted((r["fields"]["u"], r["fields"]["note"]) for r in readers.read_csv_logs(spark, at(n)).collect()) == [("1", "b, c"), ("2", "")]
+    assert readers.read_otlp_json(spark, at("o.json")).first()["fields"] == {"message": "m", "severity": "WARN", "scope.name": "s"}
+    assert {n: readers.sniffed(spark, at(n)) for n in ("a.ndjson", "a.json", "a.kv", "a.csv", "a.tsv")} == {"a.ndjson": "ndjson", "a.json": "json", "a.kv": "kv", "a.csv": "csv", "a.tsv": "tsv"}
+    assert all(users(readers.read_logs(spark, at(n))) == ["1", "2"] for n in ("a.ndjson", "a.json", "a.kv", "a.csv", "a.tsv"))
+    assert sorted(one(readers.load_dictionary_csv(spark, at("d.csv"), ["k"]), "k", "v")) == [("a", "3"), ("b", "2")]
+    ranges = readers.load_geo_ranges(spark, at("blocks.csv"), at("names.csv"))
+    hosts = strings(spark, "10.1.2.3", "10.1.9.9", "9.9.9.9")
+    assert sorted(one(enrich.geo_lookup(hosts, ranges, "value", ["country"]), "value", "country")) == [("10.1.2.3", "BB"), ("10.1.9.9", "AA"), ("9.9.9.9", "")]
+
+
+def test_nulls_in_keys_and_formats(spark):
+    df = spark.createDataFrame([("a", None, 1), (None, "a", None), ("a", "a", 2), (None, None, 3)], "x string, y string, n int")
+    assert df.select(t.hash_key(F.col("x"), F.col("y")).alias("k")).distinct().count() == 4
+    assert one(df.select(t.sprintf("%s|%5s|%d%%", F.col("x"), F.col("y"), F.col("n")).alias("s")), "s") == [("a|     |1%",), ("|    a|0%",), ("a|    a|2%",), ("|     |3%",)]
+
+
+def test_edit_distances_together(spark):
+    r = random.Random(5)
+    text = lambda: "".join(r.choice("abc") for _ in range(r.randint(0, 9)))
+    rows = [(text(), text()) for _ in range(400)] + [("x" * 300 + text(), "y" * 280 + text()) for _ in range(3)] + [(None, "a"), ("a", None), ("", ""), ("é🙂", "🙂é")]
+    got = spark.createDataFrame(rows, "a string, b string").coalesce(1).select("a", "b", t.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    for x in got:
+        assert x["d"] == (None if x["a"] is None or x["b"] is None else t.damerau_levenshtein(x["a"], x["b"])), x
+
+
+def test_flatten_says_what_it_cut(spark):
+    deep = lambda n: '{"a":' * n + "1" + "}" * n
+    wide = json.dumps({f"k{i}": i for i in range(12)})
+    rows = [deep(3), deep(16), deep(20), wide, '{"l":[' + ",".join('{"v":1}' for _ in range(17)) + "]}", '{"l":[1,2],"e":{},"s":"{x"}', "{}"]
+    f = readers.string_map(F.col("value"))
+    got = strings(spark, *rows).select(nz.flattened(f, most=10).alias("f")).select("f.*").collect()
+    assert [r["truncated"] for r in got] == [False, False, True, True, True, False, False]
+    assert got[1]["fields"] == {"_".join("a" * 16): "1"} and len(got[3]["fields"]) == 10 and len(got[4]["fields"]) == 10 and got[6]["fields"] == {}
+
+
+def test_spaced_rows(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([1, 2]), r.randint(0, 400)) for _ in range(900)]
+    got = collections.defaultdict(list)
+    for x in sequence.spaced(spark.createDataFrame(rows, "k string, j int, at long").repartition(3), ["k", "j"], "at", 25).collect():
+        got[x["k"], x["j"]].append(x["at"])
+    for key in {(k, j) for k, j, _ in rows}:
+        want, last = [], None
+        for at in sorted(x for k, j, x in rows if (k, j) == key):
+            if last is None or at >= last + 25:
+                want.append(at)
+                last = at
+        assert sorted(got[key]) == want
+
+
+def test_tenants_have_baselines_and_trees_of_their_own(spark):
+    columns = "tenant_id string, timestamp timestamp, log_id string, category string, process_guid string, parent_guid string, image string, parent_image string, computer_name string, target_file string"
+    now = datetime(2024, 1, 1)
+    row = lambda tenant, n, child, parent, image: (tenant, now, f"{tenant}{n}", "process_creation", child, parent, image, "p.exe", "h", None)
+    rows = [row("t1", 1, "c", "r", "only.exe"), row("t1", 2, "r", "", "root.exe"), row("t2", 1, "c", "x", "only.exe")] + [row("t2", 2 + k, f"o{k}", "r", f"other{k % 9}.exe") for k in range(180)]
+    events = spark.createDataFrame(rows, columns)
+    events = events.where("not (tenant_id = 't1' and process_guid = 'r')").unionByName(events.where("tenant_id = 't1' and process_guid = 'r'").withColumn("parent_image", F.lit("")))
+    line = pv.build_lineage(events)
+    scored = pv.score_edges(pv.spawn_edges(line), pv.build_frequency(events), pv.hosts_of(line))
+    got = {(r["tenant_id"], r["child"]): r["anomaly_score"] for r in scored.collect()}
+    assert got["t1", "c"] == 0.0 and got["t2", "c"] == pytest.approx(1 - 1 / 181, abs=1e-4)  # all that t1's parent ever starts
+    seeds = spark.createDataFrame([("t1", "r")], "tenant_id string, start string")
+    assert sorted(one(graph.tree_ids(line, "process_guid", "parent_guid", seeds, scope=["tenant_id"]), "tenant_id", "id")) == [("t1", "c"), ("t1", "r")]
+    up = {(r["tenant_id"], r["child"]): r["anomaly_score"] for r in pv.diffuse(scored).collect()}
+    assert up["t1", "c"] == 0.0 and up["t2", "c"] > 0.9
+    assert {r["tenant_id"] for r in pv.provenance(events, seeds).collect()} == {"t1"}
+    assert pv.provenance(events, spark.createDataFrame([("t2", "x"), ("t2", "o3")], "tenant_id string, start string"), most=1).count() == 1
+
+
+def test_rule_cases_alone_and_together(spark):
+    events = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c2", "a"), ("c2", "a"), ("c3", "b")], "case_id string, kind string")
+    cases = [("c1", "match", None, False, False), ("c1", "match", None, True, True), ("c1", "match", 2, True, False), ("c1", "no_match", None, False, False), ("c2", "match", None, False, True), ("c2", "match", 2, True, True), ("c3", "no_match", None, True, True), ("c4", "match", None, False, False), ("c4", "no_match", None, False, True)]
+    for case, expect, count, together, want in cases:
+        df = spark.createDataFrame([(case, "r", expect, count, together)], "case_id string, rule_id string, expect string, count long, together boolean")
+        assert rules.rule_test(events, {"r": {"selections": {"s": {"kind": "a"}}, "when": "s"}}, df).first()["passed"] == want, (case, expect, count, together)
+
+
+def test_coverage_totals(spark):
+    tech = spark.createDataFrame([("T1002", "", False, ["x"]), ("T1000", "", False, ["x", "y"]), ("T1000.001", "T1000", False, ["y"]), ("T1001", "", True, ["x"])], "id string, parent string, deprecated boolean, tactics array<string>")
+    made = [(1, ["attack.t1000.001"]), (2, ["attack.execution"]), (3, ["attack.t1001"]), (4, ["attack.t9999", "attack.impact"]), (5, ["other"]), (6, [])]
+    own = spark.createDataFrame([(i, True, "Informational", x) for i, x in made], "id int, enabled boolean, severity string, labels array<string>")
+    assert rules.coverage_summary(own, tech).first().asDict() == {"rules": 6, "mapped": 1, "tactic_only": 1, "retired": 2, "unmapped": 2, "techniques": 3, "covered": 2, "leaves": 2, "covered_leaves": 1}
+    assert sorted(one(rules.coverage_by_tactic(own, tech), "tactic", "techniques", "covered")) == [("x", 2, 1), ("y", 2, 2)]
+    assert {r["max_severity"] for r in rules.attack_coverage(own, tech).collect()} == {"info"}
+
+
+def test_archive_is_compacted_and_cut(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    day = lambda d, k: spark.range(10 * k, 10 * k + 10).select(F.lit(datetime(2024, 1, d)).alias("timestamp"), F.col("id").cast("string").alias("log_id"), F.lit("t :1%").alias("tenant_id"), F.lit(date(2024, 1, d)).alias("ingest_date"), F.create_map(F.lit("user"), F.lit("u")).alias("fields"))
+    for k in range(3):
+        archive.write_archive(day(1, k).unionByName(day(2, k + 3)).coalesce(1), path, ("user",))
+    rows = archive.read_archive(spark, path)
+    chosen = archive.small_partitions(rows, 1 << 20, date(2024, 1, 2))
+    assert [r["files"] for r in chosen.collect()] == [3]
+    files = lambda: {r["ingest_date"].day: r["n"] for r in archive.read_archive(spark, path).groupBy("ingest_date").agg(F.count_distinct("_metadata.file_path").alias("n")).collect()}
+    archive.compact(spark, path, chosen)
+    spark.catalog.refreshByPath(path)
+    assert files() == {1: 1, 2: 3} and archive.read_archive(spark, path).count() == 60 and archive.read_archive(spark, path).select("log_id").distinct().count() == 60
+    archive.write_archive(day(1, 9), path, ("user",))
+    assert files() == {1: 2, 2: 3}
+    gone = archive.read_archive(spark, path).where("ingest_date = date '2024-01-02'").select("tenant_id", "ingest_date")
+    assert archive.delete_partitions(spark, path, gone) == 1
+    spark.catalog.refreshByPath(path)
+    assert files() == {1: 2} and archive.read_archive(spark, path).count() == 40
+    found, hit = archive.archive_search(archive.read_archive(spark, path), date(2024, 1, 1), date(2024, 1, 1), lambda x: x.orderBy(F.col("log_id").cast("int").desc()), 3)
+    assert one(found, "log_id") == [("99",), ("98",), ("97",)] and hit.first()[0]
+
+
+def test_backfill_goes_on(spark, tmp_path):
+    path = str(tmp_path / "state")
+    rows = spark.createDataFrame([(datetime(2024, 1, d, h), f"u{d}") for d in (1, 2, 3) for h in (0, 23)], "ts timestamp, user string")
+    state = lambda df: models.first_seen_state(df, "user", "ts")
+    span = (date(2024, 1, 1), date(2024, 1, 3))
+    assert models.backfill(rows, "ts", path, state, span[0], date(2024, 1, 2)) == [date(2024, 1, 1), date(2024, 1, 2)]
+    assert models.backfill(rows, "ts", path, state, *span) == [date(2024, 1, 3)] and models.backfill(rows, "ts", path, state, *span) == []
+    assert len(models.backfill(rows, "ts", path, state, *span, again=True)) == 3
+    assert sorted(one(models.first_seen_score(spark.read.parquet(path), datetime(2024, 2, 1)), "entity", "n")) == [("u1", 2), ("u2", 2), ("u3", 2)]
+
+
+def test_sliding_alert_on_a_stream(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1, 0, m), "u") for m in (1, 9, 12)] + [(datetime(2024, 1, 1, 9), "u")]
+    spark.createDataFrame(rows, "t timestamp, k string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t timestamp, k string").parquet(str(tmp_path / "in"))
+    q = jobs.sliding_alert(stream, "t", "10 minutes", "5 minutes", ["k"], 2).writeStream.format("memory").queryName("sliding").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["as_of"].minute, r["n"]) for r in spark.table("sliding").collect()) == [(10, 2), (15, 2)]
+
+
+def test_newest_span(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 2) - timedelta(minutes=m),) for m in range(120)], "t timestamp")
+    assert profile.newest_span(df, 600, "t", datetime(2024, 1, 2)) == timedelta(hours=10)
+    assert profile.newest_span(df, 600, "t", datetime(2025, 1, 2)) == timedelta(days=30)
+
+
 def test_flatten_collisions(spark):
     df = strings(spark, '{"a":{"b":"1","c":{"b":"2"}},"l":[{"v":"x"},{"v":"y"}],"n":null,"e":{}}')
     f = readers.string_map(F.col("value"))
