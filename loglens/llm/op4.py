@@ -108,12 +108,13 @@ def real_posts(texts: DataFrame) -> DataFrame:
     Ordered by their frequency among these texts, rarest first, two sets at similarity 0.75 share one of
     the first n - ceil(0.75 n) + 1 of each. Shingles of one text come first and need no posting.
 
-    Texts are dealt into parts of a few MB and hashes into as many buckets as the texts need. A part sends
+    Texts are dealt into parts of a few MB and hashes into buckets, one to some parts. A part sends
     each distinct shingle once with its count, a bucket sums the counts and answers which are shared, and
     the part orders its sets: no row is made for a shingle but those that are posted.
     """
     size = texts.agg(F.sum(F.octet_length("z"))).first()[0] or 1
-    parts, bits = -(-size // PART), max(4, int(size // PART).bit_length() + 2)
+    parts = -(-size // PART)
+    bits = max(4, parts.bit_length() - 2)
     dealt = texts.withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(parts)).cast("int"))
 
     def sets_in(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,9 +194,9 @@ class _Search:
 
         First a star: each list's member with the most frequent values meets all the others. Then further
         stars, if they are asked for and as long as they help: around members outside the list's largest
-        component, in lists with more than OUTSIDE of them. Last, every member outside a list's largest component meets all members
-        of other components, so no pair that could still join two components is left out. Lists with more
-        than bound such members are not paired but returned.
+        component, in lists with more than OUTSIDE of them. Last, every member outside a list's largest
+        component meets all members of other components, so no pair that could still join two components is
+        left out. Lists with more than bound such members are not paired but returned.
         """
         before = None
         long_enough = F.expr("100 * least(x_n, y_n) >= 75 * greatest(x_n, y_n)")

@@ -800,6 +800,67 @@ def test_vectors_of_doubles(spark, monkeypatch):
     assert got == {**want, None: (0, None, True)}
 
 
+# null and repeated ids, nulls in any column, clashing names, empty tables
+
+AWKWARD = [(None, None, None, None, None), (None, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (1, "x " * 40, "fr", None, None), (1, "x " * 40, "fr", None, None), (1, "y " * 40, "fr", "s", 80), (2, "", "de", "s", 0), (3, " \n", None, None, 2)]
+EACH = {
+    "op2": lambda df: op2.sample(df, op2.n_words(F.col("text")), "source", "doc_id"),
+    "op3": lambda df: op3.identify(df, {"en": b"a b c the of", "fr": b"x y le la"}),
+    "op4": op4.near_duplicates,
+    "op5": op5.remove_repeats,
+    "op6": op6.packed_documents,
+    "op8": lambda df: op8.digests(op8.as_streams(df)),
+    "op9": op9.scan,
+}
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    plain = spark.createDataFrame(AWKWARD, DOCS).repartition(3)
+    names = ("id", "n", "rep", "sig", "tok", "part", "z", "_salt", "_s", "_row", "size", "copies", "target", "media", "words", "labels", "rejected", "lang_pred", "kept", "component_id", "shard", "sequence_id", "offset", "ids_crc32")
+    return {"plain": plain, "clashing": plain.withColumns({c: F.lit(None).cast("string") if k % 2 else F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit(k))) for k, c in enumerate(names)}), "empty": none(spark)}
+
+
+@pytest.mark.parametrize("name", sorted(EACH))
+def test_awkward_rows(awkward, name):
+    """One row for each row, null ids as null ids; the texts here are one piece each."""
+    for kind, df in awkward.items():
+        got = collections.Counter(r["doc_id"] for r in EACH[name](df).collect())
+        assert got == ({} if kind == "empty" else {None: 3, 1: 3, 2: 1, 3: 1}), kind
+
+
+def test_awkward_rows_in_stages(spark, awkward):
+    """Each stage gives the columns of documents and keeps what its docstring says."""
+    import corpus_pipeline as cp
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    want = {
+        "language ID": None, "MinHash near-dedup": {None: 3, 1: 3, 2: 1, 3: 1}, "substring dedup": {None: 3, 1: 3, 2: 1, 3: 1}, "mixing sources": None, "best-fit packing": {None: 3, 1: 3, 2: 1, 3: 1},
+    }
+    for kind, df in awkward.items():
+        for name, stage in cp.STAGES:
+            out = stage(spark, df, SMALL)
+            got = collections.Counter(r["doc_id"] for r in out.collect())
+            if name != "best-fit packing":
+                assert out.columns == columns, name
+            if kind == "empty":
+                assert not got, name
+            elif want[name]:
+                assert got == want[name], (kind, name)
+            else:
+                assert set(got) <= {None, 1} and 3 not in got, (kind, name)
+
+
+def test_session_is_left_as_it_was(spark):
+    from loglens.llm import scratch
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    scratch.table(spark.range(3), "x")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # pipeline
 
 
