@@ -43,8 +43,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix by source takes them.
 
-    A null source is one source; null ids and repeated rows are documents like any others; those without a word
-    are not taken.
+    A null source is one source; null ids, repeated rows and documents without a word are documents like any
+    others; of a source without any word nothing is taken.
     """
     return op2.mixed(docs).select(*COLUMNS)
 
