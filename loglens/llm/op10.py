@@ -16,11 +16,11 @@ from .scratch import components, table
 
 COSINE = 0.9
 #: Dimensions of a block.
-BLOCK = 16
+BLOCK = 32
 #: Vectors of one cell that are held in memory together, and those from which the cells of each length are cut.
 CHUNK, SAMPLE = 8192, 16_384
-#: Probing vectors compared at once.
-STEP = 2048
+#: Probing vectors, and vectors at home, compared at once: their distances fit in a processor's cache.
+STEP, TILE = 512, 1024
 
 
 @lru_cache(8)
@@ -211,12 +211,18 @@ class _Group:
 
     def _compare(self, other: tuple, above: int) -> None:
         """above: 0 for probes, else one more than the place where other begins in home, of which each pair counts once."""
-        i, j = np.nonzero(other[3] @ self.home[4].T >= -(self.budget / 2 + 1e-5))
-        if above:
-            later = j > i + above - 1
-            i, j = i[later], j[later]
-        for at in range(0, len(i), 1 << 16):
-            self._verify(other, i[at : at + (1 << 16)], j[at : at + (1 << 16)])
+        least = -(self.budget / 2 + 1e-5)
+        for at in range(0, len(self.home[0]), TILE):
+            close = other[3] @ self.home[4][at : at + TILE].T >= least
+            if not close.any():
+                continue
+            i, j = np.nonzero(close)
+            j += at
+            if above:
+                later = j > i + above - 1
+                i, j = i[later], j[later]
+            for k in range(0, len(i), 1 << 16):
+                self._verify(other, i[k : k + (1 << 16)], j[k : k + (1 << 16)])
 
     def _verify(self, other: tuple, i: np.ndarray, j: np.ndarray) -> None:
         ids, weights, u = self.home[:3]
