@@ -19,12 +19,11 @@ def _is_objects(v: Column) -> Column:
     return v.rlike(r"^\[\s*\{")
 
 
-def flattened(fields: Column, depth: int = 16, leaf: bool = False, most: int = 1000, items: int = 16) -> Column:
+def flattened(fields: Column, depth: int = 64, leaf: bool = False, most: int = 1000, items: int = 16) -> Column:
     """A struct (fields, truncated): nested JSON values become entries of their own, named by their path
     joined with _, or by their last name where that is unique.
 
-    Arrays of objects take part up to a number of items. A level of map functions is evaluated only while
-    something nested is left. Entries beyond the limit are dropped, in order; truncated says whether any
+    Arrays of objects take part up to a number of items. Entries beyond the limit are dropped, in order; truncated says whether any
     entry or item was dropped, or is nested deeper than depth and stays JSON text.
     """
     entry = lambda key, last, value: F.struct(key.alias("key"), last.alias("last"), F.coalesce(value, F.lit("")).alias("value"))
@@ -50,13 +49,18 @@ def flattened(fields: Column, depth: int = 16, leaf: bool = False, most: int = 1
         lost = F.exists(own, lambda e: e["key"].isNull() | (nested(e) & F.coalesce(F.from_json(e["value"], "map<string,string>").isNotNull(), F.lit(False)) & (F.size(F.from_json(e["value"], "map<string,string>")) > 0)))
         return F.struct(let(F.slice(whole, 1, most), named).alias("fields"), (lost | (F.size(whole) > most)).alias("truncated"))
 
+    def opened(own: Column) -> Column:
+        """own with nested values expanded level by level, as many times as it has brackets, but depth times at most."""
+        brackets = F.aggregate(own, F.lit(0), lambda n, e: n + F.length(e["value"]) - F.length(F.translate(e["value"], "{[", "")))
+        level = lambda now, _: F.when(F.exists(now, nested), F.flatten(F.transform(now, expand))).otherwise(now)
+        times = F.sequence(F.lit(1), F.greatest(F.least(brackets, F.lit(depth)), F.lit(1)))
+        return F.when(F.exists(own, nested), F.aggregate(times, own, level)).otherwise(own)
+
     entries = F.transform(F.map_entries(fields), lambda e: entry(e["key"], e["key"], e["value"]))
-    for _ in range(depth):
-        entries = let(entries, lambda own: F.when(F.exists(own, nested), F.flatten(F.transform(own, expand))).otherwise(own))
-    return let(entries, finished)
+    return let(let(entries, opened), finished)
 
 
-def flatten(fields: Column, depth: int = 16, leaf: bool = False, most: int = 1000, items: int = 16) -> Column:
+def flatten(fields: Column, depth: int = 64, leaf: bool = False, most: int = 1000, items: int = 16) -> Column:
     """The fields of flattened()."""
     return flattened(fields, depth, leaf, most, items)["fields"]
 

@@ -137,11 +137,11 @@ def test_edit_distances_together(spark):
 def test_flatten_says_what_it_cut(spark):
     deep = lambda n: '{"a":' * n + "1" + "}" * n
     wide = json.dumps({f"k{i}": i for i in range(12)})
-    rows = [deep(3), deep(16), deep(20), wide, '{"l":[' + ",".join('{"v":1}' for _ in range(17)) + "]}", '{"l":[1,2],"e":{},"s":"{x"}', "{}"]
+    rows = [deep(3), deep(64), deep(70), wide, '{"l":[' + ",".join('{"v":1}' for _ in range(17)) + "]}", '{"l":[1,2],"e":{},"s":"{x"}', "{}"]
     f = readers.string_map(F.col("value"))
     got = strings(spark, *rows).select(nz.flattened(f, most=10).alias("f")).select("f.*").collect()
     assert [r["truncated"] for r in got] == [False, False, True, True, True, False, False]
-    assert got[1]["fields"] == {"_".join("a" * 16): "1"} and len(got[3]["fields"]) == 10 and len(got[4]["fields"]) == 10 and got[6]["fields"] == {}
+    assert got[1]["fields"] == {"_".join("a" * 64): "1"} and len(got[3]["fields"]) == 10 and len(got[4]["fields"]) == 10 and got[6]["fields"] == {}
 
 
 def test_spaced_rows(spark):
