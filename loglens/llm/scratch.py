@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import written
@@ -54,3 +56,36 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         labels = labels.select("v", "c")
         if done:
             return labels
+
+
+def numbered(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """df with each row's place, from 0, within its group (a string column without nulls) in the given order.
+
+    Rows are dealt by ranges of (group, order), so a large group is spread over tasks, and numbered within a range
+    as they pass; the ranges' counts are summed. The order should leave no ties of rows that differ, and df should be slim.
+    """
+    names = df.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # runs of equal groups: rows are sorted
+            run = batch[group].dictionary_encode() if not pa.types.is_dictionary(batch[group].type) else batch[group]
+            code = run.indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            at = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
+            first, end = batch[group][0].as_py(), batch[group][-1].as_py()
+            if first == last:
+                at[: starts[1] if len(starts) > 1 else None] += n
+            last, n = end, int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, out])
+
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).select(*names, F.spark_partition_id().alias("_range"))
+    placed = table(dealt.mapInArrow(count, dealt.withColumn(out, F.lit(0).cast("long")).schema), "numbered")
+    counts = placed.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = counts.select(group, "_range", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # only groups that begin in an earlier range have rows before
+    joined = placed.join(before.where("_before > 0"), [group, "_range"], "left")
+    return joined.select(*names, (F.col(out) + F.coalesce("_before", F.lit(0))).alias(out))
