@@ -48,16 +48,16 @@ def _beside(levels: list[list[str]], at: int, fanout: int) -> list[tuple[str, st
 
 
 def _partitions(leaves: DataFrame, levels: int, fanout: int) -> DataFrame:
-    """(tree, chunk, last, node, keys, leaves): aligned runs of fanout**levels leaves, a row each, with the root of their subtree.
+    """(tree, chunk, last, keys, extras, leaves, node): aligned runs of fanout**levels leaves, a row each, with the root of their subtree.
 
     A tree of one partition ends where one node is left; last is a tree's last chunk.
     """
     width = fanout**levels
-    placed = numbered(leaves, "tree", [F.col("key").asc_nulls_first(), F.col("leaf"), F.col("row")], "at")
+    placed = numbered(leaves, "tree", [F.col("key").asc_nulls_first(), F.col("leaf"), F.col("extra"), F.col("row")], "at")
     ends = placed.groupBy("tree").agg(F.floor(F.max("at") / width).alias("last"))
-    own = placed.select("tree", "key", "leaf", F.floor(F.col("at") / width).alias("chunk"), "at")
-    grouped = own.groupBy("tree", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "key", "leaf"))).alias("own"))  # fanout**levels at most
-    rows = grouped.join(ends, "tree").select("tree", "chunk", "last", F.col("own.key").alias("keys"), F.col("own.leaf").alias("leaves"))
+    own = placed.select("tree", "key", "extra", "leaf", F.floor(F.col("at") / width).alias("chunk"), "at")
+    grouped = own.groupBy("tree", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "key", "extra", "leaf"))).alias("own"))  # fanout**levels at most
+    rows = grouped.join(ends, "tree").select("tree", "chunk", "last", F.col("own.key").alias("keys"), F.col("own.extra").alias("extras"), F.col("own.leaf").alias("leaves"))
 
     @tidy
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +97,10 @@ def _butterfly(parts: DataFrame, fanout: int) -> DataFrame:
 
 
 def forest(leaves: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """Trees over leaves (tree, key, leaf, row): a tree's leaves ascend by key (nulls first), then digest.
+    """Trees over leaves (tree, key, leaf, extra, row): a tree's leaves ascend by key (nulls first), then digest.
 
-    The first result has a row for each partition (tree, root, keys, leaves, beside: siblings within it of each leaf, upper: above), the
-    second one (tree, root) for each tree. Groups of fanout nodes become one until one is left; the last
+    The first result has a row for each partition: tree, chunk, last (the tree's last chunk), root (the tree's), keys,
+    extras and leaves in order, upper (siblings above it); the second one has (tree, root). Groups of fanout nodes become one until one is left; the last
     group of a level may be smaller.
     """
     parts = table(_partitions(leaves, levels, fanout), "partitions")
@@ -121,12 +121,11 @@ def manifest(docs: DataFrame, by: str = "lang", id_col: str = "doc_id", columns:
     An empty table gives no rows. Other columns are not read. Texts are read once and do not move.
     """
     now = F.lit(None).cast("string") if tampered is None else tampered
-    key = F.struct(F.col(id_col).cast("long").alias("id"), now.alias("now"))
     tree = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-"))  # in order of the values' bytes, null first
-    slim = docs.select(tree.alias("tree"), key.alias("key"), digest(*(F.col(c) for c in columns)).alias("leaf"), F.monotonically_increasing_id().alias("row"))
+    slim = docs.select(tree.alias("tree"), F.col(id_col).cast("long").alias("key"), digest(*(F.col(c) for c in columns)).alias("leaf"), now.alias("extra"), F.monotonically_increasing_id().alias("row"))
     parts, roots = forest(table(slim, "leaves"), levels, fanout)
     # the same again over the subroots: their order is that of tree
-    tops, _ = forest(roots.select(F.lit("").alias("tree"), F.struct("tree").alias("key"), F.col("root").alias("leaf"), F.lit(0).cast("long").alias("row")), levels, fanout)
+    tops, _ = forest(roots.select(F.lit("").alias("tree"), F.col("tree").alias("key"), F.col("root").alias("leaf"), F.lit(None).cast("string").alias("extra"), F.lit(0).cast("long").alias("row")), levels, fanout)
     schema = "id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
     def folded(leaf: str, beside: list[tuple[str, str]]) -> str:
@@ -144,17 +143,17 @@ def manifest(docs: DataFrame, by: str = "lang", id_col: str = "doc_id", columns:
         for batch in batches:
             for r in batch.to_pylist():
                 beside = [[{"left": a, "right": b} for a, b in p] for p in proofs(r["leaves"], r["last"], r["upper"])]
-                yield pa.RecordBatch.from_pydict({"tree": [k["tree"] for k in r["keys"]], "whole": [r["root"]] * len(beside), "rest": beside}, schema=pa.schema([("tree", pa.string()), ("whole", pa.string()), ("rest", pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))]))
+                yield pa.RecordBatch.from_pydict({"tree": r["keys"], "whole": [r["root"]] * len(beside), "rest": beside}, schema=pa.schema([("tree", pa.string()), ("whole", pa.string()), ("rest", pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))]))
 
     @tidy
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 rest, rows = [(u["left"], u["right"]) for u in r["rest"]], []
-                for leaf, k, beside in zip(r["leaves"], r["keys"], proofs(r["leaves"], r["last"], r["upper"]), strict=True):
+                for leaf, key, found, beside in zip(r["leaves"], r["keys"], r["extras"], proofs(r["leaves"], r["last"], r["upper"]), strict=True):
                     path = beside + rest
-                    root = folded(k["now"] or leaf, path)
-                    rows.append((k["id"], leaf, r["root"], r["whole"], _parent([x for p in path for x in p]), root, root == r["whole"]))
+                    root = folded(found or leaf, path)
+                    rows.append((key, leaf, r["root"], r["whole"], _parent([x for p in path for x in p]), root, root == r["whole"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=[c.split()[0] for c in schema.split(", ")])
 
     above = table(tops.mapInArrow(subroots, "tree string, whole string, rest array<struct<left:string,right:string>>"), "tops")
@@ -169,8 +168,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Unsigned crc32 of the decimal {0}, bit by bit.
-CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}::VARCHAR) + 1), i -> ascii(substr({0}::VARCHAR, i::INT, 1))::BIGINT)),
-  (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), (x, z) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}::VARCHAR) + 1), lambda i: ascii(substr({0}::VARCHAR, i::INT, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
 
 _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in COLUMNS) + ")"
@@ -178,29 +177,29 @@ _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in COLUMNS) + ")"
 ORACLE = f"""
 WITH RECURSIVE rows AS (
   SELECT doc_id, lang, {_LEAF} AS leaf, {_LEAF.replace("n_chars", "(n_chars + 1)")} AS other, {CRC32.format("doc_id")} % 7 = 0 AS bad,
-    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS at FROM documents
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS k FROM documents
 ), level AS (
-  SELECT lang, 0 AS h, at, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM rows
+  SELECT lang, 0 AS h, k, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM rows
   UNION ALL
-  SELECT DISTINCT lang, h + 1, at // 2, sha256(string_agg(node, '') OVER (PARTITION BY lang, at // 2 ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 1) // 2 FROM level WHERE n > 1
+  SELECT DISTINCT lang, h + 1, k // 2, sha256(string_agg(node, '') OVER (PARTITION BY lang, k // 2 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 1) // 2 FROM level WHERE n > 1
 ), subroots AS (
-  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at FROM level WHERE n = 1
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM level WHERE n = 1
 ), top AS (
-  SELECT 0 AS h, at, subroot AS node, count(*) OVER () AS n FROM subroots
+  SELECT 0 AS h, k, subroot AS node, count(*) OVER () AS n FROM subroots
   UNION ALL
-  SELECT DISTINCT h + 1, at // 2, sha256(string_agg(node, '') OVER (PARTITION BY at // 2 ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 1) // 2 FROM top WHERE n > 1
+  SELECT DISTINCT h + 1, k // 2, sha256(string_agg(node, '') OVER (PARTITION BY k // 2 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 1) // 2 FROM top WHERE n > 1
 ), climb AS (
-  SELECT doc_id, r.lang, 0 AS h, at, '' AS proof, CASE WHEN bad THEN other ELSE leaf END AS node FROM rows r
+  SELECT doc_id, r.lang, 0 AS h, k, '' AS proof, CASE WHEN bad THEN other ELSE leaf END AS node FROM rows r
   UNION ALL
-  SELECT c.doc_id, c.lang, c.h + 1, c.at // 2, c.proof || coalesce(s.node, ''), sha256(CASE WHEN c.at % 2 = 0 THEN c.node || coalesce(s.node, '') ELSE s.node || c.node END)
-  FROM climb c JOIN level own ON own.lang IS NOT DISTINCT FROM c.lang AND own.h = c.h AND own.at = c.at
-  LEFT JOIN level s ON s.lang IS NOT DISTINCT FROM c.lang AND s.h = c.h AND s.at = xor(c.at, 1) WHERE own.n > 1
+  SELECT c.doc_id, c.lang, c.h + 1, c.k // 2, c.proof || coalesce(s.node, ''), sha256(CASE WHEN c.k % 2 = 0 THEN c.node || coalesce(s.node, '') ELSE s.node || c.node END)
+  FROM climb c JOIN level own ON own.lang IS NOT DISTINCT FROM c.lang AND own.h = c.h AND own.k = c.k
+  LEFT JOIN level s ON s.lang IS NOT DISTINCT FROM c.lang AND s.h = c.h AND s.k = xor(c.k, 1) WHERE own.n > 1
 ), low AS (SELECT doc_id, lang, arg_max(proof, h) AS proof, arg_max(node, h) AS node FROM climb GROUP BY doc_id, lang),
 rise AS (
-  SELECT l.doc_id, l.lang, 0 AS h, u.at, l.proof, l.node FROM low l JOIN subroots u ON u.lang IS NOT DISTINCT FROM l.lang
+  SELECT l.doc_id, l.lang, 0 AS h, u.k, l.proof, l.node FROM low l JOIN subroots u ON u.lang IS NOT DISTINCT FROM l.lang
   UNION ALL
-  SELECT c.doc_id, c.lang, c.h + 1, c.at // 2, c.proof || coalesce(s.node, ''), sha256(CASE WHEN c.at % 2 = 0 THEN c.node || coalesce(s.node, '') ELSE s.node || c.node END)
-  FROM rise c JOIN top own ON own.h = c.h AND own.at = c.at LEFT JOIN top s ON s.h = c.h AND s.at = xor(c.at, 1) WHERE own.n > 1
+  SELECT c.doc_id, c.lang, c.h + 1, c.k // 2, c.proof || coalesce(s.node, ''), sha256(CASE WHEN c.k % 2 = 0 THEN c.node || coalesce(s.node, '') ELSE s.node || c.node END)
+  FROM rise c JOIN top own ON own.h = c.h AND own.k = c.k LEFT JOIN top s ON s.h = c.h AND s.k = xor(c.k, 1) WHERE own.n > 1
 ), ends AS (SELECT doc_id, lang, arg_max(proof, h) AS proof, arg_max(node, h) AS node FROM rise GROUP BY doc_id, lang)
 SELECT r.doc_id, r.leaf, u.subroot, t.node AS root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = t.node AS verified
 FROM rows r JOIN subroots u ON u.lang IS NOT DISTINCT FROM r.lang JOIN ends e ON e.doc_id IS NOT DISTINCT FROM r.doc_id AND e.lang IS NOT DISTINCT FROM r.lang CROSS JOIN (SELECT node FROM top WHERE n = 1) t
