@@ -18,8 +18,8 @@ from .words import U, chunks, hashed, raw, tidy
 
 #: Id that ends a document, ids of a block, blocks of a file.
 END, BLOCK, LANES = 2, 4096, 1024
-#: Pieces of text that a worker remembers at most, and bytes of text encoded at once.
-REMEMBERED, CHUNK = 600_000, 2 << 20
+#: Pieces of text that a worker remembers at most, some 50 bytes each, and bytes of text encoded at once.
+REMEMBERED, CHUNK = 1_500_000, 2 << 20
 #: Bits of order-0 frequencies, of mixing weights, and of both; bits of a lane's table of order 2.
 BITS0, BITSW, BITS2 = 12, 11, 11
 BITS = BITS0 + BITSW
@@ -63,21 +63,20 @@ class Encoder:
         self.keys, self.begin, self.size, self.used, self.ids = np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint16)
         self.turn = 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Add pieces that aren't known; if there are too many, those used longest ago go."""
-        found = [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.concatenate([self.size, np.array([len(x) for x in found], np.int64)])
-        ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint16)])
-        keys, used = np.concatenate([self.keys, keys]), np.concatenate([self.used, np.full(len(keys), self.turn)])
-        begin = np.cumsum(size) - size
-        if len(keys) > REMEMBERED:
-            last = np.sort(used)[-REMEMBERED // 2]
-            keep = np.flatnonzero((used >= last) | (used == self.turn))
-            keys, size, used, begin = keys[keep], size[keep], used[keep], begin[keep]
-        order = np.argsort(keys)
-        self.keys, self.size, self.used = keys[order], size[order], used[order]
-        self.ids = ids[_slices(begin[order], self.size)]
-        self.begin = np.cumsum(self.size) - self.size
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Add pieces that aren't known, by ascending keys; if there are too many, those used longest ago go."""
+        found = [e.ids for e in self.model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        ids, size = np.fromiter((i for x in found for i in x), np.uint16), np.fromiter(map(len, found), np.int64)
+        at = np.searchsorted(self.keys, keys)
+        begin = np.cumsum(size) - size + len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys, self.begin, self.size, self.used = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.begin, begin), (self.size, size), (self.used, self.turn)))
+        if len(self.keys) > REMEMBERED:
+            last = np.sort(self.used)[-REMEMBERED // 2]
+            keep = np.flatnonzero((self.used >= last) | (self.used == self.turn))
+            self.keys, self.size, self.used, begin = self.keys[keep], self.size[keep], self.used[keep], self.begin[keep]
+            self.ids = self.ids[_slices(begin, self.size)]
+            self.begin = np.cumsum(self.size) - self.size
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(cut, ids): row i has ids[cut[i]:cut[i + 1]], of which the last is END."""
@@ -91,7 +90,7 @@ class Encoder:
         self.used[place[known]] = self.turn
         if not known.all():
             blob = data.tobytes()
-            self._learn(keys[~known], [blob[s:e].decode() for s, e in zip(starts[where[~known]].tolist(), ends[where[~known]].tolist(), strict=True)])
+            self._learn(keys[~known], [blob[s:e] for s, e in zip(starts[where[~known]].tolist(), ends[where[~known]].tolist(), strict=True)])
             place = np.searchsorted(self.keys, keys)
         size, begin = (self.size[place][at], self.begin[place][at]) if len(keys) else (np.zeros(0, np.int64),) * 2
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, off)]
@@ -180,7 +179,7 @@ class Lanes:
         self.b = self.a * 0x6A09  # of the id before, for the next one
         self.i2, self.e1, self.e2 = i2, self.one.take(self.i1), self.two.take(i2)
         self.n1, self.n2 = self.e1 & LEVEL, self.e2 & LEVEL
-        self.im = self.base_mix + (self.n2 << 3 | self.n1)
+        self.im = self.base_mix + (self.n2 << 3 | self.n1).astype(np.int64)
         self.m = self.mix.take(self.im)
         self.c2 = (self.m >> (31 - BITSW)) + 1  # a weight is never 0
         self.c1 = ((self.m & 0x7FFF) >> (15 - BITSW)) + 1
@@ -208,7 +207,7 @@ class Lanes:
         """The ids in whose intervals q lies."""
         c1 = self.c1 << BITS0
         slot = (np.maximum(q, c1) - c1).view(np.uint32) // self.w0.view(np.uint32)
-        x = self.slots.take(self.base0 + slot)
+        x = self.slots.take(self.base0 + slot.astype(np.int64))
         np.copyto(x, self.e1 >> 3, where=q < c1)
         np.copyto(x, self.e2 >> 3, where=q < self.c2 << BITS0)
         return x
@@ -216,12 +215,12 @@ class Lanes:
     def learn(self, at: np.ndarray) -> None:
         m = self.m
         m -= (m >> RATE) & ((0x7FFF >> RATE) * 0x10001)
-        m += self.h2 * np.int32(STEP << 16)
-        m += (self.h1 & ~self.h2) * np.int32(STEP)
+        m += self.h2.astype(np.int32) * (STEP << 16)
+        m += (self.h1 > self.h2).astype(np.int32) * STEP
         self.mix[self.im] = m
         fresh = self.x << 3
         for table, i, e, n, h in ((self.one, self.i1, self.e1, self.n1, self.h1), (self.two, self.i2, self.e2, self.n2, self.h2)):
-            e += n != LEVEL
+            e += (2 * LEVEL - n) >> 3  # 1, but 0 at LEVEL
             np.copyto(e, fresh, where=~h)
             table[i] = e
         self.a = at
@@ -274,10 +273,10 @@ def squeeze(ids: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
         while len(carry):  # into what was put out
             out[carry] += np.uint32(1)
             carry = carry[out[carry] == 0] - 1
-        full = width < U(1 << 32)
+        shift = (width < U(1 << 32)).astype(U)
         out[place] = low >> U(32)  # overwritten by what comes next unless it is full
-        place += full
-        shift = full * U(32)
+        place += shift.view(np.int64)
+        shift <<= U(5)
         low <<= shift
         width <<= shift
         model.learn(at)
@@ -332,12 +331,14 @@ def expand(directory: np.ndarray, data: memoryview, first: int = 0) -> np.ndarra
         begin, size = model.interval(at)
         rest -= width * begin.astype(U)
         width *= size.astype(U)
-        full = width < U(1 << 32)
-        shift = full * U(32)
+        shift = (width < U(1 << 32)).astype(U)
+        more = code.take(np.minimum(place, end)).astype(U)
+        more *= shift
+        place += shift.view(np.int64)
+        shift <<= U(5)
         rest <<= shift
-        rest |= code.take(np.minimum(place, end)) * full
+        rest |= more
         width <<= shift
-        place += full
         model.learn(at)
     out = [a[np.minimum(local[:k, i], len(a) - 1)] for i, (a, k) in enumerate(zip(alphabets, directory[:, 0].tolist(), strict=True))]
     for i, (own, crc) in enumerate(zip(out, directory[:, 3].tolist(), strict=True)):
