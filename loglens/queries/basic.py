@@ -52,16 +52,17 @@ def a3(spark, d):
 
 
 @query("a4_parse_syslog", """
-SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'local0' END AS facility, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'info' END AS severity,
- CASE event_id % 3 WHEN 2 THEN NULL ELSE 'srv' || (user_id % 5) END AS hostname, CASE event_id % 3 WHEN 2 THEN NULL ELSE 'app' END AS app_name,
- CASE event_id % 3 WHEN 2 THEN 'plain ' || event_type ELSE event_type END AS message FROM events""")
+WITH e AS (SELECT *, CASE event_id % 3 WHEN 0 THEN event_id % 192 WHEN 1 THEN 134 END AS pri FROM events), names AS (SELECT ['kern', 'user', 'mail', 'daemon', 'auth', 'syslog', 'lpr', 'news', 'uucp', 'cron', 'authpriv', 'ftp', 'ntp', 'audit', 'alert', 'clock', 'local0', 'local1', 'local2', 'local3', 'local4', 'local5', 'local6', 'local7'] AS f, ['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'info', 'debug'] AS s)
+SELECT event_id, CAST(pri AS VARCHAR) AS priority, CAST(pri // 8 AS VARCHAR) AS facility, CAST(pri % 8 AS VARCHAR) AS severity, f[pri // 8 + 1] AS facility_name, s[pri % 8 + 1] AS severity_name,
+ CASE WHEN event_id % 3 = 0 THEN '1' END AS version, CASE event_id % 3 WHEN 2 THEN NULL ELSE 'srv' || (user_id % 5) END AS hostname, CASE event_id % 3 WHEN 2 THEN NULL ELSE 'app' END AS appname, CASE event_id % 3 WHEN 2 THEN NULL ELSE '12' END AS procid,
+ CASE event_id % 3 WHEN 0 THEN 'EV9' END AS msgid, CASE event_id % 3 WHEN 2 THEN '<200>plain ' || event_type ELSE event_type END AS message FROM e, names""")
 def a4(spark, d):
     host = F.concat(F.lit("srv"), F.col("user_id") % 5)
-    new = F.concat(F.lit("<134>1 2024-03-05T07:41:02.250Z "), host, F.lit(" app 12 EV9 - "), F.col("event_type"))
+    new = F.concat(F.lit("<"), F.col("event_id") % 192, F.lit(">1 2024-03-05T07:41:02.250Z "), host, F.lit(" app 12 EV9 - "), F.col("event_type"))
     old = F.concat(F.lit("<134>Mar  5 07:41:02 "), host, F.lit(" app[12]: "), F.col("event_type"))
-    line = F.when(F.col("event_id") % 3 == 0, new).when(F.col("event_id") % 3 == 1, old).otherwise(F.concat(F.lit("plain "), F.col("event_type")))
+    line = F.when(F.col("event_id") % 3 == 0, new).when(F.col("event_id") % 3 == 1, old).otherwise(F.concat(F.lit("<200>plain "), F.col("event_type")))
     rows = readers.parse_syslog(events(spark, d).select("event_id", line.alias("value")))
-    return rows.select("event_id", *(F.col("fields")[k].alias(k) for k in ("facility", "severity", "hostname", "app_name", "message")))
+    return rows.select("event_id", *(F.col("fields")[k].alias(k) for k in ("priority", "facility", "severity", "facility_name", "severity_name", "version", "hostname", "appname", "procid", "msgid", "message")))
 
 
 @query("a5_parse_bulk", """SELECT CAST(event_id AS VARCHAR) AS id, CASE event_id % 4 WHEN 0 THEN 'index' ELSE 'create' END AS action, CASE WHEN event_id % 3 = 0 THEN '{}' WHEN event_id % 3 = 1 THEN '5' END AS looks FROM events WHERE event_id % 4 < 2""")
@@ -133,23 +134,55 @@ def a16(spark, d):
     return archive.rollover(days, 20_000)
 
 
-@query("n1_build_fields", """SELECT event_id, '{"k":"' || event_type || '"}' AS nested, '' AS nothing, CAST(user_id AS VARCHAR) AS n FROM events""")
+#: JSON numbers and other values, and the texts that they become.
+NUMBERS = (("1e30", "1000000000000000000000000000000"), ("1.0", "1"), ("123456789012345678901", "123456789012345680000"), ("-0.000125", "-0.000125"), ("1.5e-9", "0.0000000015"), ("12.50", "12.5"), ("-7", "-7"), ("1E5", "100000"), ("true", "true"), ('"1e30"', "1e30"), ('""', ""))
+
+
+def _choice(values, by):
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (by % len(values) + 1).cast("int"))
+
+
+@query("n1_build_fields", f"""SELECT event_id, '{{"k":"' || event_type || '"}}' AS nested, '' AS nothing, CAST(user_id AS VARCHAR) AS n, {[v for _, v in NUMBERS]}[event_id % {len(NUMBERS)} + 1] AS v,
+ '[1,"' || event_type || '",{{}}]' AS list, '{{"k":1}}' AS text, CASE WHEN event_id % 2 = 0 THEN 'o,nested' ELSE 'nested' END AS objects FROM events""")
 def n1(spark, d):
-    text = F.concat(F.lit('{"nested":{"k":"'), F.col("event_type"), F.lit('"},"nothing":null,"n":'), F.col("user_id"), F.lit("}"))
-    return events(spark, d).select("event_id", readers.string_map(text).alias("f")).select("event_id", *(F.col("f")[k].alias(k) for k in ("nested", "nothing", "n")))
+    kind, n = F.col("event_type"), F.col("event_id")
+    more = F.when(n % 2 == 0, '"o":{},').otherwise("")
+    text = F.concat(F.lit("{"), more, F.lit('"v":'), _choice([j for j, _ in NUMBERS], n), F.lit(',"list":[1, "'), kind, F.lit('", {}],"text":"{\\"k\\":1}","nested":{"k":"'), kind, F.lit('"},"nothing":null,"n":'), F.col("user_id"), F.lit("}"))
+    own = events(spark, d).select("event_id", readers.string_map(text).alias("f"), F.array_join(F.reverse(F.sort_array(readers.nested_keys(text))), ",").alias("objects"))
+    return own.select("event_id", "objects", *(F.col("f")[k].alias(k) for k in ("nested", "nothing", "n", "v", "list", "text")))
 
 
-@query("n2_flatten", "SELECT event_id, CAST(event_id AS VARCHAR) AS a_b_c, event_type AS a_d, 'x' AS l_0_v FROM events")
+ITEMS = (0, 1, 16, 17, 20, 1000)
+
+
+@query("n2_flatten", f"""
+WITH e AS (SELECT *, {list(ITEMS)}[event_id % {len(ITEMS)} + 1] AS items FROM events)
+SELECT event_id, CAST(event_id AS VARCHAR) AS a_b_c, event_type AS a_d, '1' AS a_x_y, '{{"k":1}}' AS a_s, '[{{"x":1}},2]' AS a_mixed, '[{{"v":"x"}}]' AS l, '{{"k":2}}' AS s,
+ CASE WHEN items BETWEEN 1 AND 16 THEN NULL ELSE '[' || array_to_string(list_transform(range(items), lambda i: '{{"v":' || i || '}}'), ',') || ']' END AS a_l,
+ CASE WHEN items BETWEEN 1 AND 16 THEN array_to_string(range(items), ',') ELSE '' END AS opened, false AS truncated FROM e""")
 def n2(spark, d):
-    text = F.concat(F.lit('{"a":{"b":{"c":'), F.col("event_id"), F.lit('},"d":"'), F.col("event_type"), F.lit('"},"l":[{"v":"x"}]}'))
-    f = nz.flatten(readers.string_map(text))
-    return events(spark, d).select("event_id", f.alias("f")).select("event_id", *(F.col("f")[k].alias(k) for k in ("a_b_c", "a_d", "l_0_v")))
+    items = F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.concat(F.lit('{"v":'), (i - 1).cast("string"), F.lit("}")))
+    some = F.array_join(F.slice(items, 1, _choice(ITEMS, F.col("event_id"))), ",")
+    text = F.concat(F.lit('{"a":{"b":{"c":'), F.col("event_id"), F.lit('},"d":"'), F.col("event_type"), F.lit('","x.y":1,"e":{},"s":"{\\"k\\":1}","mixed":[{"x":1},2],"l":['), some, F.lit(']},"s":"{\\"k\\":2}","l":[{"v":"x"}]}'))
+    f = nz.flattened(readers.string_map(text), nested=readers.nested_keys(text))
+    own = events(spark, d).select("event_id", f.alias("f")).select("event_id", "f.*")
+    opened = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.try_element_at("fields", F.concat(F.lit("a_l_"), i.cast("string"), F.lit("_v")))), lambda v: v.isNotNull()), ",")
+    return own.select("event_id", "truncated", opened.alias("opened"), *(F.try_element_at("fields", F.lit(k)).alias(k) for k in ("a_b_c", "a_d", "a_x_y", "a_s", "a_mixed", "l", "s", "a_l")))
+
+
+#: Names, and how they are written in snake, camel and Pascal case.
+NAMES = (
+    ("queryName", "query_name", "queryName", "QueryName"), ("EventID", "event_id", "eventID", "EventID"), ("HTTPStatusCode", "http_status_code", "hTTPStatusCode", "HTTPStatusCode"), ("HTTPServer", "http_server", "hTTPServer", "HTTPServer"),
+    ("Accept-Encoding", "accept_encoding", "accept-Encoding", "Accept-Encoding"), ("accept-encoding", "accept_encoding", "accept-encoding", "Accept-encoding"), ("Process Name", "process_name", "process Name", "Process Name"), ("_Own__name_", "_own_name", "OwnName", "OwnName"),
+    ("query_name", "query_name", "queryName", "QueryName"), ("@timestamp", "@timestamp", "@timestamp", "@timestamp"), ("a/b", "a_b", "a/b", "A/b"), ("-x-", "x", "-x-", "-x-"), ("Ünï", "ünï", "ünï", "Ünï"), ("имяПоля", "имя_поля", "имяПоля", "ИмяПоля"), ("名前", "名前", "名前", "名前"), ("MyField.Name", "my_field._name", "myField.Name", "MyField.Name"),
+)
 
 
-@query("n3_rename_fields", "SELECT event_id, event_type AS my_field_name FROM events")
+@query("n3_rename_fields", f"SELECT event_id, event_type AS value, {[x[0] for x in NAMES]}[event_id % {len(NAMES)} + 1] AS name, " + ", ".join(f"{[x[i] for x in NAMES]}[event_id % {len(NAMES)} + 1] AS {how}" for i, how in ((1, "snake"), (2, "camel"), (3, "pascal"))) + " FROM events")
 def n3(spark, d):
-    f = nz.rename_fields(F.create_map(F.lit("MyField.Name"), F.col("event_type")), "snake")
-    return events(spark, d).select("event_id", f["my_field_name"].alias("my_field_name"))
+    name = _choice([x[0] for x in NAMES], F.col("event_id"))
+    own = events(spark, d).select("event_id", name.alias("name"), *(nz.rename_fields(F.create_map(name, F.col("event_type")), how).alias(how) for how in ("snake", "camel", "pascal")))
+    return own.select("event_id", "name", F.map_values("snake")[0].alias("value"), *(F.map_keys(how)[0].alias(how) for how in ("snake", "camel", "pascal")))
 
 
 @query("n4_map_fields", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'second' END AS target, 2 - 1 AS n FROM events")
@@ -183,12 +216,18 @@ def n8(spark, d):
     return own.select(F.col("fields")["user"].alias("_u"), "normalizer", "tenant_id", "timestamp").join(events(spark, d).select("event_id", F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("_u")), ["timestamp", "_u"]).select("event_id", "normalizer", "tenant_id", "timestamp")
 
 
-@query("n9_trace_normalization", "SELECT k AS field, count(*) AS n, count(*) FILTER (k = 'target') AS moved FROM events, (VALUES ('target'), ('user')) AS v(k) GROUP BY 1")
+@query("n9_trace_normalization", """
+WITH t AS (SELECT event_id, event_type AS action, CAST(user_id AS VARCHAR) AS usr, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE 'other' END AS code, event_id % 2 = 0 AS even FROM events)
+SELECT event_id, 'target' AS field, action AS value, 'action' AS source, 'action' AS alias, false AS derived, false AS override, true AS collision FROM t
+UNION ALL SELECT event_id, 'target', 'x', 'verb', 'verb', false, false, true FROM t
+UNION ALL SELECT event_id, 'user', CASE WHEN usr = '1' THEN 'one' ELSE usr END, 'user', NULL, usr = '1', usr = '1', false FROM t
+UNION ALL SELECT event_id, 'code', code, 'target', NULL, true, false, false FROM t WHERE NOT even
+UNION ALL SELECT event_id, 'code', code, 'code', NULL, code <> 'other', code <> 'other', false FROM t WHERE even""")
 def n9(spark, d):
-    e = logs(spark, d).select("event_id", F.map_filter("fields", lambda k, _: k != "src_ip").alias("before"))
-    after = e.withColumn("after", nz.map_fields(F.col("before"), {"target": ["action"]}))
-    tr = nz.trace_normalization(after, "event_id", "before", "after", {"target": ["action"]})
-    return tr.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "action").alias("moved"))
+    own = F.create_map(F.lit("verb"), F.lit("x"), F.lit("action"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    own = F.when(F.col("event_id") % 2 == 0, F.map_concat(own, F.create_map(F.lit("code"), F.lit("other")))).otherwise(own)
+    values = [("target", "code", {"click": "c", "view": "v"}, "other"), ("user", "user", {"1": "one"}, None), ("nothing", "more", {"a": "b"}, "c")]
+    return nz.trace_normalization(events(spark, d).select("event_id", own.alias("before")), "event_id", "before", {"target": ["action", "verb"]}, values)
 
 
 def _filter(name, sql, condition, table="events", columns=("event_id",)):

@@ -6,24 +6,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import first_entries
+from ..functions.fields import first_entries, let
 from ..operators.enrich import cidr_ranges, load_dictionary
+from .normalize import OBJECT, plain_text
 
 # Names of syslog facilities and severities.
 FACILITIES = ("kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp", "ntp", "audit", "alert", "clock", "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7")
-LEVELS = ("emerg", "alert", "crit", "err", "warning", "notice", "info", "debug")
+LEVELS = ("emergency", "alert", "critical", "error", "warning", "notice", "info", "debug")
 
 
 def string_map(text: Column) -> Column:
-    """A JSON object as a flat map: nested values as JSON text, null as '', null for what is no object."""
-    return F.transform_values(F.from_json(text, "map<string,string>"), lambda _, v: F.coalesce(v, F.lit("")))
+    """A JSON object as a flat map: numbers in plain decimals, nested values as JSON text, null as '', null for what is no object.
 
+    Numbers are read as doubles. What isn't quite JSON, or names a field twice, is read without types.
+    """
+    typed = lambda m: F.transform_values(m, lambda _, v: plain_text(v))
+    loose = let(F.from_json(text, "map<string,string>"), lambda m: first_entries(F.reverse(F.map_keys(m)), F.transform(F.reverse(F.map_values(m)), lambda v: F.coalesce(v, F.lit("")))))
+    return F.coalesce(let(F.try_variant_get(F.try_parse_json(text), "$", OBJECT), typed), loose)
+
+
+def nested_keys(text: Column) -> Column:
+    """The names of a JSON object's fields that are objects: those that flatten() may open."""
+    inner = F.map_filter(F.try_variant_get(F.try_parse_json(text), "$", OBJECT), lambda _, v: F.try_variant_get(v, "$", OBJECT).isNotNull())
+    return F.map_keys(inner)
 
-def parse_json(df: DataFrame, text: str = "value") -> DataFrame:
-    """Adds fields. An array gives a row for each object in it; text that is no JSON object is skipped."""
+
+def parse_json(df: DataFrame, text: str = "value", nested: str | None = None) -> DataFrame:
+    """Adds fields, and under the name nested, if one is given, which of them were objects. An array gives a row for each object in it; text that is no JSON object is skipped."""
     many = F.from_json(F.col(text), "array<string>")
     each = F.when(F.ltrim(F.col(text)).startswith("["), many).otherwise(F.array(F.col(text)))
-    return df.withColumn("_one", F.explode(each)).withColumn("fields", string_map(F.col("_one"))).drop("_one").where(F.col("fields").isNotNull() & (F.size("fields") > 0))
+    own = df.withColumn("_one", F.explode(each)).withColumn("fields", string_map(F.col("_one")))
+    if nested:
+        own = own.withColumn(nested, nested_keys(F.col("_one")))
+    return own.drop("_one").where(F.col("fields").isNotNull() & (F.size("fields") > 0))
 
 
 def parse_kv(df: DataFrame, text: str = "value") -> DataFrame:
@@ -36,29 +51,38 @@ def parse_kv(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def parse_syslog(df: DataFrame, text: str = "value") -> DataFrame:
-    """Adds fields from RFC 5424, else RFC 3164, else the whole line as message."""
+    """Adds fields from RFC 5424, else RFC 3164, else the whole line as message.
+
+    priority, facility and severity are numbers, with facility_name and severity_name beside them; empty
+    fields and "-" are left out. A priority above 191 makes the line a message.
+    """
     line = F.col(text)
-    new = r"(?s)^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: (.*))?$"
-    old = r"(?s)^<(\d{1,3})>([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d) (\S+) ([^:\[\s]+)(?:\[([^\]]*)\])?: ?(.*)$"
-    bare = r"(?s)^<(\d{1,3})>(.*)$"
-    is_new, is_old, is_bare = line.rlike(new), line.rlike(old), line.rlike(bare)
-    pri = F.when(is_bare, F.regexp_extract(line, bare, 1)).try_cast("int")
-    pri = F.when(pri < 192, pri)
-    name = lambda names, i: F.element_at(F.array(*(F.lit(n) for n in names)), (i + 1).cast("int"))
+    new = r"(?s)^<(\d{1,3})>(\d)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(-|(?:\[(?:[^\]\\]|\\.)*\])+)?\s*(.*)$"
+    old = r"(?s)^<(\d{1,3})>([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(?:([^:\[]*)(?:\[([^:]*)\])?: ?)?(.*)$"
+    pri = F.regexp_extract(line, r"^<(\d{1,3})>", 1).try_cast("int")
+    good = F.coalesce(pri < 192, F.lit(False))
+    is_new, is_old = good & line.rlike(new), good & line.rlike(old)
+    some = is_new | is_old
+    number = lambda n: F.when(some, n.cast("string")).otherwise("")
+    name = lambda names, i: F.when(some, F.element_at(F.array(*(F.lit(n) for n in names)), (i + 1).cast("int"))).otherwise("")
     pick = lambda a, b: F.when(is_new, F.regexp_extract(line, new, a) if a else F.lit("")).when(is_old, F.regexp_extract(line, old, b) if b else F.lit("")).otherwise("")
     entries = {
-        "facility": F.coalesce(name(FACILITIES, F.floor(pri / 8)), F.lit("")),
-        "severity": F.coalesce(name(LEVELS, pri % 8), F.lit("")),
-        "timestamp": pick(2, 2),
-        "hostname": pick(3, 3),
-        "app_name": pick(4, 4),
-        "proc_id": pick(5, 5),
-        "msg_id": pick(6, 0),
-        "structured_data": pick(7, 0),
-        "message": F.when(is_new, F.regexp_extract(line, new, 8)).when(is_old, F.regexp_extract(line, old, 6)).when(is_bare, F.regexp_extract(line, bare, 2)).otherwise(line),
+        "priority": number(pri),
+        "facility": number(F.floor(pri / 8)),
+        "severity": number(pri % 8),
+        "facility_name": name(FACILITIES, F.floor(pri / 8)),
+        "severity_name": name(LEVELS, pri % 8),
+        "version": pick(2, 0),
+        "timestamp": pick(3, 2),
+        "hostname": pick(4, 3),
+        "appname": pick(5, 4),
+        "procid": pick(6, 5),
+        "msgid": pick(7, 0),
+        "structured_data": pick(8, 0),
+        "message": F.when(is_new, F.regexp_extract(line, new, 9)).when(is_old, F.regexp_extract(line, old, 6)).otherwise(line),
     }
     whole = F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v)))
-    return df.withColumn("fields", F.map_filter(whole, lambda k, v: (k == "message") | ((v != "") & (v != "-")))).where(line.isNotNull() & (F.trim(line) != ""))
+    return df.withColumn("fields", F.map_filter(whole, lambda k, v: ((k == "message") | (v != "-")) & (v != ""))).where(line.isNotNull() & (F.trim(line) != ""))
 
 
 def pair_bulk(lines: DataFrame, body: list[str], order: list[str], line: str = "value") -> DataFrame:

@@ -49,9 +49,9 @@ def test_syslog(spark):
     new = "<163>1 2024-03-05T07:41:02.250Z gate07 billing 88 EV9 - Invoice 12 was paid"
     data = '<110>1 2024-03-05T07:41:03Z gate07 audit - EV10 [who@99 name="a \\] b"][x@99] Key was changed'
     got = [r["fields"] for r in readers.parse_syslog(strings(spark, new, data, "<26>Mar  5 07:41:04 gate08 smtpd[7]: queue is full", "no header", "", "<999>x")).collect()]
-    assert got[0] == {"facility": "local4", "severity": "err", "timestamp": "2024-03-05T07:41:02.250Z", "hostname": "gate07", "app_name": "billing", "proc_id": "88", "msg_id": "EV9", "message": "Invoice 12 was paid"}
-    assert got[1]["structured_data"] == '[who@99 name="a \\] b"][x@99]' and got[1]["message"] == "Key was changed" and got[1]["facility"] == "audit"
-    assert got[2]["facility"] == "daemon" and got[2]["severity"] == "crit" and got[2]["app_name"] == "smtpd" and got[2]["proc_id"] == "7"
+    assert got[0] == {"priority": "163", "version": "1", "facility": "20", "severity": "3", "facility_name": "local4", "severity_name": "error", "timestamp": "2024-03-05T07:41:02.250Z", "hostname": "gate07", "appname": "billing", "procid": "88", "msgid": "EV9", "message": "Invoice 12 was paid"}
+    assert got[1]["structured_data"] == '[who@99 name="a \\] b"][x@99]' and got[1]["message"] == "Key was changed" and got[1]["facility_name"] == "audit"
+    assert got[2] == {"priority": "26", "facility": "3", "severity": "2", "facility_name": "daemon", "severity_name": "critical", "timestamp": "Mar  5 07:41:04", "hostname": "gate08", "appname": "smtpd", "procid": "7", "message": "queue is full"}
     assert got[3] == {"message": "no header"} and len(got) == 5
 
 
@@ -137,11 +137,68 @@ def test_edit_distances_together(spark):
 def test_flatten_says_what_it_cut(spark):
     deep = lambda n: '{"a":' * n + "1" + "}" * n
     wide = json.dumps({f"k{i}": i for i in range(12)})
-    rows = [deep(3), deep(64), deep(70), wide, '{"l":[' + ",".join('{"v":1}' for _ in range(17)) + "]}", '{"l":[1,2],"e":{},"s":"{x"}', "{}"]
+    many = lambda n: '{"o":{"l":[' + ",".join('{"v":1}' for _ in range(n)) + "]}}"
+    rows = [deep(3), deep(64), deep(70), wide, many(16), many(17), many(1000), '{"l":[1,2],"e":{},"s":"{x"}', "{}", "nonsense", '{"a":1,"a":{"b":2}}', "{'a':{'b':1}}"]
     f = readers.string_map(F.col("value"))
     got = strings(spark, *rows).select(nz.flattened(f, most=10).alias("f")).select("f.*").collect()
-    assert [r["truncated"] for r in got] == [False, False, True, True, True, False, False]
-    assert got[1]["fields"] == {"_".join("a" * 64): "1"} and len(got[3]["fields"]) == 10 and len(got[4]["fields"]) == 10 and got[6]["fields"] == {}
+    assert [r["truncated"] for r in got] == [False, False, True, True, True, False, False, False, False, None, False, False]
+    assert got[1]["fields"] == {"_".join("a" * 64): "1"} and len(got[3]["fields"]) == 10 and len(got[4]["fields"]) == 10 and got[8]["fields"] == {}
+    assert json.loads(got[6]["fields"]["o_l"]) == [{"v": 1}] * 1000 and got[7]["fields"] == {"l": "[1,2]", "s": "{x"}
+    assert got[10]["fields"] == {"a_b": "2"} and got[11]["fields"] == {"a_b": "1"}
+
+
+def flat(fields, depth=64):
+    """Fields of parsed JSON, opened as flatten() does."""
+    out = {}
+    text = lambda v: v if isinstance(v, str) else "" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else json.dumps(v, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+
+    def walk(prefix, o):
+        for k, v in o.items():
+            name = f"{prefix}_{k}".replace(".", "_") if prefix else k.replace(".", "_")
+            if isinstance(v, dict):
+                walk(name, v)
+            elif prefix and isinstance(v, list) and 0 < len(v) <= 16 and all(isinstance(x, dict) for x in v):
+                for i, x in enumerate(v):
+                    walk(f"{name}_{i}", x)
+            else:
+                out.setdefault(name, text(v))
+
+    walk("", fields)
+    return out
+
+
+def test_flatten_of_any_json(spark):
+    r = random.Random(4)
+
+    def value(depth):
+        kind = r.randint(0, 9 if depth else 5)
+        if kind < 6:
+            return [r.randint(-9, 10**9), "é {x}", '{"k":[1]}', None, True, ""][kind]
+        if kind == 6:
+            return [value(depth - 1) for _ in range(r.randint(0, 3))]
+        if kind == 7:
+            return [{r.choice("ab"): value(depth - 1)} for _ in range(r.choice([1, 2, 16, 17]))]
+        return {r.choice(["a", "b", "c.d", "ü"]) + str(i): value(depth - 1) for i in range(r.randint(0, 3))}
+
+    rows = [{f"f{i}": value(4) for i in range(r.randint(0, 5))} for _ in range(300)]
+    df = strings(spark, *(json.dumps(x, ensure_ascii=False) for x in rows)).coalesce(1)
+    text = F.col("value")
+    got = df.select(nz.flattened(readers.string_map(text), most=10**6, nested=readers.nested_keys(text)).alias("f")).select("f.*").collect()
+    for x, want in zip(got, rows, strict=True):
+        assert x["fields"] == flat(want) and not x["truncated"], want
+
+
+@pytest.mark.parametrize("d", [0.0, -0.0, 1.0, 1e30, -1e30, 1e-7, 1.25e-300, 1.7976931348623157e308, 123456.789, 0.001, 9999999.5, 1e7, 12345678901234567890.0])
+def test_plain_numbers(spark, d):
+    from decimal import Decimal
+
+    text = spark.createDataFrame([(d,)], "d double").select(nz.plain_number(F.col("d"))).first()[0]
+    assert "E" not in text and float(text) == d and text == (format(Decimal(repr(d)).normalize(), "f") if d else "-0" if str(d) == "-0.0" else "0")
+
+
+def test_typed_flags_pass_through_parse_json(spark):
+    rows = readers.parse_json(strings(spark, '{"a":{"b":1},"s":"{\\"c\\":2}"}'), nested="objects").collect()
+    assert rows[0]["objects"] == ["a"] and rows[0]["fields"] == {"a": '{"b":1}', "s": '{"c":2}'}
 
 
 def test_spaced_rows(spark):
@@ -246,13 +303,13 @@ def test_newest_span(spark):
 def test_flatten_collisions(spark):
     df = strings(spark, '{"a":{"b":"1","c":{"b":"2"}},"l":[{"v":"x"},{"v":"y"}],"n":null,"e":{}}')
     f = readers.string_map(F.col("value"))
-    assert df.select(nz.flatten(f).alias("f")).first()["f"] == {"a_b": "1", "a_c_b": "2", "l_0_v": "x", "l_1_v": "y", "n": ""}
-    assert df.select(nz.flatten(f, leaf=True).alias("f")).first()["f"] == {"a_b": "1", "a_c_b": "2", "l_0_v": "x", "l_1_v": "y", "n": ""}
+    assert df.select(nz.flatten(f).alias("f")).first()["f"] == {"a_b": "1", "a_c_b": "2", "l": '[{"v":"x"},{"v":"y"}]', "n": ""}
+    assert df.select(nz.flatten(f, leaf=True).alias("f")).first()["f"] == {"a_b": "1", "a_c_b": "2", "l": '[{"v":"x"},{"v":"y"}]', "n": ""}
     deep = strings(spark, '{"a":{"only":"1"}}')
     assert deep.select(nz.flatten(f, leaf=True).alias("f")).first()["f"] == {"only": "1"}
 
 
-@pytest.mark.parametrize(("how", "want"), [("snake", "my_field_name"), ("camel", "myFieldName"), ("pascal", "MyFieldName"), ("dedot", "myField_Name"), ("uppercase", "MYFIELD.NAME")])
+@pytest.mark.parametrize(("how", "want"), [("snake", "my_field._name"), ("camel", "myField.Name"), ("pascal", "MyField.Name"), ("dedot", "myField_Name"), ("uppercase", "MYFIELD.NAME")])
 def test_names(spark, how, want):
     assert spark.range(1).select(nz.rename_fields(F.create_map(F.lit("myField.Name"), F.lit("v")), how).alias("f")).first()["f"] == {want: "v"}
 
