@@ -43,25 +43,28 @@ def dfs(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 1
     return descend(df, child, parent, seeds, depth, include).orderBy("_path")
 
 
-def tree_ids(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, direction: str = "forward", cap: int | None = None, scope: list[str] | None = None) -> DataFrame:
+def tree_ids(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, direction: str = "forward", cap: int | None = None, scope: list[str] | None = None, by_seed: bool = False) -> DataFrame:
     """(scope..., id, depth): distinct nodes reached from the seeds (scope..., start) that exist, with their smallest depth.
 
+    With by_seed, trees are told apart: a node is given with the start of each seed that reaches it.
+
     scope are columns within which ids are unique, such as a tenant; edges don't leave it. An anti-join
     with what was visited keeps every node once; a cap stops after the level that passes it.
     """
     scope = scope or []
-    node = [*scope, "id"]
+    exists, node = [*scope, "id"], [*scope, *(["start"] if by_seed else []), "id"]
+    tree = node[:-1]
     edges = df.select(*scope, F.col(parent).alias("a"), F.col(child).alias("b")).where("a is not null and b is not null")
     steps = {"forward": [edges], "backward": [edges.select(*scope, F.col("b").alias("a"), F.col("a").alias("b"))]}
     steps["both"] = steps["forward"] + steps["backward"]
     parts = []
     for step in steps[direction]:
         known = df.select(*scope, F.col(child).alias("id"))
-        visited = written(seeds.select(*scope, F.col("start").alias("id")).distinct().join(known, node, "left_semi").withColumn("depth", F.lit(0)), "visited")
+        visited = written(seeds.select(*tree, F.col("start").alias("id")).distinct().join(known, exists, "left_semi").withColumn("depth", F.lit(0)), "visited")
         front, count = visited, visited.count() if cap is not None else 0
         for d in range(1, depth + 1):
-            new = step.join(front.select(*scope, F.col("id").alias("a")), [*scope, "a"]).select(*scope, F.col("b").alias("id")).distinct()
-            front = written(new.join(visited.select(*node), node, "left_anti").join(known, node, "left_semi").withColumn("depth", F.lit(d)), "front")
+            new = step.join(front.select(*tree, F.col("id").alias("a")), [*scope, "a"]).select(*tree, F.col("b").alias("id")).distinct()
+            front = written(new.join(visited.select(*node), node, "left_anti").join(known, exists, "left_semi").withColumn("depth", F.lit(d)), "front")
             if front.isEmpty():
                 break
             visited = visited.unionByName(front)

@@ -165,38 +165,66 @@ def rare_targets(frequency: DataFrame, kind: str) -> DataFrame:
     return by.join(totals, "tenant_id").where("hosts <= greatest(3, floor(0.5 * h)) and images <= greatest(4, floor(0.1 * i))").select("tenant_id", "target_norm")
 
 
-def reconnect(tree: DataFrame, edges: DataFrame, lineage: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(tenant_id, recon_type, src_guid, peer_guid, object_id, label, anomaly): other processes of the same
+def _trees(df: DataFrame) -> list[str]:
+    """What tells trees apart: the tenant, and the seed where the rows have one."""
+    return ["tenant_id", *(["start"] if "start" in df.columns else [])]
+
+
+def _best(peers: DataFrame, trees: list[str], most: int | None, order: list[Column]) -> DataFrame:
+    """The first peers of each tree (all with None). Spark drops the others of a task before it shuffles."""
+    if most is None:
+        return peers
+    place = F.row_number().over(Window.partitionBy(*trees).orderBy(*order, "peer_guid"))
+    return peers.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+
+
+def _ranked(met: DataFrame, trees: list[str], most: int | None) -> DataFrame:
+    """The best peers of each tree: by distinct shared artifacts, then anomaly, then id."""
+    peers = met.groupBy(*trees, "peer_guid").agg(F.count_distinct("object_id").alias("n"), F.max("anomaly").alias("best"))
+    return _best(peers, trees, most, [F.col("n").desc(), F.col("best").desc()]).select(*trees, "peer_guid")
+
+
+def reconnect(tree: DataFrame, edges: DataFrame, lineage: DataFrame, frequency: DataFrame, most: int | None = None) -> DataFrame:
+    """(tenant_id, recon_type, src_guid, peer_guid, object_id, label, anomaly), with start if tree has it: other processes of the same
     tenant that share a rare artifact.
 
-    tree has tenant_id and process_guid. Files written by the tree and executed elsewhere, rare addresses
+    tree has tenant_id and process_guid, and perhaps start, the seed of a process's tree. Files written by the tree and executed elsewhere, rare addresses
     and domains that both ask for, and processes into which the tree injected or which it opened.
+
+    With most, only the best so many peers of each tree are paired with their sources, as by rank_peers(): they are
+    ranked by the artifacts that a tree has, each taken once, so runs of a common image never meet all sources.
     """
-    inside = tree.select("tenant_id", "process_guid").distinct()
-    own = edges.join(inside, ["tenant_id", "process_guid"], "left_semi")
-    outside = inside.withColumnRenamed("process_guid", "peer_guid")
-    parts = []
-    runs = lineage.select("tenant_id", F.lower("image").alias("_path"), F.col("process_guid").alias("peer_guid"))
-    written_files = own.where("event_type = 'file_write'").select("tenant_id", F.col("process_guid").alias("src_guid"), F.lower("label").alias("_path"), "label")
-    parts.append(("file", written_files.join(runs, ["tenant_id", "_path"]).withColumn("object_id", F.concat(F.lit("file:"), "_path"))))
+    trees = _trees(tree)
+    inside = tree.select(*trees, "process_guid").distinct()
+    own = edges.join(inside, ["tenant_id", "process_guid"])
+    of = lambda kind: own.where(F.col("event_type") == kind)
+    made = lambda df, name, by, key, thing: df.select(*trees, F.lit(name).alias("recon_type"), F.lit(by).alias("_by"), key.alias("_key"), F.col("process_guid").alias("src_guid"), thing.alias("object_id"), "label")
+    path = F.lower("label")
+    mine = [made(of("file_write"), "file", "run", path, F.concat(F.lit("file:"), path))]
+    mine += [made(of(kind), name, "run", path, F.col("dst_node")) for name, kind in (("injection", "remote_thread"), ("access", "process_access"))]
+    theirs = [lineage.select("tenant_id", F.lit("run").alias("_by"), F.lower("image").alias("_key"), F.col("process_guid").alias("peer_guid"))]
     for name, kind in (("net", "net_connect"), ("dns", "dns_query")):
         rare = rare_targets(frequency, kind).withColumnRenamed("target_norm", "fkey_tgt")
-        mine = own.where(F.col("event_type") == kind).join(rare, ["tenant_id", "fkey_tgt"], "left_semi").where(~F.col("fkey_tgt").rlike(r"^internal$|/24$|\.(local|lan|internal)$"))
-        mine = mine.select("tenant_id", F.col("process_guid").alias("src_guid"), F.col("dst_node").alias("object_id"), "label")
-        theirs = edges.where(F.col("event_type") == kind).select("tenant_id", F.col("dst_node").alias("object_id"), F.col("process_guid").alias("peer_guid"))
-        parts.append((name, mine.join(theirs, ["tenant_id", "object_id"])))
-    for name, kind in (("injection", "remote_thread"), ("access", "process_access")):
-        mine = own.where(F.col("event_type") == kind).select("tenant_id", F.col("process_guid").alias("src_guid"), F.lower("label").alias("_path"), "label", F.col("dst_node").alias("object_id"))
-        parts.append((name, mine.join(runs, ["tenant_id", "_path"])))
-    columns = ["tenant_id", "src_guid", "peer_guid", "object_id", "label"]
-    every = [p.select(*columns).distinct().select("tenant_id", F.lit(n).alias("recon_type"), *columns[1:], F.lit(BRIDGES[n]).alias("anomaly")) for n, p in parts]
-    return reduce(DataFrame.unionByName, every).join(outside, ["tenant_id", "peer_guid"], "left_anti").select("tenant_id", "recon_type", *columns[1:], "anomaly")
+        few = of(kind).join(rare, ["tenant_id", "fkey_tgt"], "left_semi").where(~F.col("fkey_tgt").rlike(r"^internal$|/24$|\.(local|lan|internal)$"))
+        mine.append(made(few, name, name, F.col("dst_node"), F.col("dst_node")))
+        theirs.append(edges.where(F.col("event_type") == kind).select("tenant_id", F.lit(name).alias("_by"), F.col("dst_node").alias("_key"), F.col("process_guid").alias("peer_guid")))
+    strength = F.create_map(*(F.lit(x) for pair in BRIDGES.items() for x in pair))
+    mine = reduce(DataFrame.unionByName, mine).distinct().withColumn("anomaly", strength[F.col("recon_type")])
+    theirs = reduce(DataFrame.unionByName, theirs).distinct()
+    on = ["tenant_id", "_by", "_key"]
+    outside = lambda df: df.join(inside.withColumnRenamed("process_guid", "peer_guid"), [*trees, "peer_guid"], "left_anti")
+    columns = [*trees, "recon_type", "src_guid", "peer_guid", "object_id", "label", "anomaly"]
+    if most is None:
+        return outside(mine.join(theirs, on)).select(*columns)
+    things = mine.select(*trees, "_by", "_key", "object_id", "anomaly").distinct()
+    best = written(_ranked(outside(things.join(theirs, on)), trees, most), "peers")
+    return mine.join(theirs.join(best, ["tenant_id", "peer_guid"]), [*on, *trees[1:]]).select(*columns)
 
 
-def rank_peers(peers: DataFrame, most: int = 50) -> DataFrame:
-    """All rows of the best peers: by distinct shared artifacts, then anomaly, then id."""
-    ranked = peers.groupBy("tenant_id", "peer_guid").agg(F.count_distinct("object_id").alias("n"), F.max("anomaly").alias("best")).orderBy(F.col("n").desc(), F.col("best").desc(), "peer_guid", "tenant_id").limit(most)
-    return peers.join(ranked.select("tenant_id", "peer_guid"), ["tenant_id", "peer_guid"], "left_semi")
+def rank_peers(peers: DataFrame, most: int | None = 50) -> DataFrame:
+    """All rows of the best peers of each tree (tenant, and start if there is one): by distinct shared artifacts, then anomaly, then id."""
+    trees = _trees(peers)
+    return peers.join(_ranked(peers, trees, most), [*trees, "peer_guid"], "left_semi").select(*peers.columns)
 
 
 def bridge_edges(peers: DataFrame) -> DataFrame:
@@ -208,30 +236,31 @@ def bridge_edges(peers: DataFrame) -> DataFrame:
     return ends.groupBy("tenant_id", "parent", "child", "recon_type").agg(F.min("label").alias("label"), F.max("anomaly").alias("anomaly_score"))
 
 
-def expandable(peers: DataFrame, most: int = 5, least: float = 0.8) -> DataFrame:
-    """(tenant_id, start): the peers over the strongest bridges, whose own trees are worth adding."""
-    strong = peers.groupBy("tenant_id", "peer_guid").agg(F.max("anomaly").alias("best")).where(F.col("best") >= least)
-    return strong.orderBy(F.col("best").desc(), "peer_guid", "tenant_id").limit(most).select("tenant_id", F.col("peer_guid").alias("start"))
+def expandable(peers: DataFrame, most: int | None = 5, least: float = 0.8) -> DataFrame:
+    """(tenant_id, start): the peers over the strongest bridges of each tree, whose own trees are worth adding."""
+    trees = _trees(peers)
+    strong = peers.groupBy(*trees, "peer_guid").agg(F.max("anomaly").alias("best")).where(F.col("best") >= least)
+    return _best(strong, trees, most, [F.col("best").desc()]).select("tenant_id", F.col("peer_guid").alias("start")).distinct()
 
 
-def expand_tree(lineage: DataFrame, tree: DataFrame, peers: DataFrame, most: int = 5, depth: int = 3, cap: int | None = None) -> DataFrame:
-    """(tenant_id, process_guid): the tree and what its best peers started. A cap, if given, keeps those nearest to their roots."""
+def expand_tree(lineage: DataFrame, tree: DataFrame, peers: DataFrame, most: int | None = 5, depth: int = 3, cap: int | None = None) -> DataFrame:
+    """(tenant_id, process_guid): the trees and what the best peers of each started. A cap, if given, keeps those nearest to their roots."""
     more = tree_ids(lineage, "process_guid", "parent_guid", expandable(peers, most), depth, scope=["tenant_id"])
     ids = tree.select("tenant_id", "process_guid", F.lit(0).alias("depth")).unionByName(more.select("tenant_id", F.col("id").alias("process_guid"), "depth"))
     ids = ids.groupBy("tenant_id", "process_guid").agg(F.min("depth").alias("depth"))
     return (ids if cap is None else ids.orderBy("depth", "tenant_id", "process_guid").limit(cap)).select("tenant_id", "process_guid")
 
 
-def provenance(events: DataFrame, seeds: DataFrame, depth: int = 10, threshold: float = 0.7, decay: float = 0.2, peers: int = 50, expand: int = 5, cap: int | None = None, most: int | None = None) -> DataFrame:
+def provenance(events: DataFrame, seeds: DataFrame, depth: int = 10, threshold: float = 0.7, decay: float = 0.2, peers: int | None = 50, expand: int | None = 5, cap: int | None = None, most: int | None = None) -> DataFrame:
     """The scored edges of the trees of the seeds (tenant_id, start), of their strongest peers, and the bridges.
 
-    cap bounds the processes of the trees and most the edges; with most, spawn edges come first, then the
-    highest scores. Both are None unless asked for: then nothing is cut.
+    peers and expand are limits of each seed's tree (None: no limit). cap bounds the processes of the trees and most the edges; with most, spawn edges come first, then the
+    highest scores. These two are None unless asked for: then nothing is cut.
     """
     events = written(typed(events), "typed")
     lineage, edges, freq = written(build_lineage(events), "lineage"), written(build_edges(events), "edges"), written(build_frequency(events), "frequency")
-    ids = tree_ids(lineage, "process_guid", "parent_guid", seeds, depth, "both", cap, ["tenant_id"]).withColumnRenamed("id", "process_guid")
-    found = written(rank_peers(reconnect(ids, edges, lineage, freq), peers), "peers")
+    ids = written(tree_ids(lineage, "process_guid", "parent_guid", seeds, depth, "both", cap, ["tenant_id"], by_seed=True).withColumnRenamed("id", "process_guid"), "trees")
+    found = written(reconnect(ids, edges, lineage, freq, peers), "peers")
     ids = written(expand_tree(lineage, ids, found, expand, cap=cap), "tree")
     spawn = spawn_edges(lineage).join(ids.withColumnRenamed("process_guid", "child"), ["tenant_id", "child"], "left_semi")
     leaves = leaf_edges(edges).join(ids.withColumnRenamed("process_guid", "parent"), ["tenant_id", "parent"], "left_semi")

@@ -106,12 +106,12 @@ met AS (SELECT own.tenant_id, CASE own.event_type WHEN 'file_write' THEN 'file'
  FROM own JOIN lineage l ON l.tenant_id = own.tenant_id AND lower(l.raw_image) = lower(own.label) WHERE own.event_type IN ('file_write', 'remote_thread', 'process_access')
  UNION ALL SELECT own.tenant_id, split_part(own.event_type, '_', 1), own.guid, o.guid, own.dst_node, own.label FROM own JOIN few USING (tenant_id, event_type, target_norm) JOIN edges o ON o.tenant_id = own.tenant_id AND o.event_type = own.event_type AND o.dst_node = own.dst_node WHERE own.event_type IN ('net_connect', 'dns_query')),
 peers AS (SELECT DISTINCT *, CASE recon_type WHEN 'file' THEN 1.0 WHEN 'injection' THEN 0.95 WHEN 'access' THEN 0.9 ELSE 0.85 END AS anomaly FROM met WHERE (tenant_id, peer_guid) NOT IN (SELECT (tenant_id, guid) FROM tree)),
-ranked AS (SELECT tenant_id, peer_guid, row_number() OVER (ORDER BY count(DISTINCT object_id) DESC, max(anomaly) DESC, peer_guid, tenant_id) AS r FROM peers GROUP BY 1, 2)"""
+ranked AS (SELECT tenant_id, peer_guid, row_number() OVER (PARTITION BY tenant_id ORDER BY count(DISTINCT object_id) DESC, max(anomaly) DESC, peer_guid) AS r FROM peers GROUP BY 1, 2)"""
 BRIDGES = lambda n: f"""admitted AS (SELECT * FROM peers WHERE (tenant_id, peer_guid) IN (SELECT (tenant_id, peer_guid) FROM ranked WHERE r <= {n})),
 bridges AS (SELECT tenant_id, parent, child, recon_type, min(label) AS label, max(anomaly) AS anomaly_score FROM (
  SELECT tenant_id, src_guid AS parent, object_id AS child, recon_type, label, anomaly FROM admitted WHERE recon_type IN ('net', 'dns') UNION ALL SELECT tenant_id, peer_guid, object_id, recon_type, label, anomaly FROM admitted WHERE recon_type IN ('net', 'dns')
  UNION ALL SELECT tenant_id, src_guid, peer_guid, recon_type, label, anomaly FROM admitted WHERE recon_type NOT IN ('net', 'dns')) GROUP BY 1, 2, 3, 4)"""
-EXPANDED = """best AS (SELECT tenant_id, peer_guid FROM admitted GROUP BY 1, 2 HAVING max(anomaly) >= 0.8 ORDER BY max(anomaly) DESC, peer_guid, tenant_id LIMIT 5),
+EXPANDED = """best AS (SELECT tenant_id, peer_guid FROM admitted GROUP BY 1, 2 HAVING max(anomaly) >= 0.8 QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY max(anomaly) DESC, peer_guid) <= 5),
 more AS (SELECT tenant_id, peer_guid AS guid, 0 AS k FROM best SEMI JOIN lineage ON lineage.tenant_id = best.tenant_id AND lineage.guid = best.peer_guid UNION ALL SELECT tenant_id, lineage.guid, k + 1 FROM more JOIN lineage USING (tenant_id) WHERE lineage.parent = more.guid AND k < 3),
 expanded AS (SELECT tenant_id, guid FROM tree UNION SELECT tenant_id, guid FROM more)"""
 
@@ -163,11 +163,11 @@ def _roots(lineage):
     return lineage.where("parent_guid = ''").select("tenant_id", F.col("process_guid").alias("start"))
 
 
-def _peers(spark, d):
+def _peers(spark, d, most=None):
     """(lineage, tree, peers): the trees of all roots and the processes that share artifacts with them."""
     line, edge, freq = (written(x, n) for x, n in zip(_built(spark, d), ("lineage", "edges", "frequency"), strict=True))
     tree = graph.tree_ids(line, "process_guid", "parent_guid", _roots(line), 4, scope=["tenant_id"]).withColumnRenamed("id", "process_guid")
-    return line, tree, pv.reconnect(tree, edge, line, freq)
+    return line, tree, pv.reconnect(tree, edge, line, freq, most)
 
 
 @query("v5_reconnect", f"{PEERS} SELECT * FROM peers")
@@ -182,13 +182,13 @@ def rank(spark, d):
 
 @query("v7_expand_tree", f"{PEERS}, {BRIDGES(50)}, {EXPANDED} SELECT tenant_id, guid AS process_guid FROM expanded")
 def expand(spark, d):
-    line, tree, found = _peers(spark, d)
-    return pv.expand_tree(line, tree, written(pv.rank_peers(found), "peers"))
+    line, tree, found = _peers(spark, d, 50)
+    return pv.expand_tree(line, tree, written(found, "peers"))
 
 
 @query("v8_bridge_edges", f"{PEERS}, {BRIDGES(20)} SELECT * FROM bridges")
 def bridge(spark, d):
-    return pv.bridge_edges(pv.rank_peers(_peers(spark, d)[2], 20))
+    return pv.bridge_edges(_peers(spark, d, 20)[2])
 
 
 @query("v9_provenance", f"""{PEERS}, {BRIDGES(50)}, {EXPANDED},

@@ -423,3 +423,43 @@ def test_throttle_on_a_stream(spark, tmp_path):
     q = jobs.throttle_stream(stream, ["k"], "t", 10).writeStream.format("memory").queryName("throttled").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["t"].second for r in spark.table("throttled").collect()) == [0, 10, 21]
+
+
+@pytest.mark.parametrize("by", [["tenant_id"], ["tenant_id", "start"]])
+def test_peers_are_ranked_within_a_tree(spark, by):
+    r = random.Random(6)
+    rows = [(t, s, r.choice(["file", "net"]), f"src{r.randint(0, 3)}", f"p{r.randint(0, 12)}", f"o{r.randint(0, 8)}", "l") for t in ("t1", "t2", "t3") for s in ("a", "b") for _ in range(60)]
+    rows.append(("t4", "a", "file", "src0", "only", "o1", "l"))
+    peers = spark.createDataFrame(rows, "tenant_id string, start string, recon_type string, src_guid string, peer_guid string, object_id string, label string")
+    peers = peers.withColumn("anomaly", F.when(F.col("recon_type") == "file", 1.0).otherwise(0.85))
+    peers = peers if "start" in by else peers.drop("start")
+    got = {tuple(x) for x in pv.rank_peers(peers, 3).select(*by, "peer_guid").distinct().collect()}
+    things, best = collections.defaultdict(set), collections.defaultdict(float)
+    for t, s, kind, _, p, o, _ in rows:
+        key = (t, s, p) if "start" in by else (t, p)
+        things[key].add(o)
+        best[key] = max(best[key], 1.0 if kind == "file" else 0.85)
+    want = set()
+    for tree in {k[:-1] for k in things}:
+        own = sorted((k for k in things if k[:-1] == tree), key=lambda k: (-len(things[k]), -best[k], k[-1]))
+        want |= set(own[:3])
+    assert got == want and any("only" in k for k in got)
+    starts = {tuple(x) for x in pv.expandable(peers, 2, 0.9).collect()}
+    more = set()
+    for tree in {k[:-1] for k in things}:
+        more |= {(k[0], k[-1]) for k in sorted((k for k in things if k[:-1] == tree and best[k] >= 0.9), key=lambda k: (-best[k], k[-1]))[:2]}
+    assert starts == more
+    assert pv.rank_peers(peers, None).count() == len(rows)
+
+
+def test_reconnect_ranks_before_it_pairs(spark):
+    r = random.Random(8)
+    line = spark.createDataFrame([(f"t{i % 3}", f"p{i}", f"C:\\app{r.randint(0, 3)}.exe") for i in range(90)], "tenant_id string, process_guid string, image string")
+    edges = spark.createDataFrame([(f"t{i % 3}", f"p{i}", r.choice(["file_write", "process_access"]), f"C:\\app{r.randint(0, 5)}.exe", f"n{r.randint(0, 5)}", "x") for i in range(30) for _ in range(4)], "tenant_id string, process_guid string, event_type string, label string, dst_node string, fkey_tgt string")
+    freq = spark.createDataFrame([], "tenant_id string, event_type string, target_norm string, host string, src_image string")
+    tree = spark.createDataFrame([(f"t{i % 3}", f"p{i}", f"s{i % 2}") for i in range(30)], "tenant_id string, process_guid string, start string")
+    for own in (tree, tree.drop("start")):
+        every = pv.rank_peers(pv.reconnect(own, edges, line, freq), 4)
+        few = pv.reconnect(own, edges, line, freq, 4)
+        assert every.columns == few.columns
+        assert sorted(map(tuple, every.collect())) == sorted(map(tuple, few.collect())) and few.count() > 0
