@@ -65,13 +65,59 @@ def volume_score(state: DataFrame, as_of: datetime, seconds: int = DAY, history:
     return out.select("entity", "latest", "buckets", "median", "mad", F.when(F.col("mad") == 0, 0.0).otherwise(F.round(0.6745 * (F.col("latest") - F.col("median")) / F.col("mad"), 4)).alias("zscore"))
 
 
-def network_state(df: DataFrame, src: str, dst: str, port: str, time: str, size: str, duration: str) -> DataFrame:
-    """Partials of each connection pair and day, one row for each second and size: every row counts, none is cut.
+PAIR = ("src", "dst", "port")
+#: Different gaps or sizes of a pair that are scored within one row; pairs with more are scored over many.
+FEW = 256
+
+
+def network_state(df: DataFrame, src: str, dst: str, port: str, time: str, size: str, duration: str, every: int | None = DAY) -> DataFrame:
+    """Partials of each connection pair (src, dst, port) and span of time: every seconds, or with None all rows as one span.
 
-    Rows, not arrays, so that a hot pair is no single group.
+    Rows of (kind, v, n): of kind "pair" one with the number of connections, their duration and the first and last
+    second; "gap": how often v seconds lay between neighbouring times; "size" and "hour" (of the day): how often each was there. So a
+    regular pair takes a few rows whatever its number of connections, and a hot one isn't a single group. Every connection counts.
     """
-    own = df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(port).alias("port"), F.to_date(time).alias("day"), F.unix_seconds(time).alias("at"), F.col(size).cast("double").alias("size"), F.col(duration).alias("duration"))
-    return own.groupBy("src", "dst", "port", "day", "at", "size").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
+    at = F.unix_seconds(time)
+    span = F.lit(None).cast("timestamp") if every is None else F.timestamp_seconds(F.floor(at / every) * every)
+    own = df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(port).alias("port"), span.alias("span"), at.alias("at"), F.col(size).cast("double").alias("size"), F.col(duration).cast("double").alias("duration"))
+    keys = [*PAIR, "span"]
+    hours = F.array(*(F.struct(F.lit(float(h)).alias("v"), F.count_if(F.floor(F.pmod(F.col("at"), F.lit(DAY)) / HOUR) == h).alias("n")) for h in range(24)))
+    pairs = own.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("duration").alias("duration"), F.min("at").alias("first"), F.max("at").alias("last"), hours.alias("hours"))
+    none = lambda kind: {"duration": F.lit(None).cast("double"), "first": F.lit(None).cast("long"), "last": F.lit(None).cast("long")} | {"kind": F.lit(kind)}
+    columns = [*keys, "kind", "v", "n", "duration", "first", "last"]
+    # one pass over pairs gives their own rows and those of their hours
+    whole = F.array(F.struct(F.lit("pair").alias("kind"), F.lit(None).cast("double").alias("v"), F.col("n"), F.col("duration"), F.col("first"), F.col("last")))
+    of_hours = F.transform(F.filter("hours", lambda x: x["n"] > 0), lambda x: F.struct(F.lit("hour").alias("kind"), x["v"].alias("v"), x["n"].alias("n"), F.lit(None).cast("double").alias("duration"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
+    heads = pairs.select(*keys, F.explode(F.concat(whole, of_hours)).alias("_r")).select(*keys, "_r.*")
+    sizes = own.where("size is not null").groupBy(*keys, F.col("size").alias("v")).agg(F.count("*").alias("n")).withColumns(none("size"))
+    # gaps within days, then those between a span's days: a pair's days are dealt over the cluster
+    day = F.floor(F.col("at") / DAY).alias("day")
+    seconds = own.where("at is not null").select(*keys, day, "at").distinct()
+    inner = seconds.withColumn("v", F.col("at") - F.lag("at").over(Window.partitionBy(*keys, "day").orderBy("at")))
+    gaps = inner.where("v is not null").select(*keys, "v")
+    if every is None or every > DAY:
+        days = seconds.groupBy(*keys, "day").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        gaps = gaps.unionByName(_seams(days, keys).select(*keys, "v"))
+    gaps = gaps.groupBy(*keys, F.col("v").cast("double").alias("v")).agg(F.count("*").alias("n")).withColumns(none("gap"))
+    return heads.select(*columns).unionByName(sizes.select(*columns)).unionByName(gaps.select(*columns))
+
+
+def _seams(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The gaps v from the last second of each of the spans (keys, first, last) to the first one of the next."""
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("first"))
+    return spans.where("first is not null").withColumn("v", F.col("first") - before).where("v > 0")
+
+
+def merge_network(state: DataFrame) -> DataFrame:
+    """States of spans that don't overlap, such as days or the batches of a history, as one: sums, and a gap for each seam between two spans.
+
+    It is what network_state() makes of all rows as one span, so it can be merged again.
+    """
+    sums = state.groupBy(*PAIR, "kind", "v").agg(*(F.sum(c).alias(c) for c in ("n", "duration")), F.min("first").alias("first"), F.max("last").alias("last"))
+    seams = _seams(state.where("kind = 'pair'"), list(PAIR)).select(*PAIR, F.lit("gap").alias("kind"), F.col("v").cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
+    seams = seams.groupBy(*PAIR, "kind", "v").agg(F.sum("n").alias("n"))
+    out = sums.unionByName(seams, allowMissingColumns=True).groupBy(*PAIR, "kind", "v").agg(F.sum("n").alias("n"), *(f(c).alias(c) for f, c in ((F.max, "duration"), (F.max, "first"), (F.max, "last"))))
+    return out.withColumn("span", F.lit(None).cast("timestamp")).select(*state.columns)
 
 
 def network_context(state: DataFrame) -> DataFrame:
@@ -156,9 +202,6 @@ def severity_tier(score: Column) -> Column:
     return F.when(score > 0.8, "critical").when(score > 0.6, "high").when(score > 0.4, "medium").when(score > 0.2, "low").otherwise("none")
 
 
-PAIR = ("src", "dst", "port")
-
-
 def _of_pairs(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Join on the pair, where nulls are equal, as they are in groups."""
     own = other.withColumnsRenamed({k: f"_{k}" for k in PAIR})
@@ -187,29 +230,56 @@ def _weighted_dispersion(values: DataFrame) -> DataFrame:
     return out.groupBy(*PAIR).agg(*(F.max(F.when(F.col("kind") == k, score)).alias(k) for k in ("ts", "ds")))
 
 
+def _at_ranks(entries: Column, ranks: list[Column]) -> Column:
+    """A struct r0, r1, ...: the values at these ranks, from 0, of sorted entries (v, n), n copies of v each."""
+    names = [f"r{i}" for i in range(len(ranks))]
+    start = F.struct(F.lit(0).cast("long").alias("upto"), *(F.lit(None).cast("double").alias(r) for r in names))
+
+    def step(a: Column, e: Column) -> Column:
+        upto = a["upto"] + e["n"]
+        return F.struct(upto.alias("upto"), *(F.coalesce(a[r], F.when(upto > at, e["v"])).alias(r) for r, at in zip(names, ranks, strict=True)))
+
+    return F.aggregate(entries, start, step)
+
+
+def _dispersion_of(entries: Column) -> Column:
+    """_dispersion() of entries (v, n), n copies of v each."""
+    between = lambda at, low, high: low + (high - low) * (at - F.floor(at))
+
+    def scored(x: Column) -> Column:
+        places = [(x["all"] - 1) * F.lit(q) for q in (0.25, 0.5, 0.75)]
+        found = _at_ranks(x["e"], [r for at in places for r in (F.floor(at), F.ceil(at))])
+        quartiles = lambda r: F.struct(*(between(at, r[f"r{2 * i}"], r[f"r{2 * i + 1}"]).alias(k) for i, (at, k) in enumerate(zip(places, "abc", strict=True))))
+
+        def whole(q: Column) -> Column:
+            off = F.sort_array(F.transform(x["e"], lambda e: F.struct(F.abs(e["v"] - q["b"]).alias("v"), e["n"].alias("n"))))
+            middle = _at_ranks(off, [F.floor(places[1]), F.ceil(places[1])])
+            return let(middle, lambda r: _evenness(q, between(places[1], r["r0"], r["r1"])))
+
+        return F.when(x["all"] < 3, 0.0).otherwise(let(let(found, quartiles), whole))
+
+    total = F.aggregate(entries, F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    return let(F.struct(F.sort_array(entries).alias("e"), total.alias("all")), scored)
+
+
 def score_pairs(state: DataFrame, window: int) -> DataFrame:
-    """The network job: partials summed to pairs, scored, adjusted by prevalence. No cap on pairs, times or sizes.
+    """The network job: partials merged to pairs, scored, adjusted by prevalence. No cap on pairs, times or sizes.
 
-    Pairs with a connection a second or more in the window are strobes and left out. Gaps are taken within
-    days and over the seams between them, so that a pair's days are dealt over the cluster.
+    Reads the state alone. Pairs with a connection a second or more in the window are strobes and left out.
     """
-    hour = F.floor(F.pmod(F.col("at"), F.lit(DAY)) / HOUR).cast("int")
-    by_hour = state.groupBy(*PAIR, hour.alias("hour")).agg(F.sum("n").alias("n"), F.sum("duration").alias("duration"), F.min("at").alias("first_ts"), F.max("at").alias("last_ts"))
-    counted = F.collect_list(F.when(F.col("hour").isNotNull(), F.struct("hour", F.col("n").cast("double").alias("n"))))  # 24 at most
-    pairs = by_hour.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("duration").alias("duration"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.map_from_entries(counted).alias("hours"))
-    of_day = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("hours", h), F.lit(0.0)))
-    pairs = written(pairs.where(F.col("n") < window).withColumn("hours", of_day), "pairs")
-    own = _of_pairs(state, pairs.select(*PAIR), "left_semi")
-    seconds = own.where("at is not null").select(*PAIR, "day", "at").distinct()
-    inner = seconds.select(*PAIR, (F.col("at") - F.lag("at").over(Window.partitionBy(*PAIR, "day").orderBy("at"))).alias("v"))
-    days = seconds.groupBy(*PAIR, "day").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    seams = days.select(*PAIR, (F.col("first") - F.lag("last").over(Window.partitionBy(*PAIR).orderBy("first"))).alias("v"))
-    gaps = inner.unionByName(seams).where("v is not null").groupBy(*PAIR, F.lit("ts").alias("kind"), F.col("v").cast("double").alias("v")).agg(F.count("*").alias("n"))
-    sizes = own.where("size is not null").groupBy(*PAIR, F.lit("ds").alias("kind"), F.col("size").alias("v")).agg(F.sum("n").alias("n"))
-    own = _of_pairs(pairs, _weighted_dispersion(gaps.unionByName(sizes)), "left")
-    points = F.aggregate("hours", F.lit(0.0), lambda a, c: a + c)
-    scored = _combined(own, F.coalesce("ts", F.lit(0.0)), F.coalesce("ds", F.lit(0.0)), F.col("hours"), points, window, (0.25, 0.25, 0.25, 0.25), 4)
-    scored = scored.withColumn("long_conn", long_conn_score(F.col("duration"))).join(network_context(state), "dst")
+    merged = written(merge_network(state), "pairs")
+    many = merged.where("kind in ('gap', 'size')").groupBy(*PAIR).agg(F.count("*").alias("_k")).where(F.col("_k") > FEW)
+    apart = merged.where("kind in ('pair', 'hour')").unionByName(_of_pairs(merged.where("kind in ('gap', 'size')"), many.select(*PAIR), "left_anti"))
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("v", "n"))).alias(kind)
+    own = lambda f, c: f(F.when(F.col("kind") == "pair", F.col(c)))
+    pairs = apart.groupBy(*PAIR).agg(own(F.sum, "n").alias("n"), own(F.sum, "duration").alias("duration"), own(F.min, "first").alias("first_ts"), own(F.max, "last").alias("last_ts"), of("hour"), of("gap"), of("size"))
+    pairs = pairs.where(F.col("n") < window)
+    large = _of_pairs(merged.where("kind in ('gap', 'size')"), many.select(*PAIR), "left_semi").select(*PAIR, F.when(F.col("kind") == "gap", "ts").otherwise("ds").alias("kind"), "v", "n")
+    pairs = _of_pairs(pairs, _weighted_dispersion(large), "left")
+    counts = let(F.map_from_entries("hour"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at(m, h.cast("double")), F.lit(0)).cast("double")))
+    points = F.aggregate("hour", F.lit(0.0), lambda a, c: a + c["n"])
+    scored = _combined(pairs, F.coalesce("ts", _dispersion_of(F.col("gap"))), F.coalesce("ds", _dispersion_of(F.col("size"))), counts, points, window, (0.25, 0.25, 0.25, 0.25), 4)
+    scored = scored.withColumn("long_conn", long_conn_score(F.col("duration"))).join(network_context(merged.where("kind = 'pair'")), "dst")
     share = F.col("sources") / F.col("all_sources")
     out = scored.withColumn("score", prevalence_modifier(F.greatest("beacon", "long_conn"), share)).withColumn("severity", severity_tier(F.col("score")))
     return out.select("src", "dst", "port", "n", "beacon", "ts_score", "ds_score", "dur_score", "hist_score", "long_conn", F.round(share, 4).alias("prevalence"), "score", "severity")

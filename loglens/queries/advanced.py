@@ -236,10 +236,17 @@ def volume(spark, d):
     return models.volume_score(models.volume_state(events(spark, d), "event_type", "ts"), datetime(2024, 1, 25, 7))
 
 
-@query("m6_network_state", "SELECT CAST(l_suppkey AS VARCHAR) AS src, CAST(l_partkey % 50 AS VARCHAR) AS dst, CAST(l_shipdate AS DATE) AS day, count(*) AS n, round(sum(l_quantity * 60), 2) AS duration FROM lineitem GROUP BY 1, 2, 3")
+@query("m6_network_state", """
+WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS src, CAST(l_partkey % 50 AS VARCHAR) AS dst, CAST(epoch(l_shipdate) AS BIGINT) AS sec, CAST(l_quantity AS DOUBLE) AS size, l_quantity * 60 AS duration FROM lineitem),
+s AS (SELECT *, make_timestamp(sec // 31536000 * 31536000 * 1000000) AS span FROM c), t AS (SELECT DISTINCT src, dst, span, sec FROM s),
+g AS (SELECT src, dst, span, CAST(sec - lag(sec) OVER (PARTITION BY src, dst, span ORDER BY sec) AS DOUBLE) AS v FROM t)
+SELECT src, dst, span, 'pair' AS kind, NULL AS v, count(*) AS n, round(sum(duration), 2) AS duration, min(sec) AS first, max(sec) AS last FROM s GROUP BY ALL
+UNION ALL SELECT src, dst, span, 'hour', CAST(sec % 86400 // 3600 AS DOUBLE), count(*), NULL, NULL, NULL FROM s GROUP BY ALL
+UNION ALL SELECT src, dst, span, 'size', size, count(*), NULL, NULL, NULL FROM s GROUP BY ALL
+UNION ALL SELECT src, dst, span, 'gap', v, count(*), NULL, NULL, NULL FROM g WHERE v IS NOT NULL GROUP BY ALL""")
 def network(spark, d):
-    s = models.network_state(connections(spark, d), "src", "dst", "port", "ts", "size", "duration")
-    return s.groupBy("src", "dst", "port", "day").agg(F.sum("n").alias("n"), F.round(F.sum("duration"), 2).alias("duration")).select("src", "dst", "day", "n", "duration")
+    s = models.network_state(connections(spark, d), "src", "dst", "port", "ts", "size", "duration", every=365 * 86_400)
+    return s.drop("port").withColumn("duration", F.round("duration", 2))
 
 
 @query("m7_network_context", "SELECT CAST(l_partkey % 50 AS VARCHAR) AS dst, count(DISTINCT l_suppkey) AS sources, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS all_sources FROM lineitem GROUP BY 1")
@@ -276,7 +283,7 @@ z AS (SELECT src, dst, '443' AS port, n, beacon, ts_score, ds_score, dur_score,
 w AS (SELECT * EXCLUDE (share), round(share, 4) AS prevalence, round({_UNIT("greatest(beacon, long_conn) + CASE WHEN share > 0 AND share <= 0.02 THEN 0.15 WHEN share >= 0.5 THEN -0.15 ELSE 0 END")}, 3) AS score FROM z)
 SELECT *, CASE WHEN score > 0.8 THEN 'critical' WHEN score > 0.6 THEN 'high' WHEN score > 0.4 THEN 'medium' WHEN score > 0.2 THEN 'low' ELSE 'none' END AS severity FROM w""")
 def pairs(spark, d):
-    state = written(models.network_state(connections(spark, d), "src", "dst", "port", "ts", "size", "duration"), "network")
+    state = written(models.network_state(connections(spark, d), "src", "dst", "port", "ts", "size", "duration", every=None), "network")
     return models.score_pairs(state, 90 * 86_400)
 
 
