@@ -113,10 +113,9 @@ def merge_network(state: DataFrame) -> DataFrame:
 
     It is what network_state() makes of all rows as one span, so it can be merged again.
     """
-    sums = state.groupBy(*PAIR, "kind", "v").agg(*(F.sum(c).alias(c) for c in ("n", "duration")), F.min("first").alias("first"), F.max("last").alias("last"))
     seams = _seams(state.where("kind = 'pair'"), list(PAIR)).select(*PAIR, F.lit("gap").alias("kind"), F.col("v").cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
-    seams = seams.groupBy(*PAIR, "kind", "v").agg(F.sum("n").alias("n"))
-    out = sums.unionByName(seams, allowMissingColumns=True).groupBy(*PAIR, "kind", "v").agg(F.sum("n").alias("n"), *(f(c).alias(c) for f, c in ((F.max, "duration"), (F.max, "first"), (F.max, "last"))))
+    own = state.drop("span").unionByName(seams, allowMissingColumns=True)
+    out = own.groupBy(*PAIR, "kind", "v").agg(*(F.sum(c).alias(c) for c in ("n", "duration")), F.min("first").alias("first"), F.max("last").alias("last"))
     return out.withColumn("span", F.lit(None).cast("timestamp")).select(*state.columns)
 
 
@@ -268,17 +267,22 @@ def score_pairs(state: DataFrame, window: int) -> DataFrame:
     Reads the state alone. Pairs with a connection a second or more in the window are strobes and left out.
     """
     merged = written(merge_network(state), "pairs")
-    many = merged.where("kind in ('gap', 'size')").groupBy(*PAIR).agg(F.count("*").alias("_k")).where(F.col("_k") > FEW)
-    apart = merged.where("kind in ('pair', 'hour')").unionByName(_of_pairs(merged.where("kind in ('gap', 'size')"), many.select(*PAIR), "left_anti"))
+    values = F.col("kind").isin("gap", "size")
+    # written, so that its size is known: few pairs have so many different values
+    many = written(merged.where(values).groupBy(*PAIR).agg(F.count("*").alias("_k")).where(F.col("_k") > FEW).select(*PAIR), "many")
+    some = not many.isEmpty()
+    apart = merged.where(~values).unionByName(_of_pairs(merged.where(values), many, "left_anti")) if some else merged
     of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("v", "n"))).alias(kind)
     own = lambda f, c: f(F.when(F.col("kind") == "pair", F.col(c)))
-    pairs = apart.groupBy(*PAIR).agg(own(F.sum, "n").alias("n"), own(F.sum, "duration").alias("duration"), own(F.min, "first").alias("first_ts"), own(F.max, "last").alias("last_ts"), of("hour"), of("gap"), of("size"))
+    pairs = apart.groupBy(*PAIR).agg(own(F.sum, "n").alias("n"), own(F.sum, "duration").alias("duration"), own(F.min, "first").alias("first_ts"), own(F.max, "last").alias("last_ts"), F.coalesce(F.sum(F.when(F.col("kind") == "hour", F.col("n").cast("double"))), F.lit(0.0)).alias("points"), of("hour"), of("gap"), of("size"))
     pairs = pairs.where(F.col("n") < window)
-    large = _of_pairs(merged.where("kind in ('gap', 'size')"), many.select(*PAIR), "left_semi").select(*PAIR, F.when(F.col("kind") == "gap", "ts").otherwise("ds").alias("kind"), "v", "n")
-    pairs = _of_pairs(pairs, _weighted_dispersion(large), "left")
+    if some:
+        large = _of_pairs(merged.where(values), many, "left_semi").select(*PAIR, F.when(F.col("kind") == "gap", "ts").otherwise("ds").alias("kind"), "v", "n")
+        pairs = _of_pairs(pairs, _weighted_dispersion(large), "left")
+    else:
+        pairs = pairs.withColumns({k: F.lit(None).cast("double") for k in ("ts", "ds")})
     counts = let(F.map_from_entries("hour"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at(m, h.cast("double")), F.lit(0)).cast("double")))
-    points = F.aggregate("hour", F.lit(0.0), lambda a, c: a + c["n"])
-    scored = _combined(pairs, F.coalesce("ts", _dispersion_of(F.col("gap"))), F.coalesce("ds", _dispersion_of(F.col("size"))), counts, points, window, (0.25, 0.25, 0.25, 0.25), 4)
+    scored = _combined(pairs, F.coalesce("ts", _dispersion_of(F.col("gap"))), F.coalesce("ds", _dispersion_of(F.col("size"))), counts, F.col("points"), window, (0.25, 0.25, 0.25, 0.25), 4)
     scored = scored.withColumn("long_conn", long_conn_score(F.col("duration"))).join(network_context(merged.where("kind = 'pair'")), "dst")
     share = F.col("sources") / F.col("all_sources")
     out = scored.withColumn("score", prevalence_modifier(F.greatest("beacon", "long_conn"), share)).withColumn("severity", severity_tier(F.col("score")))
