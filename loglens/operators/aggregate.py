@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import numn
+from ..plans.shared import written
+from .quantiles import BOUND, quantiles
 
 
 def group_by(df: DataFrame, keys: list[str], *aggs: Column, limit: int | None = None) -> DataFrame:
@@ -19,6 +23,7 @@ def number_of_groups(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentiles(c: Column, *shares: float) -> Column:
+    """As an aggregate, which holds a group's different values at once; quantiles() has no such limit."""
     return F.percentile(numn(c), F.array(*(F.lit(s) for s in shares or (0.5, 0.75, 0.99))))
 
 
@@ -26,18 +31,24 @@ def kurtosis(c: Column, excess: bool = True) -> Column:
     return F.kurtosis(numn(c)) + (0.0 if excess else 3.0)
 
 
-def iqr(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
-    q = df.groupBy(*(keys or [])).agg(F.percentile(numn(F.col(column)), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+def iqr(df: DataFrame, column: str, keys: list[str] | None = None, bound: int = BOUND) -> DataFrame:
+    q = quantiles(df, F.col(column), keys, (0.25, 0.75), bound)
     return q.select(*(keys or []), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
 
 
-def mad(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
-    """Median and median absolute deviation, over all rows or for each key: two aggregations and a join."""
+def mad(df: DataFrame, column: str, keys: list[str] | None = None, bound: int = BOUND) -> DataFrame:
+    """Median and median absolute deviation, over all rows or for each key: two selections and a join."""
     keys = keys or []
     own = df.select(*keys, numn(F.col(column)).alias("_x")).where("_x is not null")
-    centre = own.groupBy(*keys).agg(F.median("_x").alias("median"))
-    both = own.join(centre, keys) if keys else own.crossJoin(F.broadcast(centre))  # one row
-    return both.groupBy(*keys).agg(F.first("median").alias("median"), F.median(F.abs(F.col("_x") - F.col("median"))).alias("mad"))
+    centre = quantiles(own, F.col("_x"), keys, (0.5,), bound).select(*keys, F.col("q")[0].alias("median"))
+    centre = written(centre, "medians")
+    same = reduce(lambda a, b: a & b, (own[k].eqNullSafe(centre[k]) for k in keys)) if keys else None
+    both = own.join(centre, same).select(*(own[c] for c in own.columns), "median") if keys else own.crossJoin(F.broadcast(centre))  # one row
+    off = quantiles(both, F.abs(F.col("_x") - F.col("median")), keys, (0.5,), bound).select(*keys, F.col("q")[0].alias("mad"))
+    if not keys:
+        return centre.crossJoin(F.broadcast(off))  # one row each
+    same = reduce(lambda a, b: a & b, (centre[k].eqNullSafe(off[k]) for k in keys))
+    return centre.join(off, same).select(*(centre[k] for k in keys), "median", "mad")
 
 
 def first_by_time(c: Column, time: str, key: str) -> Column:
@@ -105,9 +116,9 @@ def histogram(df: DataFrame, column: str, buckets: int = 20) -> DataFrame:
     return out.select("bucket", F.round(F.col("lo") + F.col("bucket") * F.col("w"), 4).alias("from"), F.round(F.col("lo") + (F.col("bucket") + 1) * F.col("w"), 4).alias("to"), "n")
 
 
-def modified_zscore(df: DataFrame, column: str, threshold: float | None = None) -> DataFrame:
+def modified_zscore(df: DataFrame, column: str, threshold: float | None = None, bound: int = BOUND) -> DataFrame:
     """Adds zscore from median and MAD over all rows (0 where MAD is 0), and outlier with a threshold."""
-    stats = mad(df, column)
+    stats = mad(df, column, bound=bound)
     z = F.when(F.col("_mad") == 0, 0.0).otherwise(F.round(0.6745 * (numn(F.col(column)) - F.col("_median")) / F.col("_mad"), 4))
     out = df.crossJoin(F.broadcast(stats.select(F.col("median").alias("_median"), F.col("mad").alias("_mad")))).withColumn("zscore", z).drop("_median", "_mad")  # one row
     return out if threshold is None else out.withColumn("outlier", F.abs("zscore") > threshold)

@@ -470,3 +470,30 @@ def test_reconnect_ranks_before_it_pairs(spark):
         few = pv.reconnect(own, edges, line, freq, 4)
         assert every.columns == few.columns
         assert sorted(map(tuple, every.collect())) == sorted(map(tuple, few.collect())) and few.count() > 0
+
+
+@pytest.mark.parametrize("keys", [[], ["g", "h"]])
+def test_quantiles_in_passes(spark, keys):
+    r = random.Random(9)
+    numbers = [0.0, -0.0, 1.5, -1.5, 1e308, -1e308, 5e-324, 3.0, 3.0, 3.0]
+    rows = [(r.choice(["a", "b", None]), r.choice([1, None]), r.choice([*numbers, r.uniform(-1e6, 1e6), r.gauss(0, 1e-6)])) for _ in range(700)] + [("few", 1, 2.0), ("few", 1, None), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "g string, h int, x double").repartition(5)
+    shares = (0.0, 0.1, 0.5, 0.503, 0.99, 1.0)
+    from loglens.operators.quantiles import quantiles
+
+    got = lambda bound: {tuple(x[k] for k in keys): x["q"] for x in quantiles(df, F.col("x"), keys, shares, bound).collect()}
+    plain, passes = got(10**6), got(5)
+    assert passes.keys() == plain.keys() and len(plain) == (7 if keys else 1)
+    for k, want in plain.items():
+        assert passes[k] == pytest.approx(want, rel=1e-12, abs=1e-300), k
+
+
+def test_quantiles_of_one_large_group(spark):
+    from loglens.operators.quantiles import quantiles
+
+    df = spark.range(0, 400_000, 1, 8).select((F.col("id") * 7919 % 400_009).cast("double").alias("x"))
+    q = quantiles(df, F.col("x"), [], (0.5, 0.9), 1000).first()["q"]
+    import numpy as np
+
+    want = np.quantile((np.arange(400_000) * 7919 % 400_009).astype(float), [0.5, 0.9]).tolist()
+    assert q == pytest.approx(want)
