@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 
 def identities(df: DataFrame, columns: list[str], out: str = "entity") -> DataFrame:
     """Each row once for each of its non-empty aliases."""
@@ -18,38 +20,132 @@ def identities(df: DataFrame, columns: list[str], out: str = "entity") -> DataFr
     return df.withColumn(out, F.explode(values))
 
 
-def spaced(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
-    """Of the rows of each key, by rising at (a long): the first, and then each one gap or more after the last one kept.
-
-    Rows of a key pass in order through one task, which remembers the last value only, whatever their number.
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Where rows of other keys than the row before begin, and the end; nulls are equal."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        c = batch[k]
+        differ = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (np.diff(c.is_null().to_numpy(zero_copy_only=False).astype(np.int8)) != 0)
+        new[1:] |= differ
+    return [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+
+
+def _kept(values: np.ndarray, last: int | None, gap: int) -> tuple[list[int], int | None]:
+    """The places of the sorted values that are kept after last, and the last one kept."""
+    good, i = [], 0 if last is None else int(np.searchsorted(values, last + gap))
+    while i < len(values):
+        good.append(i)
+        last = int(values[i])
+        i = int(np.searchsorted(values, last + gap))
+    return good, last
+
+
+def _ends(values: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, ends): the values at which a chain of kept ones may enter this sorted run, if all before the run are smaller than
+    its first value, and the last one kept for each."""
+    n = int(np.searchsorted(values, values[0] + gap)) + 1
+    at, end = np.arange(min(n, len(values))), np.zeros(min(n, len(values)), np.int64)
+    chains = at.copy()
+    while True:  # chains that meet go on as one
+        at, back = np.unique(at, return_inverse=True)
+        chains = back[chains] if len(chains) == len(end) else back
+        after = np.searchsorted(values, values[at] + gap)
+        if (after >= len(values)).all():
+            return values[: len(end)], values[at][chains]
+        at = np.where(after < len(values), after, at)
+
+
+def spaced(df: DataFrame, keys: list[str], at: str, gap: int, parts: int | None = None) -> DataFrame:
+    """Of the rows of each key, by rising at (a long, once for each key): the first, and then each one gap or more after the last one kept.
+
+    Rows are dealt by ranges of (key, at), so a hot key, or no key at all, is spread over tasks. A range
+    tells, for each row at which a chain may enter it (those less than gap after its first one, and one more), where the chain leaves it;
+    these few rows are followed from range to range; then each range keeps its rows on from its entry.
     """
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, at) if keys else df.repartition(1).sortWithinPartitions(at)
+    if gap <= 0:
+        return df
+    names = df.columns
+    order = [*keys, at]
+    ranged = df.repartitionByRange(*([parts] if parts else []), *order)
+    placed = written(ranged.select(*names, F.spark_partition_id().alias("_part")), "ranges")
+    sorted_ = lambda rows: rows.repartition("_part").sortWithinPartitions("_part", *order)
+    of = ["_part", *keys]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, head, last, opened, slots = None, None, [], None, None, None
+
+        def row(slot: pa.RecordBatch, first: bool, entries: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            same = slot.select(of).take(pa.array(np.zeros(len(entries), np.int64)))
+            return pa.RecordBatch.from_arrays([*same.columns, pa.array(np.full(len(entries), first)), pa.array(entries), pa.array(ends)], names=[*of, "_first", "_entry", "_end"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if head:
+                yield row(slots[0], True, *_ends(np.concatenate(head), gap))
+            if last is not None:
+                yield row(slots[1], False, np.array([opened]), np.array([last]))
+
+        for batch in batches:
+            values = batch[at].to_numpy()
+            cut = _runs(batch, of) if batch.num_rows else []
+            for s, e in zip(cut, cut[1:], strict=False):
+                own = tuple(batch[k][s].as_py() for k in of)
+                if own[0] != part:
+                    yield from done()
+                    part, key, head, last, slots = own[0], own, [], None, [batch.slice(s, 1), None]
+                if own == key and slots[1] is None:  # of the range's first key all rows are looked at
+                    head.append(values[s:e])
+                    continue
+                if own != key:
+                    key, last, opened, slots[1] = own, None, int(values[s]), batch.slice(s, 1)
+                last = _kept(values[s:e], last, gap)[1]
+        yield from done()
+
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in of)
+    ends = sorted_(placed.select(*of, at)).mapInArrow(summed, schema + ", _first boolean, _entry long, _end long")
+    ends = written(ends, "entries")
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, part, found, row = None, None, None, True, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if row is not None and not found:  # nothing of that range is kept: its rows are all too early
+                yield pa.RecordBatch.from_arrays([*row.select(of).columns, pa.array([None], pa.int64())], names=[*of, "_start"])
+
+        for batch in batches:
+            own_keys = list(zip(*(batch[k].to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            for i, (own, p, first, entry, end) in enumerate(zip(own_keys, *(batch[c].to_pylist() for c in ("_part", "_first", "_entry", "_end")), strict=True)):
+                if (own, p) != (key, part):
+                    yield from out()
+                    last, key, part, found, row = last if own == key else None, own, p, False, batch.slice(i, 1) if first else None
+                if not found and (last is None or entry >= last + gap):
+                    found, last = True, end
+                    if first:
+                        yield pa.RecordBatch.from_arrays([*row.select(of).columns, pa.array([entry], pa.int64())], names=[*of, "_start"])
+        yield from out()
+
+    chained = (ends.repartition(*keys) if keys else ends.coalesce(1)).sortWithinPartitions(*keys, "_part", "_entry")
+    starts = written(chained.mapInArrow(followed, schema + ", _start long"), "starts")  # a row for each range
+    starts = starts.select(*(F.col(k).alias(f"_of_{k}") for k in of), "_start", F.lit(True).alias("_headed"))
+    same = reduce(lambda a, b: a & b, (placed[k].eqNullSafe(starts[f"_of_{k}"]) for k in of))
+    headed = placed.join(F.broadcast(starts), same, "left").select(*names, "_part", "_start", "_headed")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
+        key, last, never = None, None, False
         for batch in batches:
-            values, n = batch[at].to_numpy(), batch.num_rows
-            if not n:
-                continue
-            new = np.zeros(n, bool)
-            for k in keys:
-                c = batch[k]
-                differ = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (np.diff(c.is_null().to_numpy(zero_copy_only=False).astype(np.int8)) != 0)
-                new[1:] |= differ
-            cut = [0, *np.flatnonzero(new).tolist(), n]
-            good = []
+            values, good = batch[at].to_numpy(), []
+            cut = _runs(batch, of) if batch.num_rows else []
             for s, e in zip(cut, cut[1:], strict=False):
-                own = tuple(batch[k][s].as_py() for k in keys)
+                own = tuple(batch[k][s].as_py() for k in of)
                 if own != key:
-                    key, last = own, None
-                i = s if last is None else s + int(np.searchsorted(values[s:e], last + gap))
-                while i < e:
-                    good.append(i)
-                    last = int(values[i])
-                    i = s + int(np.searchsorted(values[s:e], last + gap))
-            yield batch.take(pa.array(good, pa.int64()))
-
-    return ordered.mapInArrow(keep, df.schema)
+                    start, is_headed = batch["_start"][s].as_py(), batch["_headed"][s].as_py()
+                    key, last, never = own, None if start is None else start - gap, bool(is_headed) and start is None
+                if not never:
+                    found, last = _kept(values[s:e], last, gap)
+                    good += [s + i for i in found]
+            yield batch.take(pa.array(good, pa.int64())).select(names)
+
+    return sorted_(headed).mapInArrow(keep, df.schema)
 
 
 def chain(df: DataFrame, entity: str, steps: list[Column], time: str, key: str, within: float | None = None) -> DataFrame:

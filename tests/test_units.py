@@ -201,19 +201,38 @@ def test_typed_flags_pass_through_parse_json(spark):
     assert rows[0]["objects"] == ["a"] and rows[0]["fields"] == {"a": '{"b":1}', "s": '{"c":2}'}
 
 
-def test_spaced_rows(spark):
+@pytest.mark.parametrize(("parts", "keys"), [(None, ["k", "j"]), (7, ["k", "j"]), (9, ["j"]), (12, [])])
+def test_spaced_rows(spark, parts, keys):
     r = random.Random(2)
-    rows = [(r.choice(["a", "b", None]), r.choice([1, 2]), r.randint(0, 400)) for _ in range(900)]
-    got = collections.defaultdict(list)
-    for x in sequence.spaced(spark.createDataFrame(rows, "k string, j int, at long").repartition(3), ["k", "j"], "at", 25).collect():
-        got[x["k"], x["j"]].append(x["at"])
-    for key in {(k, j) for k, j, _ in rows}:
-        want, last = [], None
-        for at in sorted(x for k, j, x in rows if (k, j) == key):
-            if last is None or at >= last + 25:
-                want.append(at)
-                last = at
-        assert sorted(got[key]) == want
+    rows = {(r.choice(["a", "b", None]), r.choice([1, 1, 1, 2]), r.randint(0, 4000)) for _ in range(900)} | {("c", 3, 5)}
+    # at is there once for each key
+    rows = [*{(*(dict(zip("kj", x[:2], strict=True))[k] for k in keys), x[2]): x for x in sorted(rows, key=str)}.values()]
+    df = spark.createDataFrame(rows, "k string, j int, at long").repartition(3)
+    for gap in (25, 900):
+        got = collections.defaultdict(list)
+        for x in sequence.spaced(df, keys, "at", gap, parts).collect():
+            got[tuple(x[k] for k in keys)].append(x["at"])
+        for key in {tuple(dict(zip("kj", x[:2], strict=True))[k] for k in keys) for x in rows}:
+            want, last = [], None
+            for at in sorted(x[2] for x in rows if tuple(dict(zip("kj", x[:2], strict=True))[k] for k in keys) == key):
+                if last is None or at >= last + gap:
+                    want.append(at)
+                    last = at
+            assert sorted(got[key]) == want, (key, gap)
+    assert sequence.spaced(df.limit(0), keys, "at", 5, parts).count() == 0
+
+
+def test_chains_end_where_a_walk_ends():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        values, gap = np.unique(r.integers(0, 300, r.integers(1, 120))), int(r.integers(1, 80))
+        entries, ends = sequence._ends(values, gap)
+        assert len(entries) == min(len(values), int((values < values[0] + gap).sum()) + 1)
+        for e, end in zip(entries, ends, strict=True):
+            assert sequence._kept(values[values >= e], None, gap)[1] == end
+
 
 
 def test_tenants_have_baselines_and_trees_of_their_own(spark):
