@@ -83,22 +83,41 @@ def throttle(firings: DataFrame, keys: list[str], time: str, seconds: int) -> Da
 
 
 def throttle_stream(firings: DataFrame, keys: list[str], time: str, seconds: int) -> DataFrame:
-    """throttle() on a stream: the state of a key is the second of its last kept firing."""
+    """throttle() on a stream: the state of a key is the second of its last kept firing.
+
+    It expires a span after the key last had a firing, by the clock of arrival, so keys that fall silent are
+    forgotten. A firing that is older than the last kept one of its key counts as within its span. Run it with a
+    processing-time trigger: as time alone brings work, a query that is to end with its input would not.
+    """
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
-        for t in sorted(t for b in batches for t in b["_s"]):
+        for t in sorted(t for b in batches for t in b["_s"].dropna()):
             if last is None or t - last >= seconds:
                 out.append(t)
                 last = t
         if last is not None:
             state.update((int(last),))
+            state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame([(*key, pd.Timestamp(t, unit="s")) for t in out], columns=[*keys, time])
 
     own = firings.select(*keys, F.unix_seconds(time).alias("_s"), time)
     schema = own.select(*keys, time).schema
-    return own.groupBy(*keys).applyInPandasWithState(keep, schema, "last long", "append", "NoTimeout")
+    return own.groupBy(*keys).applyInPandasWithState(keep, schema, "last long", "append", "ProcessingTimeTimeout")
+
+
+def alert_firings(hits: DataFrame, alert: str, time: str, field: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """(alert, value, time): one firing of an alert for all its hits of a run, at the newest, known by the field of its first row.
+
+    Throttling these by (alert, value) holds back an alert whose first row repeats; without a field, or
+    with one that the first row lacks, value is null, so the alert is throttled as a whole.
+    """
+    value = F.lit(None).cast("string") if field is None else F.min_by(F.col(field).cast("string"), F.struct(*(order or [time])))
+    return hits.groupBy(F.lit(alert).alias("alert")).agg(value.alias("value"), F.max(time).alias(time))
 
 
 def forward_hits(hits: DataFrame, tenant: str, alert: str, renames: dict[str, str] | None = None, now: Column | None = None) -> DataFrame:

@@ -442,15 +442,42 @@ def test_window_alert_on_a_stream(spark, tmp_path):
     assert [(r["window_start"].minute, r["n"]) for r in spark.table("alerts_seen").collect()] == [(0, 3)]
 
 
+def stop_when(query, done, seconds=40):
+    """A query that works as time passes doesn't end by itself."""
+    import time
+
+    end = time.time() + seconds
+    while time.time() < end and query.isActive and not done():
+        time.sleep(0.5)
+    query.stop()
+
+
 def test_throttle_on_a_stream(spark, tmp_path):
     rows = [("a", datetime(2024, 1, 1, 0, 0, s)) for s in (0, 5, 10, 21)]
     spark.createDataFrame(rows, "k string, t timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in"))
-    q = jobs.throttle_stream(stream, ["k"], "t", 10).writeStream.format("memory").queryName("throttled").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = jobs.throttle_stream(stream, ["k"], "t", 10).writeStream.format("memory").queryName("throttled").outputMode("append").trigger(processingTime="1 second").start()
+    stop_when(q, lambda: spark.table("throttled").count() == 3)
     assert sorted(r["t"].second for r in spark.table("throttled").collect()) == [0, 10, 21]
 
 
+def test_throttled_keys_are_forgotten(spark, tmp_path):
+    """A key's state goes when its span has passed since it fired, by the clock of arrival."""
+    rows = [("a", datetime(2024, 1, 1, 0, 0, 0)), ("a", datetime(2024, 1, 1, 0, 0, 2)), ("b", datetime(2024, 1, 1, 0, 0, 1))]
+    spark.createDataFrame(rows, "k string, t timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in"))
+    q = jobs.throttle_stream(stream, ["k"], "t", 3).writeStream.format("memory").queryName("forgotten").outputMode("append").trigger(processingTime="1 second").start()
+    held = lambda: [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    stop_when(q, lambda: 2 in held() and held()[-1] == 0)
+    assert 2 in held() and held()[-1] == 0 and spark.table("forgotten").count() == 2
+
+
+def test_firings_of_an_alert(spark):
+    hits = spark.createDataFrame([("u2", datetime(2024, 1, 1, 0, 0, 5)), ("u1", datetime(2024, 1, 1, 0, 0, 1)), (None, datetime(2024, 1, 1, 0, 0, 3))], "user string, t timestamp")
+    assert [(r["alert"], r["value"], r["t"].second) for r in jobs.alert_firings(hits, "x", "t", "user").collect()] == [("x", "u1", 5)]
+    assert jobs.alert_firings(hits, "x", "t").first()["value"] is None and jobs.alert_firings(hits.limit(0), "x", "t", "user").count() == 0
+
+
 @pytest.mark.parametrize("by", [["tenant_id"], ["tenant_id", "start"]])
 def test_peers_are_ranked_within_a_tree(spark, by):
     r = random.Random(6)
