@@ -37,16 +37,20 @@ def case_when(branches: list[tuple[Column, object]], default: object = None) ->
     return out
 
 
+#: An escaped character, a character class, or the start of a group without a name.
+_PARTS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?!\?)")
+
+
 def regex_groups(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """Adds a column for each named group; names with any letters are read by position."""
     names = re.findall(r"\(\?P?<([A-Za-z_]\w*)>", pattern)
-    plain = re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
+    plain = _PARTS.sub(lambda m: "(?:" if m.group() == "(" else m.group(), pattern)
     plain = "(?s)" + re.sub(r"\(\?P?<[A-Za-z_]\w*>", "(", plain)
     return df.withColumns({n: F.regexp_extract(column, plain, i + 1) for i, n in enumerate(names)})
 
 
 def regex_all(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit("(?s)" + pattern), F.lit(1 if re.search(r"(?<!\\)\((?!\?)", pattern) else 0))
+    return F.regexp_extract_all(c, F.lit("(?s)" + pattern), F.lit(1 if "(" in _PARTS.findall(pattern) else 0))
 
 
 def regex_replace(c: Column, pattern: str, by: str) -> Column:

@@ -128,7 +128,7 @@ def edges(spark, d):
 
 @query("b3_build_frequency", f"WITH {PROC} SELECT * FROM freq")
 def frequency(spark, d):
-    return pv.build_frequency(written(pv.typed(process_events(spark, d)), "typed"))
+    return pv.build_frequency(process_events(spark, d))
 
 
 def _built(spark, d):

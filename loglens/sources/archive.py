@@ -22,9 +22,10 @@ def scan_logs(df: DataFrame, tenants: list[str] | None, start, end, time: str =
 
 
 def write_archive(df: DataFrame, path: str, promoted: tuple[str, ...] = PROMOTED) -> None:
-    """Append log rows; each task of a partition writes sorted, so time ranges prune row groups."""
+    """Append log rows, sorted within each file, so time ranges prune row groups. A small day of a tenant is one file; a large one is
+    split over tasks and files by adaptive execution, near its advisory size."""
     out = df.withColumns({f"f_{p}": F.try_element_at("fields", F.lit(p)) for p in promoted})
-    out.repartition("tenant_id", "ingest_date").sortWithinPartitions("timestamp", "log_id").write.mode("append").partitionBy("tenant_id", "ingest_date").parquet(path)
+    out.hint("rebalance", "tenant_id", "ingest_date").sortWithinPartitions("timestamp", "log_id").write.mode("append").partitionBy("tenant_id", "ingest_date").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +102,8 @@ def compact(spark: SparkSession, path: str, chosen: DataFrame, target: int = 512
     What is rewritten is a list of files, kept in the shared folder, so rows that are appended meanwhile stay.
     New files are written beside the archive and renamed into it; then those of the list are deleted. A
     failure in between leaves rows twice, never none, and archive_search() and restore() take each once.
-    The driver renames and deletes files by name; rows never pass through it.
+    The driver renames and deletes files by name; rows never pass through it. A day above the target is cut by time of day
+    into as many ranges, each a task and a file of its own.
     """
     by = ["tenant_id", "ingest_date"]
     place = F.col("_metadata.file_path").alias("_file")
@@ -112,7 +114,12 @@ def compact(spark: SparkSession, path: str, chosen: DataFrame, target: int = 512
         return
     fresh = f"{path.rstrip('/')}__compacting_{uuid.uuid4().hex}"
     rows = read_archive(spark, path).select("*", place).join(files.select("_file"), "_file", "left_semi").drop("_file")
-    rows.repartition(max(1, round(total / target)), *by).sortWithinPartitions(*by, "timestamp", "log_id").write.partitionBy(*by).parquet(fresh)
+    sizes = files.groupBy(*by).agg(F.greatest(F.round(F.sum("_size") / target), F.lit(1)).cast("long").alias("_slices"))
+    rows = rows.join(F.broadcast(sizes), by)  # a row for each partition
+    cut = F.coalesce(F.floor(F.pmod(F.unix_seconds("timestamp"), F.lit(86_400)) * F.col("_slices") / 86_400), F.lit(0))
+    tasks = max(1, round(total / target), sizes.agg(F.max("_slices")).first()[0])
+    dealt = rows.withColumn("_cut", cut).repartition(tasks, *by, "_cut").drop("_cut", "_slices")
+    dealt.sortWithinPartitions(*by, "timestamp", "log_id").write.partitionBy(*by).parquet(fresh)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     named = lambda uri: jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))

@@ -543,3 +543,21 @@ def test_quantiles_of_one_large_group(spark):
 
     want = np.quantile((np.arange(400_000) * 7919 % 400_009).astype(float), [0.5, 0.9]).tolist()
     assert q == pytest.approx(want)
+
+
+def test_parentheses_in_a_class_are_no_groups(spark):
+    df = strings(spark, "a(7", "a?7", "x]8")
+    got = t.regex_groups(df, "value", r"(a)[(](?<n>\d)").collect()
+    assert [r["n"] for r in got] == ["7", "", ""]
+    assert [r["v"] for r in df.select(t.regex_all(F.col("value"), r"[(]\d").alias("v")).collect()] == [["(7"], [], []]
+
+
+def test_large_days_are_cut(spark, tmp_path):
+    rows = spark.range(40_000).select(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 2).alias("timestamp"), F.sha2(F.col("id").cast("string"), 256).alias("log_id"), F.lit("t").alias("tenant_id"), F.lit(date(2024, 1, 1)).alias("ingest_date"), F.create_map(F.lit("x"), F.sha2(F.col("id").cast("string"), 512)).alias("fields"))
+    path = str(tmp_path / "a")
+    for k in (0, 1):
+        archive.write_archive(rows.where(F.col("timestamp").cast("long") / 2 % 2 == k), path, ())
+    chosen = archive.small_partitions(archive.read_archive(spark, path), 1 << 40, date(2024, 2, 1))
+    archive.compact(spark, path, chosen, 1 << 20)
+    files = archive.read_archive(spark, path).groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).agg(F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).collect()
+    assert sum(r["n"] for r in files) == 40_000 and len(files) >= 3 and max(r["s"] for r in files) < 4 << 20
