@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import field
-from ..functions.predicates import all_of, any_of, ends_with_any, eq, exists, matches, starts_with_any, contains_any
+from ..functions.predicates import contains_any, eq, exists, matches
 
 # Categories of rules and of events.
 CATEGORIES = {
@@ -27,48 +29,99 @@ def event_category(rule_category: Column) -> Column:
     return out
 
 
-def _test(c: Column, how: list[str], values: list) -> Column:
-    if values == [None]:
-        return ~exists(c)
-    each = {"contains": lambda v: contains_any(c, v), "startswith": lambda v: starts_with_any(c, v), "endswith": lambda v: ends_with_any(c, v), "re": lambda v: matches(c, v)}
-    found = next((each[h] for h in how if h in each), lambda v: eq(F.lower(c.cast("string")), str(v).lower()))
-    return (all_of if "all" in how else any_of)([found(v) for v in values])
+class Tests:
+    """Conditions of many rules over one table; tests that rules share, and fields in lower case, are made once.
+
+    Every test is true or false, never null, so nothing that is built of them is.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.false, self.true = F.lit(False), F.lit(True)
+        self.low: dict[str, Column] = {}
+        self.made: dict[tuple, Column] = {}
+
+    def lower(self, name: str) -> Column:
+        if name not in self.low:
+            self.low[name] = F.lower(field(self.df, name).cast("string"))
+        return self.low[name]
+
+    def any(self, tests: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, tests) if tests else self.false
+
+    def all(self, tests: list[Column]) -> Column:
+        return reduce(lambda a, b: a & b, tests) if tests else self.true
+
+    def test(self, name: str, how: tuple[str, ...], values: list) -> Column:
+        key = (name, how, tuple((type(v), v) for v in values))
+        if key not in self.made:
+            self.made[key] = self._test(name, how, values)
+        return self.made[key]
+
+    def _test(self, name: str, how: tuple[str, ...], values: list) -> Column:
+        if values == [None]:
+            return ~exists(field(self.df, name))
+        kind = next((h for h in how if h in ("contains", "startswith", "endswith", "re")), None)
+        if kind == "re":
+            each = [matches(field(self.df, name), v) for v in values]
+        elif kind and "all" not in how and kind == "contains" and len(values) > 4:
+            each = [contains_any(field(self.df, name), *values)]
+        elif kind:
+            each = [F.coalesce(getattr(self.lower(name), kind)(v.lower()), self.false) for v in values]
+        else:
+            each = [self.lower(name).eqNullSafe(str(v).lower()) for v in values]
+        return (self.all if "all" in how else self.any)(each)
+
+    def selection(self, spec: dict | list) -> Column:
+        """{field|modifier: value or values} with all entries, or a list of such of which one."""
+        if isinstance(spec, list):
+            return self.any([self.selection(s) for s in spec])
+        tests = []
+        for name, values in spec.items():
+            column, *how = name.split("|")
+            tests.append(self.test(column, tuple(how), values if isinstance(values, list) else [values]))
+        return self.all(tests)
+
+    def condition(self, rule: dict) -> Column:
+        """A rule {category?, selections, when}: when is a name, or ('and' | 'or' | 'not', ...), or ('1 of' | 'all of', prefix)."""
+
+        def build(x) -> Column:
+            if isinstance(x, str):
+                return self.selection(rule["selections"][x])
+            op, *rest = x
+            if op == "not":
+                return ~build(rest[0])
+            if op in ("1 of", "all of"):
+                named = [build(n) for n in rule["selections"] if n.startswith(rest[0])]
+                return self.any(named) if op == "1 of" else self.all(named)
+            return (self.all if op == "and" else self.any)([build(r) for r in rest])
+
+        out = build(rule["when"])
+        if rule.get("category"):
+            key = ("category", CATEGORIES.get(rule["category"], rule["category"]))
+            if key not in self.made:
+                self.made[key] = eq(field(self.df, "category"), key[1])
+            out = self.made[key] & out
+        return out
 
 
 def selection(df: DataFrame, spec: dict | list) -> Column:
-    """{field|modifier: value or values} with all entries, or a list of such of which one."""
-    if isinstance(spec, list):
-        return any_of([selection(df, s) for s in spec])
-    tests = []
-    for name, values in spec.items():
-        column, *how = name.split("|")
-        tests.append(_test(field(df, column), how, values if isinstance(values, list) else [values]))
-    return all_of(tests)
+    return Tests(df).selection(spec)
 
 
 def condition(df: DataFrame, rule: dict) -> Column:
-    """A rule {category?, selections, when}: when is a name, or ('and' | 'or' | 'not', ...), or ('1 of' | 'all of', prefix)."""
+    return Tests(df).condition(rule)
 
-    def build(x) -> Column:
-        if isinstance(x, str):
-            return selection(df, rule["selections"][x])
-        op, *rest = x
-        if op == "not":
-            return ~build(rest[0])
-        if op in ("1 of", "all of"):
-            named = [build(n) for n in rule["selections"] if n.startswith(rest[0])]
-            return any_of(named) if op == "1 of" else all_of(named)
-        return (all_of if op == "and" else any_of)([build(r) for r in rest])
 
-    out = build(rule["when"])
-    if rule.get("category"):
-        out = eq(field(df, "category"), CATEGORIES.get(rule["category"], rule["category"])) & out
-    return F.coalesce(out, F.lit(False))
+def conditions(df: DataFrame, rules: dict[str, dict]) -> list[Column]:
+    """The condition of each rule, in order."""
+    tests = Tests(df)
+    return [tests.condition(r) for r in rules.values()]
 
 
 def rule_match(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
     """Rows that match, once for each rule, in one scan whatever the number of rules."""
-    ids = F.filter(F.array(*(F.when(condition(df, r), F.lit(i)) for i, r in rules.items())), lambda x: x.isNotNull())
+    ids = F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in zip(rules, conditions(df, rules), strict=True))), lambda x: x.isNotNull())
     return df.withColumn("rule_id", F.explode(ids))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as ag
 from ..operators import quantiles as qt
-from ..operators import profile, rules, sequence
+from ..operators import profile, rule_index, rules, sequence
 from ..operators import timeseries as ts
 from ..functions import transforms as t
 from ..functions.fields import numn
@@ -324,6 +324,36 @@ def d1(spark, d):
     return found.where((F.col("rule_id") != "buy") | (F.col("value") > 0)).select("event_id", "rule_id")
 
 
+#: A thousand rules: users with a word of their type, texts within properties with a type, prefixes of either, and one of a pattern alone.
+MANY = (
+    {f"user{i}": {"selections": {"u": {"user": str(i)}, "t": {"event_type|contains": ["click", "view"]}}, "when": ("and", "u", "t")} for i in range(700)}
+    | {f"prop{i}": {"selections": {"p": {"props|contains|all": ['"k": ', f" {i}}}"]}, "no": {"event_type": "view"}}, "when": ("and", "p", ("not", "no"))} for i in range(100)}
+    | {f"start{i}": {"selections": {"s_a": {"user|startswith": f"{i}9", "event_type": "error"}, "s_b": {"event_type|endswith": "x", "props|contains": str(i)}}, "when": ("1 of", "s_")} for i in range(199)}
+    | {"pattern": {"selections": {"r": {"user|re": "^[0-9]7$"}}, "when": "r"}}
+)
+
+
+def _with_users(spark, d):
+    return events(spark, d).withColumn("user", F.col("user_id").cast("string"))
+
+
+@query("d1_rule_index", """WITH e AS (SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS u, props FROM events), n AS (SELECT range AS i FROM range(700))
+SELECT event_id, 'user' || u AS rule_id FROM e WHERE CAST(u AS BIGINT) BETWEEN 0 AND 699 AND (contains(event_type, 'click') OR contains(event_type, 'view'))
+UNION ALL SELECT event_id, 'prop' || i FROM e JOIN n ON i < 100 AND contains(props, '"k": ') AND contains(props, ' ' || i || '}') WHERE event_type <> 'view'
+UNION ALL SELECT event_id, 'start' || i FROM e JOIN n ON i < 199 AND (starts_with(u, i || '9') AND event_type = 'error' OR suffix(event_type, 'x') AND contains(props, CAST(i AS VARCHAR)))
+UNION ALL SELECT event_id, 'pattern' FROM e WHERE regexp_matches(u, '^[0-9]7$')""")
+def d1_index(spark, d):
+    return rule_index.rule_match_indexed(_with_users(spark, d), MANY).select("event_id", "rule_id")
+
+
+@query("d1_key_rows", """WITH e AS (SELECT event_type, CAST(user_id AS VARCHAR) AS u FROM events)
+SELECT field, text, count(event_type) AS n FROM (SELECT unnest(['click', 'purchase', 'ick']) AS text, 'event_type' AS field UNION ALL SELECT unnest(['7', '1499', 'nobody']), 'user') k
+LEFT JOIN e ON CASE WHEN field = 'user' THEN u = text ELSE contains(event_type, text) END GROUP BY 1, 2""")
+def d1_keys(spark, d):
+    made = {"a": {"selections": {"s": {"event_type|contains": ["click", "purchase"], "user": "7"}}, "when": "s"}, "b": {"selections": {"s": {"event_type|endswith": "ick", "user": ["1499", "nobody"]}}, "when": "s"}}
+    return rule_index.key_rows(_with_users(spark, d), made).select("field", "text", "n")
+
+
 @query("d2_event_category", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'file_write' WHEN 1 THEN 'network_connect' ELSE 'other' END AS category FROM events")
 def d2(spark, d):
     kind = F.expr("CASE event_id % 3 WHEN 0 THEN 'file_event' WHEN 1 THEN 'network_connection' ELSE 'other' END")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions import predicates as p
 from loglens.functions import transforms as t
-from loglens.operators import enrich, graph, models, profile, rules, sequence
+from loglens.operators import enrich, graph, models, profile, rule_index, rules, sequence
 from loglens.operators import provenance as pv
 from loglens.sources import archive
 from loglens.sources import normalize as nz
@@ -262,6 +262,42 @@ def test_rule_cases_alone_and_together(spark):
         assert rules.rule_test(events, {"r": {"selections": {"s": {"kind": "a"}}, "when": "s"}}, df).first()["passed"] == want, (case, expect, count, together)
 
 
+def test_rules_by_index_are_those_of_all(spark):
+    """Random rules over random rows, nulls and empty texts among them, with and without counts."""
+    rng = random.Random(5)
+    words = ["", "a", "ab", "B", "abc", "İx", "x y", "cab", "ünï"]
+    rows = [(i, rng.choice([*words, None]), rng.choice([*words, None]), rng.choice(["file_write", "dns_query", None]), {"f": rng.choice(words)} if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, one string, two string, category string, fields map<string,string>")
+
+    def entry():
+        name = rng.choice(["one", "two", "f", "gone", "id"]) + rng.choice(["", "|contains", "|startswith", "|endswith", "|contains|all", "|re"])
+        return {name: rng.choice([rng.choice(words), [rng.choice(words) for _ in range(rng.randrange(1, 3))]]) if rng.random() < 0.9 else [None]}
+
+    def when(depth=0):
+        kind = rng.choice(["name", "and", "or", "not", "1 of", "all of"]) if depth < 3 else "name"
+        if kind == "name":
+            return rng.choice(["s_a", "s_b", "t"])
+        return (kind, rng.choice(["s_", "t", "none"])) if kind.endswith("of") else (kind, *(when(depth + 1) for _ in range(1 if kind == "not" else 2)))
+
+    made = {}
+    for i in range(120):
+        chosen = {n: entry() | entry() if rng.random() < 0.7 else [entry(), entry()] for n in ("s_a", "s_b", "t")}
+        made[f"r{i}"] = {"selections": chosen, "when": when()} | ({"category": rng.choice(["file_event", "dns_query", "other"])} if rng.random() < 0.3 else {})
+    want = sorted(one(rules.rule_match(df, made), "id", "rule_id"))
+    assert sorted(one(rule_index.rule_match_indexed(df, made), "id", "rule_id")) == want and want
+    counts = rule_index.key_rows(df, made)
+    assert sorted(one(rule_index.rule_match_indexed(df, made, counts), "id", "rule_id")) == want
+    assert rule_index.rule_match_indexed(df.limit(0), made).count() == 0 == rule_index.rule_match_indexed(df, {}).count()
+
+
+def test_rules_are_looked_up_by_their_rarest_texts():
+    rule = {"category": "dns_query", "selections": {"a": {"x|contains": ["common", "word"], "y": "Rare"}, "no": {"z": "z"}}, "when": ("and", "a", ("not", "no"))}
+    n = {("x", False, "common"): 90, ("x", False, "word"): 5, ("y", True, "rare"): 99, ("category", True, "dns_query"): 999}
+    assert rule_index.required(rule, lambda need: sum(n[k] for k in need)) == {("x", False, "common"), ("x", False, "word")}
+    assert rule_index.required({"selections": {"a": {"x|re": "y"}, "b": {"x": "k"}}, "when": ("or", "a", "b")}, len) is None
+    assert rule_index.required({"selections": {}, "when": ("1 of", "a")}, len) == frozenset()
+
+
 def test_coverage_totals(spark):
     tech = spark.createDataFrame([("T1002", "", False, ["x"]), ("T1000", "", False, ["x", "y"]), ("T1000.001", "T1000", False, ["y"]), ("T1001", "", True, ["x"])], "id string, parent string, deprecated boolean, tactics array<string>")
     made = [(1, ["attack.t1000.001"]), (2, ["attack.execution"]), (3, ["attack.t1001"]), (4, ["attack.t9999", "attack.impact"]), (5, ["other"]), (6, [])]
