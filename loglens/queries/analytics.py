@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as ag
 from ..operators import quantiles as qt
-from ..operators import profile, rule_index, rules, sequence
+from ..operators import profile, rule_index, rules, sequence, sketches
 from ..operators import timeseries as ts
 from ..functions import transforms as t
 from ..functions.fields import numn
-from .tables import events, logs, read
+from ..plans.shared import written
+from .tables import connections, events, logs, read
 
 #: Rows of a group from which some queries select their quantiles in passes, so that these are checked, too.
 LARGE = 100
@@ -51,6 +52,26 @@ def g4(spark, d):
     return events(spark, d).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
+@query("g4_daily_sketches", """WITH d AS (SELECT event_type, count(user_id) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1 HAVING count(user_id) > 0),
+t AS (SELECT event_type, user_id, count(*) AS c, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS r FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2)
+SELECT event_type, n, users, true AS near, string_agg(CAST(c AS VARCHAR), ',' ORDER BY r) AS top FROM d JOIN t USING (event_type) WHERE r <= 5 GROUP BY 1, 2, 3""")
+def g4_sketches(spark, d):
+    e = events(spark, d)
+    days = written(sketches.sketch_state(e, "user_id", ["event_type"], F.to_date("ts")), "sketches")
+    found = sketches.sketch_report(sketches.merge_sketches(days, ["event_type"]), 5)
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    counts = F.array_join(F.transform("top", lambda x: x["count"].cast("string")), ",")
+    return found.join(exact, "event_type").select("event_type", "n", "users", (F.abs(F.col("distinct") - F.col("users")) <= 4 * F.col("distinct_error")).alias("near"), counts.alias("top"))
+
+
+@query("m7_context_sketches", "SELECT CAST(l_partkey % 50 AS VARCHAR) AS dst, count(*) AS n, count(DISTINCT l_suppkey) AS sources, true AS near FROM lineitem GROUP BY 1")
+def m7_sketches(spark, d):
+    c = connections(spark, d)
+    months = written(sketches.sketch_state(c, "src", ["dst", "port"], F.trunc(F.col("ts").cast("date"), "month")), "sketches")
+    found = sketches.sketch_report(sketches.merge_sketches(months, ["dst"]), 1).join(c.groupBy("dst").agg(F.count_distinct("src").alias("sources")), "dst")
+    return found.select("dst", "n", "sources", (F.abs(F.col("distinct") - F.col("sources")) <= 4 * F.col("distinct_error")).alias("near"))
+
+
 @query("g5_sum_avg_min_max", "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS s, round(avg(l_quantity), 6) AS a, min(l_shipdate) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY 1")
 def g5(spark, d):
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(numn(F.col("l_extendedprice"))), 2).alias("s"), F.round(F.avg("l_quantity"), 6).alias("a"), F.min("l_shipdate").alias("lo"), F.max("l_tax").alias("hi"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions import predicates as p
 from loglens.functions import transforms as t
-from loglens.operators import enrich, graph, models, profile, rule_index, rules, sequence
+from loglens.operators import enrich, graph, models, profile, rule_index, rules, sequence, sketches
 from loglens.operators import provenance as pv
 from loglens.sources import archive
 from loglens.sources import normalize as nz
@@ -298,6 +298,26 @@ def test_rules_are_looked_up_by_their_rarest_texts():
     assert rule_index.required({"selections": {}, "when": ("1 of", "a")}, len) == frozenset()
 
 
+def test_sketches_of_days_are_those_of_all(spark):
+    """The union of days, and of weeks of days, tells what a sketch of all rows tells, within the errors given."""
+    df = spark.range(60_000).selectExpr("if(id % 10 = 9, null, if(id % 3 = 0, id % 20, id % 30000)) as v", "cast(id % 2 as string) as k", "date_add(date'2024-01-01', cast(id % 13 as int)) as day", "id as n")
+    exact = {r["k"]: r for r in df.groupBy("k").agg(F.count("v").alias("rows"), F.count_distinct("v").alias("values")).collect()}
+    often = {(r["k"], str(r["v"])): r["c"] for r in df.groupBy("k", "v").agg(F.count("*").alias("c")).collect()}
+    sizes = {"registers": 10, "followed": 64}
+    days = sketches.sketch_state(df, "v", ["k"], F.col("day"), **sizes)
+    weeks = sketches.merge_sketches(days, ["k"], F.trunc("span", "week"))
+    assert days.count() == 26 and weeks.count() == 4
+    for state in (sketches.sketch_state(df, "v", ["k"], **sizes), sketches.merge_sketches(days, ["k"]), sketches.merge_sketches(weeks, ["k"])):
+        found = sketches.sketch_report(state, 3, **sizes).collect()
+        assert len(found) == 2
+        for r in found:
+            assert r["n"] == exact[r["k"]]["rows"] and abs(r["distinct"] - exact[r["k"]]["values"]) <= 4 * r["distinct_error"] and r["top_error"] > 0 and r["top"]
+            assert all(abs(x["count"] - often[r["k"], x["item"]]) <= r["top_error"] for x in r["top"])
+    whole = sketches.sketch_report(sketches.merge_sketches(days), 2, **sizes).collect()
+    assert len(whole) == 1 and whole[0]["n"] == 54_000
+    assert sketches.sketch_report(sketches.sketch_state(df.where("v is null"), "v", ["k"])).count() == 0
+
+
 def test_coverage_totals(spark):
     tech = spark.createDataFrame([("T1002", "", False, ["x"]), ("T1000", "", False, ["x", "y"]), ("T1000.001", "T1000", False, ["y"]), ("T1001", "", True, ["x"])], "id string, parent string, deprecated boolean, tactics array<string>")
     made = [(1, ["attack.t1000.001"]), (2, ["attack.execution"]), (3, ["attack.t1001"]), (4, ["attack.t9999", "attack.impact"]), (5, ["other"]), (6, [])]
