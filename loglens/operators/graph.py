@@ -75,6 +75,48 @@ def tree_ids(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: in
     return out if cap is None else out.orderBy("depth", *node).limit(cap)
 
 
+def jump_table(df: DataFrame, child: str, parent: str, depth: int = 50, scope: list[str] | None = None) -> DataFrame:
+    """(scope..., k, id, up): the ancestors 2^k generations above each node, for 2^k up to the depth; made once, it serves all searches.
+
+    A doubling joins the last generation with itself, so 50 levels take six tables of at most a row for each node. A node with
+    several parents has a row for each ancestor. Nodes of a cycle are their own ancestors. Null ids and parents have no rows.
+    """
+    scope = scope or []
+    step = written(df.select(*scope, F.col(child).alias("id"), F.col(parent).alias("up")).where("id is not null and up is not null").distinct(), "jumps")
+    parts, k = [step.withColumn("k", F.lit(0))], 1
+    while 2**k <= depth:
+        half = step.select(*scope, F.col("id").alias("up"), F.col("up").alias("above"))
+        step = written(step.join(half, [*scope, "up"]).select(*scope, "id", F.col("above").alias("up")).distinct(), "jumps")
+        if step.isEmpty():
+            break
+        parts.append(step.withColumn("k", F.lit(k)))
+        k += 1
+    return reduce(DataFrame.unionByName, parts).select(*scope, "k", "id", "up")
+
+
+def tree_ids_by_jumps(df: DataFrame, child: str, jumps: DataFrame, seeds: DataFrame, depth: int = 50, direction: str = "forward", scope: list[str] | None = None, by_seed: bool = False) -> DataFrame:
+    """The rows of tree_ids() without a cap, by joins that grow with the logarithm of the depth.
+
+    jumps are jump_table()'s for this depth or a greater one. What is reached within 2^k generations, taken 2^k further, is what is
+    reached within twice as many; the smallest depth of a node stays, so cycles end.
+    """
+    scope = scope or []
+    tree = [*scope, *(["start"] if by_seed else [])]
+    node = [*tree, "id"]
+    known = df.select(*scope, F.col(child).alias("id"))
+    parts = []
+    for way in ("forward", "backward") if direction == "both" else (direction,):
+        a, b = ("up", "id") if way == "forward" else ("id", "up")
+        reach = written(seeds.select(*tree, F.col("start").alias("id")).distinct().join(known, [*scope, "id"], "left_semi").withColumn("depth", F.lit(0)), "reach")
+        for k in range(depth.bit_length()):
+            step = jumps.where(F.col("k") == k).select(*scope, F.col(a).alias("_at"), F.col(b).alias("_to"))
+            further = reach.withColumnRenamed("id", "_at").join(step, [*scope, "_at"]).select(*tree, F.col("_to").alias("id"), (F.col("depth") + 2**k).alias("depth")).where(F.col("depth") <= depth)
+            reach = written(reach.unionByName(further).groupBy(*node).agg(F.min("depth").alias("depth")), "reach")
+        parts.append(reach)
+    out = reduce(DataFrame.unionByName, parts).groupBy(*node).agg(F.min("depth").alias("depth"))
+    return out.join(known, [*scope, "id"], "left_semi").select(*node, "depth")
+
+
 def process_tree(df: DataFrame, child: str, parent: str, seeds: DataFrame, depth: int = 10, direction: str = "both", scope: list[str] | None = None) -> DataFrame:
     """Rows of the nodes below (forward), above (backward) or both, each once."""
     ids = tree_ids(df, child, parent, seeds, depth, direction, scope=scope)

@@ -70,6 +70,15 @@ def tree_ids(spark, d):
     return graph.tree_ids(e, "event_id", "parent_id", _seeds(e.where("event_type = 'error'")), 6)
 
 
+@query("v1_tree_by_jumps", """WITH RECURSIVE e AS (SELECT event_id, event_type, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent_id FROM events),
+down AS (SELECT event_id, 0 AS k FROM e WHERE event_type = 'error' UNION ALL SELECT e.event_id, k + 1 FROM down JOIN e ON e.parent_id = down.event_id WHERE k < 50),
+up AS (SELECT event_id, parent_id, 0 AS k FROM e WHERE event_type = 'error' UNION SELECT e.event_id, e.parent_id, k + 1 FROM up JOIN e ON e.event_id = up.parent_id WHERE k < 50)
+SELECT event_id AS id, min(k) AS depth FROM (SELECT event_id, k FROM down UNION ALL SELECT event_id, k FROM up) GROUP BY 1""")
+def tree_by_jumps(spark, d):
+    e = _tree(spark, d)
+    return graph.tree_ids_by_jumps(e, "event_id", graph.jump_table(e, "event_id", "parent_id"), _seeds(e.where("event_type = 'error'")), direction="both")
+
+
 IMAGE = lambda x: f"'c:\\users\\*\\app' || (({x}) % 13) || '.exe'"
 RAW = lambda x: f"'C:\\Users\\u' || (user_id % 7) || '\\app' || (({x}) % 13) || '.exe'"
 PROC = f"""

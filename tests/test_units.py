@@ -482,6 +482,29 @@ def test_tree_with_a_cycle_ends(spark):
     assert graph.bfs(df, "child", "parent", seeds, 5).count() == 6
 
 
+@pytest.mark.parametrize("direction", ["forward", "backward", "both"])
+def test_jumps_reach_what_levels_reach(spark, direction):
+    """Forests with cycles, several parents, parents that don't exist, nulls and two tenants, at depths around powers of two."""
+    rng = random.Random(3)
+    rows = [(t, i, rng.choice([None, -1, rng.randrange(40), (i - 1) % 40])) for t in "ab" for i in range(40)] + [("a", 5, 7), ("a", 5, 9), ("b", None, 3), (None, 1, 2)]
+    df = spark.createDataFrame(rows, "t string, c int, p int")
+    seeds = spark.createDataFrame([("a", 3), ("a", 20), ("b", 20), ("b", 99), ("a", None)], "t string, start int")
+    jumps = graph.jump_table(df, "c", "p", 9, ["t"])
+    for depth, by_seed in ((3, False), (4, True), (9, True)):
+        want = graph.tree_ids(df, "c", "p", seeds, depth, direction, scope=["t"], by_seed=by_seed)
+        got = graph.tree_ids_by_jumps(df, "c", jumps, seeds, depth, direction, ["t"], by_seed)
+        assert sorted(one(got, *want.columns)) == sorted(one(want, *want.columns))
+
+
+def test_jumps_of_a_long_chain(spark):
+    df = spark.range(200).selectExpr("id as c", "if(id = 0, null, id - 1) as p")
+    jumps = graph.jump_table(df, "c", "p", 199)
+    assert jumps.select("k").distinct().count() == 8
+    found = graph.tree_ids_by_jumps(df, "c", jumps, spark.createDataFrame([(199,)], "start long"), 199, "backward")
+    assert sorted(one(found, "id", "depth")) == [(i, 199 - i) for i in range(200)]
+    assert graph.jump_table(df.limit(0), "c", "p").count() == 0
+
+
 def test_throttle(spark):
     rows = [("a", datetime(2024, 1, 1, 0, 0, s)) for s in (0, 5, 9, 10, 19, 20, 31)]
     got = jobs.throttle(spark.createDataFrame(rows, "k string, t timestamp"), ["k"], "t", 10)
