@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import table
-from .words import U, chunks, hashed, raw, tidy
+from .words import U, chunks, hashed, raw, tidy, tokenizer
 
 #: Id that ends a document, ids of a block, blocks of a file.
 END, BLOCK, LANES = 2, 4096, 1024
@@ -54,10 +54,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_padding(), self.model.no_truncation()
+        self.model = tokenizer(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("a vocabulary of more than 65,536 ids is not supported")
         self.keys, self.begin, self.size, self.used, self.ids = np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint16)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import U, mix, ngrams, rows_of, tidy, trim, words
+from .words import U, mix, ngrams, rows_of, tidy, tidy_pair, trim, words
 
 WINDOW = 13
 #: Any window of 13 words holds one whole block of 7 that starts at a multiple of 7.
@@ -200,6 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         late = who > np.repeat(np.minimum.reduceat(who, at), np.diff(at, append=len(k)))
         return _answers(bucket, k[late], part[late], thirteen)
 
+    @tidy_pair
     def rewrite(found: pa.Table, own: pa.Table) -> pa.Table:
         trim()
         texts, valid = _texts(own), own["id"].is_valid().to_numpy(zero_copy_only=False) if own.num_rows else np.zeros(0, bool)

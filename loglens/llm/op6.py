@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import table
-from .words import U, chunks, hashed, raw, spans, tidy
+from .words import U, chunks, encoded, hashed, raw, spans, tidy, tokenizer
 
 LENGTH, END = 2048, 0
 #: Pieces packed together by one task at a time. Each such shard leaves about one sequence unfilled.
@@ -51,10 +51,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_padding(), self.model.no_truncation()
+        self.model = tokenizer(path)
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.keys, self.size, self.used, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -63,7 +60,7 @@ class Encoder:
     def _runs(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of runs of letters, encoded together; each has the tokens up to a marked one."""
         groups, out = [runs[at : at + 200] for at in range(0, len(runs), 200)], {}
-        for some, found in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for some, found in zip(groups, encoded(self.model, [" ".join(g) for g in groups], 20), strict=True):
             ids = np.array(found.ids, "<u4")
             cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             data = ids.tobytes()
@@ -75,7 +72,7 @@ class Encoder:
         runs = [w for w in every if LETTERS.fullmatch(w)]
         found = self._runs(runs)
         rest = [w for w in every if w not in found]
-        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, encoded(self.model, rest, 4000), strict=True))
         return [found[w] for w in every]
 
     def _learn(self, keys: np.ndarray, found: list[bytes]) -> None:
@@ -121,8 +118,9 @@ def _marks_apart(data: np.ndarray, first: np.ndarray, starts: np.ndarray, ends:
     """spans() with the marks that follow a letter or digit at a word's end as words of their own."""
     if not len(starts):
         return first, starts, ends
-    other = np.where(MARKED[data], 0, np.arange(1, len(data) + 1))
-    core = np.maximum.accumulate(other)[ends - 1]  # where the last other character before the word's end stops
+    other = np.arange(1, len(data) + 1, dtype=np.int32)
+    other[MARKED[data]] = 0
+    core = np.maximum.accumulate(other, out=other)[ends - 1].astype(np.int64)  # where the last other character before the word's end stops
     cut = (core < ends) & (core > starts) & SOLID[data[core - 1]]
     n = 1 + cut
     place = np.cumsum(n) - n

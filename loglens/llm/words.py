@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,35 @@ def tidy(f):
     return run
 
 
+def tidy_pair(f):
+    """tidy() for a function of two Arrow tables."""
+
+    @functools.wraps(f)
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return f(a, b)
+        finally:
+            trim()
+
+    return run
+
+
+def tokenizer(path: str):
+    """The tokenizer of a file, on one thread: a task has one core, and each further thread's allocator would keep memory of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_padding(), model.no_truncation()
+    return model
+
+
+def encoded(model, texts: list[str], most: int) -> Iterator:
+    """The tokenizer's encodings of texts, only so many at a time, as each is far larger than its ids."""
+    for at in range(0, len(texts), most):
+        yield from model.encode_batch_fast(texts[at : at + most], add_special_tokens=False)
+
+
 def trim() -> None:
     pa.default_memory_pool().release_unused()
     if trimmer := _libc():
@@ -126,7 +156,10 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
         part = data[lo:hi]
         up, down = powers(max(SPAN, hi - lo))
         sums = np.zeros(hi - lo + 1, U)
-        np.cumsum(((LOWER[part] if lower else part).astype(U) + U(1)) * up[: hi - lo], out=sums[1:])
+        terms = (LOWER[part] if lower else part).astype(U)
+        terms += U(1)
+        terms *= up[: hi - lo]
+        np.cumsum(terms, out=sums[1:])
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U)
         at = to
