@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import table
-from .words import U, chunks, hashed, raw, tidy, tokenizer
+from .words import U, chunks, encoded, hashed, raw, tidy, tokenizer
 
 #: Id that ends a document, ids of a block, blocks of a file.
 END, BLOCK, LANES = 2, 4096, 1024
 #: Pieces of text that a worker remembers at most, some 50 bytes each, and bytes of text encoded at once.
 REMEMBERED, CHUNK = 1_500_000, 2 << 20
+#: New pieces encoded as one text.
+TOGETHER = 200
 #: Bits of order-0 frequencies, of mixing weights, and of both; bits of a lane's table of order 2.
 BITS0, BITSW, BITS2 = 12, 11, 11
 BITS = BITS0 + BITSW
@@ -50,22 +52,48 @@ class Encoder:
     The vocabulary's pattern starts a new token at a space before a character that is none, whatever
     stands before it, so a text is cut there and at other places of this kind, and each distinct piece is
     encoded once. It isn't cut before "<", where a special token may begin, nor before bytes that may begin
-    another kind of space.
+    another kind of space. New pieces with one space, at their begin, are encoded together and told apart by the tokens
+    that begin with it; all others are encoded alone.
     """
 
     def __init__(self, path: str):
         self.model = tokenizer(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("a vocabulary of more than 65,536 ids is not supported")
+        self.leads = np.zeros(1 << 16, bool)
+        self.leads[[i for t, i in self.model.get_vocab().items() if t.startswith("Ġ")]] = True
         self.keys, self.begin, self.size, self.used, self.ids = np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint16)
         self.turn = 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _together(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin of each piece, ids) of pieces that begin with their only space."""
+        own, upto = data[_slices(starts, ends - starts)].tobytes(), [0, *np.cumsum(ends - starts)[TOGETHER - 1 :: TOGETHER].tolist(), int((ends - starts).sum())]
+        texts = [own[s:e].decode() for s, e in zip(upto, upto[1:], strict=False) if s < e]
+        ids = np.concatenate([np.zeros(0, np.uint16), *(np.array(e.ids, np.uint16) for e in encoded(self.model, texts, 20))])
+        return np.flatnonzero(self.leads[ids]), ids
+
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, ids) of pieces: piece i has ids[begin[i]:begin[i] + size[i]]."""
+        stops = np.concatenate([[0], np.cumsum((data == 32) | (data == 60))])
+        joined = (data[starts] == 32) & (ends > starts + 1) & (stops[ends] - stops[starts] == 1)
+        joined &= SAFE[data[np.minimum(starts + 1, len(data) - 1)]]
+        begin, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at, ids = self._together(data, starts[joined], ends[joined])
+        if len(at) == joined.sum():
+            begin[joined], size[joined] = at, np.diff(at, append=len(ids))
+        else:  # a vocabulary whose tokens don't tell
+            joined[:], ids = False, ids[:0]
+        pieces = [data[s:e].tobytes().decode() for s, e in zip(starts[~joined].tolist(), ends[~joined].tolist(), strict=True)]
+        alone = [np.array(e.ids, np.uint16) for e in encoded(self.model, pieces, 4000)]
+        size[~joined] = [len(x) for x in alone]
+        begin[~joined] = len(ids) + np.cumsum(size[~joined]) - size[~joined]
+        return begin, size, np.concatenate([ids, *alone])
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Add pieces that aren't known, by ascending keys; if there are too many, those used longest ago go."""
-        found = [e.ids for e in self.model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        ids, size = np.fromiter((i for x in found for i in x), np.uint16), np.fromiter(map(len, found), np.int64)
+        begin, size, ids = self._new(data, starts, ends)
         at = np.searchsorted(self.keys, keys)
-        begin = np.cumsum(size) - size + len(self.ids)
+        begin += len(self.ids)
         self.ids = np.concatenate([self.ids, ids])
         self.keys, self.begin, self.size, self.used = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.begin, begin), (self.size, size), (self.used, self.turn)))
         if len(self.keys) > REMEMBERED:
@@ -86,8 +114,7 @@ class Encoder:
         known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
         self.used[place[known]] = self.turn
         if not known.all():
-            blob = data.tobytes()
-            self._learn(keys[~known], [blob[s:e] for s, e in zip(starts[where[~known]].tolist(), ends[where[~known]].tolist(), strict=True)])
+            self._learn(keys[~known], data, starts[where[~known]], ends[where[~known]])
             place = np.searchsorted(self.keys, keys)
         size, begin = (self.size[place][at], self.begin[place][at]) if len(keys) else (np.zeros(0, np.int64),) * 2
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, off)]

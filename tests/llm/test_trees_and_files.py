@@ -267,3 +267,25 @@ def test_ids_of_a_large_node_are_hashed_in_pieces(spark, monkeypatch):
     df = spark.createDataFrame([(1, 2, i) for i in reversed(ids)] + [(1, 3, 5), (4, 2, 6)], "c long, d long, id long").repartition(5)
     got = {(r["c"], r["d"]): r["sha"] for r in op13._digests(df).collect()}
     assert got == {(1, 2): sha(",".join(map(str, sorted(ids)))), (1, 3): sha("5"), (4, 2): sha("6")}
+
+
+def test_new_pieces_are_encoded_together():
+    encode, texts = op12.Encoder(op12.vocabulary()), []
+    real = encode.model
+
+    class Counted:
+        def encode_batch_fast(self, some, **more):
+            texts.extend(some)
+            return real.encode_batch_fast(some, **more)
+
+    encode.model = Counted()
+    rng = random.Random(5)
+    bits = [" ", "  ", "\n", "\t", "é", " É", "<|endoftext|>", " <", ".", "'s", " 's", "́", " ́", "日本", " 日", "$$$", "Ġ", " Ġa", "\r\n"]
+    plain = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(2000))]
+    odd = ["".join(rng.choice([*bits, f" x{rng.randrange(99)}"]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    for rows in (plain, odd, plain):
+        cut, ids = encode(pa.array(rows))
+        assert [ids[s:e].tolist() for s, e in zip(cut, cut[1:])] == [[*real.encode(r, add_special_tokens=False).ids, op12.END] for r in rows]
+        if rows is plain:
+            assert len(texts) < 100
+        texts.clear()
