@@ -179,10 +179,14 @@ class _Search:
         pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
         both = pairs.join(toks.toDF("a", "x"), "a").join(toks.toDF("b", "y"), "b")
         good = table(both.where(F.size(F.array_intersect("x", "y")) >= MATCHES).select("a", "b"), "candidates")
-        links = confirmed(good, self.texts)
+        if good.isEmpty():
+            return
+        links = table(confirmed(good, self.texts), "links")
+        if links.isEmpty():
+            return
         if self.comps is not None:  # what was joined before, as a star for each component
             links = links.unionByName(self.comps.where("v <> c").select(F.col("v").alias("a"), F.col("c").alias("b")))
-        self.comps = components(table(links, "links"))
+        self.comps = components(links)
 
     def _own(self, posts: DataFrame) -> DataFrame:
         if self.comps is None:
@@ -208,22 +212,24 @@ class _Search:
             own = self._own(posts)
             outside = own
             if turn:
-                live = self._live(own).where(F.col("outside") > OUTSIDE)
+                live = table(self._live(own).where(F.col("outside") > OUTSIDE), "live")
                 left = live.agg(F.sum("outside")).first()[0]
                 if not left or (before and left > 0.5 * before):
                     break
                 before = left
-                outside = own.join(live, "tok").where("comp <> top").drop("top", "outside")
-                own = own.join(live.select("tok"), "tok", "left_semi")
+                near = table(own.join(live, "tok"), "near")
+                outside, own = near.where("comp <> top").drop("top", "outside"), near.drop("top", "outside")
             by = F.xxhash64("rep", F.lit(turn)) if turn else F.col("weight")
             middle = outside.groupBy("tok").agg(F.max(F.struct(by.alias("by"), *(c for c in columns if c in outside.columns))).alias("m")).select("tok", "m.*")
             self._add(side(middle, "x").join(side(own, "y"), "tok").where(F.expr("x_comp <> y_comp") & long_enough))
         own = self._own(posts)
-        live = self._live(own)
-        near = own.join(live if bound is None else live.where(F.col("outside") <= bound), "tok")
-        few = side(near.where("comp <> top"), "x")
-        self._add(few.join(side(near, "y"), "tok").where(F.expr("x_comp <> y_comp and (y_comp = y_top or x_rep < y_rep)") & long_enough))
-        return own.join(live.where(F.lit(False) if bound is None else F.col("outside") > bound), "tok", "left_semi").select("rep").distinct()
+        # only lists that join nothing yet are left, so both are small and written rather than derived again for each use
+        every = table(own.join(table(self._live(own), "live"), "tok"), "near")
+        near = every if bound is None else every.where(F.col("outside") <= bound)
+        if not near.isEmpty():
+            few = side(near.where("comp <> top"), "x")
+            self._add(few.join(side(near, "y"), "tok").where(F.expr("x_comp <> y_comp and (y_comp = y_top or x_rep < y_rep)") & long_enough))
+        return every.where(F.lit(False) if bound is None else F.col("outside") > bound).select("rep").distinct()
 
     @staticmethod
     def _live(own: DataFrame) -> DataFrame:
@@ -273,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hot = search.settle(lists.select("rep", "n", "weight", F.explode(F.expr(f"slice(toks, 1, size(toks) - {MATCHES - 1})")).alias("tok")), STARS, OUTSIDE)
         if not hot.isEmpty():
             search.settle(table(real_posts(texts.join(hot.select(F.col("rep").alias("id")), "id", "left_semi")), "posts"), MORE_STARS)
-        named = named.join(search.comps, F.col("rep") == F.col("v"), "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("component_id"))
+        named = named.withColumnRenamed("rep", "component_id") if search.comps is None else named.join(search.comps, F.col("rep") == F.col("v"), "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("component_id"))
     named = table(named, "named")  # read from a table, the join below can split a class with very many copies
     out = signed.drop("sig").join(named, ["h1", "h2", "n"], "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))

@@ -40,3 +40,14 @@ def test_few_encodings_are_held_at_once(monkeypatch):
     text = " ".join(f"{i}a" for i in range(9000))
     cut, ids = encode(pa.array([text]))
     assert ids.tolist() == [*real.encode(text, add_special_tokens=False).ids, op6.END] and max(seen) <= 4000
+
+
+def test_near_duplicates_stop_when_no_list_is_left(spark, monkeypatch):
+    from loglens.llm import op4
+
+    calls, real = [], op4.components
+    monkeypatch.setattr(op4, "components", lambda edges: calls.append(1) or real(edges))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "nothing of the kind is said in here"), (4, " ".join(words))]
+    found = {r[0]: r[2] for r in op4.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 1} and len(calls) == 1
