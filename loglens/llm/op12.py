@@ -17,7 +17,9 @@ from .scratch import table
 from .words import U, chunks, encoded, hashed, raw, tidy, tokenizer
 
 #: Id that ends a document, ids of a block, blocks of a file.
-END, BLOCK, LANES = 2, 4096, 1024
+END, BLOCK, LANES = 2, 4096, 4096
+#: Ids of each block that a step of coding takes.
+SPELL = 16
 #: Pieces of text that a worker remembers at most, some 50 bytes each, and bytes of text encoded at once.
 REMEMBERED, CHUNK = 1_500_000, 2 << 20
 #: New pieces encoded as one text.
@@ -166,11 +168,9 @@ class Lanes:
     def __init__(self, sizes: np.ndarray):
         n, self.most, self.sizes = len(sizes), max(int(sizes.max(initial=0)), 1), sizes
         lanes = np.arange(n, dtype=np.int64)
-        self.base, self.base2, self.base0, self.base_mix = lanes * self.most, lanes << BITS2, lanes << BITS0, lanes << 6
-        self.one, self.two = np.zeros(n * self.most, np.int16), np.zeros(n << BITS2, np.int16)
+        self.base, self.base0, self.base_mix = lanes * self.most, lanes << BITS0, lanes << 6
         trust = np.arange(LEVEL + 1, dtype=np.int32) << 11
         self.mix = np.tile((trust[:, None] << 16 | trust).ravel(), n)
-        self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.slots = np.zeros(0, np.int16)
         self.count(np.zeros((0, n), np.int16), False)
 
@@ -179,10 +179,11 @@ class Lanes:
         k, n = seen.shape
         freq = np.zeros((n, self.most), np.int32)
         for at in range(0, n, 64):  # some lanes at a time, to bound what is in memory
-            own, size = seen[:, at : at + 64].T, self.sizes[at : min(at + 64, n), None]
+            own, size = seen[:, at : at + 64].T, self.sizes[at : min(at + 64, n), None].astype(np.int32)
             counts = np.bincount((own + (np.arange(len(own)) * self.most)[:, None]).ravel(), minlength=len(own) * self.most).reshape(-1, self.most)
-            f = np.where(np.arange(self.most) < size, 1 + (counts * ((1 << BITS0) - size)) // max(k, 1), 0)
-            f[np.arange(len(f)), size[:, 0] - 1] += (1 << BITS0) - f.sum(1)
+            # below 2**24
+            f = np.where(np.arange(self.most) < size, 1 + counts.astype(np.int32) * ((1 << BITS0) - size) // np.int32(max(k, 1)), 0)
+            f[np.arange(len(f)), size[:, 0] - 1] += (1 << BITS0) - f.sum(1, dtype=np.int32)
             freq[at : at + 64] = f
         self.freq = ((np.cumsum(freq, 1, dtype=np.int32) - freq) << (BITS0 + 1) | freq).ravel()
         if slots:
@@ -190,121 +191,138 @@ class Lanes:
 
     def narrow(self, n: int) -> None:
         """Go on with the first n lanes."""
-        for name, width in (("sizes", 1), ("base", 1), ("base2", 1), ("base0", 1), ("base_mix", 1), ("a", 1), ("b", 1), ("one", self.most), ("two", 1 << BITS2), ("mix", 64), ("freq", self.most), ("slots", 1 << BITS0)):
-            setattr(self, name, getattr(self, name)[: n * width])
-
-    def predict(self) -> None:
-        """Look up what orders 1 and 2 predict, and where their parts of the code space end (c2, c1)."""
-        self.i1 = self.base + self.a
-        i2 = self.a * 0x9E3B
-        i2 += self.b
-        i2 &= (1 << BITS2) - 1
-        i2 += self.base2
-        self.b = self.a * 0x6A09  # of the id before, for the next one
-        self.i2, self.e1, self.e2 = i2, self.one.take(self.i1), self.two.take(i2)
-        self.n1, self.n2 = self.e1 & LEVEL, self.e2 & LEVEL
-        self.im = self.base_mix + (self.n2 << 3 | self.n1).astype(np.int64)
-        self.m = self.mix.take(self.im)
-        self.c2 = (self.m >> (31 - BITSW)) + 1  # a weight is never 0
-        self.c1 = ((self.m & 0x7FFF) >> (15 - BITSW)) + 1
-        self.c1 += self.c2
-        self.w0 = (1 << BITSW) - self.c1
-
-    def hits(self, x: np.ndarray) -> None:
-        self.x, self.h1, self.h2 = x, (self.e1 >> 3) == x, (self.e2 >> 3) == x
-
-    def interval(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, size) of the ids given to hits(); at: as index."""
+        self.sizes, self.base, self.base0, self.base_mix = self.sizes[:n], self.base[:n], self.base0[:n], self.base_mix[:n]
+
+    def interval(self, m: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of ids (at: as index) under weights m, where orders 1 and 2 predict them or not."""
+        c2, c1, w0 = _shares(m)
         f = self.freq.take(self.base + at)
-        begin = (f >> (BITS0 + 1)) * self.w0
-        f &= (2 << BITS0) - 1
-        f *= self.w0
-        c1, c2 = self.c1 << BITS0, self.c2 << BITS0
+        begin = f >> (BITS0 + 1)
+        begin *= w0
         begin += c1
-        np.copyto(f, c1 - c2, where=self.h1)
-        np.copyto(begin, c2, where=self.h1)
-        np.copyto(f, c2, where=self.h2)
-        np.copyto(begin, 0, where=self.h2)
-        return begin, f
-
-    def find(self, q: np.ndarray) -> np.ndarray:
-        """The ids in whose intervals q lies."""
-        c1 = self.c1 << BITS0
-        slot = (np.maximum(q, c1) - c1).view(np.uint32) // self.w0.view(np.uint32)
-        x = self.slots.take(self.base0 + slot.astype(np.int64))
-        np.copyto(x, self.e1 >> 3, where=q < c1)
-        np.copyto(x, self.e2 >> 3, where=q < self.c2 << BITS0)
-        return x
-
-    def learn(self, at: np.ndarray) -> None:
-        m = self.m
-        m -= (m >> RATE) & ((0x7FFF >> RATE) * 0x10001)
-        m += self.h2.astype(np.int32) * (STEP << 16)
-        m += (self.h1 > self.h2).astype(np.int32) * STEP
-        self.mix[self.im] = m
-        fresh = self.x << 3
-        for table, i, e, n, h in ((self.one, self.i1, self.e1, self.n1, self.h1), (self.two, self.i2, self.e2, self.n2, self.h2)):
-            e += (2 * LEVEL - n) >> 3  # 1, but 0 at LEVEL
-            np.copyto(e, fresh, where=~h)
-            table[i] = e
-        self.a = at
-
-
-def _steps(model: Lanes, seen: np.ndarray, last: int, slots: bool) -> Iterator[tuple[int, int]]:
-    """(step, lanes) of all blocks; the last lane ends after its own number of ids."""
-    lanes = seen.shape[1]
-    for k in range(seen.shape[0] if lanes > 1 else last):
-        if k == last:
-            lanes -= 1
-            model.narrow(lanes)
-        if k in EPOCHS:
-            model.count(seen[:k, :lanes], slots)
-        model.predict()
-        yield k, lanes
+        f &= (2 << BITS0) - 1
+        f *= w0
+        c1 -= c2
+        begin = np.where(h1, c2, begin)
+        begin *= ~h2
+        return begin, np.where(h2, c2, np.where(h1, c1, f))
+
+
+def _shares(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c2, c1, w0) of weights: the ends of the parts of orders 2 and 1, and what a part of 2**BITS0 of order 0 has. A weight is never 0."""
+    c2 = m >> (31 - BITSW)
+    c2 += 1
+    c2 <<= BITS0
+    c1 = m & 0x7FFF
+    c1 >>= 15 - BITSW
+    c1 += 1
+    c1 <<= BITS0
+    c1 += c2
+    w0 = (1 << BITS) - c1
+    w0 >>= BITS0
+    return c2, c1, w0
+
+
+def _faded(m: np.ndarray) -> np.ndarray:
+    """Weights without the part that they lose at each id."""
+    lost = m >> RATE
+    lost &= (0x7FFF >> RATE) * 0x10001
+    return m - lost
+
+
+def _followed(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For ids of blocks (block by step) and the contexts before them: the confidence in what last followed the context,
+    plus LEVEL + 1 where it is the id. What never came before predicts 0, without confidence."""
+    order = np.argsort(context, 1, kind="stable")
+    key, x = np.take_along_axis(context, order, 1), np.take_along_axis(ids, order, 1)
+    again = np.zeros(ids.shape, bool)
+    np.equal(key[:, 1:], key[:, :-1], out=again[:, 1:])
+    told = np.zeros_like(x)
+    np.multiply(x[:, :-1], again[:, 1:], out=told[:, 1:])
+    right = told == x
+    place, fresh = np.arange(ids.shape[1], dtype=np.int16), ~again  # where a row of right predictions begins
+    fresh[:, 1:] |= ~right[:, :-1]
+    found = place - np.maximum.accumulate(np.where(fresh, place, np.int16(0)), 1)
+    np.minimum(found, LEVEL, out=found)
+    found += right * np.int16(LEVEL + 1)
+    out = np.empty(ids.shape, np.uint8)
+    np.put_along_axis(out, order, found.astype(np.uint8), 1)
+    return out
+
+
+def _told(ids: np.ndarray) -> np.ndarray:
+    """How orders 1 and 2 do at each id of blocks (block by step): 6 bits of confidences, then 1 where order 1 predicts the id and 2 where order 2 does."""
+    before = np.zeros((len(ids), ids.shape[1] + 2), np.uint16)
+    before[:, 2:] = ids
+    one, two = before[:, 1:-1], before[:, :-2]
+    # modulo 2**16, of which only the lowest BITS2 bits count
+    context = one * np.uint16(0x9E3B) + two * np.uint16(0x6A09) & np.uint16((1 << BITS2) - 1)
+    f1, f2 = _followed(one, ids), _followed(context, ids)
+    return (f2 & LEVEL) << 3 | f1 & LEVEL | (f1 >> 3) << 6 | (f2 >> 3) << 7
 
 
 def squeeze(ids: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """(directory, alphabets, words) of the blocks of ids: (ids, alphabet, 32-bit words, crc32) of each, and its bytes."""
+    """(directory, alphabets, words) of the blocks of ids: (ids, alphabet, 32-bit words, crc32) of each, and its bytes.
+
+    All ids are known, so what orders 1 and 2 predict is found block by block beforehand; weights and code go on id by id, in all blocks at once.
+    """
     blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
     if not blocks:
         return np.zeros((0, 4), np.uint32), [], []
     there, number, alphabets, sizes = np.zeros(1 << 16, bool), np.zeros(1 << 16, np.int16), [], []
-    local = np.zeros((min(BLOCK, len(ids)), len(blocks)), np.int16)
+    local = np.zeros((len(blocks), min(BLOCK, len(ids))), np.int16)
+    told = np.zeros(local.shape, np.uint8)
     for i, own in enumerate(blocks):
         there[own] = True
         known = np.flatnonzero(there)
         there[known] = False
         number[known] = np.arange(len(known))
-        local[: len(own), i] = number[own]
+        local[i, : len(own)] = number[own]
         gaps = np.diff(known.astype(np.int32), prepend=0)
         high = gaps > 255
         alphabets.append(np.packbits(high).tobytes() + (gaps & 255).astype(np.uint8).tobytes() + (gaps[high] >> 8).astype(np.uint8).tobytes())
         sizes.append(len(known))
-    model, room = Lanes(np.array(sizes)), len(local) * BITS // 32 + 4
-    out, place = np.zeros(len(blocks) * room, np.uint32), np.arange(len(blocks)) * room
-    low, width = np.zeros(len(blocks), U), np.full(len(blocks), 2**64 - 1, U)
-    for k, n in _steps(model, local, len(blocks[-1]), False):
-        if n < len(low):
+    for at in range(0, len(blocks), 8):  # so many as a core's cache holds
+        told[at : at + 8] = _told(local[at : at + 8])
+    # step by lane
+    local, told = np.ascontiguousarray(local.T), np.ascontiguousarray(told.T)
+    steps, last, n = len(local), len(blocks[-1]), len(blocks)
+    model, room = Lanes(np.array(sizes)), steps * BITS // 32 + 4
+    out, place = np.zeros(n * room, np.uint32), np.arange(n) * room
+    low, width = np.zeros(n, U), np.full(n, 2**64 - 1, U)
+    gains = np.array([0, STEP, STEP << 16, STEP << 16], np.int32)
+    stops = sorted({*range(0, steps, SPELL), *(e for e in (*EPOCHS, last) if e < steps), steps})
+    for k, end in zip(stops, stops[1:], strict=False):
+        if k == last:
+            n -= 1
             done, low, width, place = (low[n], place[n]), low[:n], width[:n], place[:n]
-        model.hits(local[k, :n])
-        at = local[k, :n].astype(np.int64)
-        begin, size = model.interval(at)
-        width >>= U(BITS)
-        more = width * begin.astype(U)
-        width *= size.astype(U)
-        low += more
-        carry = place[low < more] - 1
-        while len(carry):  # into what was put out
-            out[carry] += np.uint32(1)
-            carry = carry[out[carry] == 0] - 1
-        shift = (width < U(1 << 32)).astype(U)
-        out[place] = low >> U(32)  # overwritten by what comes next unless it is full
-        place += shift.view(np.int64)
-        shift <<= U(5)
-        low <<= shift
-        width <<= shift
-        model.learn(at)
-    if len(low) < len(blocks):
+            model.narrow(n)
+        if k in EPOCHS:
+            model.count(local[:k, :n], False)
+        own = told[k:end, :n]
+        which, gain = (own & 63) + model.base_mix, gains.take(own >> 6)
+        weights = np.empty(own.shape, np.int32)
+        for i, g, m in zip(which, gain, weights, strict=True):
+            m[:] = model.mix.take(i)
+            g += _faded(m)
+            model.mix[i] = g
+        begins, widths = model.interval(weights, local[k:end, :n], (own & 64).view(bool), (own & 128).view(bool))
+        for begin, size in zip(begins.astype(U), widths.astype(U), strict=True):
+            width >>= U(BITS)
+            begin *= width
+            width *= size
+            low += begin
+            carry = place[low < begin] - 1
+            while len(carry):  # into what was put out
+                out[carry] += np.uint32(1)
+                carry = carry[out[carry] == 0] - 1
+            full = np.flatnonzero(width < U(1 << 32))
+            to, code = place.take(full), low.take(full)
+            out[to] = code >> U(32)
+            place[full] = to + 1
+            low[full] = code << U(32)
+            width[full] = width.take(full) << U(32)
+    if n < len(blocks):
         low, place = np.append(low, done[0]), np.append(place, done[1])
     out[place], out[place + 1] = low >> U(32), low & U(0xFFFFFFFF)
     place = place + 2 - np.arange(len(blocks)) * room
@@ -340,30 +358,57 @@ def expand(directory: np.ndarray, data: memoryview, first: int = 0) -> np.ndarra
         code[i * room : i * room + len(w)] = w
     model, last = Lanes(sizes), int(directory[-1, 0])
     model.count(np.zeros((0, n), np.int16), True)
-    local = np.zeros((BLOCK if n > 1 else last, n), np.int16)
+    steps = BLOCK if n > 1 else last
+    local = np.zeros((steps, n), np.int16)
     place = np.arange(n) * room
-    end = place + room - 1
     rest, width = code[place].astype(U) << U(32) | code[place + 1].astype(U), np.full(n, 2**64 - 1, U)
     place += 2
-    for k, n in _steps(model, local, last, True):
-        rest, width, place, end = rest[:n], width[:n], place[:n], end[:n]
+    # what followed one and two ids (8 * id + confidence), a lane's tables side by side
+    each = model.most + (1 << BITS2)
+    tables, bases, which = np.zeros(n * each, np.int16), np.arange(n) * each + np.array([[0], [model.most]]), np.zeros((2, n), np.int64)
+    a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k in range(steps):
+        if k == last:
+            n -= 1
+            model.narrow(n)
+            rest, width, place, a, b, bases, which = rest[:n], width[:n], place[:n], a[:n], b[:n], bases[:, :n], which[:, :n].copy()
+        if k in EPOCHS:
+            model.count(local[:k, :n], True)
+        which[0] = a
+        np.multiply(a, 0x9E3B, out=which[1])
+        which[1] += b
+        which[1] &= (1 << BITS2) - 1
+        which += bases
+        b = a * 0x6A09  # of the id before, for the next one
+        entry = tables.take(which)
+        guess, trust = entry >> 3, entry & LEVEL
+        i = (trust[1] << 3 | trust[0]) + model.base_mix
+        m = model.mix.take(i)
+        c2, c1, w0 = _shares(m)
         width >>= U(BITS)
-        x = model.find(np.minimum(rest // np.maximum(width, U(1)), U((1 << BITS) - 1)).astype(np.int32))
+        q = np.minimum(rest // width, U((1 << BITS) - 1)).astype(np.int32)
+        slot = np.maximum(q, c1)
+        slot -= c1
+        # divided as unsigned numbers, which is faster
+        x = model.slots.take((slot.view(np.uint32) // w0.view(np.uint32)) + model.base0)
+        x = np.where(q < c2, guess[1], np.where(q < c1, guess[0], x))
         local[k, :n] = x
-        model.hits(x)
-        at = x.astype(np.int64)
-        begin, size = model.interval(at)
-        rest -= width * begin.astype(U)
+        hit = guess == x
+        a = x.astype(np.int64)
+        begin, size = model.interval(m, a, hit[0], hit[1])
+        rest -= begin.astype(U) * width
         width *= size.astype(U)
-        shift = (width < U(1 << 32)).astype(U)
-        more = code.take(np.minimum(place, end)).astype(U)
-        more *= shift
-        place += shift.view(np.int64)
-        shift <<= U(5)
-        rest <<= shift
-        rest |= more
-        width <<= shift
-        model.learn(at)
+        full = np.flatnonzero(width < U(1 << 32))
+        to = place.take(full)
+        rest[full] = rest.take(full) << U(32) | code.take(to, mode="clip")
+        width[full] = width.take(full) << U(32)
+        place[full] = to + 1
+        m = _faded(m)
+        m += hit[1] * np.int32(STEP << 16)
+        m += (hit[0] > hit[1]) * np.int32(STEP)
+        model.mix[i] = m
+        entry += trust < LEVEL
+        tables[which] = np.where(hit, entry, x << 3)
     out = [a[np.minimum(local[:k, i], len(a) - 1)] for i, (a, k) in enumerate(zip(alphabets, directory[:, 0].tolist(), strict=True))]
     for i, (own, crc) in enumerate(zip(out, directory[:, 3].tolist(), strict=True)):
         if zlib.crc32(own.astype("<u2").tobytes()) != crc:

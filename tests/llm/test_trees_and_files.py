@@ -152,6 +152,42 @@ def test_carries_ripple():
         assert (op12.expand(directory, memoryview(b"".join(x for p in zip(alphabets, words, strict=True) for x in p))) == ids).all()
 
 
+def test_blocks_are_coded_in_spells(monkeypatch):
+    # what is known beforehand is not looked up id by id
+    calls, real = [], op12.Lanes.interval
+    monkeypatch.setattr(op12.Lanes, "interval", lambda self, *a: calls.append(1) or real(self, *a))
+    ids = np.concatenate([np.tile(R.integers(0, 900, 50), 200), R.integers(0, 900, 2 * op12.BLOCK + 1000)]).astype(np.uint16)
+    directory, alphabets, words = op12.squeeze(ids)
+    assert 0 < len(calls) < op12.BLOCK // 8
+    assert (op12.expand(directory, memoryview(b"".join(x for p in zip(alphabets, words, strict=True) for x in p))) == ids).all()
+
+
+def test_predictions_found_beforehand():
+    r = random.Random(2)
+    blocks = [[r.choice([0, 1, 2, r.randrange(900)]) for _ in range(500)] for _ in range(3)]
+    for own, told in zip(blocks, op12._told(np.array(blocks, np.int16)).tolist(), strict=True):
+        tables, a, b = ({}, {}), 0, 0
+        for x, t in zip(own, told, strict=True):
+            want = 0
+            for place, (table, key) in enumerate(zip(tables, (a, a * 0x9E3B + b * 0x6A09 & (1 << op12.BITS2) - 1), strict=True)):
+                guess, trust = table.get(key, (0, 0))
+                want |= trust << 3 * place | (guess == x) << 6 + place
+                table[key] = (x, min(trust + 1, op12.LEVEL)) if guess == x else (x, 0)
+            assert t == want
+            a, b = x, a
+
+
+def test_a_part_of_some_million_ids_is_one_file(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = spark.range(5).select(F.col("id").alias("doc_id"), F.expr("repeat('a ', 900000 + int(id))").alias("text"))
+        files = op12.write_ids(df, op12.vocabulary()).collect()
+        assert [(f["first"], f["n_ids"]) for f in files] == [(0, sum(op12.read_file(bytes(files[0]["bytes"]))[1].tolist()))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_file_and_its_damage():
     ids = np.array(CASES["skewed"], np.uint16)
     names, counts = [5, None, -3, 2**60], np.array([1, 0, 15_000, 4999])
