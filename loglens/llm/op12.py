@@ -17,7 +17,7 @@ from .scratch import table
 from .words import U, chunks, encoded, hashed, raw, tidy, tokenizer
 
 #: Id that ends a document, ids of a block, blocks of a file.
-END, BLOCK, LANES = 2, 4096, 4096
+END, BLOCK, LANES = 2, 4096, 2048
 #: Ids of each block that a step of coding takes.
 SPELL = 16
 #: Pieces of text that a worker remembers at most, some 50 bytes each, and bytes of text encoded at once.
@@ -461,6 +461,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         def file() -> pa.RecordBatch:
             every, count = np.concatenate(ids), np.concatenate(counts)
+            ids.clear()  # with the batches that they are parts of
             out = pack_file(names, count, every)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(every)], pa.int64()), pa.array([out], pa.binary())], names=["part", "first", "n_ids", "bytes"])
 
