@@ -318,6 +318,37 @@ def test_sketches_of_days_are_those_of_all(spark):
     assert sketches.sketch_report(sketches.sketch_state(df.where("v is null"), "v", ["k"])).count() == 0
 
 
+def test_top_of_more_values_than_are_followed(spark):
+    """Counts are exact in groups with more values than a sketch follows, of null keys and of days, too."""
+    df = spark.range(30_000).selectExpr("if(id % 11 = 0, null, id % 3000 + if(id < 200, 0, id div 3000)) as v", "if(id % 3 = 0, null, cast(id % 3 as string)) as k", "date_add(date'2024-01-01', cast(id % 4 as int)) as day")
+    few = spark.range(90).selectExpr("id % 7 as v", "'few' as k", "date'2024-01-01' as day")
+    both, sizes = df.unionByName(few), {"registers": 10, "followed": 64}
+    days = sketches.sketch_state(both, "v", ["k"], F.col("day"), **sizes)
+    counts = collections.Counter((r["k"], r["day"], str(r["v"])) for r in both.where("v is not null").collect())
+    for span, state in ((None, sketches.merge_sketches(days, ["k"])), (F.col("day"), days)):
+        want = collections.defaultdict(collections.Counter)
+        for (k, day, v), n in counts.items():
+            want[k, None if span is None else day][v] += n
+        report = sketches.sketch_report(state, 4, **sizes)
+        assert {r["top_error"] > 0 for r in report.collect()} == {True, False}
+        found = {(r["k"], r["span"]): r for r in sketches.exact_top(report, both, "v", ["k"], span, 4).collect()}
+        assert found.keys() == want.keys() and all(r["top_error"] == 0 for r in found.values())
+        for group, r in found.items():
+            assert [x["count"] for x in r["top"]] == sorted(want[group].values(), reverse=True)[:4] and all(want[group][x["item"]] == x["count"] for x in r["top"])
+
+
+def test_daily_sketches_of_many_users_equal_sql(spark, tmp_path):
+    import duckdb
+    from oracle import rows_of_query, rows_of_sql
+
+    from loglens.queries import ORACLES, QUERIES
+
+    kinds = "CASE i % 4 WHEN 0 THEN 'few' WHEN 1 THEN 'hot' WHEN 2 THEN 'flat' END"
+    users = "CASE i % 4 WHEN 0 THEN i % 900 WHEN 1 THEN CASE WHEN i % 5 = 0 THEN i % 7 ELSE i END WHEN 2 THEN CASE WHEN i < 20000 THEN i % 7000 ELSE i END END"
+    duckdb.connect().execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_hours(CAST(i % 50 AS BIGINT)) AS ts, {users} AS user_id, {kinds} AS event_type FROM range(160000) t(i)) TO '{tmp_path}/events.parquet'")
+    assert rows_of_query(QUERIES["g4_daily_sketches"](spark, str(tmp_path))) == rows_of_sql(str(tmp_path), ORACLES["g4_daily_sketches"])
+
+
 def test_coverage_totals(spark):
     tech = spark.createDataFrame([("T1002", "", False, ["x"]), ("T1000", "", False, ["x", "y"]), ("T1000.001", "T1000", False, ["y"]), ("T1001", "", True, ["x"])], "id string, parent string, deprecated boolean, tactics array<string>")
     made = [(1, ["attack.t1000.001"]), (2, ["attack.execution"]), (3, ["attack.t1001"]), (4, ["attack.t9999", "attack.impact"]), (5, ["other"]), (6, [])]
